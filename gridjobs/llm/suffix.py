@@ -141,7 +141,7 @@ def prefix_doubling(positions: DataFrame) -> DataFrame:
     """Positions whose whole string occurs more than once.
 
     ``positions``: row, p, gram (the group in which names compare), alone, name (of the first bytes) and next1, next2, ...
-    (of the pieces that double the length each time).  Each round counts and sorts the rank pairs, drops what has become
+    (of the pieces that double the length each time); a written table, whose files go after the first round.  Each round counts and sorts the rank pairs, drops what has become
     unique and ranks the rest anew by place in the sorted order.
     """
     pieces = [c for c in positions.columns if c.startswith("next")]
@@ -150,10 +150,14 @@ def prefix_doubling(positions: DataFrame) -> DataFrame:
         pair = ["gram", "rank", piece]
         again = ranked.groupBy(*pair).agg(F.count("*").alias("c")).where("c > 1").drop("c")
         again = materialize(again.orderBy(*pair).withColumn("newrank", F.monotonically_increasing_id()), "ranks")
-        ranked = ranked.join(again, pair).drop("rank", piece).withColumnRenamed("newrank", "rank")
+        release(positions.sparkSession)
+        joined = ranked.join(again, pair).drop("rank", piece).withColumnRenamed("newrank", "rank")
         if piece != pieces[-1]:
-            ranked = materialize(ranked, "ranked")
+            joined = materialize(joined, "ranked")
+            for t in (ranked, again):
+                drop_table(t)
             release(positions.sparkSession)
+        ranked = joined
     return ranked
 
 
@@ -195,6 +199,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     mixed = again.where("mixed")
     kinds = materialize(mixed.groupBy("gram", "run").agg(F.count("*").alias("c"), F.min(F.struct("row", "lo", "n")).alias("one")), "kinds")
+    release(spark)
     ask = kinds.where("c = 1").select("gram").distinct()
     asked = kinds.join(ask, "gram").select("one.*", "gram", F.expr("c = 1").alias("alone"))
     asked = asked.groupBy("row").agg(F.collect_list(F.struct("lo", "n", "gram", "alone")).alias("asked"))
@@ -204,7 +209,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     whole = again.where("NOT mixed").select("row", "lo", "n").unionAll(mixed.join(kinds.where("c > 1").select("gram", "run"), ["gram", "run"]).select("row", "lo", "n"))
     spans = materialize(whole.unionAll(single).groupBy("row").agg(F.collect_list(F.struct("lo", "n")).alias("spans")), "spans")
-    for t in (again, kinds, positions):
+    for t in (again, kinds):
         drop_table(t)
     release(spark)
     out = rows.join(spans, "row", "left").select("doc_id", "bytes", "spans")
