@@ -43,11 +43,9 @@ def shingle_digests(words: list[bytes], n: int) -> bytes:
     return b"".join([digest(b" ".join(s), seed) for s in zip(*parts)])
 
 
-def fingerprint(words: list[bytes], n: int, width: int = 1) -> np.ndarray:
-    """``width`` unsigned 64-bit words of the fingerprint."""
+def bit_counts(words: list[bytes], n: int, width: int = 1) -> tuple[np.ndarray, int]:
+    """(in how many shingles each of the 64 * width hash bits is set, shingles)."""
     h = np.frombuffer(shingle_digests(words, n), dtype=">u8")
-    if not len(h):
-        return np.zeros(width, np.uint64)
     if width > 1:
         h = h.astype(np.uint64)
         wide = np.empty((len(h), width), ">u8")
@@ -58,47 +56,72 @@ def fingerprint(words: list[bytes], n: int, width: int = 1) -> np.ndarray:
             x *= np.uint64(0xD6E8FEB86659FD93)
             wide[:, j] = x ^ (x >> np.uint64(32))
         h = wide
-    bits = np.unpackbits(h.view(np.uint8).reshape(len(h), -1), axis=1)
-    whole = len(bits) // 255
-    ones = bits[255 * whole :].sum(0, dtype=np.int64)
-    if whole:
-        ones += bits[: 255 * whole].reshape(whole, 255, -1).sum(1, dtype=np.uint8).sum(0, dtype=np.int64)
-    return np.packbits(2 * ones > len(bits)).view(">u8").astype(np.uint64)
+    ones = np.zeros(64 * width, np.int64)
+    for at in range(0, len(h), 255 * 64):  # blocks: bits take 64 times the room of hashes
+        bits = np.unpackbits(h[at : at + 255 * 64].view(np.uint8).reshape(-1, 8 * width), axis=1)
+        whole = len(bits) // 255
+        ones += bits[255 * whole :].sum(0, dtype=np.int64)
+        if whole:
+            ones += bits[: 255 * whole].reshape(whole, 255, -1).sum(1, dtype=np.uint8).sum(0, dtype=np.int64)
+    return ones, len(h)
+
+
+def _words(bits: np.ndarray) -> np.ndarray:
+    return np.packbits(bits).view(">u8").astype(np.uint64)
+
+
+def fingerprint(words: list[bytes], n: int, width: int = 1) -> np.ndarray:
+    """``width`` unsigned 64-bit words of the fingerprint."""
+    ones, total = bit_counts(words, n, width)
+    return _words(2 * ones > total)
+
 
+def weakest(ones: np.ndarray, total: int, cuts: list[tuple[int, int, int]], count: int) -> np.ndarray:
+    """Bits of each segment with the least majority, as words: only they are deleted."""
+    margin, chosen = np.abs(2 * ones - total), np.zeros(len(ones), bool)
+    for w, first, bits in cuts:
+        stop = 64 * (w + 1) - first  # bit ``first`` counts from the low end, the array from the high end
+        chosen[stop - bits + np.argsort(margin[stop - bits : stop], kind="stable")[:count]] = True
+    return _words(chosen)
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, width: int = 1) -> DataFrame:
-    """Rows (doc_id, words string, fp0, fp1, ...): the fingerprint words as signed longs; words: MD5 of the word sequence."""
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, width: int = 1, cuts: list[tuple[int, int, int]] = (), delete: int | None = None) -> DataFrame:
+    """Rows (doc_id, words, fp0, ...): fingerprint words as signed longs; words: for wide ones the MD5 of the word sequence.
+
+    With ``delete``, also lo0, ...: the bits of each segment that may be deleted.
+    """
+    low = width if delete else 0
+    names = ["doc_id", "words", *(f"fp{j}" for j in range(width)), *(f"lo{j}" for j in range(low))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            fps, marks = np.empty((len(texts), width), np.uint64), []
-            for i, t in enumerate(texts):
-                words = (t or b"").lower().split()
-                fps[i] = fingerprint(words, shingle, width)
+            fps, marks = np.empty((batch.num_rows, width + low), np.uint64), []
+            for i, t in enumerate(batch.column(1)):
+                words = (t.as_py() or b"").lower().split()
+                ones, total = bit_counts(words, shingle, width)
+                fps[i, :width] = _words(2 * ones > total)
+                if low:
+                    fps[i, width:] = weakest(ones, total, cuts, delete)
                 marks.append(hashlib.md5(b" ".join(words)).hexdigest() if width > 1 else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.string()), *(pa.array(fps[:, j].view(np.int64).copy()) for j in range(width))], names=["doc_id", "words", *(f"fp{j}" for j in range(width))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.string()), *(pa.array(fps[:, j].view(np.int64).copy()) for j in range(width + low))], names=names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, words string, " + ", ".join(f"fp{j} long" for j in range(width)))
+    return rows.mapInArrow(run, "doc_id long, words string, " + ", ".join(f"{x} long" for x in names[2:]))
 
 
-def segments(width: int, count: int) -> list[tuple[int, int, int]]:
-    """(word, first bit, bits) of ``count`` equal segments; count must be a multiple of width, or share words evenly."""
-    bits = 64 * width // count
-    if bits > 32 or 64 % bits and width == 1:
-        raise ValueError("segments take up to 32 bits and divide a word evenly")
-    out, per = [], 64 // bits
-    for j in range(count):
-        out.append((j // per, j % per * bits, bits))
-    if out[-1][0] >= width:
-        raise ValueError("the segments do not fit the fingerprint")
-    return out
+def segments(width: int, count: int, bits: int | None = None) -> list[tuple[int, int, int]]:
+    """(word, first bit, bits) of ``count`` segments, as many in each word; at most 32 bits each."""
+    per, left = divmod(count, width)
+    if left or not per or 64 // per > 32 or (bits or 1) > 64 // per:
+        raise ValueError("each word takes two or more segments, the same number in every word")
+    return [(w, 64 // per * i, bits or 64 // per) for w in range(width) for i in range(per)]
 
 
 def variants(nodes: DataFrame, cuts: list[tuple[int, int, int]]) -> DataFrame:
     """Rows (key, node): every segment with each of its bits deleted in turn."""
-    parts = [f"transform(sequence(0L, {bits - 1}L), b -> (shiftrightunsigned(fp{w}, {first}) & {(1 << bits) - 1}L & ~shiftleft(1L, int(b))) | shiftleft(b, 32) | {s << 40}L)" for s, (w, first, bits) in enumerate(cuts)]
+    low = "lo0" in nodes.columns
+    chosen = [f"filter(sequence(0L, {bits - 1}L), b -> shiftrightunsigned(lo{w}, int(b) + {first}) & 1L = 1L)" if low else f"sequence(0L, {bits - 1}L)" for w, first, bits in cuts]
+    parts = [f"transform({chosen[s]}, b -> (shiftrightunsigned(fp{w}, {first}) & {(1 << bits) - 1}L & ~shiftleft(1L, int(b))) | shiftleft(b, 32) | {s << 40}L)" for s, (w, first, bits) in enumerate(cuts)]
     return nodes.select("node", F.explode(F.expr(f"flatten(array({', '.join(parts)}))")).alias("key"))
 
 
@@ -134,24 +157,28 @@ def links(nodes: DataFrame, width: int, cuts: list[tuple[int, int, int]], max_di
     return found
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, width: int = 1, cut_into: int = 2, max_diff: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, width: int = 1, cut_into: int = 2, max_diff: int = 2, bits: int | None = None, delete: int | None = None) -> DataFrame:
     """Rows (doc_id, fingerprint hex string, component_id): component_id is the smallest doc_id reachable by links.
 
     With ``cut_into`` segments every pair within ``2 * cut_into - 1`` differing bits meets for sure.  A wide
-    fingerprint (``width`` words) with a larger ``max_diff`` estimates similarity: 384 bits, 58 of them differing, is a
-    cosine of 0.89 and so a Jaccard similarity of 0.8 of equally large shingle sets; pairs beyond the sure distance
-    then meet with the probability that one of the segments differs by at most one bit.
+    fingerprint (``width`` words) with a larger ``max_diff`` estimates similarity: a share of 0.1515 differing bits is a
+    cosine of 0.89 and so a Jaccard similarity of 0.8 of equally large shingle sets.  Beyond the sure distance a pair
+    meets with the probability that one segment differs by at most one bit; ``bits`` shortens segments, and ``delete``
+    deletes only so many bits of each, those with the least majority, where near copies differ.
     """
     spark = docs.sparkSession
     fps = [f"fp{j}" for j in range(width)]
     same = ["words", *fps] if width > 1 else fps
-    rows = materialize(fingerprints(docs, id_col, text_col, shingle, width), "fingerprints")
-    nodes = materialize(rows.groupBy(*same).agg(F.min("doc_id").alias("node")), "nodes")
-    known = nodes.where("node IS NOT NULL").select("node", *fps)
-    linked = components(links(known, width, segments(width, cut_into), max_diff), "a", "b")
+    lows = [f"lo{j}" for j in range(width)] if delete else []
+    cuts = segments(width, cut_into, bits)
+    rows = materialize(fingerprints(docs, id_col, text_col, shingle, width, cuts, delete), "fingerprints")
+    nodes = rows.groupBy(*same, *lows).agg(F.min("doc_id").alias("node"))
+    nodes = materialize(nodes, "nodes")
+    known = nodes.where("node IS NOT NULL").select("node", *fps, *lows).repartition(-(-nodes.count() // 8000) or 1)
+    linked = components(links(known, width, cuts, max_diff), "a", "b")
     release(spark)
     placed = nodes.join(linked, "node", "left").select(*same, F.coalesce("component", "node").alias("component_id"))
-    met = rows.join(placed, same)
+    met = rows.join(placed, same) if width == 1 else rows.drop(*fps).join(placed, "words")
     return met.select("doc_id", F.lower(F.concat(*(F.lpad(F.hex(c), 16, "0") for c in fps))).alias("fingerprint"), "component_id")
 
 

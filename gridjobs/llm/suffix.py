@@ -161,7 +161,7 @@ def prefix_doubling(positions: DataFrame) -> DataFrame:
     return ranked
 
 
-def _kept(rows: DataFrame, length: int, schema: str) -> DataFrame:
+def _kept(rows: DataFrame, length: int, as_text: bool, schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, spans, removed, kept = batch.column("bytes").to_pylist(), batch.column("spans"), [], []
@@ -180,16 +180,21 @@ def _kept(rows: DataFrame, length: int, schema: str) -> DataFrame:
                 removed.append([{"start": a, "stop": b} for a, b in zip(lo.tolist(), hi.tolist())])
                 kept.append(b"".join(text[a:b] for a, b in zip([0, *hi.tolist()], [*lo.tolist(), len(text)])))
             cols = [batch.column(i) for i, c in enumerate(batch.schema.names) if c not in ("bytes", "spans")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([len(t) for t in texts], pa.int64()), pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(kept, pa.binary())], names=[*(c for c in batch.schema.names if c not in ("bytes", "spans")), "n_bytes", "removed", "kept"])
+            rest = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([len(t) for t in texts], pa.int64()), pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), rest], names=[*(c for c in batch.schema.names if c not in ("bytes", "spans")), "n_bytes", "removed", "kept"])
 
     return rows.mapInArrow(run, schema)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = 300, start: int = 100) -> DataFrame:
-    """Rows (doc_id, n_bytes, removed array of byte spans, kept binary), one for each row of ``docs``."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = 300, start: int = 100, keep: list[str] = (), as_text: bool = False) -> DataFrame:
+    """Rows (doc_id, n_bytes, removed array of byte spans, kept binary), one for each row of ``docs``.
+
+    ``keep`` names further columns to carry along; ``as_text`` returns kept as a string, without the bytes of characters
+    that a span cuts through.
+    """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), text).alias("row"), text.cast("binary").alias("bytes"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), text).alias("row"), text.cast("binary").alias("bytes"), *(F.col(c).alias(f"kept_{c}") for c in keep))
 
     runs = materialize(_runs(rows.where(F.length("bytes") >= length).select("row", "bytes"), length, gram), "runs")
     grams = materialize(runs.groupBy("gram").agg(F.count("*").alias("c"), F.min("run").alias("a"), F.max("run").alias("b")).where("c > 1").select("gram", F.expr("a <> b").alias("mixed")), "grams")
@@ -212,9 +217,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     for t in (again, kinds):
         drop_table(t)
     release(spark)
-    out = rows.join(spans, "row", "left").select("doc_id", "bytes", "spans")
-    kind = dict(out.dtypes)["doc_id"]
-    return _kept(out, length, f"doc_id {kind}, n_bytes long, removed array<struct<start: long, stop: long>>, kept binary")
+    carried = [f"kept_{c}" for c in keep]
+    out = rows.join(spans, "row", "left").select("doc_id", *carried, "bytes", "spans")
+    kinds = dict(out.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in ["doc_id", *carried])
+    out = _kept(out, length, as_text, f"{schema}, n_bytes long, removed array<struct<start: long, stop: long>>, kept {'string' if as_text else 'binary'}")
+    return out.select("doc_id", "n_bytes", "removed", "kept", *(F.col(f"kept_{c}").alias(c) for c in keep))
 
 
 def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
