@@ -17,7 +17,8 @@ in every shuffle that groups, and the joins have a unique small side, so that Sp
 
 Nulls: a null text is empty and keeps an empty text; a null id is kept.  Rows that are repeated (same id and text) are
 two documents, so passages of ``length`` bytes or more in them are removed.  Texts shorter than ``length`` stay whole.
-Matches never cross documents.  Memory in a task follows the longest single text, worked on in blocks.
+Matches never cross documents.  Texts are hashed in
+blocks of ``block`` windows; memory in a task follows the longest single text.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import drop_table, load, materialize, release
 
-_BLOCK = 1 << 20
+BLOCK = 1 << 20
 
 
 class _Rolling:
@@ -89,18 +90,18 @@ def window_runs(t: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]
     return lo, n, _first.at(s1, at, gram), run
 
 
-def _blocks(text: bytes | None, length: int) -> Iterator[tuple[int, np.ndarray]]:
+def _blocks(text: bytes | None, length: int, block: int) -> Iterator[tuple[int, np.ndarray]]:
     t = np.frombuffer(text or b"", np.uint8)
-    for base in range(0, max(0, len(t) - length + 1), _BLOCK):
-        yield base, t[base : base + _BLOCK + length - 1]
+    for base in range(0, max(0, len(t) - length + 1), block):
+        yield base, t[base : base + block + length - 1]
 
 
-def _runs(rows: DataFrame, length: int, gram: int) -> DataFrame:
+def _runs(rows: DataFrame, length: int, gram: int, block: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, found = batch.column(0).to_numpy(), []
             for i, text in enumerate(batch.column(1)):
-                for base, t in _blocks(text.as_py(), length):
+                for base, t in _blocks(text.as_py(), length, block):
                     lo, n, k, s = window_runs(t, length, gram)
                     found.append((np.full(len(lo), keys[i]), lo + base, n.astype(np.int32), k.view(np.int64), s.view(np.int64)))
             if found:
@@ -109,7 +110,7 @@ def _runs(rows: DataFrame, length: int, gram: int) -> DataFrame:
     return rows.mapInArrow(run, "row long, lo long, n int, gram long, run long")
 
 
-def _positions(rows: DataFrame, length: int, start: int) -> DataFrame:
+def _positions(rows: DataFrame, length: int, start: int, block: int) -> DataFrame:
     """A row for each window asked for: its gram's group, the name of its first ``start`` bytes and of the pieces after."""
     sizes = [start]
     while sum(sizes) < length:
@@ -124,8 +125,8 @@ def _positions(rows: DataFrame, length: int, start: int) -> DataFrame:
                 lo, n, gram, alone = (own.field(f).to_numpy(zero_copy_only=False) for f in ("lo", "n", "gram", "alone"))
                 each = np.repeat(np.arange(len(lo)), n)
                 p = lo[each] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
-                for base, t in _blocks(text.as_py(), length):
-                    here = np.flatnonzero((p >= base) & (p < base + _BLOCK))
+                for base, t in _blocks(text.as_py(), length, block):
+                    here = np.flatnonzero((p >= base) & (p < base + block))
                     if not len(here):
                         continue
                     sums, q, out = _second.sums(t), p[here] - base, []
@@ -186,7 +187,7 @@ def _kept(rows: DataFrame, length: int, as_text: bool, schema: str) -> DataFrame
     return rows.mapInArrow(run, schema)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = 300, start: int = 100, keep: list[str] = (), as_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = 300, start: int = 100, keep: list[str] = (), as_text: bool = False, block: int = BLOCK) -> DataFrame:
     """Rows (doc_id, n_bytes, removed array of byte spans, kept binary), one for each row of ``docs``.
 
     ``keep`` names further columns to carry along; ``as_text`` returns kept as a string, without the bytes of characters
@@ -196,7 +197,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), text).alias("row"), text.cast("binary").alias("bytes"), *(F.col(c).alias(f"kept_{c}") for c in keep))
 
-    runs = materialize(_runs(rows.where(F.length("bytes") >= length).select("row", "bytes"), length, gram), "runs")
+    runs = materialize(_runs(rows.where(F.length("bytes") >= length).select("row", "bytes"), length, gram, block), "runs")
     grams = materialize(runs.groupBy("gram").agg(F.count("*").alias("c"), F.min("run").alias("a"), F.max("run").alias("b")).where("c > 1").select("gram", F.expr("a <> b").alias("mixed")), "grams")
     again = materialize(runs.join(grams, "gram"), "again")
     drop_table(runs)
@@ -208,7 +209,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ask = kinds.where("c = 1").select("gram").distinct()
     asked = kinds.join(ask, "gram").select("one.*", "gram", F.expr("c = 1").alias("alone"))
     asked = asked.groupBy("row").agg(F.collect_list(F.struct("lo", "n", "gram", "alone")).alias("asked"))
-    positions = materialize(_positions(rows.select("row", "bytes").join(asked, "row"), length, start), "positions")
+    positions = materialize(_positions(rows.select("row", "bytes").join(asked, "row"), length, start, block), "positions")
     release(spark)
     single = prefix_doubling(positions).where("alone").select("row", F.col("p").alias("lo"), F.lit(1).alias("n"))
 
