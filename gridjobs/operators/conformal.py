@@ -32,7 +32,7 @@ def apply_delta(points: DataFrame, deltas: DataFrame, key: str = "ba", clamp: bo
     BAs match in any case; BAs without a delta and deltas that are not finite change nothing.
     """
     ok = deltas.select(F.upper(key).alias("_k"), F.col("delta_mw").cast("double").alias("_d")).where("_d IS NOT NULL AND NOT isnan(_d) AND abs(_d) < double('infinity')")
-    met = points.withColumn("_k", F.upper(key)).join(F.broadcast(ok), "_k", "left")
+    met = points.withColumn("_k", F.upper(key)).join(ok, "_k", "left")
     d = F.coalesce("_d", F.lit(0.0))
     lo, hi = F.col("q_lo") - d, F.col("q_hi") + d
     if clamp:

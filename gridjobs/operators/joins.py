@@ -22,7 +22,7 @@ def gen_pivot(load: DataFrame, gen: DataFrame, fuels: tuple[str, ...] = ("WND",
     """Add a column for each fuel: mean of duplicate rows, null where the hour lacks it, 0 where the BA never has it."""
     wide = gen.where(F.col("fuel").isin(*fuels)).groupBy("ba", "ts_utc").pivot("fuel", list(fuels)).agg(F.avg("gen_mw"))
     known = gen.where(F.col("fuel").isin(*fuels)).groupBy("ba").agg(*(F.max(F.when(F.col("fuel") == f, True)).alias(f"has_{f}") for f in fuels))
-    out = load.join(wide, ["ba", "ts_utc"], "left").join(F.broadcast(known), "ba", "left")
+    out = load.join(wide, ["ba", "ts_utc"], "left").join(known, "ba", "left")
     return out.select(*load.columns, *(F.when(F.col(f"has_{f}"), F.col(f)).otherwise(0.0).alias(f) for f in fuels))
 
 
@@ -66,7 +66,7 @@ def overlay(actual: DataFrame, forecast: DataFrame, operator: DataFrame) -> Data
     that the lines meet; the operator's forecast is attached to rows that exist.
     """
     start = forecast.groupBy("ba").agg(F.min("ts_utc").alias("_start"))
-    acts = actual.groupBy("ba", "ts_utc").agg(F.max("load_mw").alias("load")).join(F.broadcast(start), "ba", "left").where("_start IS NULL OR ts_utc < _start")
+    acts = actual.groupBy("ba", "ts_utc").agg(F.max("load_mw").alias("load")).join(start, "ba", "left").where("_start IS NULL OR ts_utc < _start")
     last = F.row_number().over(Window.partitionBy("ba").orderBy(F.desc("ts_utc"))) == 1
     bridge = F.when(last, F.col("load"))
     acts = acts.select("ba", "ts_utc", "load", bridge.alias("lo"), bridge.alias("median"), bridge.alias("hi"))
@@ -122,7 +122,7 @@ def future_covariate(indexed: DataFrame, origins: DataFrame, horizon: int, polic
         at = F.greatest(F.lit(0), F.col("origin") - 1)
     elif policy == "lag24":
         sizes = indexed.groupBy("ba").agg((F.max("idx") + 1).alias("_n"))
-        spread = spread.join(F.broadcast(sizes), "ba")
+        spread = spread.join(sizes, "ba")
         at = lag_position(F.col("origin"), F.col("step"), F.col("_n"))
     elif policy in ("known", "oracle", "forecast", "fcst_extra"):
         at = F.col("idx")

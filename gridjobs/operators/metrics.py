@@ -22,7 +22,7 @@ def point_metrics(scored: DataFrame, denom: DataFrame, key: str = "ba") -> DataF
     """Rows (ba, mae, rmse, mase, n_points, n_windows)."""
     err = F.abs(F.col("y") - F.col("mean"))
     per = scored.where("y IS NOT NULL").groupBy(key).agg(F.avg(err).alias("mae"), F.sqrt(F.avg(err * err)).alias("rmse"), F.count("*").alias("n_points"), F.countDistinct("origin").alias("n_windows"))
-    return per.join(F.broadcast(denom), key).select(key, "mae", "rmse", (F.col("mae") / F.col("denom")).alias("mase"), "n_points", "n_windows")
+    return per.join(denom, key).select(key, "mae", "rmse", F.try_divide("mae", "denom").alias("mase"), "n_points", "n_windows")
 
 
 def crps(scored: DataFrame, taus: tuple[float, ...] = (0.1, 0.5, 0.9), columns: tuple[str, ...] = ("q_lo", "q_mid", "q_hi"), key: str = "ba") -> DataFrame:
@@ -45,7 +45,7 @@ def error_scores(pairs: DataFrame, denom: DataFrame | None = None, key: str = "b
     """Rows (ba, n, mae, rmse, mape, bias[, mase]) of (actual, forecast) pairs; MAPE's denominator is at least 1."""
     err = F.col("forecast") - F.col("actual")
     out = pairs.where("actual IS NOT NULL AND forecast IS NOT NULL").groupBy(key).agg(F.count("*").alias("n"), F.avg(F.abs(err)).alias("mae"), F.sqrt(F.avg(err * err)).alias("rmse"), (100 * F.avg(F.abs(err) / F.greatest(F.col("actual"), F.lit(1.0)))).alias("mape"), F.avg(err).alias("bias"))
-    return out.join(F.broadcast(denom), key, "left").withColumn("mase", F.col("mae") / F.col("denom")).drop("denom") if denom is not None else out
+    return out.join(denom, key, "left").withColumn("mase", F.try_divide("mae", "denom")).drop("denom") if denom is not None else out
 
 
 def week_mape(pairs: DataFrame, key: str = "ba", ts: str = "ts_utc") -> DataFrame:
@@ -67,15 +67,15 @@ def holdout_flags(codes: DataFrame, fraction: float = 0.2, key: str = "ba") -> D
 
 
 def holdout_gap(per_series: DataFrame, metric: str = "mase", fraction: float = 0.2, key: str = "ba") -> DataFrame:
-    met = per_series.join(F.broadcast(holdout_flags(per_series, fraction, key)), key)
+    met = per_series.join(holdout_flags(per_series, fraction, key), key)
     tuned, held = F.avg(F.when(~F.col("holdout"), F.col(metric))), F.avg(F.when(F.col("holdout"), F.col(metric)))
     return met.agg(tuned.alias("tuned"), held.alias("holdout")).withColumn("gap", F.col("holdout") - F.col("tuned"))
 
 
 def step_mase(scored: DataFrame, denom: DataFrame, key: str = "ba") -> DataFrame:
     """Rows (step, mase): per series mean absolute error of the step over its denominator, then the mean over series."""
-    per = scored.where("y IS NOT NULL").groupBy(key, "step").agg(F.avg(F.abs(F.col("y") - F.col("mean"))).alias("mae")).join(F.broadcast(denom), key)
-    return per.groupBy("step").agg(F.avg(F.col("mae") / F.col("denom")).alias("mase"))
+    per = scored.where("y IS NOT NULL").groupBy(key, "step").agg(F.avg(F.abs(F.col("y") - F.col("mean"))).alias("mae")).join(denom, key)
+    return per.groupBy("step").agg(F.avg(F.try_divide("mae", "denom")).alias("mase"))
 
 
 def break_even(by_step: DataFrame, level: float = 1.0) -> DataFrame:
@@ -85,13 +85,13 @@ def break_even(by_step: DataFrame, level: float = 1.0) -> DataFrame:
 def skill(own: DataFrame, baseline: DataFrame, metric: str = "mae", key: str = "ba") -> DataFrame:
     """Rows (ba, own, baseline, ratio, improvement_pct)."""
     met = own.select(key, F.col(metric).alias("own")).join(baseline.select(key, F.col(metric).alias("baseline")), key)
-    return met.withColumn("ratio", F.col("baseline") / F.col("own")).withColumn("improvement_pct", 100 * (1 - F.col("own") / F.col("baseline")))
+    return met.withColumn("ratio", F.try_divide("baseline", "own")).withColumn("improvement_pct", 100 * (1 - F.try_divide("own", "baseline")))
 
 
 def window_errors(scored: DataFrame, denom: DataFrame, key: str = "ba") -> DataFrame:
     """Rows (ba, origin, err): MASE of each window over its valid points."""
     per = scored.where("y IS NOT NULL").groupBy(key, "origin").agg(F.avg(F.abs(F.col("y") - F.col("mean"))).alias("mae"))
-    return per.join(F.broadcast(denom), key).select(key, "origin", (F.col("mae") / F.col("denom")).alias("err"))
+    return per.join(denom, key).select(key, "origin", F.try_divide("mae", "denom").alias("err"))
 
 
 def bootstrap_ci(errors: DataFrame, replicates: int = 2000, seed: int = 0, level: float = 0.95, max_pool: int = 5_000_000) -> DataFrame:
@@ -130,7 +130,7 @@ def _interval(means: DataFrame, level: float) -> DataFrame:
 def weather_skill(pairs: DataFrame, key: str = "ba") -> DataFrame:
     """Rows (ba, mae, rmse, corr, bias) of temp_c_fcst against temp_c_anal."""
     err = F.col("temp_c_fcst") - F.col("temp_c_anal")
-    return pairs.where("temp_c_fcst IS NOT NULL AND temp_c_anal IS NOT NULL").groupBy(key).agg(F.avg(F.abs(err)).alias("mae"), F.sqrt(F.avg(err * err)).alias("rmse"), F.corr("temp_c_fcst", "temp_c_anal").alias("corr"), F.avg(err).alias("bias"))
+    return pairs.where("temp_c_fcst IS NOT NULL AND temp_c_anal IS NOT NULL").groupBy(key).agg(F.avg(F.abs(err)).alias("mae"), F.sqrt(F.avg(err * err)).alias("rmse"), F.try_divide(F.covar_pop("temp_c_fcst", "temp_c_anal"), F.stddev_pop("temp_c_fcst") * F.stddev_pop("temp_c_anal")).alias("corr"), F.avg(err).alias("bias"))
 
 
 def forecast_stats(points: DataFrame, horizon: int = 24, key: str = "ba") -> DataFrame:
@@ -141,13 +141,13 @@ def forecast_stats(points: DataFrame, horizon: int = 24, key: str = "ba") -> Dat
     inside = F.col("step") < horizon
     top = Window.partitionBy(key).orderBy(F.desc(F.when(inside, F.col("median"))), "step")
     placed = points.withColumn("_n", F.row_number().over(top))
-    out = placed.groupBy(key).agg(F.max(F.when(inside, F.col("median"))).alias("peak"), F.max(F.when(F.col("_n") == 1, F.col("step"))).alias("peak_step"), F.avg(F.when(inside, F.col("median"))).alias("mean"), F.max(F.when(F.col("step") == 0, 100 * (F.col("hi") - F.col("lo")) / F.col("median"))).alias("pi_pct_first"), F.max("median").alias("peak_all"))
-    return out.withColumn("peak_over_mean_pct", 100 * (F.col("peak") / F.col("mean") - 1))
+    out = placed.groupBy(key).agg(F.max(F.when(inside, F.col("median"))).alias("peak"), F.max(F.when(F.col("_n") == 1, F.col("step"))).alias("peak_step"), F.avg(F.when(inside, F.col("median"))).alias("mean"), F.max(F.when(F.col("step") == 0, F.try_divide(100 * (F.col("hi") - F.col("lo")), F.col("median")))).alias("pi_pct_first"), F.max("median").alias("peak_all"))
+    return out.withColumn("peak_over_mean_pct", 100 * (F.try_divide("peak", "mean") - 1))
 
 
 def peak_utilisation(points: DataFrame, peaks: DataFrame, horizon: int = 24, key: str = "ba") -> DataFrame:
     """Rows (ba, utilisation, status): greatest median of the first steps in percent of the peak (0 without one)."""
-    top = points.where(F.col("step") < horizon).groupBy(key).agg(F.max("median").alias("top")).join(F.broadcast(peaks), key, "left")
+    top = points.where(F.col("step") < horizon).groupBy(key).agg(F.max("median").alias("top")).join(peaks, key, "left")
     used = F.when(F.coalesce("peak_mw", F.lit(0)) > 0, 100 * F.col("top") / F.col("peak_mw")).otherwise(0.0)
     return top.select(key, used.alias("utilisation")).withColumn("status", F.when(F.col("utilisation") >= 85, "near-peak").when(F.col("utilisation") >= 55, "moderate").otherwise("low"))
 

@@ -15,8 +15,8 @@ def peer_correlation(filled: DataFrame, train_end: str, value: str = "load_mw")
     the same as filling each pair.
     """
     pairs = peer_pairs(filled.where(F.col("ts_utc") < F.lit(train_end).cast("timestamp")), value)
-    r = pairs.groupBy("ba", "peer").agg(F.corr("y", "x").alias("r"), F.stddev_pop("y").alias("sy"), F.stddev_pop("x").alias("sx"))
-    return r.where("sy > 0 AND sx > 0 AND r IS NOT NULL AND NOT isnan(r)").select("ba", "peer", "r")
+    m = pairs.groupBy("ba", "peer").agg(F.covar_pop("y", "x").alias("c"), (F.stddev_pop("y") * F.stddev_pop("x")).alias("s"))
+    return m.withColumn("r", F.try_divide("c", "s")).where("r IS NOT NULL AND NOT isnan(r)").select("ba", "peer", "r")
 
 
 def top_peers(correlations: DataFrame, k: int = 8) -> DataFrame:
@@ -28,7 +28,7 @@ def top_peers(correlations: DataFrame, k: int = 8) -> DataFrame:
 def peer_channels(filled: DataFrame, peers: DataFrame, k: int = 8, value: str = "load_mw") -> DataFrame:
     """Add nbr1..nbrk to each row: the peers' values at the same timestamp, carried forward, 0 where there is none."""
     side = filled.select(F.col("ba").alias("peer"), "ts_utc", F.col(value).alias("x"))
-    wanted = side.join(F.broadcast(peers.select("ba", "peer", "rank")), "peer")
+    wanted = side.join(peers.select("ba", "peer", "rank"), "peer")
     wide = wanted.groupBy("ba", "ts_utc").pivot("rank", list(range(1, k + 1))).agg(F.first("x"))
     met = filled.join(wide, ["ba", "ts_utc"], "left")
     w = Window.partitionBy("ba").orderBy("ts_utc").rowsBetween(Window.unboundedPreceding, 0)

@@ -85,7 +85,7 @@ def inner_split(meta: DataFrame, from_forecast: bool, validation: int = 8760) ->
 def mase_denominator(indexed: DataFrame, meta: DataFrame, value: str = "load_mw", key: str = "ba", lag: int = 24) -> DataFrame:
     """Rows (ba, denom): mean absolute positional seasonal difference on the training rows of a filled series."""
     diff = F.abs(F.col(value) - F.lag(value, lag).over(Window.partitionBy(key).orderBy("idx")))
-    return indexed.withColumn("_d", diff).join(F.broadcast(meta.select(key, "train_end")), key).where("idx < train_end").groupBy(key).agg(F.avg("_d").alias("denom"))
+    return indexed.withColumn("_d", diff).join(meta.select(key, "train_end"), key).where("idx < train_end").groupBy(key).agg(F.avg("_d").alias("denom"))
 
 
 def mase_denominator_dropna(rows: DataFrame, train_end: str, value: str = "load_mw", key: str = "ba", ts: str = "ts_utc", lag: int = 24) -> DataFrame:
@@ -126,7 +126,7 @@ def context_rows(indexed: DataFrame, origins: DataFrame, context: int, value: st
 
 def training_pairs(indexed: DataFrame, meta: DataFrame, context: int, horizon: int, stride: int, value: str = "load_mw", key: str = "ba") -> DataFrame:
     """Rows (ba, idx, context array, target array) over the training rows, every ``stride`` positions."""
-    train = indexed.join(F.broadcast(meta.select(key, "train_end")), key).where("idx < train_end")
+    train = indexed.join(meta.select(key, "train_end"), key).where("idx < train_end")
     w = Window.partitionBy(key).orderBy("idx")
     pairs = train.select(key, "idx", F.collect_list(value).over(w.rowsBetween(-context, -1)).alias("context"), F.collect_list(value).over(w.rowsBetween(0, horizon - 1)).alias("target"))
     return pairs.where((F.size("context") == context) & (F.size("target") == horizon) & (F.pmod(F.col("idx") - context, F.lit(stride)) == 0))
@@ -173,7 +173,7 @@ def peak_week(indexed: DataFrame, meta: DataFrame, anchor: str, floor_ba: str |
     Weeks in which any series is short or flat for ``run`` hours, or in which ``floor_ba`` falls below ``floor``, are out;
     of equal peaks the first week wins.
     """
-    test = indexed.join(F.broadcast(meta.select(key, F.col("val_end").alias("_v"), F.col("n").alias("_n"))), key).where("idx >= _v").withColumn("rel", F.col("idx") - F.col("_v"))
+    test = indexed.join(meta.select(key, F.col("val_end").alias("_v"), F.col("n").alias("_n")), key).where("idx >= _v").withColumn("rel", F.col("idx") - F.col("_v"))
     weeks = test.withColumn("week", F.explode(F.expr(f"sequence(greatest(0, cast(ceil((rel - {hours - 1}) / 24) as int)), cast(rel div 24 as int))"))).withColumn("start", F.col("week") * 24)
     weeks = weeks.where("rel >= start AND rel < start + " + str(hours))
     size = meta.where(F.col(key) == anchor).select((F.col("n") - F.col("val_end")).alias("_len"))

@@ -215,7 +215,7 @@ def oracle_sql() -> dict[str, str]:
         "agg_mase_denominator_dropna": sql("SELECT ba, round(avg(abs(d)), 7) AS denom FROM (SELECT ba, load_mw - lag(load_mw, 24) OVER (PARTITION BY ba ORDER BY ts_utc) AS d FROM C WHERE load_mw IS NOT NULL AND ts_utc < TIMESTAMP '2024-01-21') GROUP BY 1"),
         "agg_robust_mad": sql("SELECT S.ba, round(any_value(m), 7) AS med, round(median(abs(load_mw - m)), 7) AS mad FROM S JOIN (SELECT ba, median(load_mw) AS m FROM S GROUP BY 1) x USING (ba) GROUP BY 1"),
         "agg_point_metrics": sql(f"SELECT ba, {r('mae')}, {r('rmse')}, {r('mase')}, n_points, n_windows FROM PM"),
-        "agg_crps": sql("SELECT ba, round((avg(CASE WHEN y >= q_lo THEN 0.1 * (y - q_lo) ELSE 0.9 * (q_lo - y) END) + avg(0.5 * abs(y - q_mid)) + avg(CASE WHEN y >= q_hi THEN 0.9 * (y - q_hi) ELSE 0.1 * (q_hi - y) END)) / 3, 7) AS crps FROM SC GROUP BY 1"),
+        "agg_crps": sql("SELECT ba, round((avg(CASE WHEN y >= q_lo THEN 0.1 * (y - q_lo) ELSE 0.9 * (q_lo - y) END) + avg(0.5 * abs(y - q_mid)) + avg(CASE WHEN y >= q_hi THEN 0.9 * (y - q_hi) ELSE 0.1 * (q_hi - y) END)) / 3, 10) AS crps FROM SC GROUP BY 1"),
         "agg_pi_coverage": sql("SELECT ba, round(avg(CASE WHEN y >= q_lo AND y <= q_hi THEN 1.0::DOUBLE ELSE 0.0 END), 7) AS coverage FROM SC GROUP BY 1"),
         "agg_error_scores": sql("SELECT L.ba, count(*) AS n, round(avg(abs(forecast_mw - load_mw)), 7) AS mae, round(sqrt(avg((forecast_mw - load_mw) ** 2)), 7) AS rmse, round(100 * avg(abs(forecast_mw - load_mw) / greatest(load_mw, 1.0)), 7) AS mape, round(avg(forecast_mw - load_mw), 7) AS bias, round(avg(abs(forecast_mw - load_mw)) / any_value(denom), 7) AS mase FROM L JOIN OP ON L.ba = OP.ba AND L.ts_utc = OP.ts_utc LEFT JOIN DN ON DN.ba = L.ba GROUP BY 1"),
         "agg_week_mape": sql("SELECT ba, round(100 * avg(abs(f - a) / CASE WHEN a > 0 THEN a ELSE 1.0 END), 7) AS mape, round(max(CASE WHEN k = 1 THEN f - a END), 7) AS peak_error FROM (SELECT L.ba, load_mw - 150 AS a, forecast_mw AS f, row_number() OVER (PARTITION BY L.ba ORDER BY load_mw - 150 DESC, L.ts_utc) AS k FROM L JOIN OP ON L.ba = OP.ba AND L.ts_utc = OP.ts_utc) GROUP BY 1"),
@@ -283,7 +283,7 @@ def oracle_sql() -> dict[str, str]:
             f"SELECT ba, {r('mae')}, {r('rmse')}, {r('mase')}, n_points, n_windows FROM P20 UNION ALL SELECT 'MACRO', round(avg(mae), 7), round(avg(rmse), 7), round(avg(mase), 7), CAST(sum(n_points) AS BIGINT), CAST(sum(n_windows) AS BIGINT) FROM P20",
             P20="SELECT ba, avg(abs(y - mean)) AS mae, sqrt(avg((y - mean) ** 2)) AS rmse, avg(abs(y - mean)) / any_value(denom) AS mase, count(*) AS n_points, count(DISTINCT origin) AS n_windows FROM SC20 JOIN DE20 USING (ba) GROUP BY 1",
         ),
-        "job_ensemble": sql("SELECT ba, round(avg(abs(y - m)), 7) AS mae, round(sqrt(avg((y - m) ** 2)), 7) AS rmse, round(avg(abs(y - m)) / any_value(denom), 7) AS mase, count(*) AS n_points, count(DISTINCT origin) AS n_windows FROM (SELECT ba, origin, step, any_value(y) AS y, avg(mean) AS m FROM (SELECT ba, origin, step, y, mean FROM SC UNION ALL SELECT ba, origin, step, y, mean FROM PE) GROUP BY 1, 2, 3) JOIN DE USING (ba) GROUP BY 1"),
+        "job_ensemble": sql("SELECT ba, round(avg(abs(y - m)), 10) AS mae, round(sqrt(avg((y - m) ** 2)), 10) AS rmse, round(avg(abs(y - m)) / any_value(denom), 10) AS mase, count(*) AS n_points, count(DISTINCT origin) AS n_windows FROM (SELECT ba, origin, step, any_value(y) AS y, avg(mean) AS m FROM (SELECT ba, origin, step, y, mean FROM SC UNION ALL SELECT ba, origin, step, y, mean FROM PE) GROUP BY 1, 2, 3) JOIN DE USING (ba) GROUP BY 1"),
         "job_causal_audit": sql(
             "SELECT ba, origin, covariate, problem FROM AO CROSS JOIN (VALUES ('load_mw', 'leak'), ('hour_sin', 'missing')) v(covariate, problem)",
             AO="SELECT DISTINCT ba, lo + ((hi - lo) * i) // 3 AS origin FROM (SELECT ba, CASE WHEN test_end - val_end >= 24 THEN val_end ELSE train_end END AS lo, CASE WHEN test_end - val_end >= 24 THEN test_end ELSE val_end END - 24 AS hi FROM ME) CROSS JOIN (SELECT unnest([0, 1, 2]) AS i) WHERE hi >= lo",

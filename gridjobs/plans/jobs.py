@@ -64,7 +64,7 @@ def operator_comparison(actual: DataFrame, own: DataFrame, operator: DataFrame,
     shared = a.select("ba", "ts_utc").join(b.select("ba", "ts_utc"), ["ba", "ts_utc"])
     x = metrics.error_scores(a.join(shared, ["ba", "ts_utc"], "left_semi"), denom).select("ba", "n", F.col("mae").alias("mae_own"), F.col("mase").alias("mase_own"))
     y = metrics.error_scores(b.join(shared, ["ba", "ts_utc"], "left_semi"), denom).select("ba", F.col("mae").alias("mae_op"), F.col("mase").alias("mase_op"))
-    return x.join(y, "ba").withColumn("mae_ratio", F.col("mae_op") / F.col("mae_own"))
+    return x.join(y, "ba").withColumn("mae_ratio", F.try_divide("mae_op", "mae_own"))
 
 
 def conformal_fit(scored: DataFrame, coverage: float = 0.8) -> DataFrame:
@@ -78,7 +78,7 @@ def serve_batch(indexed: DataFrame, holidays: DataFrame, weather: DataFrame, con
     Weather is used only when it covers the whole horizon; it is null otherwise, never a flat value.
     """
     enough = indexed.groupBy("ba").agg(F.count("*").alias("_n")).where(F.col("_n") >= context).select("ba")
-    hours = series.next_hours(indexed.join(F.broadcast(enough), "ba", "left_semi"), horizon)
+    hours = series.next_hours(indexed.join(enough, "ba", "left_semi"), horizon)
     hours = hours.withColumn("step", F.row_number().over(Window.partitionBy("ba").orderBy("ts_utc")) - 1)
     met = calendar_features(hours, holidays).join(weather.select("ba", "ts_utc", "temp_c"), ["ba", "ts_utc"], "left")
     covered = F.count("temp_c").over(Window.partitionBy("ba")) == horizon
@@ -146,7 +146,7 @@ def hourly_regression(features: DataFrame, ridge: float = 1.0, min_rows: int = 1
 
 def regression_features(indexed: DataFrame, meta: DataFrame, holidays: DataFrame, horizon: int = 24) -> DataFrame:
     """Features of ``hourly_regression``: test rows see the temperature of the row before their day's origin."""
-    lagged = series.seasonal_lags(calendar_features(indexed, holidays)).join(F.broadcast(meta.select("ba", "train_end", "val_end")), "ba")
+    lagged = series.seasonal_lags(calendar_features(indexed, holidays)).join(meta.select("ba", "train_end", "val_end"), "ba")
     origin = F.col("val_end") + F.floor((F.col("idx") - F.col("val_end")) / horizon) * horizon
     test = lagged.where("idx >= val_end").withColumn("_at", (origin - 1).cast("bigint")).drop("temp_c").join(indexed.select("ba", F.col("idx").cast("bigint").alias("_at"), "temp_c"), ["ba", "_at"])
     train = lagged.where("idx < train_end AND idx >= 168")

@@ -250,7 +250,7 @@ def _points(spark, d):
     """Forecast points (ba, step, ts_utc, lo, median, hi) from the last origin of each series' test span."""
     rows, _, indexed, _ = scored(spark, d)
     last = rows.groupBy("ba").agg(F.max("origin").alias("origin"))
-    own = rows.join(F.broadcast(last), ["ba", "origin"])
+    own = rows.join(last, ["ba", "origin"])
     return own.join(indexed.select("ba", "idx", "ts_utc"), ["ba", "idx"]).select("ba", "step", "ts_utc", F.col("q_lo").alias("lo"), F.col("q_mid").alias("median"), F.col("q_hi").alias("hi"))
 
 
@@ -323,7 +323,7 @@ def sane_range_filter(spark, d):
 def local_hour(spark, d):
     n = A.nations(spark, d).select(F.col("code").alias("ba"), "utc_offset")
     hours = A.load_hourly(spark, d).select("ts_utc").distinct()
-    return hours.join(F.broadcast(n)).groupBy("ba", series.local_hour("ts_utc", F.col("utc_offset")).alias("local_hour")).agg(F.count("*").alias("n"))
+    return hours.join(n).groupBy("ba", series.local_hour("ts_utc", F.col("utc_offset")).alias("local_hour")).agg(F.count("*").alias("n"))
 
 
 @query
@@ -449,8 +449,8 @@ def join_window_range(spark, d):
 def semi_holdout(spark, d):
     rows = A.load_by_user(spark, d)
     held = metrics.holdout_flags(rows, 0.2).where("holdout").select("ba")
-    inside = rows.join(F.broadcast(held), "ba", "left_semi").groupBy("ba").agg(F.count("*").alias("n")).withColumn("part", F.lit("holdout"))
-    return inside.unionByName(rows.join(F.broadcast(held), "ba", "left_anti").groupBy("ba").agg(F.count("*").alias("n")).withColumn("part", F.lit("tuned")))
+    inside = rows.join(held, "ba", "left_semi").groupBy("ba").agg(F.count("*").alias("n")).withColumn("part", F.lit("holdout"))
+    return inside.unionByName(rows.join(held, "ba", "left_anti").groupBy("ba").agg(F.count("*").alias("n")).withColumn("part", F.lit("tuned")))
 
 
 # --- aggregation ---------------------------------------------------------------------------------------------------
@@ -515,7 +515,7 @@ def agg_point_metrics(spark, d):
 
 @query
 def agg_crps(spark, d):
-    return metrics.crps(scored(spark, d)[0]).select("ba", r("crps"))
+    return metrics.crps(scored(spark, d)[0]).select("ba", F.round("crps", 10).alias("crps"))
 
 
 @query
@@ -809,7 +809,7 @@ def job_ensemble(spark, d):
     rows, denom, indexed, meta = scored(spark, d)
     other = jobs.with_band(series.with_truth(series.forecast_persistence(indexed, series.rolling_origins(meta, context=24), 24), indexed))
     mean = metrics.ensemble(rows.drop("y").unionByName(other.drop("y")))
-    return metrics.point_metrics(series.with_truth(mean, indexed), denom).select("ba", r("mae"), r("rmse"), r("mase"), "n_points", "n_windows")
+    return metrics.point_metrics(series.with_truth(mean, indexed), denom).select("ba", *(F.round(c, 10).alias(c) for c in ("mae", "rmse", "mase")), "n_points", "n_windows")
 
 
 @query

@@ -95,7 +95,8 @@ def unzip_csv(files: DataFrame) -> DataFrame:
                         if not body.strip():
                             continue
                         for part in pd.read_csv(io.BytesIO(body), dtype=str, chunksize=20_000, keep_default_na=False):
-                            yield pd.DataFrame({"path": path, "member": i.filename, "row": [json.dumps(r) for r in part.to_dict("records")]})
+                            if len(part):
+                                yield pd.DataFrame({"path": path, "member": i.filename, "row": [json.dumps(r) for r in part.to_dict("records")]})
 
     return files.select("path", "content").mapInPandas(run, "path string, member string, row string")
 

@@ -82,6 +82,6 @@ def upsert(spark: SparkSession, batch: DataFrame, path: str, to: str, schema: st
     The caller overwrites the dataset's months with them (dynamic partition overwrite needs another path to read from).
     """
     months = batch.select(F.year("ts_utc").alias("year"), F.month("ts_utc").alias("month")).distinct()
-    stored = scan(spark, path, schema).join(F.broadcast(months), ["year", "month"], "left_semi").drop("year", "month")
+    stored = scan(spark, path, schema).join(months, ["year", "month"], "left_semi").drop("year", "month")
     latest = dedupe_latest(stored.unionByName(batch, allowMissingColumns=True), list(keys), "as_of", list(ties))
     with_months(latest, "ts_utc").repartition("year", "month").write.partitionBy("year", "month").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(to)
