@@ -14,6 +14,7 @@ are packed each.  An empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
 import os
 import zlib
 from collections.abc import Iterator
@@ -26,20 +27,45 @@ from pyspark.sql import functions as F
 
 from .common import load, materialize
 
-CACHE = 300_000
+CACHE = 500_000
 _SCHEMA = "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long, part long, open boolean"
 _NAMES = [x.split()[0] for x in _SCHEMA.split(", ")]
 _ARROW = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
 
 
 class WordIds:
-    """Token ids (little-endian unsigned 32-bit) of texts, word by word, with a bounded cache."""
+    """Token ids (little-endian unsigned 32-bit) of texts, word by word, with a bounded cache.
+
+    New words are encoded many at a time, with a special token of the vocabulary between them; such a token splits the
+    text before anything else, so each word gets the ids that it has alone.  Words that hold part of one go alone.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.marks = [t.content for t in added.values()]
+        self.between = next(((i, t.content) for i, t in added.items() if t.special and not (t.normalized or t.lstrip or t.rstrip)), None)
+
+    def _alone(self, words: list[bytes]) -> None:
+        for w in words:
+            self.known[w] = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn(self, words: list[bytes]) -> None:
+        if self.between is None:
+            return self._alone(words)
+        odd = {c.encode()[:2] for c in self.marks}
+        alone = [w for w in words if any(c in w for c in odd)]
+        self._alone(alone)
+        words, (mark, text) = [w for w in words if w not in self.known], self.between
+        for i in range(0, len(words), 2048):
+            some = words[i : i + 2048]
+            (got,) = self.tokenizer.encode_batch_fast([text.join([w.decode() for w in some])], add_special_tokens=False)
+            ids = np.array(got.ids, "<u4")
+            data, stops = ids.tobytes(), [*(np.flatnonzero(ids == mark) * 4).tolist(), 4 * len(ids)]
+            self.known.update(zip(some, [data[a:b] for a, b in zip([0, *(x + 4 for x in stops)], stops)]))
 
     def encode(self, texts: list[bytes | None], end: int) -> Iterator[bytes]:
         tail = end.to_bytes(4, "little")
@@ -47,14 +73,20 @@ class WordIds:
             split = [(t or b"").split() for t in texts[at : at + 256]]
             if len(self.known) > CACHE:
                 self.known.clear()
-            new = list(set().union(*split) - self.known.keys())
-            for i in range(0, len(new), 4096):
-                some = new[i : i + 4096]
-                for word, got in zip(some, self.tokenizer.encode_batch([w.decode() for w in some], add_special_tokens=False)):
-                    self.known[word] = np.array(got.ids, "<u4").tobytes()
-            get = self.known.__getitem__
-            for words in split:
-                yield b"".join(map(get, words)) + tail
+            got = [list(map(self.known.get, words)) for words in split]
+            new = {w for words, ids in zip(split, got) if None in ids for w, x in zip(words, ids) if x is None}
+            self.learn(list(new))
+            known = self.known
+            for words, ids in zip(split, got):
+                if None in ids:
+                    ids = [known[w] if x is None else x for w, x in zip(words, ids)]
+                yield b"".join(ids) + tail
+
+
+@functools.lru_cache(maxsize=2)
+def word_ids(path: str) -> WordIds:
+    """One cache a worker process, kept from task to task."""
+    return WordIds(path)
 
 
 class Packer:
@@ -112,7 +144,7 @@ class Packer:
 
 def _first_level(docs: DataFrame, path: str, end: int, size: int, windows: int, max_gap: int, keep_ids: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, words = Packer(size, windows, max_gap, 0, TaskContext.get().partitionId(), keep_ids), WordIds(path)
+        packer, words = Packer(size, windows, max_gap, 0, TaskContext.get().partitionId(), keep_ids), word_ids(path)
         for batch in batches:
             for doc, ids in zip(batch.column(0).to_pylist(), words.encode(batch.column(1).to_pylist(), end)):
                 packer.add(doc, 0, ids, len(ids) // 4)

@@ -3,7 +3,8 @@
 A document is a bag of sentences (cut at . ! ? and line ends).  A sentence's score is a logistic function of its words'
 weights; the document's score is the noisy-or of its sentences, 1 - prod(1 - p).  Only document labels train it: the
 gradient of the document likelihood reaches each sentence in proportion to its own score, so weight gathers on the
-sentences that explain the label.  The same sentence scores then locate the offending sentences.
+sentences that explain the label.  A fifth of the sample, kept aside, calibrates the scores (Platt scaling of their
+log-odds).  The same sentence scores, calibrated alike, locate the offending sentences.
 
 A word (letters, digits, underscores; lower case) has four hashed features: itself and its first 4, 5 and 6 characters.
 Training takes at most ``max_docs`` labelled documents (half of them, at most, of each class), chosen by hash.  Scoring
@@ -43,38 +44,65 @@ def sentences(text: str | None) -> list[list[str]]:
 
 
 class NoisyOr:
-    def __init__(self, weights: np.ndarray, bias: float) -> None:
-        self.weights, self.bias, self.known = weights, bias, {}
+    """Sentence weights, and the calibration (slope, shift of log-odds) of the scores."""
+
+    def __init__(self, weights: np.ndarray, bias: float, slope: float = 1.0, shift: float = 0.0) -> None:
+        self.weights, self.bias, self.slope, self.shift, self.known = weights, bias, slope, shift, {}
 
     @classmethod
-    def fit(cls, bags: list[list[list[int]]], labels: np.ndarray, rounds: int = 120, rate: float = 0.3, shrink: float = 1e-6) -> NoisyOr:
-        """bags: for each document its sentences' feature lists."""
-        n_sent = np.array([len(b) for b in bags])
-        doc = np.repeat(np.arange(len(bags)), n_sent)
+    def fit(cls, bags: list[list[list[int]]], labels: np.ndarray, rounds: int = 120, rate: float = 0.05, shrink: float = 1.0, least: int = 3) -> NoisyOr:
+        """bags: for each document its sentences' feature lists; features of fewer than ``least`` documents are left out.
+
+        Gradient steps with momentum, each feature's scaled by a bound of its curvature, so that a rare feature does not
+        learn one document by heart.
+        """
+        y = labels.astype(float)
+        doc = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
         lists = [np.asarray(s, np.int32) for b in bags for s in b]
-        size = np.array([len(x) for x in lists], np.int64)
         flat = np.concatenate(lists) if lists else np.zeros(0, np.int32)
+        sent = np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) for x in lists])
+        pairs = np.unique(doc[sent].astype(np.int64) * BUCKETS + flat)
+        kept = (np.bincount(pairs % BUCKETS, minlength=BUCKETS) >= least)[flat]
+        flat, sent = flat[kept], sent[kept]
         used, flat = np.unique(flat, return_inverse=True)
-        sent = np.repeat(np.arange(len(lists), dtype=np.int32), size)
-        y = labels.astype(float)
-        w, bias, g2, gb2 = np.zeros(len(used)), -6.0, np.full(len(used), 1e-8), 1e-8
-        weight = np.where(y > 0, 1.0, 1.0)
+        w, v, bias, vb = np.zeros(len(used)), np.zeros(len(used)), -5.0, 0.0
         for _ in range(rounds):
             z = np.bincount(sent, w[flat], len(lists)) + bias
             p = np.clip(1 / (1 + np.exp(-np.clip(z, -30, 30))), 1e-12, 1 - 1e-9)
-            none = np.bincount(doc, np.log1p(-p), len(bags))
-            whole = np.clip(-np.expm1(none), 1e-9, 1.0)
-            g = p * (1 - y[doc] / whole[doc]) * weight[doc] / len(bags)
-            gw = np.bincount(flat, g[sent], len(used)) + shrink * w
-            g2 += gw * gw
-            w -= rate * gw / np.sqrt(g2)
-            gb = g.sum()
-            gb2 += gb * gb
-            bias -= rate * gb / math.sqrt(gb2)
+            whole = np.clip(-np.expm1(np.bincount(doc, np.log1p(-p), len(bags))), 1e-9, 1.0)
+            g = p * (1 - y[doc] / whole[doc])
+            step = (np.bincount(flat, g[sent], len(used)) + shrink * w) / (np.bincount(flat, p[sent] + 0.02, len(used)) + shrink)
+            v = 0.8 * v + step
+            w -= rate * np.clip(v, -3, 3)
+            vb = 0.8 * vb + g.sum() / (p.sum() + 1)
+            bias -= rate * vb
         weights = np.zeros(BUCKETS, np.float32)
         weights[used] = w
         return cls(weights, bias)
 
+    def calibrate(self, bags: list[list[list[int]]], labels: np.ndarray) -> NoisyOr:
+        """Platt scaling of the documents' log-odds on bags that were not fitted."""
+        z = np.array([_log_odds(self._whole([1 / (1 + math.exp(-min(700.0, max(-700.0, self.bias + float(self.weights[np.asarray(s, np.int64)].sum()))))) for s in b])) for b in bags])
+        a, c = 1.0, 0.0
+        for _ in range(25):
+            p = 1 / (1 + np.exp(-np.clip(a * z + c, -30, 30)))
+            d, k = p - labels, p * (1 - p)
+            grad = np.array([(d * z).sum() + 4 * (a - 1), d.sum()])
+            hess = np.array([[(k * z * z).sum() + 4, (k * z).sum()], [(k * z).sum(), k.sum() + 1e-3]])
+            a, c = (float(x) for x in np.array([a, c]) - np.clip(np.linalg.solve(hess, grad), -2, 2))
+        if a > 0:
+            self.slope, self.shift = a, c
+        return self
+
+    @staticmethod
+    def _whole(sentence_scores: list[float]) -> float:
+        return -math.expm1(sum(math.log1p(-min(p, 1 - 1e-12)) for p in sentence_scores))
+
+    def _scaled(self, p: float) -> float:
+        if p <= 0:
+            return 0.0
+        return 1 / (1 + math.exp(-min(700.0, max(-700.0, self.slope * _log_odds(p) + self.shift))))
+
     def word(self, w: str) -> float:
         x = float(sum(self.weights[i] for i in word_features(w)))
         if len(self.known) > CACHE:
@@ -91,16 +119,20 @@ class NoisyOr:
 
     def score(self, text: str | None, at_least: float = 0.5) -> tuple[float, list[dict]]:
         """The noisy-or of the sentences, and those whose own score is ``at_least``: number, score, text."""
-        clean, found = 0.0, []
-        lower = (text or "").lower()
-        for i, s in enumerate(_SENTENCE.split(lower)):
+        scores, found = [], []
+        for i, s in enumerate(_SENTENCE.split((text or "").lower())):
             words = _WORD.findall(s)
             if words:
-                p = self.sentence(words)
-                clean += math.log1p(-min(p, 1 - 1e-12))
-                if p >= at_least:
-                    found.append({"sentence": i, "score": p, "text": s.strip()})
-        return -math.expm1(clean), found
+                scores.append(self.sentence(words))
+                own = self._scaled(scores[-1])
+                if own >= at_least:
+                    found.append({"sentence": i, "score": own, "text": s.strip()})
+        return self._scaled(self._whole(scores)), found
+
+
+def _log_odds(p: float) -> float:
+    p = min(max(p, 1e-12), 1 - 1e-12)
+    return math.log(p / (1 - p))
 
 
 def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_docs: int = 8000) -> NoisyOr:
@@ -122,7 +154,10 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     y = got.column("y").to_numpy()
     if len(set(y.tolist())) < 2:
         return NoisyOr(np.zeros(BUCKETS, np.float32), -800.0)
-    return NoisyOr.fit([[s.values.to_numpy() for s in b] if b else [] for b in _bags(got.column("bag"))], y)
+    bags = [[s.values.to_numpy() for s in b] if b else [] for b in _bags(got.column("bag"))]
+    aside = np.arange(len(y)) % 5 == 0
+    model = NoisyOr.fit([b for b, x in zip(bags, aside) if not x], y[~aside])
+    return model.calibrate([b for b, x in zip(bags, aside) if x], y[aside])
 
 
 def _bags(column: pa.ChunkedArray) -> Iterator[list]:
@@ -133,7 +168,7 @@ def _bags(column: pa.ChunkedArray) -> Iterator[list]:
 def score(docs: DataFrame, model: NoisyOr, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, score, offending array<struct<sentence, score, text>>)."""
     kind = dict(docs.dtypes)[id_col]
-    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.slope, model.shift))
     place = pa.list_(pa.struct([("sentence", pa.int32()), ("score", pa.float64()), ("text", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
