@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import load
 
-BUCKETS = 1 << 14
+BUCKETS = 1 << 13
 CACHE = 200_000
 _LETTER = re.compile(r"[^\W\d_]")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -106,7 +106,7 @@ def _fit_bit(x: np.ndarray, y: np.ndarray, rounds: int = 150, rate: float = 0.5,
     return w, float(b)
 
 
-def learn(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", per_lang: int = 400, max_texts: int = 4000, head: int = 200, bits: int = 15, max_langs: int = 256) -> OutputCode:
+def learn(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", per_lang: int = 300, max_texts: int = 2400, head: int = 200, bits: int = 15, max_langs: int = 256) -> OutputCode:
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.xxhash64(F.lit("draw"), F.col(id_col), F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
     known = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()}
     langs = sorted(known)
@@ -132,16 +132,21 @@ def learn(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
 
     got = sample.mapInArrow(run, "lang string, v binary").toArrow()
     label = np.array([langs.index(x) for x in got.column("lang").to_pylist()], np.int64)
-    x = np.stack([np.frombuffer(v, np.float32) for v in got.column("v").to_pylist()]) if len(label) else np.zeros((0, BUCKETS), np.float32)
+    x = np.zeros((len(label), BUCKETS), np.float32)
+    for i, v in enumerate(got.column("v")):
+        x[i] = np.frombuffer(v.as_buffer(), np.float32)
+    del got
     if len(langs) == 1 or not len(label):
         return OutputCode(langs[:1], np.ones((1, 1)), np.zeros((BUCKETS, 1), np.float32), np.zeros(1), np.ones(1))
     code = codewords(len(langs), bits)
     weights, bias, trust = [], [], []
     fold = np.arange(len(label)) % 4 == 0
+    own, aside = x[~fold], x[fold]
+    del x
     for j in range(code.shape[1]):
         y = code[label, j].astype(np.float32)
-        w, b = _fit_bit(x[~fold], y[~fold])
-        right = ((x[fold] @ w + b) * y[fold] > 0).mean() if fold.any() else 1.0
+        w, b = _fit_bit(own, y[~fold])
+        right = ((aside @ w + b) * y[fold] > 0).mean() if fold.any() else 1.0
         trust.append(max(0.05, 2 * right - 1))
         weights.append(w)
         bias.append(b)

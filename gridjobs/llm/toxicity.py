@@ -61,10 +61,15 @@ class NoisyOr:
         lists = [np.asarray(s, np.int32) for b in bags for s in b]
         flat = np.concatenate(lists) if lists else np.zeros(0, np.int32)
         sent = np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) for x in lists])
-        pairs = np.unique(doc[sent].astype(np.int64) * BUCKETS + flat)
-        kept = (np.bincount(pairs % BUCKETS, minlength=BUCKETS) >= least)[flat]
-        flat, sent = flat[kept], sent[kept]
-        used, flat = np.unique(flat, return_inverse=True)
+        held = np.zeros(BUCKETS, np.int32)
+        for b in bags:
+            if b:
+                held[np.unique(np.concatenate([np.asarray(s, np.int32) for s in b]))] += 1
+        used = np.flatnonzero(held >= least)
+        place = np.full(BUCKETS, -1, np.int32)
+        place[used] = np.arange(len(used))
+        flat = place[flat]
+        sent, flat = sent[flat >= 0], flat[flat >= 0]
         w, v, bias, vb = np.zeros(len(used)), np.zeros(len(used)), -5.0, 0.0
         for _ in range(rounds):
             z = np.bincount(sent, w[flat], len(lists)) + bias
@@ -135,7 +140,7 @@ def _log_odds(p: float) -> float:
     return math.log(p / (1 - p))
 
 
-def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_docs: int = 8000) -> NoisyOr:
+def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_docs: int = 4000) -> NoisyOr:
     """Fit on a bounded sample of ``docs`` that ``labels`` marks."""
     marks = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label_col).cast("int").alias("y"))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -156,8 +161,10 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
         return NoisyOr(np.zeros(BUCKETS, np.float32), -800.0)
     bags = [[s.values.to_numpy() for s in b] if b else [] for b in _bags(got.column("bag"))]
     aside = np.arange(len(y)) % 5 == 0
-    model = NoisyOr.fit([b for b, x in zip(bags, aside) if not x], y[~aside])
-    return model.calibrate([b for b, x in zip(bags, aside) if x], y[aside])
+    del got
+    model = NoisyOr.fit([b for b, x in zip(bags, aside) if not x], y[~aside]).calibrate([b for b, x in zip(bags, aside) if x], y[aside])
+    model.shift += math.log(share[0] / share[1])  # from the sample's shares of the classes back to the labels' own
+    return model
 
 
 def _bags(column: pa.ChunkedArray) -> Iterator[list]:
