@@ -15,6 +15,7 @@ known every text with letters gets it; with none, ``und``.  Repeated rows get eq
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import load
 
 BUCKETS = 1 << 13
-CACHE = 200_000
+CACHE = 500_000
 _LETTER = re.compile(r"[^\W\d_]")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -93,6 +94,17 @@ class OutputCode:
         return self.langs[order[0]], float(1 / share.sum()), bool(gap < 0.7)
 
 
+_loaded: dict[str, OutputCode] = {}
+
+
+def _held(token: str, parts: tuple) -> OutputCode:
+    """The model that a worker process holds, with its cache of words, from task to task."""
+    if token not in _loaded:
+        _loaded.clear()
+        _loaded[token] = OutputCode(*parts)
+    return _loaded[token]
+
+
 def _fit_bit(x: np.ndarray, y: np.ndarray, rounds: int = 150, rate: float = 0.5, shrink: float = 1e-5) -> tuple[np.ndarray, float]:
     """Logistic regression (targets +-1) by AdaGrad; x: (texts, features)."""
     w, b, g2, gb2 = np.zeros(x.shape[1], np.float32), 0.0, np.full(x.shape[1], 1e-8, np.float32), 1e-8
@@ -157,9 +169,10 @@ def identify(docs: DataFrame, model: OutputCode, id_col: str = "doc_id", text_co
     """Rows (doc_id, lang_pred, score, ambiguous)."""
     kind = dict(docs.dtypes)[id_col]
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.code, model.weights, model.bias, model.trust))
+    token = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = OutputCode(*shared.value)
+        own = _held(token, shared.value)
         for batch in batches:
             got = [own.decide(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*got) if got else [[]] * 3, (pa.string(), pa.float64(), pa.bool_())))], names=["doc_id", "lang_pred", "score", "ambiguous"])
