@@ -70,7 +70,7 @@ def test_wide_fingerprints_find_near_copies(spark):
     near = [*words[:200], "edited", *words[201:]]
     other = [f"v{i * 104729 % 4999}" for i in range(400)]
     docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate((words, near, other))], "doc_id long, text string")
-    got = simhash.near_duplicates(docs, shingle=5, width=12, cut_into=24, bits=28, delete=8, max_diff=116)
+    got = simhash.near_duplicates(docs, shingle=5, width=12, cut_into=24, bits=28, delete=14, max_diff=124)
     assert {r.doc_id: r.component_id for r in got.collect()} == {0: 0, 1: 0, 2: 2}
 
 
