@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import load, materialize
 
-CACHE = 500_000
+CACHE = 1_000_000
 _SCHEMA = "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long, part long, open boolean"
 _NAMES = [x.split()[0] for x in _SCHEMA.split(", ")]
 _ARROW = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
@@ -47,8 +47,16 @@ class WordIds:
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
         added = self.tokenizer.get_added_tokens_decoder()
         self.marks = [t.content for t in added.values()]
+        self.odd = {c.encode()[:2] for c in self.marks}
         self.between = next(((i, t.content) for i, t in added.items() if t.special and not (t.normalized or t.lstrip or t.rstrip)), None)
 
+    def _form(self, word: bytes) -> tuple[bytes, bytes]:
+        """(form to encode, end sign): the vocabulary lower-cases and splits a word's end sign off, so forms share ids."""
+        if any(c in word for c in self.odd):
+            return word, b""
+        w = word.lower()
+        return (w[:-1], w[-1:]) if w[-1:] in (b".", b",") and b"a" <= w[-2:-1] <= b"z" else (w, b"")
+
     def _alone(self, words: list[bytes]) -> None:
         for w in words:
             self.known[w] = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
@@ -56,8 +64,7 @@ class WordIds:
     def learn(self, words: list[bytes]) -> None:
         if self.between is None:
             return self._alone(words)
-        odd = {c.encode()[:2] for c in self.marks}
-        alone = [w for w in words if any(c in w for c in odd)]
+        alone = [w for w in words if any(c in w for c in self.odd)]
         self._alone(alone)
         words, (mark, text) = [w for w in words if w not in self.known], self.between
         for i in range(0, len(words), 2048):
@@ -75,8 +82,9 @@ class WordIds:
                 self.known.clear()
             got = [list(map(self.known.get, words)) for words in split]
             new = {w for words, ids in zip(split, got) if None in ids for w, x in zip(words, ids) if x is None}
-            self.learn(list(new))
-            known = self.known
+            forms, known = {w: self._form(w) for w in new}, self.known
+            self.learn(list({f for both in forms.values() for f in both if f} - known.keys()))
+            known.update((w, known[f] + known[sign] if sign else known[f]) for w, (f, sign) in forms.items())
             for words, ids in zip(split, got):
                 if None in ids:
                     ids = [known[w] if x is None else x for w, x in zip(words, ids)]
