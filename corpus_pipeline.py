@@ -28,7 +28,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near copies (five-word shingles, similarity 0.8)."""
     docs = docs.select(*COLUMNS)
-    groups = simhash.near_duplicates(docs, shingle=5, width=12, cut_into=24, bits=28, delete=14, max_diff=124)
+    groups = simhash.near_duplicates(docs, shingle=5, width=12, cut_into=24, bits=28, delete=14, max_diff=148, jaccard=0.8)
     first = groups.where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL")).select(*COLUMNS)
 

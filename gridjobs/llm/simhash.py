@@ -9,7 +9,11 @@ differing bits).  Every segment is indexed with each of its bits deleted in turn
 variant are compared in full.  A variant shared by two fingerprints gives its pair from the minimum and maximum of a
 partial aggregation; up to ``bucket_limit`` members are compared pairwise; fuller ones take another exact way whose
 rows grow with the members only: for a distance of up to 2, two fingerprints are within it exactly if flipping at most
-one bit in each makes them equal, so the members that share a flipped value are linked to its smallest member.
+one bit in each makes them equal, so the members that share a flipped value are linked to its smallest member.  For
+larger distances all members of a fuller variant are compared in blocks: every two blocks meet in one task, which
+returns links that connect whatever is within the distance there.
+With ``jaccard`` the groups found so are only candidates: inside each, texts are linked anew by the Jaccard similarity
+of their sets of shingle hashes, every two texts of a group in one task at least.
 Equal fingerprints count as one node throughout.  Empty table: empty result.  A null id: the row is fingerprinted and
 takes its component from the other ids of its fingerprint (null if there are none).
 """
@@ -17,7 +21,7 @@ takes its component from the other ids of its fingerprint (null if there are non
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +32,8 @@ from pyspark.sql import functions as F
 from .common import components, load, materialize, release
 
 SEED = 42
+#: Members, and bytes of text, in a block of a group whose members are all compared.
+BLOCK_NODES, BLOCK_BYTES = 1024, 4 << 20
 #: Odd multipliers that derive further 64-bit words from a shingle's hash, for wide fingerprints.
 _STEP = 0x9E3779B97F4A7C15
 
@@ -136,35 +142,97 @@ def _hot_links_exact(hot: DataFrame) -> DataFrame:
     return flips.join(low, "z").where("node <> a").select("a", F.col("node").alias("b")).distinct()
 
 
+def forest(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """Links that connect the same of ``n`` items as all links do; near(i, others) marks the others that i is linked to."""
+    left, out = np.arange(n), []
+    while len(left):
+        reached, left = [int(left[0])], left[1:]
+        while reached and len(left):
+            i = reached.pop()
+            hit = near(i, left)
+            reached += left[hit].tolist()
+            out += [(i, j) for j in left[hit].tolist()]
+            left = left[~hit]
+    return out
+
+
+def _in_blocks(rows: DataFrame, blocks: str) -> DataFrame:
+    """``rows`` (with node) with columns i, j: each row goes to all pairs of its own block, of as many as ``blocks`` says."""
+    rows = rows.withColumn("n_blocks", F.expr(f"cast({blocks} AS long)")).withColumn("own", F.expr("pmod(xxhash64(node), n_blocks)"))
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0L, n_blocks - 1)"))).where("n_blocks = 1 OR own <> other")
+    return rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("own", "other", "n_blocks")
+
+
+def _as_links(nodes: np.ndarray, found: list[tuple[int, int]]) -> pa.Table:
+    at = nodes[np.array(found, np.int64).reshape(-1, 2)]
+    return pa.table({"a": pa.array(at.min(1)), "b": pa.array(at.max(1))})
+
+
+def _hot_links_in_blocks(hot: DataFrame, nodes: DataFrame, width: int, max_diff: int) -> DataFrame:
+    """Links that connect whatever is within ``max_diff`` among the nodes of one key; hot: rows (key, node, c)."""
+    fps = [f"fp{j}" for j in range(width)]
+    sets = hot.groupBy("key").agg(F.bit_xor(F.xxhash64("node")).alias("mark"), F.first("c").alias("c"))
+    hot = hot.join(sets.groupBy("c", "mark").agg(F.min("key").alias("key")).select("key"), "key")  # equal sets once
+
+    def run(group: pa.Table) -> pa.Table:
+        fp = np.column_stack([group.column(c).to_numpy() for c in fps]).view(np.uint64)
+        return _as_links(group.column("node").to_numpy(), forest(len(fp), lambda i, others: np.bitwise_count(fp[others] ^ fp[i]).sum(1, dtype=np.int64) <= max_diff))
+
+    rows = _in_blocks(hot, f"ceil(c / {BLOCK_NODES})").join(nodes.select("node", *fps), "node")
+    return rows.select("key", "i", "j", "node", *fps).groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
+
+
+def similar(texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Links that connect the texts of Jaccard similarity ``least`` or more in each group; texts: rows (component, node, text)."""
+    def run(group: pa.Table) -> pa.Table:
+        sets = [np.unique(np.frombuffer(shingle_digests((t.as_py() or b"").lower().split(), shingle), ">u8")) for t in group.column("text")]
+        size = np.array([len(x) for x in sets], np.int64)
+        ids = np.unique(np.concatenate(sets), return_inverse=True)[1] if size.sum() else np.zeros(0, np.int64)
+        at, marked = np.r_[0, np.cumsum(size)], np.zeros(len(ids) + 1, np.int64)
+
+        def near(i: int, others: np.ndarray) -> np.ndarray:
+            own = ids[at[i] : at[i + 1]]
+            marked[own] = 1
+            sums = np.r_[0, np.cumsum(marked[ids])]
+            marked[own] = 0
+            both = sums[at[others + 1]] - sums[at[others]]
+            return both >= least * (size[i] + size[others] - both) - 1e-9
+
+        return _as_links(group.column("node").to_numpy(), forest(len(sets), near))
+
+    bytes_of = texts.groupBy("component").agg(F.sum(F.length("text")).alias("n_bytes"))
+    rows = _in_blocks(texts.join(bytes_of, "component"), f"greatest(1, ceil(coalesce(n_bytes, 0) / {BLOCK_BYTES}))")
+    return rows.select("component", "i", "j", "node", "text").groupBy("component", "i", "j").applyInArrow(run, "a long, b long").where("a <> b").distinct()
+
+
 def links(nodes: DataFrame, width: int, cuts: list[tuple[int, int, int]], max_diff: int, bucket_limit: int = 16) -> DataFrame:
     """Verified links (a, b), a < b, between nodes (node long, fp0, ...) of distinct fingerprints or texts."""
     index = variants(nodes, cuts)
     met = materialize(index.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("a"), F.max("node").alias("b")).where("c > 1"), "met")
     pairs = met.where("c = 2").select("a", "b").distinct()
-    full = index.join(met.where("c > 2").select("key", "c", F.col("a").alias("low")), "key")
+    full = materialize(index.join(met.where("c > 2").select("key", "c"), "key"), "full")
     some = full.where(f"c <= {bucket_limit}").groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("m"))
     some = some.select("m").distinct().select(F.explode(F.expr("flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> struct(x AS a, y AS b))))")).alias("p")).select("p.a", "p.b")
     hot = full.where(f"c > {bucket_limit}")
     exact = width == 1 and max_diff <= 2
-    if not exact:
-        pairs = pairs.unionAll(hot.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct())
     pairs = pairs.unionAll(some).distinct()
     fps = [f"fp{j}" for j in range(width)]
     left, right = (nodes.select(F.col("node").alias(x), F.struct(*fps).alias(f"f{x}")) for x in "ab")
     found = pairs.join(left, "a").join(right, "b").where(f"{_differing(width, 'fa', 'fb')} <= {max_diff}").select("a", "b")
     if exact:
-        found = found.unionAll(_hot_links_exact(hot.select("node").distinct().join(nodes, "node")))
-    return found
+        return found.unionAll(_hot_links_exact(hot.select("node").distinct().join(nodes, "node")))
+    return found.unionAll(_hot_links_in_blocks(hot, nodes, width, max_diff))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, width: int = 1, cut_into: int = 2, max_diff: int = 2, bits: int | None = None, delete: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, width: int = 1, cut_into: int = 2, max_diff: int = 2, bits: int | None = None, delete: int | None = None, jaccard: float | None = None) -> DataFrame:
     """Rows (doc_id, fingerprint hex string, component_id): component_id is the smallest doc_id reachable by links.
 
     With ``cut_into`` segments every pair within ``2 * cut_into - 1`` differing bits meets for sure.  A wide
     fingerprint (``width`` words) with a larger ``max_diff`` estimates similarity: a share of 0.1515 differing bits is a
     cosine of 0.89 and so a Jaccard similarity of 0.8 of equally large shingle sets.  Beyond the sure distance a pair
     meets with the probability that one segment differs by at most one bit; ``bits`` shortens segments, and ``delete``
-    deletes only so many bits of each, those with the least majority, where near copies differ.
+    deletes only so many bits of each, those with the least majority, where near copies differ.  With ``jaccard`` texts
+    of one group are linked only from that similarity on, computed, so that ``max_diff`` may be generous.
     """
     spark = docs.sparkSession
     fps = [f"fp{j}" for j in range(width)]
@@ -176,6 +244,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = materialize(nodes, "nodes")
     known = nodes.where("node IS NOT NULL").select("node", *fps, *lows).repartition(-(-nodes.count() // 8000) or 1)
     linked = components(links(known, width, cuts, max_diff), "a", "b")
+    if jaccard is not None:
+        texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("binary").alias("text"))
+        linked = components(similar(materialize(texts.join(linked, "node"), "alike"), shingle, jaccard), "a", "b")
     release(spark)
     placed = nodes.join(linked, "node", "left").select(*same, F.coalesce("component", "node").alias("component_id"))
     met = rows.join(placed, same) if width == 1 else rows.drop(*fps).join(placed, "words")

@@ -1,5 +1,6 @@
 import itertools
 
+import numpy as np
 import xxhash
 
 from gridjobs.llm import simhash
@@ -78,3 +79,43 @@ def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 101), (5, 5), (None, 3)], "u long, v long")
     got = {r.node: r.component for r in components(edges).collect()}
     assert got == {**{i: 0 for i in range(31)}, 100: 100, 101: 100}
+
+
+def test_full_buckets_lose_no_link_of_wide_fingerprints(spark):
+    """Near copies that meet only in a bucket whose smallest member is another text."""
+    rng = np.random.default_rng(5)
+    fps = [rng.integers(0, 2**64, 12, dtype=np.uint64) for _ in range(40)]
+    for x in fps:
+        x[0] = (x[0] >> np.uint64(28) << np.uint64(28)) | np.uint64(0x5A5A5A5)
+    cuts = simhash.segments(12, 24, 28)
+    for x in fps[1:4]:  # a copy with four other bits in each segment but the first, 92 in all
+        x = x.copy()
+        for w, first, _ in cuts[1:]:
+            for b in range(4):
+                x[w] ^= np.uint64(1 << (first + 7 * b))
+        fps.append(x)
+    nodes = spark.createDataFrame([(i, *x.view(np.int64).tolist()) for i, x in enumerate(fps)], "node long, " + ", ".join(f"fp{j} long" for j in range(12)))
+    for block in (1024, 9):
+        simhash.BLOCK_NODES = block
+        got = {(r.a, r.b) for r in simhash.links(nodes, 12, cuts, 124).collect()}
+        assert got == {(1, 40), (2, 41), (3, 42)}
+    simhash.BLOCK_NODES = 1024
+
+
+def test_groups_are_checked_by_jaccard_similarity(spark):
+    words = [f"w{i * 7919 % 5003}" for i in range(300)]
+
+    def changed(n):  # each word takes five of 296 shingles with it
+        return " ".join("zz" if i % 40 == 20 and i // 40 < n else x for i, x in enumerate(words))
+
+    texts = [" ".join(words), changed(6), changed(7).replace("zz", "yy")]
+    rows = spark.createDataFrame([(7, i, bytearray(t.encode())) for i, t in enumerate(texts)], "component long, node long, text binary")
+    for block in (4 << 20, 1000):
+        simhash.BLOCK_BYTES = block
+        assert [(r.a, r.b) for r in simhash.similar(rows, 5, 0.8).collect()] == [(0, 1)]
+    simhash.BLOCK_BYTES = 4 << 20
+    docs = spark.createDataFrame([(i, changed(n)) for i, n in enumerate((0, 4, 7))], "doc_id long, text string")
+    found = [simhash.near_duplicates(docs.where("doc_id <> 1"), shingle=5, width=12, cut_into=96, bits=8, max_diff=200, jaccard=j).collect() for j in (None, 0.8)]
+    assert [sorted({r.component_id for r in x}) for x in found] == [[0], [0, 2]]
+    got = simhash.near_duplicates(docs.where("doc_id < 2"), shingle=5, width=12, cut_into=24, bits=28, delete=14, max_diff=148, jaccard=0.8)
+    assert {r.component_id for r in got.collect()} == {0}
