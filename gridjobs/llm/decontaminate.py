@@ -3,22 +3,29 @@
 Tokens are lower-cased words (runs of letters, digits and underscores).  Fixed masks pick some of the tokens of a window
 and ignore the others, so a substitution at an ignored place leaves the seed's hash as it was.  Benchmark seeds are
 joined with the documents' seeds by hash; each meeting fixes an item and a diagonal (document place less item place),
-on which the overlap is verified: the best-scoring segment of agreeing tokens (a match counts 1, a substitution
-``-penalty``) that has ``min_overlap`` tokens (or the whole item, if it is shorter) of which ``min_share`` agree.
+on which the overlap is verified: a segment of ``min_overlap`` tokens (or the whole item, if it is shorter) or more of
+which ``min_share`` agree.  The best-scoring segment (a match counts 1, a substitution ``-penalty``) is reported if it
+passes, else the longest one that does.
+
+No overlap of 13 tokens or more of which 80 % agree lacks a seed: such a segment of 26 tokens or more has a half of 13 or
+more that passes as well, and of 13 to 25 tokens the masks reach every pattern of substitutions (2 in 13, 3 in 15, 4 in
+20, 5 in 25).  For other values of the parameters, and for items of fewer than 13 tokens, a seed is a run of as many tokens
+as the substitutions of a passing segment must leave whole somewhere.
 
 Only benchmark words can agree, so a document's words are looked up in the benchmark's vocabulary and other words count
 as strangers.  The benchmark is taken in blocks of at most ``block_tokens`` tokens, each broadcast (the bound is checked
 while the blocks are cut); documents are scanned once for each block.
 
-Nulls: a null text has no tokens, a null id is kept in the result; items without tokens match nothing.  Items shorter
-than a mask are matched by a seed of all their tokens.  Repeated documents are reported each; of several overlaps
+Nulls: a null text has no tokens, a null id is kept in the result; items without tokens match nothing.  Repeated documents are reported each; of several overlaps
 with one item on different diagonals the best is reported (most matches, then the leftmost).  Empty tables: no rows.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -27,20 +34,32 @@ from pyspark.sql import functions as F
 
 from .common import load
 
-#: The masks; 1 marks a token that the seed takes.
-MASKS = ("11011011011", "111010010111", "1100101100111", "11111111")
+#: The masks; 1 marks a token that the seed takes.  Lossless for MASKS_FOR (tokens, agreeing share) or more.
+MASKS = ("1111011", "10111011", "110000010111", "1101110000001")
+MASKS_FOR = (13, 0.8)
 _WORD = re.compile(r"\w+")
 _MIX = [(0x9E3779B97F4A7C15 * (2 * i + 3)) & (2**64 - 1) for i in range(64)]
 
 
+def as_fraction(share: float) -> Fraction:
+    return Fraction(share).limit_denominator(10_000)
+
+
 def tokens(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
+def sure_run(length: int, share: Fraction) -> int:
+    """Agreeing tokens that follow each other somewhere in every segment of ``length`` tokens of which ``share`` agree."""
+    wrong = length - math.ceil(length * share)
+    return -(-(length - wrong) // (wrong + 1))
+
+
 class Benchmark:
     """A block of items: vocabulary, token ids and sorted seeds."""
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
+    def __init__(self, items: list[tuple[int, str]], min_overlap: int = 13, min_share: float = 0.8) -> None:
+        share = as_fraction(min_share)
         self.vocabulary: dict[str, int] = {}
         self.items, self.ids = [], []
         for item, text in items:
@@ -48,14 +67,17 @@ class Benchmark:
             if ids:
                 self.items.append(item)
                 self.ids.append(np.array(ids, np.int64))
-        short = {len(x) for x in self.ids if len(x) < min(map(len, MASKS))}
-        self.masks = [np.flatnonzero([c == "1" for c in m]) for m in MASKS] + [np.arange(n) for n in sorted(short)]
+        # Segments of min_overlap to twice as many tokens: any longer one has a half that passes too.
+        masked = min_overlap >= MASKS_FOR[0] and share >= as_fraction(MASKS_FOR[1])
+        at_large = min(sure_run(n, share) for n in range(min_overlap, 2 * min_overlap)) if min_overlap > 0 else 1
+        runs = [0 if masked and len(x) >= min_overlap else max(1, sure_run(len(x), share) if len(x) < min_overlap else min(at_large, len(x))) for x in self.ids]
+        masks = [(0, np.flatnonzero([c == "1" for c in m])) for m in MASKS] if masked else []
         self.seeds = []
-        for k, mask in enumerate(self.masks):
+        for run, mask in [*masks, *((n, np.arange(n)) for n in sorted(set(runs) - {0}))]:
             h, item, at = [], [], []
             for i, ids in enumerate(self.ids):
                 own = np.arange(max(0, len(ids) - mask[-1]))
-                if len(own) and (k < len(MASKS) or len(ids) == len(mask)):
+                if len(own) and runs[i] == run:
                     h.append(self.hashes(ids, own, mask))
                     item.append(np.full(len(own), i))
                     at.append(own)
@@ -102,9 +124,23 @@ def best_overlap(same: np.ndarray, penalty: float) -> tuple[int, int]:
     return best[1], best[2]
 
 
+def longest_overlap(same: np.ndarray, least: int, share: Fraction) -> tuple[int, int]:
+    """[start, stop) of the longest segment of which ``share`` agrees, less substitutions at its ends beyond ``least`` tokens."""
+    gain = np.where(same, share.denominator - share.numerator, -share.numerator)
+    sums = np.r_[0, np.cumsum(gain)]
+    # For each start, the last stop whose sum is no smaller: sums that no later one exceeds are in falling order.
+    top = np.maximum.accumulate(sums[::-1])[::-1]
+    stop = np.searchsorted(-top, -sums, "right") - 1
+    a = int(np.argmax(stop - np.arange(len(sums))))
+    b = int(stop[a])
+    while b - a > least and not (same[a] and same[b - 1]):
+        a, b = (a, b - 1) if not same[b - 1] else (a + 1, b)
+    return a, b
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_overlap: int = 13, min_share: float = 0.8, penalty: float = 2.0, block_tokens: int = 1_000_000) -> DataFrame:
     """Rows (doc_id, item_id, doc_start, doc_stop, item_start, matched): token places of each document's verified overlaps."""
-    spark = docs.sparkSession
+    spark, share = docs.sparkSession, as_fraction(min_share)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kinds = (dict(rows.dtypes)["doc_id"], dict(benchmark.dtypes)[item_col])
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, doc_start int, doc_stop int, item_start int, matched int"
@@ -116,11 +152,17 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
                 target = own.ids[item]
                 lo, hi = max(0, -shift), min(len(target), len(ids) - shift)
                 same = ids[lo + shift : hi + shift] == target[lo:hi]
-                a, b = best_overlap(same, penalty)
-                matched = int(same[a:b].sum())
-                if b - a >= min(min_overlap, len(target)) and matched >= min_share * (b - a):
-                    found = (matched, -(lo + a + shift), lo + b + shift, lo + a)
-                    best[item] = max(best.get(item, found), found)
+                least = min(min_overlap, len(target))
+                if hi - lo < least:
+                    continue
+                for a, b in (best_overlap(same, penalty), longest_overlap(same, least, share)):
+                    matched = int(same[a:b].sum())
+                    if b - a >= least and matched >= share * (b - a):
+                        break
+                else:
+                    continue
+                found = (matched, -(lo + a + shift), lo + b + shift, lo + a)
+                best[item] = max(best.get(item, found), found)
             return [(own.items[i], -s, e, p, m) for i, (m, s, e, p) in sorted(best.items())]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,8 +187,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
         held += len(tokens(text))
         block.append((item, text))
         if held >= block_tokens:
-            out, block, held = out.unionAll(scan(spark.sparkContext.broadcast(Benchmark(block)))), [], 0
-    return out.unionAll(scan(spark.sparkContext.broadcast(Benchmark(block)))) if block else out
+            out, block, held = out.unionAll(scan(spark.sparkContext.broadcast(Benchmark(block, min_overlap, min_share)))), [], 0
+    return out.unionAll(scan(spark.sparkContext.broadcast(Benchmark(block, min_overlap, min_share)))) if block else out
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

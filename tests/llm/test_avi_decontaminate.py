@@ -1,4 +1,6 @@
 import hashlib
+import itertools
+import math
 import os
 
 import numpy as np
@@ -90,6 +92,34 @@ def test_every_window_with_two_substitutions_is_found(spark):
     assert found == set(range(len(texts)))
 
 
+@pytest.mark.parametrize("n", [5, 6, 10, 11, 12, 13, 14, 15, 16, 20])
+def test_every_substitution_pattern_of_a_short_item_is_found(spark, n):
+    """Whole copies with as many substitutions as the rule allows, all patterns, and none with one more."""
+    w = ITEM.split()[:n]
+    wrong = n // 5
+    texts = [" ".join("zz" if i in gone else x for i, x in enumerate(w)) for k in (wrong, wrong + 1) for gone in itertools.combinations(range(n), k)]
+    right = math.comb(n, wrong)
+    if n <= 13:
+        assert {d for d, *_ in leaks(spark, texts, [(0, " ".join(w))])} == set(range(right))
+    else:  # with one more a part of 13 tokens or more may still pass
+        keep = [any(sum(x != "zz" for x in t[a:b]) * 5 >= 4 * (b - a) for a in range(n - 12) for b in range(a + 13, n + 1)) for t in map(str.split, texts)]
+        assert all(keep[:right])
+        assert {d for d, *_ in leaks(spark, texts, [(0, " ".join(w))])} == {d for d, x in enumerate(keep) if x}
+
+
+def test_masks_reach_every_pattern_up_to_25_tokens():
+    for n, wrong in ((13, 2), (15, 3), (20, 4), (25, 5)):
+        gone = np.array(list(itertools.combinations(range(n), wrong)))
+        same = np.ones((len(gone), n), bool)
+        np.put_along_axis(same, gone, False, 1)
+        seeded = np.zeros(len(gone), bool)
+        for mask in decontaminate.MASKS:
+            taken = np.flatnonzero([c == "1" for c in mask])
+            for at in range(n - len(mask) + 1):
+                seeded |= same[:, taken + at].all(1)
+        assert seeded.all()
+
+
 def test_decontaminate_odd_rows(spark, odd, empty):
     bench = spark.createDataFrame([(9, "a b c d e", -1)], "item_id long, text string, doc_id long")
     assert sorted(str(r.doc_id) for r in decontaminate.overlaps(odd, bench).collect()) == ["1", "1", "None"]
