@@ -34,12 +34,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages of 400 bytes that occur elsewhere; documents of which nothing is left go.
+    """Texts without passages of over 50 words, or of 400 bytes, that occur elsewhere; documents of which nothing is left go.
 
     A removed passage takes characters that it cuts through with it; n_chars follows the new text.
     """
     docs = docs.select(*COLUMNS)
-    found = suffix.remove_repeats(docs, keep=["lang", "source"], as_text=True).withColumnRenamed("kept", "text")
+    found = suffix.remove_repeats(docs, keep=["lang", "source"], as_text=True, words=51).withColumnRenamed("kept", "text")
     return found.where("n_bytes = 0 OR length(text) > 0").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

@@ -12,6 +12,9 @@ suffixes would shuffle a row for every byte, so positions are pruned first, with
    get their place in the order as new rank, and the offset doubles until ``length`` bytes are ranked.  Windows that
    still share a rank are repeated.
 
+Units are bytes, or words (split at ASCII white space): ``words`` asks for passages of so many words besides, whatever
+white space is between them, found in the same way over word hashes.  A text loses the bytes of either kind.
+
 Hashes stand for strings: names within a group of equal grams, so that 128 bits decide.  A hot passage is pre-aggregated
 in every shuffle that groups, and the joins have a unique small side, so that Spark splits a hot partition.
 
@@ -27,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,7 +57,8 @@ class _Rolling:
                 powers[0] = 1
                 setattr(self, name, np.cumprod(powers))
         out = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.letter[t] * self.up[:n], out=out[1:])
+        letters = self.letter[t] if t.dtype == np.uint8 else t ^ self.letter[0]
+        np.cumsum(letters * self.up[:n], out=out[1:])
         return out
 
     def at(self, sums: np.ndarray, start: np.ndarray, length) -> np.ndarray:
@@ -90,18 +95,30 @@ def window_runs(t: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]
     return lo, n, _first.at(s1, at, gram), run
 
 
-def _blocks(text: bytes | None, length: int, block: int) -> Iterator[tuple[int, np.ndarray]]:
-    t = np.frombuffer(text or b"", np.uint8)
+def word_places(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First byte of each word, and the byte after its last, for the words of bytes.split()."""
+    t = np.frombuffer(text, np.uint8)
+    inside = np.r_[False, (t != 32) & ((t < 9) | (t > 13)), False].astype(np.int8)
+    step = np.diff(inside)
+    return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+
+
+def _blocks(text: bytes | None, length: int, block: int, words: bool = False) -> Iterator[tuple[int, np.ndarray]]:
+    if words:
+        digest, parts = xxhash.xxh64_intdigest, (text or b"").split()
+        t = np.fromiter((digest(w) for w in parts), np.uint64, len(parts))
+    else:
+        t = np.frombuffer(text or b"", np.uint8)
     for base in range(0, max(0, len(t) - length + 1), block):
         yield base, t[base : base + block + length - 1]
 
 
-def _runs(rows: DataFrame, length: int, gram: int, block: int) -> DataFrame:
+def _runs(rows: DataFrame, length: int, gram: int, block: int, words: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, found = batch.column(0).to_numpy(), []
             for i, text in enumerate(batch.column(1)):
-                for base, t in _blocks(text.as_py(), length, block):
+                for base, t in _blocks(text.as_py(), length, block, words):
                     lo, n, k, s = window_runs(t, length, gram)
                     found.append((np.full(len(lo), keys[i]), lo + base, n.astype(np.int32), k.view(np.int64), s.view(np.int64)))
             if found:
@@ -110,7 +127,7 @@ def _runs(rows: DataFrame, length: int, gram: int, block: int) -> DataFrame:
     return rows.mapInArrow(run, "row long, lo long, n int, gram long, run long")
 
 
-def _positions(rows: DataFrame, length: int, start: int, block: int) -> DataFrame:
+def _positions(rows: DataFrame, length: int, start: int, block: int, words: bool) -> DataFrame:
     """A row for each window asked for: its gram's group, the name of its first ``start`` bytes and of the pieces after."""
     sizes = [start]
     while sum(sizes) < length:
@@ -125,7 +142,7 @@ def _positions(rows: DataFrame, length: int, start: int, block: int) -> DataFram
                 lo, n, gram, alone = (own.field(f).to_numpy(zero_copy_only=False) for f in ("lo", "n", "gram", "alone"))
                 each = np.repeat(np.arange(len(lo)), n)
                 p = lo[each] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
-                for base, t in _blocks(text.as_py(), length, block):
+                for base, t in _blocks(text.as_py(), length, block, words):
                     here = np.flatnonzero((p >= base) & (p < base + block))
                     if not len(here):
                         continue
@@ -162,7 +179,7 @@ def prefix_doubling(positions: DataFrame) -> DataFrame:
     return ranked
 
 
-def _kept(rows: DataFrame, length: int, as_text: bool, schema: str) -> DataFrame:
+def _kept(rows: DataFrame, length: int, words: int, as_text: bool, schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, spans, removed, kept = batch.column("bytes").to_pylist(), batch.column("spans"), [], []
@@ -173,7 +190,14 @@ def _kept(rows: DataFrame, length: int, as_text: bool, schema: str) -> DataFrame
                     kept.append(text)
                     continue
                 lo = own.field("lo").to_numpy()
-                hi = lo + own.field("n").to_numpy() - 1 + length
+                hi = lo + own.field("n").to_numpy() - 1
+                worded = own.field("worded").to_numpy(zero_copy_only=False)
+                if worded.any():
+                    first, last = word_places(text)
+                    lo, hi = lo.copy(), hi.copy()
+                    hi[worded] = last[hi[worded] + words - 1]
+                    lo[worded] = first[lo[worded]]
+                hi[~worded] += length
                 order = np.argsort(lo, kind="stable")
                 lo, hi = lo[order], np.maximum.accumulate(hi[order])
                 first = np.flatnonzero(np.r_[True, lo[1:] > hi[:-1]])
@@ -187,17 +211,13 @@ def _kept(rows: DataFrame, length: int, as_text: bool, schema: str) -> DataFrame
     return rows.mapInArrow(run, schema)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = 300, start: int = 100, keep: list[str] = (), as_text: bool = False, block: int = BLOCK) -> DataFrame:
-    """Rows (doc_id, n_bytes, removed array of byte spans, kept binary), one for each row of ``docs``.
+def _repeated(rows: DataFrame, length: int, gram: int, start: int, block: int, words: bool = False) -> tuple[DataFrame, list[DataFrame]]:
+    """Rows (row, lo, n): windows lo, lo + 1, ... of ``length`` bytes or words of a text that occur elsewhere too.
 
-    ``keep`` names further columns to carry along; ``as_text`` returns kept as a string, without the bytes of characters
-    that a span cuts through.
+    They are read from the tables returned besides, which may be dropped afterwards.
     """
-    spark = docs.sparkSession
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), text).alias("row"), text.cast("binary").alias("bytes"), *(F.col(c).alias(f"kept_{c}") for c in keep))
-
-    runs = materialize(_runs(rows.where(F.length("bytes") >= length).select("row", "bytes"), length, gram, block), "runs")
+    spark = rows.sparkSession
+    runs = materialize(_runs(rows.where(F.length("bytes") >= (2 * length - 1 if words else length)).select("row", "bytes"), length, gram, block, words), "runs")
     grams = materialize(runs.groupBy("gram").agg(F.count("*").alias("c"), F.min("run").alias("a"), F.max("run").alias("b")).where("c > 1").select("gram", F.expr("a <> b").alias("mixed")), "grams")
     again = materialize(runs.join(grams, "gram"), "again")
     drop_table(runs)
@@ -209,20 +229,42 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ask = kinds.where("c = 1").select("gram").distinct()
     asked = kinds.join(ask, "gram").select("one.*", "gram", F.expr("c = 1").alias("alone"))
     asked = asked.groupBy("row").agg(F.collect_list(F.struct("lo", "n", "gram", "alone")).alias("asked"))
-    positions = materialize(_positions(rows.select("row", "bytes").join(asked, "row"), length, start, block), "positions")
+    positions = materialize(_positions(rows.select("row", "bytes").join(asked, "row"), length, start, block, words), "positions")
     release(spark)
     single = prefix_doubling(positions).where("alone").select("row", F.col("p").alias("lo"), F.lit(1).alias("n"))
 
     whole = again.where("NOT mixed").select("row", "lo", "n").unionAll(mixed.join(kinds.where("c > 1").select("gram", "run"), ["gram", "run"]).select("row", "lo", "n"))
-    spans = materialize(whole.unionAll(single).groupBy("row").agg(F.collect_list(F.struct("lo", "n")).alias("spans")), "spans")
-    for t in (again, kinds):
+    return whole.unionAll(single), [again, kinds]
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = 300, start: int = 100, keep: list[str] = (), as_text: bool = False, block: int = BLOCK, words: int = 0) -> DataFrame:
+    """Rows (doc_id, n_bytes, removed array of byte spans, kept binary), one for each row of ``docs``.
+
+    ``keep`` names further columns to carry along; ``as_text`` returns kept as a string, without the bytes of characters
+    that a span cuts through.  ``words`` also removes repeated passages of so many words.
+    """
+    spark = docs.sparkSession
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), text).alias("row"), text.cast("binary").alias("bytes"), *(F.col(c).alias(f"kept_{c}") for c in keep))
+
+    windows, tables = _repeated(rows, length, gram, start, block)
+    windows = windows.withColumn("worded", F.lit(False))
+    if words:
+        windows = materialize(windows, "windows")
+        for t in tables:
+            drop_table(t)
+        release(spark)
+        more, tables = _repeated(rows, words, max(1, words * 3 // 4), max(1, words // 4), block, words=True)
+        windows = windows.unionAll(more.withColumn("worded", F.lit(True)))
+    spans = materialize(windows.groupBy("row").agg(F.collect_list(F.struct("lo", "n", "worded")).alias("spans")), "spans")
+    for t in tables:
         drop_table(t)
     release(spark)
     carried = [f"kept_{c}" for c in keep]
     out = rows.join(spans, "row", "left").select("doc_id", *carried, "bytes", "spans")
     kinds = dict(out.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in ["doc_id", *carried])
-    out = _kept(out, length, as_text, f"{schema}, n_bytes long, removed array<struct<start: long, stop: long>>, kept {'string' if as_text else 'binary'}")
+    out = _kept(out, length, words, as_text, f"{schema}, n_bytes long, removed array<struct<start: long, stop: long>>, kept {'string' if as_text else 'binary'}")
     return out.select("doc_id", "n_bytes", "removed", "kept", *(F.col(f"kept_{c}").alias(c) for c in keep))
 
 

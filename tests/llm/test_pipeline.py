@@ -27,6 +27,20 @@ def test_near_duplicates_leaves_one_of_each_group(spark):
     assert sorted(str(r.doc_id) for r in P.near_duplicates(spark, docs, SF).collect()) == ["3", "4", "None"]
 
 
+def test_passages_of_over_fifty_words_go(spark):
+    """Short words, so that 51 are far under 400 bytes; white space between them does not matter, 50 words stay."""
+    def own(tag):
+        return [f"{tag}{i}" for i in range(60)]
+
+    w = [f"p{i}" for i in range(51)]
+    texts = [[*own("a"), *w, *own("A")], [*own("b"), *w, *own("B")], [*own("c"), *w[:50], *own("C")]]
+    rows = [(i, (" ", "  ", "\n")[i].join(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r for r in P.repeated_passages(spark, docs, SF).collect()}
+    assert {i: r.text.split() for i, r in got.items()} == {0: own("a") + own("A"), 1: own("b") + own("B"), 2: texts[2]}
+    assert all(r.n_chars == len(r.text) for r in got.values())
+
+
 def test_run_packs_what_is_left(spark):
     out = P.run(spark, SF)
     assert {"doc_id", "start", "length", "sequence_id", "offset"} <= set(out.columns) and out.count() > 0
