@@ -1,7 +1,8 @@
 """A corpus pipeline of five stages, each applying one operator to all documents that the stage before kept.
 
 quality -> near duplicates -> repeated passages -> benchmark leaks -> packing.  All stages but the last return the
-columns of documents.  Rows with a null doc_id take part in every stage; they never count as copies of others.
+columns of documents.  Rows with a null doc_id take part in every stage; they count as copies of each other, never of rows
+with an id.  Inside a stage a row goes by a key, the hash of all its columns: only rows equal in every column share it.
 """
 
 from __future__ import annotations
@@ -25,12 +26,21 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.score(docs, model, keep=COLUMNS).where("score >= 0.5").select(*COLUMNS)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with the column key, the same in every run."""
+    return docs.select(*COLUMNS).withColumn("key", F.xxhash64(*COLUMNS, *(F.col(c).isNull() for c in COLUMNS)))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near copies (five-word shingles, similarity 0.8)."""
-    docs = docs.select(*COLUMNS)
-    groups = simhash.near_duplicates(docs, shingle=5, width=12, cut_into=24, bits=28, delete=14, max_diff=148, jaccard=0.8)
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL")).select(*COLUMNS)
+    """The document with the smallest doc_id of each group of near copies (five-word shingles, similarity 0.8).
+
+    Of its rows without an id one is kept as well.
+    """
+    docs = keyed(docs)
+    groups = simhash.near_duplicates(docs, id_col="key", shingle=5, width=12, cut_into=24, bits=28, delete=14, max_diff=148, jaccard=0.8)
+    placed = groups.select(F.col("doc_id").alias("key"), "component_id").distinct().join(docs.select("key", "doc_id").distinct(), "key")
+    first = placed.groupBy("component_id", F.col("doc_id").isNull()).agg(F.min(F.struct("doc_id", "key")).alias("first")).select("first.key")
+    return docs.join(first, "key", "left_semi").dropDuplicates(["key"]).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,9 +55,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def no_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a verified overlap with a benchmark item."""
-    docs = docs.select(*COLUMNS)
-    leaks = decontaminate.overlaps(docs.where("doc_id IS NOT NULL"), load(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(materialize(leaks, "leaks"), "doc_id", "left_anti").select(*COLUMNS)
+    docs = keyed(docs)
+    leaks = decontaminate.overlaps(docs, load(spark, sf_dir, "benchmark"), id_col="key").select(F.col("doc_id").alias("key")).distinct()
+    return docs.join(materialize(leaks, "leaks"), "key", "left_anti").select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 
 SF = "/root/testdata/sf0.001"
@@ -27,6 +29,18 @@ def test_near_duplicates_leaves_one_of_each_group(spark):
     assert sorted(str(r.doc_id) for r in P.near_duplicates(spark, docs, SF).collect()) == ["3", "4", "None"]
 
 
+def test_rows_without_an_id_and_ids_of_two_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(300)) for x in "abc")
+    leak = spark.read.parquet(f"{SF}/benchmark.parquet").where("text IS NOT NULL").first().text
+    rows = [(None, a), (None, a), (None, a + " more"), (2, b), (2, c), (1, b), (None, "before " + leak), (4, "before " + leak)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r.doc_id, r.text) for r in P.near_duplicates(spark, docs.where(~F.col("text").startswith("before")), SF).collect()]
+    assert len(kept) == 3 and {(1, b), (2, c)} < set(kept)
+    assert [i for i, _ in kept].count(None) == 1
+    clean = P.no_benchmark_leaks(spark, docs, SF).collect()
+    assert sorted(((r.doc_id, r.text) for r in clean), key=str) == sorted(rows[:6], key=str)
+
+
 def test_passages_of_over_fifty_words_go(spark):
     """Short words, so that 51 are far under 400 bytes; white space between them does not matter, 50 words stay."""
     def own(tag):
