@@ -6,10 +6,8 @@ the mean.  Macro figures are unweighted means of per-series figures, never poole
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,33 +92,26 @@ def window_errors(scored: DataFrame, denom: DataFrame, key: str = "ba") -> DataF
     return per.join(denom, key).select(key, "origin", F.try_divide("mae", "denom").alias("err"))
 
 
-def bootstrap_ci(errors: DataFrame, replicates: int = 2000, seed: int = 0, level: float = 0.95, max_pool: int = 5_000_000) -> DataFrame:
-    """(lo, hi): percentile interval of the mean of pooled window errors; each replicate has its own seed.
+def poisson_weight(name: Column) -> Column:
+    """A Poisson(1) number from 0 to 8 drawn from a name: the same in every run and on every cluster."""
+    u = F.conv(F.substr(F.md5(name), F.lit(1), F.lit(8)), 16, 10).cast("double") / 2**32
+    limits, p = [], math.exp(-1)
+    for k in range(8):
+        limits.append(sum(limits[-1:]) + p / math.factorial(k))
+    return sum(((u >= x).cast("int") for x in limits), F.lit(0))
 
-    The pooled vector (8 bytes a window) is broadcast; its size is checked against ``max_pool`` first.
+
+def bootstrap_ci(errors: DataFrame, replicates: int = 2000, seed: int = 0, level: float = 0.95) -> DataFrame:
+    """(lo, hi): percentile interval of the mean of pooled window errors (ba, origin, err).
+
+    Each replicate weights each window by its own Poisson(1) draw, the large-sample form of drawing with replacement, so
+    nothing is collected: weights come from a hash of (seed, replicate, ba, origin) and partial sums by replicate are
+    all that is shuffled.
     """
-    spark = errors.sparkSession
-    n = errors.count()
-    if n > max_pool:
-        raise ValueError(f"{n} window errors are more than the {max_pool} that may be broadcast")
-    pool = spark.sparkContext.broadcast(np.sort(errors.select("err").toPandas()["err"].to_numpy(float)))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            x = pool.value
-            means = [x[np.random.default_rng([seed, int(b)]).integers(0, len(x), len(x))].mean() if len(x) else None for b in batch["id"]]
-            yield pd.DataFrame({"mean": means})
-
-    return _interval(spark.range(replicates).mapInPandas(run, "mean double"), level)
-
-
-def bootstrap_ci_indexed(errors: DataFrame, replicates: int = 50, level: float = 0.95, order: list[str] = ("ba", "origin")) -> DataFrame:
-    """The same with a fixed resampling rule, index (b * 7919 + i * 104729) mod n, as joins; for checks against SQL."""
-    spark = errors.sparkSession
-    placed = errors.withColumn("j", F.row_number().over(Window.orderBy(*order)) - 1)
-    n = errors.agg(F.count("*").alias("n"))
-    draws = placed.select(F.col("j").alias("i")).crossJoin(F.broadcast(spark.range(replicates).select(F.col("id").alias("b")))).join(F.broadcast(n)).withColumn("j", F.expr("pmod(b * 7919 + i * 104729, n)"))
-    return _interval(draws.join(placed.select("j", "err"), "j").groupBy("b").agg(F.avg("err").alias("mean")), level)
+    each = errors.where("err IS NOT NULL").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    w = poisson_weight(F.concat_ws("/", F.lit(str(seed)), "b", "ba", F.col("origin").cast("bigint")))
+    means = each.withColumn("w", w).groupBy("b").agg(F.try_divide(F.sum(F.col("w") * F.col("err")), F.sum("w")).alias("mean"))
+    return _interval(means.where("mean IS NOT NULL"), level)
 
 
 def _interval(means: DataFrame, level: float) -> DataFrame:

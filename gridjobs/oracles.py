@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import re
 
-from .functions.calendar import us_holidays
-from .operators.joins import MODES
 
+# Covariate modes, written down apart from the library's own list.
+MODES = ("persistence", "lag24", "forecast", "forecast_full", "analysis_only", "none", "oracle", "oracle_om")
 _T = "strftime({0}, '%Y-%m-%d %H:%M:%S')"
 
 
@@ -22,7 +23,17 @@ def _sum(c: str) -> str:
     return f"CAST(sum(CAST({c} AS DECIMAL(18,2))) AS DOUBLE)"
 
 
-_HOL = ", ".join(f"(DATE '{x}')" for x in us_holidays(1990, 2035))
+def _holidays() -> str:
+    """Federal holidays and observed days as a rule over days, independent of the library's own."""
+
+    def fixed(x: str) -> str:
+        return f"(strftime({x}, '%m-%d') IN ('01-01', '07-04', '11-11', '12-25') OR (strftime({x}, '%m-%d') = '06-19' AND year({x}) >= 2021))"
+
+    monday = "isodow(day) = 1 AND (month(day), ((day(day) - 1) // 7)) IN ((1, 2), (2, 2), (9, 0), (10, 1))"
+    memorial, thanks = "isodow(day) = 1 AND month(day) = 5 AND day(day) > 24", "isodow(day) = 4 AND month(day) = 11 AND day(day) BETWEEN 22 AND 28"
+    moved = f"(isodow(day) = 5 AND {fixed('day + INTERVAL 1 DAY')}) OR (isodow(day) = 1 AND {fixed('day - INTERVAL 1 DAY')})"
+    return f"SELECT day FROM (SELECT CAST(unnest(generate_series(DATE '1990-01-01', DATE '2035-12-31', INTERVAL 1 DAY)) AS DATE) AS day) WHERE {fixed('day')} OR ({monday}) OR ({memorial}) OR ({thanks}) OR {moved}"
+
 
 # name -> (text, names it uses)
 _CTES = {
@@ -36,7 +47,7 @@ _CTES = {
     "OP": "SELECT ba, ts_utc, load_mw * (1 + (hour(ts_utc) - 12) / 100.0::DOUBLE) AS forecast_mw FROM L WHERE hour(ts_utc) % 5 <> 0",
     "D": f"SELECT o_orderpriority AS ba, CAST(o_orderdate AS TIMESTAMP) AS ts_utc, {_sum('o_totalprice')} AS load_mw FROM orders GROUP BY 1, 2",
     "N": "SELECT n_name AS code, r_name AS interconnect, n_nationkey - 12 AS utc_offset, coalesce(c.n, 0) AS peak_mw, n_regionkey = 1 AS is_rto FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1) c ON c_nationkey = n_nationkey",
-    "HOL": f"SELECT * FROM (VALUES {_HOL}) h(day)",
+    "HOL": _holidays(),
     "MED": "SELECT ba, median(load_mw) AS med FROM L GROUP BY 1",
     "MAD": "SELECT L.ba, any_value(med) AS med, median(abs(load_mw - med)) AS mad FROM L JOIN MED USING (ba) GROUP BY 1",
     "C": "SELECT ba, ts_utc, CASE WHEN (mad > 0 AND abs(load_mw - med) > 3.0 * 1.4826 * mad) OR abs(load_mw) > 500000 THEN NULL ELSE load_mw END AS load_mw FROM L JOIN MAD USING (ba)",
@@ -136,9 +147,15 @@ def _ratio(own: str, base: str) -> str:
     return f"SELECT a.ba, {r('a.mae', 'own')}, {r('b.mae', 'baseline')}, {r('b.mae / a.mae', 'ratio')}, {r('100 * (1 - a.mae / b.mae)', 'improvement_pct')} FROM ({metric.format(own)}) a JOIN ({metric.format(base)}) b USING (ba)"
 
 
-def _bootstrap_sql() -> str:
+def _bootstrap_sql(replicates: int, seed: int) -> str:
     whole = sql("SELECT x.ba, origin, avg(abs(y - mean)) / any_value(denom) AS err FROM SC x JOIN DE USING (ba) GROUP BY 1, 2")
-    return f"SELECT round(quantile_cont(m, 0.025), 7) AS lo, round(quantile_cont(m, 0.975), 7) AS hi, count(*) AS replicates FROM (SELECT b, avg(q.err) AS m FROM (SELECT err, row_number() OVER (ORDER BY ba, origin) - 1 AS j, count(*) OVER () AS n FROM ({whole})) i CROSS JOIN (SELECT unnest(range(50)) AS b) JOIN (SELECT err, row_number() OVER (ORDER BY ba, origin) - 1 AS j FROM ({whole})) q ON q.j = (b * 7919 + i.j * 104729) % i.n GROUP BY 1)"
+    limits, total = [], 0.0
+    for k in range(8):
+        total += math.exp(-1) / math.factorial(k)
+        limits.append(total)
+    weight = " + ".join(f"CAST(u >= {x!r}::DOUBLE AS INT)" for x in limits)
+    drawn = f"SELECT b, err, CAST('0x' || substr(md5('{seed}/' || b || '/' || ba || '/' || CAST(origin AS BIGINT)), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM ({whole}) CROSS JOIN (SELECT unnest(range({replicates})) AS b)"
+    return f"SELECT round(quantile_cont(m, 0.025), 7) AS lo, round(quantile_cont(m, 0.975), 7) AS hi, count(*) AS replicates FROM (SELECT b, sum(w * err) / sum(w) AS m FROM (SELECT b, err, {weight} AS w FROM ({drawn})) GROUP BY 1)"
 
 
 _POINTS = f"SELECT x.ba, step, I.ts_utc, q_lo AS lo, q_mid AS median, q_hi AS hi FROM SC x JOIN (SELECT ba, max(origin) AS origin FROM SC GROUP BY 1) m ON m.ba = x.ba AND m.origin = x.origin JOIN I ON I.ba = x.ba AND I.idx = x.idx"
@@ -176,7 +193,7 @@ def oracle_sql() -> dict[str, str]:
         "sane_range_filter": "SELECT o_orderkey, o_totalprice - 20000 AS load_mw FROM orders WHERE o_totalprice - 20000 > 0 AND o_totalprice - 20000 < 200000",
         "local_hour": sql("SELECT code AS ba, CAST(((hour(ts_utc) + utc_offset) % 24 + 24) % 24 AS INT) AS local_hour, count(*) AS n FROM (SELECT DISTINCT ts_utc FROM L) CROSS JOIN N GROUP BY 1, 2"),
         "calendar_features": sql(
-            f"SELECT {t()}, {r('sin(hour(ts_utc) * (2 * pi() / 24))', 'hour_sin')}, {r('cos(hour(ts_utc) * (2 * pi() / 24))', 'hour_cos')}, {r('sin((isodow(ts_utc) - 1) * (2 * pi() / 7))', 'dow_sin')}, {r('cos((isodow(ts_utc) - 1) * (2 * pi() / 7))', 'dow_cos')}, CAST(isodow(ts_utc) >= 6 AS INT) AS is_weekend, CAST({day} IN (SELECT day FROM HOL) AS INT) AS is_holiday FROM (SELECT ts_utc + to_hours(CAST(datediff('day', DATE '1970-01-01', {day}) % 24 AS INT)) AS ts_utc FROM D WHERE ba = '1-URGENT')"
+            f"SELECT ba, {t()}, {r('sin(hour(ts_utc) * (2 * pi() / 24))', 'hour_sin')}, {r('cos(hour(ts_utc) * (2 * pi() / 24))', 'hour_cos')}, {r('sin((isodow(ts_utc) - 1) * (2 * pi() / 7))', 'dow_sin')}, {r('cos((isodow(ts_utc) - 1) * (2 * pi() / 7))', 'dow_cos')}, CAST(isodow(ts_utc) >= 6 AS INT) AS is_weekend, CAST({day} IN (SELECT day FROM HOL) AS INT) AS is_holiday FROM (SELECT ba, ts_utc + to_hours(CAST(datediff('day', DATE '1970-01-01', {day}) % 24 AS INT)) AS ts_utc FROM D)"
         ),
         "special_day_features": sql(
             f"SELECT CAST(day AS VARCHAR) AS day, CAST(NOT o AND coalesce(lag(o) OVER w, FALSE) AND coalesce(lead(o) OVER w, FALSE) AS INT) AS is_bridge, round(greatest(-7, least(7, CASE WHEN nx IS NULL AND pv IS NULL THEN 7 WHEN pv IS NULL OR nx - pos <= pos - pv THEN pos - nx ELSE pos - pv END)) / 7.0::DOUBLE, 7) AS hol_prox FROM (SELECT *, min(CASE WHEN h THEN pos END) OVER (ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nx, max(CASE WHEN h THEN pos END) OVER (ORDER BY pos ROWS UNBOUNDED PRECEDING) AS pv FROM (SELECT day, row_number() OVER (ORDER BY day) AS pos, day IN (SELECT day FROM HOL) AS h, day IN (SELECT day FROM HOL) OR isodow(day) >= 6 AS o FROM (SELECT DISTINCT {day} AS day FROM D))) WINDOW w AS (ORDER BY pos)"
@@ -223,7 +240,8 @@ def oracle_sql() -> dict[str, str]:
         "agg_holdout_gap": sql("SELECT round(a, 7) AS tuned, round(b, 7) AS holdout, round(b - a, 7) AS gap FROM (SELECT avg(mase) FILTER (k % 2 <> 0) AS a, avg(mase) FILTER (k % 2 = 0) AS b FROM (SELECT mase, row_number() OVER (ORDER BY ba) - 1 AS k FROM PM))"),
         "agg_step_mase": sql("SELECT CAST(step AS INT) AS step, round(m, 7) AS mase, CAST(min(CASE WHEN m >= 1 THEN step + 1 END) OVER () AS INT) AS break_even FROM (SELECT step, avg(e / denom) AS m FROM (SELECT ba, step, avg(abs(y - mean)) AS e FROM SC GROUP BY 1, 2) JOIN DE USING (ba) GROUP BY 1)"),
         "agg_skill_vs_baseline": sql(_ratio("SC", "PE")),
-        "agg_bootstrap_ci": _bootstrap_sql(),
+        "agg_bootstrap_ci": _bootstrap_sql(200, 0),
+        "agg_bootstrap_ci_seeded": _bootstrap_sql(500, 11),
         "agg_conformal_delta": sql(_delta(False)),
         "agg_peer_correlation": sql(f"SELECT ba, peer, {r('r')} FROM PC"),
         "agg_weather_skill": sql("SELECT ba, round(avg(abs(f - a)), 7) AS mae, round(sqrt(avg((f - a) ** 2)), 7) AS rmse, round(corr(f, a), 7) AS corr, round(avg(f - a), 7) AS bias FROM (SELECT ba, temp_c_fcst + hour(ts_utc) / 10.0::DOUBLE AS f, temp_c_anal AS a FROM AR) GROUP BY 1"),
@@ -298,7 +316,7 @@ def oracle_sql() -> dict[str, str]:
         "udf_forecaster": sql("SELECT o.ba, o.origin, CAST(s.step AS INT) AS step, I.y AS mean FROM (SELECT * FROM O0 WHERE origin >= 48) o CROSS JOIN (SELECT unnest(range(24)) AS step) s JOIN I ON I.ba = o.ba AND I.idx = o.origin - 24 + s.step"),
         "stream_ingest_append": sql(f"SELECT ba, CAST(2024 AS INT) AS year, CAST(1 AS INT) AS month, count(*) AS n, {_sum('load_mw')} AS total FROM (SELECT * FROM L UNION ALL SELECT * FROM L WHERE ts_utc >= TIMESTAMP '2024-01-27') GROUP BY 1"),
         "stream_dedupe_revisions": f"SELECT event_type AS ba, {t('h', 'ts_utc')}, value AS load_mw, event_id AS tie FROM (SELECT *, date_trunc('hour', ts) AS h, row_number() OVER (PARTITION BY event_type, date_trunc('hour', ts) ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1",
-        "stream_current_load": sql(f"SELECT {t('x.ts_utc')}, round(total, 7) AS total_mw, n AS ba_count FROM (SELECT ts_utc, sum(load_mw) AS total, count(*) AS n FROM S WHERE load_mw > 0 AND load_mw < 200000 GROUP BY 1 HAVING count(*) >= 5) x WHERE ts_utc < TIMESTAMP '2024-01-20'"),
+        "stream_current_load": sql(f"SELECT {t('ts_utc')}, round(sum(load_mw), 7) AS total_mw, count(*) AS ba_count FROM (SELECT user_id, date_trunc('hour', ts) AS ts_utc, arg_max(value, (ts, event_id)) AS load_mw FROM events GROUP BY 1, 2) WHERE load_mw > 0 AND load_mw < 200000 AND ts_utc < TIMESTAMP '2024-01-20' GROUP BY ts_utc HAVING count(*) >= 5"),
         "stream_rolling_24h": sql(f"SELECT {t('w', 'w_start')}, {t('w + INTERVAL 24 HOUR', 'w_end')}, round(sum(load_mw), 7) AS total_mw, count(*) AS n FROM (SELECT load_mw, ts_utc - to_hours(CAST(k AS INT)) AS w FROM L CROSS JOIN (SELECT unnest(range(24)) AS k)) WHERE w + INTERVAL 24 HOUR <= TIMESTAMP '2024-01-25' GROUP BY w"),
         "stream_gap_sessions": sql(f"SELECT ba, {t('a', 's_start')}, {t('e', 's_end')}, n FROM (SELECT ba, min(ts_utc) AS a, max(ts_utc) + INTERVAL 3 HOUR AS e, count(*) AS n FROM (SELECT ba, ts_utc, sum(b) OVER (PARTITION BY ba ORDER BY ts_utc) AS g FROM (SELECT ba, ts_utc, CASE WHEN ts_utc <= lag(ts_utc) OVER (PARTITION BY ba ORDER BY ts_utc) + INTERVAL 3 HOUR THEN 0 ELSE 1 END AS b FROM S)) GROUP BY ba, g) WHERE e < TIMESTAMP '2024-01-24'"),
         "stream_late_rows": sql(f"SELECT {t('w', 'w_start')}, round(sum(load_mw), 4) AS total_mw FROM (SELECT load_mw, ts_utc - to_hours(CAST(k AS INT)) AS w FROM L CROSS JOIN (SELECT unnest(range(24)) AS k)) WHERE w + INTERVAL 24 HOUR <= TIMESTAMP '2024-01-25' GROUP BY w"),

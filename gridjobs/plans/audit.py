@@ -26,15 +26,15 @@ def causal_audit(indexed: DataFrame, origins: DataFrame, build: Callable[[DataFr
     archived channels are left out by the caller) is bumped at and after each origin; a value that changes has leaked.
     One origin's bump must not reach another's window, so origins are keyed into the series.
     """
-    copies = indexed.join(origins, "ba").withColumn("ba", F.concat_ws("@", "ba", "origin"))
-    keyed = origins.withColumn("ba", F.concat_ws("@", "ba", "origin"))
+    copies = indexed.join(origins, "ba").withColumn("ba", F.to_json(F.struct("ba", "origin")))
+    keyed = origins.withColumn("ba", F.to_json(F.struct("ba", "origin")))
     bumped = copies.select(*(F.when(F.col("idx") >= F.col("origin"), F.col(c) + BUMP).otherwise(F.col(c)).alias(c) if c in covariates else F.col(c) for c in copies.columns))
     a, b = (build(x.drop("origin"), keyed) for x in (copies, bumped))
     both = a.withColumnRenamed("value", "v1").join(b.withColumnRenamed("value", "v2"), ["ba", "origin", "step", "covariate"], "full")
     leaks = both.where(~F.col("v1").eqNullSafe(F.col("v2"))).select("ba", "origin", "covariate", F.lit("leak").alias("problem")).distinct()
     want = keyed.withColumn("covariate", F.explode(F.array(*map(F.lit, declared))))
     absent = want.join(a.select("ba", "origin", "covariate").distinct(), ["ba", "origin", "covariate"], "left_anti").select("ba", "origin", "covariate", F.lit("missing").alias("problem"))
-    return leaks.unionByName(absent).withColumn("ba", F.element_at(F.split("ba", "@"), 1))
+    return leaks.unionByName(absent).withColumn("ba", F.get_json_object("ba", "$.ba"))
 
 
 def timestamp_only_audit(rows: DataFrame, columns: list[str], ts: str = "ts_utc") -> DataFrame:

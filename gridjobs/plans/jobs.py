@@ -11,12 +11,16 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import calendar_features
 from ..operators import conformal, joins, metrics, peers, series
+from ..session import stored
 
 
 def prepare(load: DataFrame, splits: tuple[str, str, str], k: float = 20.0) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(filled and indexed series, split bounds, denominators) of a deduplicated load table."""
-    cleaned = series.robust_clean(load, k=k)
-    indexed = series.row_index(series.fill(cleaned))
+    """(filled and indexed series, split bounds, denominators) of a deduplicated load table.
+
+    Bounds, denominators, forecasts and truths all read the prepared series, so it is written once.
+    """
+    cleaned = series.robust_clean(stored(load, "load"), k=k)
+    indexed = stored(series.row_index(series.fill(cleaned)), "indexed")
     meta = series.split_bounds(indexed, *splits)
     return indexed, meta, series.mase_denominator(indexed, meta)
 
@@ -26,13 +30,13 @@ def feature_table(load: DataFrame, weather: DataFrame, gen: DataFrame, archived:
 
     Dedupe comes first, as a revision can be the outlier; cleaning precedes filling; lags count rows after that.
     """
-    latest = series.dedupe_latest(load)
+    latest = stored(series.dedupe_latest(load), "latest")
     cleaned = series.robust_clean(latest, k=k)
     joined = joins.gen_pivot(joins.left_on_ts(cleaned, weather), gen)
     filled = joined
     for c in ("load_mw", "temp_c", "WND", "SUN"):
         filled = series.fill(filled, c)
-    indexed = series.row_index(filled)
+    indexed = stored(series.row_index(filled), "features")
     aligned = joins.analysis_past(joins.forecast_alignment(indexed, archived), mode)
     dated = calendar_features(aligned, holidays)
     best = peers.top_peers(peers.peer_correlation(indexed.select("ba", "ts_utc", "load_mw"), splits[0]), n_peers)
@@ -59,12 +63,13 @@ def with_band(scored: DataFrame, width: float = 0.1) -> DataFrame:
 
 def operator_comparison(actual: DataFrame, own: DataFrame, operator: DataFrame, denom: DataFrame) -> DataFrame:
     """Rows (ba, n, mae_own, mae_op, mase_own, mase_op, mae_ratio) on the timestamps that all three share."""
-    a = joins.actual_vs_forecast(actual, own)
-    b = joins.actual_vs_forecast(actual, operator)
-    shared = a.select("ba", "ts_utc").join(b.select("ba", "ts_utc"), ["ba", "ts_utc"])
-    x = metrics.error_scores(a.join(shared, ["ba", "ts_utc"], "left_semi"), denom).select("ba", "n", F.col("mae").alias("mae_own"), F.col("mase").alias("mase_own"))
-    y = metrics.error_scores(b.join(shared, ["ba", "ts_utc"], "left_semi"), denom).select("ba", F.col("mae").alias("mae_op"), F.col("mase").alias("mase_op"))
-    return x.join(y, "ba").withColumn("mae_ratio", F.try_divide("mae_op", "mae_own"))
+    keys = ["ba", "ts_utc"]
+    own, operator = (x.select(*keys, F.col("forecast_mw").alias(c)) for x, c in ((own, "own"), (operator, "op")))
+    both = actual.select(*keys, "load_mw").join(own, keys).join(operator, keys)
+    miss = {c: F.abs(F.col(c) - F.col("load_mw")) for c in ("own", "op")}
+    per = both.groupBy("ba").agg(F.count(miss["own"]).alias("n"), *(F.avg(m).alias(f"mae_{c}") for c, m in miss.items()))
+    per = per.join(denom, "ba", "left")
+    return per.select("*", *(F.try_divide(f"mae_{c}", "denom").alias(f"mase_{c}") for c in miss)).drop("denom").withColumn("mae_ratio", F.try_divide("mae_op", "mae_own"))
 
 
 def conformal_fit(scored: DataFrame, coverage: float = 0.8) -> DataFrame:

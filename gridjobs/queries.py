@@ -13,7 +13,7 @@ from . import oracles, registry, schemas
 from .functions import calendar
 from .operators import conformal, joins, live, metrics, peers, series
 from .plans import audit, jobs
-from .session import scratch_path
+from .session import scratch_path, stored
 from .sources import payloads, sinks, store, text
 from .streaming import jobs as streams
 
@@ -37,7 +37,7 @@ def r(c: str, name: str | None = None) -> Column:
 
 
 def filled(spark: SparkSession, d: str) -> DataFrame:
-    return series.row_index(series.fill(series.robust_clean(A.load_hourly(spark, d), k=K)))
+    return stored(series.row_index(series.fill(series.robust_clean(stored(A.load_hourly(spark, d), "load"), k=K))), "filled")
 
 
 def prepared(spark: SparkSession, d: str, k: float = K):
@@ -54,7 +54,7 @@ def scored(spark: SparkSession, d: str):
 def temperatures(spark: SparkSession, d: str) -> DataFrame:
     """Load and temperature by hour, both filled, indexed."""
     both = joins.left_on_ts(A.load_hourly(spark, d), A.weather(spark, d))
-    return series.row_index(series.fill(series.fill(both), "temp_c"))
+    return stored(series.row_index(series.fill(series.fill(both), "temp_c")), "temperatures")
 
 
 def aligned(spark: SparkSession, d: str) -> DataFrame:
@@ -328,9 +328,9 @@ def local_hour(spark, d):
 
 @query
 def calendar_features(spark, d):
-    rows = A.daily_orders(spark, d).where("ba = '1-URGENT'").select(F.expr("ts_utc + make_interval(0, 0, 0, 0, pmod(datediff(ts_utc, date'1970-01-01'), 24))").alias("ts_utc"))
+    rows = A.daily_orders(spark, d).select("ba", F.expr("ts_utc + make_interval(0, 0, 0, 0, pmod(datediff(ts_utc, date'1970-01-01'), 24))").alias("ts_utc"))
     out = calendar.calendar_features(rows, calendar.holiday_table(spark))
-    return out.select(t(), r("hour_sin"), r("hour_cos"), r("dow_sin"), r("dow_cos"), "is_weekend", "is_holiday")
+    return out.select("ba", t(), r("hour_sin"), r("hour_cos"), r("dow_sin"), r("dow_cos"), "is_weekend", "is_holiday")
 
 
 @query
@@ -566,7 +566,7 @@ def agg_skill_vs_baseline(spark, d):
 @query
 def agg_bootstrap_ci(spark, d):
     rows, denom, _, _ = scored(spark, d)
-    return metrics.bootstrap_ci_indexed(metrics.window_errors(rows, denom)).select(r("lo"), r("hi"), "replicates")
+    return metrics.bootstrap_ci(metrics.window_errors(rows, denom), 200, 0).select(r("lo"), r("hi"), "replicates")
 
 
 @query
@@ -881,7 +881,7 @@ def _stream(spark, d, rows: DataFrame, schema: str, days: int = 10) -> DataFrame
     """The rows as a stream of files in order of their time, ``days`` days a file."""
     path = scratch_path(spark, "stream")
     rows = rows.select(*(c for c, _ in schemas.columns(schema)))
-    for first in range(1, 31, days):
+    for first in range(1, 32, days):
         rows.where(F.dayofmonth("ts_utc").between(first, first + days - 1)).coalesce(1).write.mode("append").parquet(path)
     return streams.source(spark, path, schema, 1)
 
@@ -903,19 +903,24 @@ def stream_dedupe_revisions(spark, d):
 
 @query
 def stream_current_load(spark, d):
-    out = streams.run_to_memory(streams.current_load(_stream(spark, d, A.load_by_user(spark, d), LOAD, 5), 5), "append")
+    path, scratch, check = (scratch_path(spark, x) for x in ("current", "merge", "checkpoint"))
+    out = streams.current_load(_stream(spark, d, A.user_revisions(spark, d), REVISED, 5), path, scratch, REVISED, check, 5, ["tie"])
     return out.where("ts_utc < timestamp'2024-01-20'").select(t(), r("total_mw"), "ba_count")
 
 
+def _appended(spark, stream: DataFrame) -> DataFrame:
+    return streams.run_to_table(stream, scratch_path(spark, "sink"), scratch_path(spark, "checkpoint"))
+
+
 @query
 def stream_rolling_24h(spark, d):
-    out = streams.run_to_memory(streams.rolling_24h(_stream(spark, d, A.load_hourly(spark, d), LOAD)), "append")
+    out = _appended(spark, streams.rolling_24h(_stream(spark, d, A.load_hourly(spark, d), LOAD)))
     return out.where("w_end <= timestamp'2024-01-25'").select(t("w_start"), t("w_end"), r("total_mw"), "n")
 
 
 @query
 def stream_gap_sessions(spark, d):
-    out = streams.run_to_memory(streams.gap_sessions(_stream(spark, d, A.load_by_user(spark, d), LOAD)), "append")
+    out = _appended(spark, streams.gap_sessions(_stream(spark, d, A.load_by_user(spark, d), LOAD)))
     return out.where("s_end < timestamp'2024-01-24'").select("ba", t("s_start"), t("s_end"), "n")
 
 
@@ -926,7 +931,7 @@ def stream_late_rows(spark, d):
     late = rows.where("ts_utc < timestamp'2024-01-03'").withColumn("load_mw", F.lit(1e6))
     for i, part in enumerate((rows.where("ts_utc < timestamp'2024-01-20'"), rows.where("ts_utc >= timestamp'2024-01-20'"), late)):
         part.select("ba", "ts_utc", "load_mw").coalesce(1).write.mode("append").parquet(f"{path}/part={i}")
-    out = streams.run_to_memory(streams.rolling_24h(streams.source(spark, f"{path}/*", LOAD, 1)), "append")
+    out = _appended(spark, streams.rolling_24h(streams.source(spark, f"{path}/*", LOAD, 1)))
     return out.where("w_end <= timestamp'2024-01-25'").select(t("w_start"), F.round("total_mw", 4).alias("total_mw"))
 
 

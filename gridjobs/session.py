@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str | None = None, **conf: str) -> SparkSession:
@@ -22,11 +22,25 @@ _own: dict[str, str] = {}
 
 
 def scratch_path(spark: SparkSession, what: str) -> str:
-    """A new path in the folder that spark.checkpoint.dir names; a temporary one where it is unset (one machine)."""
+    """A new path in the shared folder that spark.checkpoint.dir names.
+
+    Where it is unset, a session on one machine (as in tests) gets a temporary folder; a cluster is an error, as its
+    machines share no local folder.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         app = spark.sparkContext.applicationId
         if app not in _own:
             _own[app] = tempfile.mkdtemp(prefix="gridjobs-")
         root = _own[app]
     return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, what: str = "step") -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back, so that several readers do not compute it again."""
+    path = scratch_path(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -144,16 +144,35 @@ def station_daily(pages: DataFrame, source: str = "ghcnd") -> DataFrame:
 
 
 def grib_index(lines: DataFrame, file: str = "file") -> DataFrame:
-    """Index lines n:byte:d=ref:var:level:forecast: to records with their byte range; other lines are skipped.
+    """Index lines number:byte:d=reference:variable:level:forecast:... to records with their byte range.
 
-    The last record of a file has no end.
+    Lines with fewer fields, with an empty one, or whose number, byte or reference time are not digits are skipped;
+    variable, level and forecast are trimmed.  The last record of a file has no end.
     """
-    part = lambda i: F.regexp_extract("value", r"^(\d+):(\d+):d=(\d+):([^:]*):([^:]*):([^:]*):", i)
-    rows = lines.select(file, part(1).alias("n"), part(2).alias("b"), part(3).alias("ref_time"), part(4).alias("variable"), part(5).alias("level"), part(6).alias("forecast")).where("n <> ''")
-    rows = rows.select(file, F.col("n").cast("int").alias("record_no"), F.col("b").cast("bigint").alias("byte_start"), "ref_time", "variable", "level", "forecast")
+    cell = F.split("value", ":")
+    named = ["n", "byte", "reference", "variable", "level", "forecast"]
+    rows = lines.where(F.size(cell) > len(named)).select(file, *(cell[i].alias(c) for i, c in enumerate(named)))
+    rows = rows.where(F.col("reference").startswith("d=")).withColumn("reference", F.substr("reference", F.lit(3)))
+    digits = [F.col(c).rlike("^[0-9]+$") for c in named[:3]]
+    filled = [F.col(c) != "" for c in named[3:]]
+    rows = rows.where(reduce(lambda a, b: a & b, digits + filled))
+    rows = rows.select(file, F.col("n").cast("int").alias("record_no"), F.col("byte").cast("bigint").alias("byte_start"), F.col("reference").alias("ref_time"), *(F.trim(c).alias(c) for c in named[3:]))
     return rows.withColumn("byte_end", F.lead("byte_start").over(Window.partitionBy(file).orderBy("record_no", "byte_start", "ref_time", "variable")) - 1)
 
 
+def find_record(records: DataFrame, variable: str, level: str | None = None, file: str = "file") -> DataFrame:
+    """The first record of each file for a variable (and a level, if one is named); files without one are absent."""
+    wanted = records.where((F.col("variable") == variable) & (F.lit(True) if level is None else F.col("level") == level))
+    w = Window.partitionBy(file).orderBy("record_no", "byte_start")
+    return wanted.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def report_rows(rows: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Rows of unpacked reports with the document they come from: adds doc_id and publish_date by ``path`` = doc_id."""
+    docs = catalog.select(F.col("doc_id").alias("path"), "doc_id", "publish_date").dropDuplicates(["path"])
+    return rows.join(docs, "path", "left")
+
+
 def union_ragged(frames: list[DataFrame]) -> DataFrame:
     """All rows of frames with differing columns; a column with differing types becomes double, or else string."""
     kinds: dict[str, set[str]] = {}
@@ -169,7 +188,7 @@ def union_ragged(frames: list[DataFrame]) -> DataFrame:
 def date_windows(ranges: DataFrame, days: int | None = None, keep: list[str] = ()) -> DataFrame:
     """[start, end) of each row in chunks of ``days``, or of calendar years; the last one is cut off: (w_start, w_end)."""
     if days:
-        rows = ranges.where("start < end").select(*keep, "end", F.explode(F.expr(f"sequence(start, end - interval 1 second, interval {days} day)")).alias("w_start"))
+        rows = ranges.where("start < end").select(*keep, "end", F.explode(F.expr(f"sequence(start, greatest(start, end - interval 1 second), interval {days} day)")).alias("w_start"))
         return rows.select(*keep, "w_start", F.least(F.expr(f"w_start + interval {days} day"), "end").alias("w_end"))
-    rows = ranges.where("start < end").select(*keep, "start", "end", F.explode(F.expr("sequence(date_trunc('year', start), end - interval 1 second, interval 1 year)")).alias("y"))
+    rows = ranges.where("start < end").select(*keep, "start", "end", F.explode(F.expr("sequence(date_trunc('year', start), greatest(start, end - interval 1 second), interval 1 year)")).alias("y"))
     return rows.select(*keep, F.greatest("y", "start").alias("w_start"), F.least(F.expr("y + interval 1 year"), "end").alias("w_end"))

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from ..operators.live import sane
 from ..schemas import columns
-from ..session import scratch_path
 from ..sources import store
 
 LATE = "72 hours"
@@ -21,11 +20,10 @@ def source(spark: SparkSession, path: str, schema: str, files_per_trigger: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def run_to_memory(stream: DataFrame, mode: str) -> DataFrame:
-    """Run what is available to the end and give the sink's rows; for small results and tests."""
-    name = "mem_" + scratch_path(stream.sparkSession, "q").rsplit("-", 1)[1]
-    stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.table(name)
+def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Append what is available to a table, to the end, and give the table: nothing passes through the driver."""
+    stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
 def land(stream: DataFrame, path: str, checkpoint: str) -> None:
@@ -50,11 +48,15 @@ def upsert_latest(stream: DataFrame, path: str, scratch: str, schema: str, check
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def current_load(stream: DataFrame, min_bas: int, late: str = LATE) -> DataFrame:
-    """(ts_utc, total_mw, ba_count) by hour of exact replays removed: one row for each (ts, ba), then sum and count."""
-    once = stream.where(sane()).withWatermark("ts_utc", late).dropDuplicatesWithinWatermark(["ts_utc", "ba"])
-    hours = once.groupBy(F.window("ts_utc", "1 hour")).agg(F.sum("load_mw").alias("total_mw"), F.count("*").alias("ba_count"))
-    return hours.where(F.col("ba_count") >= min_bas).select(F.col("window.start").alias("ts_utc"), "total_mw", "ba_count")
+def current_load(stream: DataFrame, path: str, scratch: str, schema: str, checkpoint: str, min_bas: int, ties: list[str] = ()) -> DataFrame:
+    """(ts_utc, total_mw, ba_count) by hour: revisions are upserted across micro-batches, then summed.
+
+    The latest revision of a (ts, ba) wins before the range filter, so an invalid one hides its BA-hour, as in the batch job.
+    """
+    upsert_latest(stream, path, scratch, schema, checkpoint, ties)
+    rows = store.scan(stream.sparkSession, path, schema).where(sane())
+    hours = rows.groupBy("ts_utc").agg(F.sum("load_mw").alias("total_mw"), F.count("*").alias("ba_count"))
+    return hours.where(F.col("ba_count") >= min_bas)
 
 
 def rolling_24h(stream: DataFrame, late: str = LATE) -> DataFrame:

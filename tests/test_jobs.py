@@ -19,7 +19,7 @@ def test_entry(spark):
 def test_every_query_has_sql_or_is_known():
     from gridjobs import queries
 
-    assert set(queries.queries()) - set(queries.oracle_sql()) == {"agg_bootstrap_ci_seeded", "job_hourly_regression"}
+    assert set(queries.queries()) - set(queries.oracle_sql()) == {"job_hourly_regression"}
     assert set(queries.oracle_sql()) <= set(queries.queries())
 
 
@@ -93,3 +93,21 @@ def test_late_revisions_win_in_the_stream(spark):
     to = scratch_path(spark, "out")
     streams.upsert_latest(streams.source(spark, path, kind, 1), to, scratch_path(spark, "merge"), kind, scratch_path(spark, "check"), ["tie"])
     assert [r.load_mw for r in store.scan(spark, to, kind).collect()] == [3.0]
+
+
+def test_streamed_demand_takes_revisions_like_the_batch_job(spark):
+    from gridjobs.operators import live
+    from gridjobs.session import scratch_path
+
+    kind = "ba string, ts_utc timestamp, load_mw double, as_of timestamp, tie long"
+    rows = [(b, f"2024-01-31 0{h}:00:00", 100.0 + h, "2024-02-01", 1) for b in "ABC" for h in range(3)]
+    later = [("A", "2024-01-31 00:00:00", 700.0, "2024-02-02", 2), ("B", "2024-01-31 01:00:00", -5.0, "2024-02-02", 2), ("C", "2024-01-31 02:00:00", 1.0, "2024-01-15", 9)]
+    path, frames = scratch_path(spark, "in"), []
+    for part in (rows, later):
+        frames.append(spark.createDataFrame(part, "ba string, ts_utc string, load_mw double, as_of string, tie long").selectExpr("ba", "cast(ts_utc as timestamp) ts_utc", "load_mw", "cast(as_of as timestamp) as_of", "tie"))
+        frames[-1].coalesce(1).write.mode("append").parquet(path)
+    streamed = streams.current_load(streams.source(spark, path, kind, 1), *(scratch_path(spark, x) for x in ("to", "merge")), kind, scratch_path(spark, "check"), 2, ["tie"])
+    batch = live.current_load(frames[0].unionAll(frames[1]), 10, 2, ["tie"])
+    got = {(str(r.ts_utc), r.total_mw, r.ba_count) for r in streamed.collect()}
+    assert got == {(str(r.ts_utc), r.total_mw, r.ba_count) for r in batch.collect()}
+    assert ("2024-01-31 00:00:00", 900.0, 3) in got and ("2024-01-31 01:00:00", 202.0, 2) in got

@@ -183,8 +183,10 @@ def test_bootstrap_is_seeded(spark):
     e = spark.createDataFrame([("A", i, float(i)) for i in range(50)], "ba string, origin long, err double")
     a, b = metrics.bootstrap_ci(e, 100, 3).first(), metrics.bootstrap_ci(e.orderBy(F.desc("err")), 100, 3).first()
     assert (a.lo, a.hi) == (b.lo, b.hi) and a.lo < 24.5 < a.hi
-    with pytest.raises(ValueError):
-        metrics.bootstrap_ci(e, 10, max_pool=10)
+    other = metrics.bootstrap_ci(e, 100, 4).first()
+    assert (other.lo, other.hi) != (a.lo, a.hi)
+    w = spark.range(20000).select(metrics.poisson_weight(F.col("id").cast("string")).alias("w")).agg(F.avg("w").alias("m"), F.var_pop("w").alias("v")).first()
+    assert abs(w.m - 1) < 0.03 and abs(w.v - 1) < 0.06
 
 
 def test_flatlines(spark):

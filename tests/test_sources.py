@@ -115,8 +115,11 @@ def test_zip_members(spark):
     def rows(content):
         return payloads.unzip_csv(spark.createDataFrame([("p", bytearray(content))], "path string, content binary")).collect()
 
-    got = rows(zipped({"a.csv": "ts,node,lmp\n2026-01-01,HB_NORTH,42.5", "readme.txt": "x", "blank.csv": " \n", "head.csv": "only,a,header"}))
-    assert [(r.member, json.loads(r.row)) for r in got] == [("a.csv", {"ts": "2026-01-01", "node": "HB_NORTH", "lmp": "42.5"})]
+    got = rows(zipped({"prices.CSV": "when,hub,usd\n1999-12-31,west,7\n1999-12-31,east,", "notes.md": "no table", "empty.csv": "\n\n", "bare.csv": "when,hub,usd"}))
+    assert [(r.member, json.loads(r.row)) for r in got] == [("prices.CSV", {"when": "1999-12-31", "hub": hub, "usd": usd}) for hub, usd in (("west", "7"), ("east", ""))]
+    catalog = spark.sql("SELECT 'p' AS doc_id, timestamp'2000-01-01' AS publish_date UNION ALL SELECT 'q', timestamp'2000-01-02'")
+    frame = spark.createDataFrame(got, "path string, member string, row string")
+    assert {(r.doc_id, str(r.publish_date)) for r in payloads.report_rows(frame, catalog).collect()} == {("p", "2000-01-01 00:00:00")}
     for bad in ({"../a.csv": "x"}, {"/a.csv": "x"}, {f"{i}.csv": "a\n1" for i in range(65)}):
         with pytest.raises(Exception, match="unsafe|too many"):
             rows(zipped(bad))
@@ -138,21 +141,29 @@ def test_storm_times(spark):
     assert str(payloads.storm_events(rows.drop("BEGIN_DATE_TIME")).first().ts_utc) == "1996-01-01 00:00:00"
 
 
-def test_index_and_grib(spark):
-    page = "".join(f'<a href="StormEvents_{k}-ftp_v1.0_d{y}_c{c}.csv.gz">' for k, y, c in (("details", 2024, 20250203), ("details", 2024, 20240301), ("details", 2023, 20240915), ("locations", 2024, 20260101)))
-    assert {(r.year, r.revision) for r in payloads.latest_revisions(values(spark, page)).collect()} == {(2024, 20250203), (2023, 20240915)}
-    lines = values(spark, "1:0:d=2026010206:TMP:2 m above ground:1 hour fcst:", "2:524288:d=2026010206:DPT:2 m above ground:1 hour fcst:", "bad", "3:1048576:d=2026010206:UGRD:10 m above ground:1 hour fcst:").withColumn("file", F.lit("f"))
-    got = {r.variable: (r.byte_start, r.byte_end) for r in payloads.grib_index(lines).collect()}
-    assert got == {"TMP": (0, 524287), "DPT": (524288, 1048575), "UGRD": (1048576, None)}
+def test_index_takes_the_newest_revision_of_a_year(spark):
+    names = ["x_details_d1971_c19990102.csv.gz", "x_details_d1971_c20101112.csv.gz", "y_details_d1988_c20050607.csv.gz", "x_deaths_d1971_c20200101.csv.gz", "x_details_d1990_c20000101.txt"]
+    page = "<ul>" + "".join(f'<li><a href="{n}">{n}</a></li>' for n in names) + "</ul>"
+    assert {(r.year, r.revision) for r in payloads.latest_revisions(values(spark, page)).collect()} == {(1971, 20101112), (1988, 20050607)}
+
+
+def test_grib_records(spark):
+    lines = ["7:90:d=2031050418:HGT: 500 mb :anl:", "8:250:d=2031050418:RH:850 mb:anl:extra:fields", "9:300:d=2031050418::850 mb:anl:", "10:x:d=2031050418:RH:850 mb:anl:", "11:400:2031050418:RH:850 mb:anl:", "12:500:d=2031050418:RH:700 mb:anl"]
+    records = payloads.grib_index(values(spark, *lines).withColumn("file", F.lit("f")))
+    assert {(r.record_no, r.variable, r.level, r.byte_start, r.byte_end) for r in records.collect()} == {(7, "HGT", "500 mb", 90, 249), (8, "RH", "850 mb", 250, None)}
+    assert payloads.find_record(records, "RH").first().record_no == 8
+    assert payloads.find_record(records, "HGT", "500 mb").count() == 1 and payloads.find_record(records, "HGT", "2 mb").count() == 0
 
 
 def test_date_windows(spark):
-    spans = spark.sql("SELECT timestamp'2024-01-01' AS start, timestamp'2024-04-01' AS end")
-    rows = payloads.date_windows(spans, 28).orderBy("w_start").collect()
-    assert len(rows) == 4 and str(rows[0].w_start) == "2024-01-01 00:00:00" and str(rows[-1].w_end) == "2024-04-01 00:00:00"
-    assert payloads.date_windows(spark.sql("SELECT timestamp'2024-01-01' AS start, timestamp'2024-02-16' AS end"), 28).count() == 2
-    years = payloads.date_windows(spark.sql("SELECT timestamp'2022-06-01' AS start, timestamp'2024-02-16' AS end")).orderBy("w_start").collect()
-    assert [str(r.w_end)[:10] for r in years] == ["2023-01-01", "2024-01-01", "2024-02-16"]
+    def spans(start, end, days=None):
+        rows = payloads.date_windows(spark.sql(f"SELECT timestamp'{start}' AS start, timestamp'{end}' AS end"), days)
+        return [(str(r.w_start)[:10], str(r.w_end)[:10]) for r in rows.orderBy("w_start").collect()]
+
+    assert spans("1999-12-20", "2000-01-09", 10) == [("1999-12-20", "1999-12-30"), ("1999-12-30", "2000-01-09")]
+    assert spans("1999-12-20", "2000-01-10", 10)[-1] == ("2000-01-09", "2000-01-10")
+    assert spans("2011-11-11", "2013-03-03") == [("2011-11-11", "2012-01-01"), ("2012-01-01", "2013-01-01"), ("2013-01-01", "2013-03-03")]
+    assert spans("2000-01-01", "2000-01-01") == []
 
 
 def test_union_ragged(spark):
@@ -169,7 +180,12 @@ def test_redact_url(spark, url, want):
 
 
 def test_redact_text(spark):
-    assert spark.sql("SELECT 'see Password=abc \"x\" apikey=z&q=1' AS t").select(text.redact_text(F.col("t"))).first()[0] == 'see Password=REDACTED "x" apikey=REDACTED&q=1'
+    def masked(x):
+        return spark.createDataFrame([(x,)], "t string").select(text.redact_text(F.col("t"))).first()[0]
+
+    assert masked('see Password=abc "x" apikey=z&q=1') == 'see Password=REDACTED "x" apikey=REDACTED&q=1'
+    assert masked("a my_token=1\nsubscription-key='x' token= token=password=2") == "a my_token=REDACTED\nsubscription-key='x' token= token=REDACTED"
+    assert masked("") == "" and masked("plain text & 'quotes'") == "plain text & 'quotes'" and masked(None) is None
 
 
 def test_docs_are_not_replaced_by_nothing(spark):
