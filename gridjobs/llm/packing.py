@@ -7,88 +7,137 @@ that.  At the end the open windows of groups of ``fan_in`` partitions are merged
 left; only pieces of open windows travel, at most ``fan_in * windows`` of them at once.
 
 Tokens come from an existing vocabulary file (a parameter); words repeat, so each worker keeps the ids of up to
-``CACHE`` words.  Splitting at ASCII white space first does not change the ids: this tokenizer drops white space and no
-rule of it reaches across.  Nulls: a null text is empty and has the end token alone; a null id is kept.  Repeated rows
+``CACHE`` words.  A very long text is held whole, with its ids, by the task that reads it; its full windows leave at once.
+Columns of other names in the input are ignored.  Ties (windows equally full) go to the oldest window.  Nulls: a null text is empty and has the end token alone; a null id is kept.  Repeated rows
 are packed each.  An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import os
+import string
+import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import load, materialize
 
-CACHE = 1_000_000
+CACHE = 600_000
 _SCHEMA = "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long, part long, open boolean"
 _NAMES = [x.split()[0] for x in _SCHEMA.split(", ")]
 _ARROW = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
 
 
-class WordIds:
-    """Token ids (little-endian unsigned 32-bit) of texts, word by word, with a bounded cache.
+def _byte_letters() -> dict[int, str]:
+    """Byte-level vocabularies write a byte as a letter: printable ones as themselves, the others from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {**{b: chr(b) for b in plain}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
+
+
+_LETTERS = _byte_letters()
+_PACK = [struct.Struct(f"<{n}I") for n in range(32)]
+
+
+class _Words(dict):
+    """Ids by word, found when first asked for."""
 
-    New words are encoded many at a time, with a special token of the vocabulary between them; such a token splits the
-    text before anything else, so each word gets the ids that it has alone.  Words that hold part of one go alone.
+    def __init__(self, find) -> None:
+        self.find = find
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self[word] = self.find(word)
+        return ids
+
+
+class WordIds:
+    """Token ids (little-endian unsigned 32-bit) of texts.
+
+    The vocabulary file says how it cuts text.  Where it lower-cases (after composing characters and replacing white
+    space at most), keeps the matches of one pattern that white space ends, and writes bytes as letters, a text's ids
+    are those of its words in turn, and a word's ids those of the pattern's matches; each distinct match then goes to
+    the file's model once for each worker.  Words beyond the Latin letters, for which libraries might disagree about
+    cases and classes, and words that hold an added token are encoded by the tokenizer itself.  Of any other file whole
+    texts are encoded plainly.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-        added = self.tokenizer.get_added_tokens_decoder()
-        self.marks = [t.content for t in added.values()]
-        self.odd = {c.encode()[:2] for c in self.marks}
-        self.between = next(((i, t.content) for i, t in added.items() if t.special and not (t.normalized or t.lstrip or t.rstrip)), None)
-
-    def _form(self, word: bytes) -> tuple[bytes, bytes]:
-        """(form to encode, end sign): the vocabulary lower-cases and splits a word's end sign off, so forms share ids."""
-        if any(c in word for c in self.odd):
-            return word, b""
-        w = word.lower()
-        return (w[:-1], w[-1:]) if w[-1:] in (b".", b",") and b"a" <= w[-2:-1] <= b"z" else (w, b"")
-
-    def _alone(self, words: list[bytes]) -> None:
-        for w in words:
-            self.known[w] = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn(self, words: list[bytes]) -> None:
-        if self.between is None:
-            return self._alone(words)
-        alone = [w for w in words if any(c in w for c in self.odd)]
-        self._alone(alone)
-        words, (mark, text) = [w for w in words if w not in self.known], self.between
-        for i in range(0, len(words), 2048):
-            some = words[i : i + 2048]
-            (got,) = self.tokenizer.encode_batch_fast([text.join([w.decode() for w in some])], add_special_tokens=False)
-            ids = np.array(got.ids, "<u4")
-            data, stops = ids.tobytes(), [*(np.flatnonzero(ids == mark) * 4).tolist(), 4 * len(ids)]
-            self.known.update(zip(some, [data[a:b] for a, b in zip([0, *(x + 4 for x in stops)], stops)]))
+        self.tokenizer = Tokenizer.from_file(path)
+        self.words = _Words(self._word)
+        self.matches: dict[str, bytes] = {}
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.starts = {x[0] for x in self.added}
+        self.pattern = self._pattern(json.loads(self.tokenizer.to_str()))
+        self.latin = regex.compile("[\u0021-\u012f\u0131-\u024f]+")
+        self.model = self.tokenizer.model
+
+    def _pattern(self, file: dict):
+        """The pattern whose matches are encoded one by one; None if the file cuts text in another way."""
+
+        def steps(part: dict | None, name: str) -> list[dict]:
+            return [] if part is None else part[name] if part["type"] == "Sequence" else [part]
+
+        for n in steps(file["normalizer"], "normalizers"):
+            if n["type"] not in ("NFC", "Lowercase") and not (n["type"] == "Replace" and n["pattern"] == {"Regex": "\\s+"} and n["content"] == " "):
+                return None
+        cuts = steps(file["pre_tokenizer"], "pretokenizers")
+        if [c["type"] for c in cuts] != ["Split", "ByteLevel"] or file["model"]["type"] != "BPE" or file["model"]["dropout"]:
+            return None
+        split, letters = cuts
+        if "Regex" not in split["pattern"] or (split["behavior"], split["invert"]) != ("Removed", True) or letters["add_prefix_space"] or letters["use_regex"]:
+            return None
+        if any(set(x) & set(string.whitespace) for x in self.added):
+            return None
+        self.lower = any(n["type"] == "Lowercase" for n in steps(file["normalizer"], "normalizers"))
+        pattern = regex.compile(split["pattern"]["Regex"])
+        # No match reaches over white space if none does in a text with each kind of character on both sides of it.
+        probe = [f"{a}{gap}{b}" for a in "a1.'\u00e9" for b in "a1.'\u00e9s" for gap in " \n\t\r\x0b\x0c"]
+        return None if any(c in m for p in probe for m in pattern.findall(p) for c in string.whitespace) else pattern
+
+    def _plain(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _match(self, match: str) -> bytes:
+        found = self.matches.get(match)
+        if found is None:
+            plain = match.isascii() and match.isprintable()
+            ids = [t.id for t in self.model.tokenize(match if plain else match.encode().decode("latin-1").translate(_LETTERS))]
+            found = self.matches[match] = (_PACK[len(ids)] if len(ids) < len(_PACK) else struct.Struct(f"<{len(ids)}I")).pack(*ids)
+        return found
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode()
+        if not (text.isascii() or self.latin.fullmatch(text)) or (not self.starts.isdisjoint(text) and any(x in text for x in self.added)):
+            return self._plain(text)
+        found = self.pattern.findall(text.lower() if self.lower else text)
+        return self._match(found[0]) if len(found) == 1 else b"".join(map(self._match, found))
 
     def encode(self, texts: list[bytes | None], end: int) -> Iterator[bytes]:
         tail = end.to_bytes(4, "little")
-        for at in range(0, len(texts), 256):
-            split = [(t or b"").split() for t in texts[at : at + 256]]
-            if len(self.known) > CACHE:
-                self.known.clear()
-            got = [list(map(self.known.get, words)) for words in split]
-            new = {w for words, ids in zip(split, got) if None in ids for w, x in zip(words, ids) if x is None}
-            forms, known = {w: self._form(w) for w in new}, self.known
-            self.learn(list({f for both in forms.values() for f in both if f} - known.keys()))
-            known.update((w, known[f] + known[sign] if sign else known[f]) for w, (f, sign) in forms.items())
-            for words, ids in zip(split, got):
-                if None in ids:
-                    ids = [known[w] if x is None else x for w, x in zip(words, ids)]
-                yield b"".join(ids) + tail
+        if self.pattern is None:
+            for at in range(0, len(texts), 64):
+                for got in self.tokenizer.encode_batch_fast([(t or b"").decode() for t in texts[at : at + 64]], add_special_tokens=False):
+                    yield np.array(got.ids, "<u4").tobytes() + tail
+            return
+        known = self.words
+        for text in texts:
+            if len(known) > CACHE:
+                known.clear()
+            if len(self.matches) > CACHE:
+                self.matches.clear()
+            yield b"".join([*map(known.__getitem__, (text or b"").split()), tail])
 
 
 @functools.lru_cache(maxsize=2)
@@ -180,7 +229,7 @@ def _merge(open_: DataFrame, size: int, level: int, keep_ids: bool, last: bool)
     return open_.groupBy("part").applyInArrow(run, _SCHEMA)
 
 
-def pack(docs: DataFrame, tokenizer: str, end: int, id_col: str = "doc_id", text_col: str = "text", size: int = 4096, windows: int = 32, max_gap: int = 16, fan_in: int = 64, keep_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end: int, id_col: str = "doc_id", text_col: str = "text", size: int = 4096, windows: int = 32, max_gap: int = 16, fan_in: int = 8, keep_ids: bool = True) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids (little-endian unsigned 32-bit; null without ``keep_ids``),
     ids_crc32, doc_tokens, sequence_id, offset.  ``tokenizer`` is the path of a vocabulary file."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
