@@ -10,16 +10,22 @@ variant are compared in full.  A variant shared by two fingerprints gives its pa
 partial aggregation; up to ``bucket_limit`` members are compared pairwise; fuller ones take another exact way whose
 rows grow with the members only: for a distance of up to 2, two fingerprints are within it exactly if flipping at most
 one bit in each makes them equal, so the members that share a flipped value are linked to its smallest member.  For
-larger distances all members of a fuller variant are compared in blocks: every two blocks meet in one task, which
-returns links that connect whatever is within the distance there.
+larger distances every member of a fuller variant is compared with its smallest; only members that this does not link
+meet all others, in blocks of ``BLOCK_NODES``.
 With ``jaccard`` the groups found so are only candidates: inside each, texts are linked anew by the Jaccard similarity
-of their sets of shingle hashes, every two texts of a group in one task at least.
-Equal fingerprints count as one node throughout.  Empty table: empty result.  A null id: the row is fingerprinted and
-takes its component from the other ids of its fingerprint (null if there are none).
+of their sets of shingle hashes.  A group of up to ``BLOCK_BYTES`` of text is compared as a whole; in a larger one all
+texts are compared with one text after another that is still unlinked (``STARS`` times), and then every text outside the
+largest set of linked texts meets all others, in blocks.  So no link between two texts of a group is lost.
+
+Equal fingerprints (wide ones: equal word sequences) count as one node throughout.  Empty table: empty result.  A null
+id: the row is fingerprinted and takes its component from the other ids of its fingerprint (null if there are none).
+Repeated rows share a component.  Columns of other names in the input are ignored, whatever their names.  A very long
+text is hashed in blocks; its words and hashes are held by one task.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Callable, Iterator
 
@@ -33,7 +39,9 @@ from .common import components, load, materialize, release
 
 SEED = 42
 #: Members, and bytes of text, in a block of a group whose members are all compared.
-BLOCK_NODES, BLOCK_BYTES = 1024, 4 << 20
+BLOCK_NODES, BLOCK_BYTES = 1024, 1 << 20
+#: Texts of a large group that all others are compared with, one after another, before blocks are.
+STARS = 4
 #: Odd multipliers that derive further 64-bit words from a shingle's hash, for wide fingerprints.
 _STEP = 0x9E3779B97F4A7C15
 
@@ -108,19 +116,24 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 fps[i, :width] = _words(2 * ones > total)
                 if low:
                     fps[i, width:] = weakest(ones, total, cuts, delete)
-                marks.append(hashlib.md5(b" ".join(words)).hexdigest() if width > 1 else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.string()), *(pa.array(fps[:, j].view(np.int64).copy()) for j in range(width + low))], names=names)
+                marks.append(hashlib.md5(b" ".join(words)).digest() if width > 1 else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.binary()), *(pa.array(fps[:, j].view(np.int64).copy()) for j in range(width + low))], names=names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, words string, " + ", ".join(f"{x} long" for x in names[2:]))
+    return rows.mapInArrow(run, "doc_id long, words binary, " + ", ".join(f"{x} long" for x in names[2:]))
 
 
 def segments(width: int, count: int, bits: int | None = None) -> list[tuple[int, int, int]]:
-    """(word, first bit, bits) of ``count`` segments, as many in each word; at most 32 bits each."""
+    """(word, first bit, bits) of ``count`` segments, as many in each word; at most 32 bits each.
+
+    Without ``bits`` they cut each word into equal parts; with it they are spread evenly and may overlap.
+    """
     per, left = divmod(count, width)
-    if left or not per or 64 // per > 32 or (bits or 1) > 64 // per:
-        raise ValueError("each word takes two or more segments, the same number in every word")
-    return [(w, 64 // per * i, bits or 64 // per) for w in range(width) for i in range(per)]
+    if left or not per or (bits or 64 // per) > 32:
+        raise ValueError("each word takes the same number of segments, of up to 32 bits")
+    if bits is None:
+        return [(w, 64 // per * i, 64 // per) for w in range(width) for i in range(per)]
+    return [(w, (64 - bits) * i // max(1, per - 1), bits) for w in range(width) for i in range(per)]
 
 
 def variants(nodes: DataFrame, cuts: list[tuple[int, int, int]]) -> DataFrame:
@@ -156,11 +169,20 @@ def forest(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[
     return out
 
 
-def _in_blocks(rows: DataFrame, blocks: str) -> DataFrame:
-    """``rows`` (with node) with columns i, j: each row goes to all pairs of its own block, of as many as ``blocks`` says."""
-    rows = rows.withColumn("n_blocks", F.expr(f"cast({blocks} AS long)")).withColumn("own", F.expr("pmod(xxhash64(node), n_blocks)"))
-    rows = rows.withColumn("other", F.explode(F.expr("sequence(0L, n_blocks - 1)"))).where("n_blocks = 1 OR own <> other")
-    return rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("own", "other", "n_blocks")
+def _crossed(rows: DataFrame, group: str, blocks: str) -> DataFrame:
+    """``rows`` (group, node, apart, ...) with columns i, j of small groups in which every row that is ``apart`` meets
+    every other row of its group; ``blocks``: how many blocks the group's rows of one kind take, as SQL over
+    ``n_apart`` or ``n_rest`` put in place of {n}.  Groups without a row apart are left out.
+    """
+    kinds = rows.groupBy(group).agg(F.sum(F.col("apart").cast("long") * F.col("weight")).alias("n_apart"), F.sum((~F.col("apart")).cast("long") * F.col("weight")).alias("n_rest"), F.max("apart").alias("some")).where("some").drop("some")
+    cut = lambda n: F.expr(f"cast(greatest(1, ceil({blocks.format(n=n)})) AS long)")
+    met = rows.join(kinds, group).withColumn("own_blocks", F.when(F.col("apart"), cut("n_apart")).otherwise(cut("n_rest"))).withColumn("other_blocks", F.when(F.col("apart"), cut("n_rest")).otherwise(cut("n_apart")))
+    met = met.withColumn("own", F.expr("pmod(xxhash64(node), own_blocks)")).drop("n_apart", "n_rest", "weight")
+    over = met.withColumn("other", F.explode(F.expr("sequence(0L, other_blocks - 1)")))
+    rest = over.select("*", F.when(F.col("apart"), F.col("other")).otherwise(F.col("own")).alias("i"), F.when(F.col("apart"), F.col("own")).otherwise(F.col("other")).alias("j"))
+    among = met.where("apart AND own_blocks > 1").withColumn("other", F.explode(F.expr("sequence(0L, own_blocks - 1)"))).where("own <> other")
+    among = among.select("*", (-1 - F.least("own", "other")).alias("i"), F.greatest("own", "other").alias("j"))
+    return rest.unionByName(among).drop("own", "other", "own_blocks", "other_blocks", "apart")
 
 
 def _as_links(nodes: np.ndarray, found: list[tuple[int, int]]) -> pa.Table:
@@ -168,24 +190,33 @@ def _as_links(nodes: np.ndarray, found: list[tuple[int, int]]) -> pa.Table:
     return pa.table({"a": pa.array(at.min(1)), "b": pa.array(at.max(1))})
 
 
-def _hot_links_in_blocks(hot: DataFrame, nodes: DataFrame, width: int, max_diff: int) -> DataFrame:
+def _hot_links(hot: DataFrame, nodes: DataFrame, width: int, max_diff: int) -> DataFrame:
     """Links that connect whatever is within ``max_diff`` among the nodes of one key; hot: rows (key, node, c)."""
     fps = [f"fp{j}" for j in range(width)]
-    sets = hot.groupBy("key").agg(F.bit_xor(F.xxhash64("node")).alias("mark"), F.first("c").alias("c"))
-    hot = hot.join(sets.groupBy("c", "mark").agg(F.min("key").alias("key")).select("key"), "key")  # equal sets once
+    sets = hot.groupBy("key").agg(F.bit_xor(F.xxhash64("node")).alias("mark"), F.first("c").alias("c"), F.min("node").alias("low"))
+    sets = sets.groupBy("c", "mark", "low").agg(F.min("key").alias("key")).select("key", "low")  # equal sets once
+    first = sets.join(nodes.select(F.col("node").alias("low"), F.struct(*fps).alias("f1")), "low")
+    rows = hot.join(first, "key").join(nodes.select("node", F.struct(*fps).alias("f2")), "node")
+    rows = materialize(rows.select("key", "node", "low", F.expr(f"{_differing(width, 'f1', 'f2')} > {max_diff}").alias("apart"), "f2"), "stars")
+    stars = rows.where("NOT apart AND node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"))
 
     def run(group: pa.Table) -> pa.Table:
         fp = np.column_stack([group.column(c).to_numpy() for c in fps]).view(np.uint64)
         return _as_links(group.column("node").to_numpy(), forest(len(fp), lambda i, others: np.bitwise_count(fp[others] ^ fp[i]).sum(1, dtype=np.int64) <= max_diff))
 
-    rows = _in_blocks(hot, f"ceil(c / {BLOCK_NODES})").join(nodes.select("node", *fps), "node")
-    return rows.select("key", "i", "j", "node", *fps).groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    met = _crossed(rows.select("key", "node", "apart", F.lit(1).alias("weight"), "f2.*"), "key", f"{{n}} / {BLOCK_NODES}")
+    return stars.unionAll(met.select("key", "i", "j", "node", *fps).groupBy("key", "i", "j").applyInArrow(run, "a long, b long")).distinct()
 
 
-def similar(texts: DataFrame, shingle: int, least: float) -> DataFrame:
-    """Links that connect the texts of Jaccard similarity ``least`` or more in each group; texts: rows (component, node, text)."""
+def _hash_set(text: bytes | None, shingle: int) -> np.ndarray:
+    return np.unique(np.frombuffer(shingle_digests((text or b"").lower().split(), shingle), ">u8"))
+
+
+def _similar_in(groups: DataFrame, keys: list[str], shingle: int, least: float) -> DataFrame:
+    """Links that connect the texts of Jaccard similarity ``least`` or more among those of one group of rows."""
+
     def run(group: pa.Table) -> pa.Table:
-        sets = [np.unique(np.frombuffer(shingle_digests((t.as_py() or b"").lower().split(), shingle), ">u8")) for t in group.column("text")]
+        sets = [_hash_set(t.as_py(), shingle) for t in group.column("text")]
         size = np.array([len(x) for x in sets], np.int64)
         ids = np.unique(np.concatenate(sets), return_inverse=True)[1] if size.sum() else np.zeros(0, np.int64)
         at, marked = np.r_[0, np.cumsum(size)], np.zeros(len(ids) + 1, np.int64)
@@ -200,9 +231,56 @@ def similar(texts: DataFrame, shingle: int, least: float) -> DataFrame:
 
         return _as_links(group.column("node").to_numpy(), forest(len(sets), near))
 
-    bytes_of = texts.groupBy("component").agg(F.sum(F.length("text")).alias("n_bytes"))
-    rows = _in_blocks(texts.join(bytes_of, "component"), f"greatest(1, ceil(coalesce(n_bytes, 0) / {BLOCK_BYTES}))")
-    return rows.select("component", "i", "j", "node", "text").groupBy("component", "i", "j").applyInArrow(run, "a long, b long").where("a <> b").distinct()
+    return groups.select(*keys, "node", "text").groupBy(*keys).applyInArrow(run, "a long, b long").where("a <> b").distinct()
+
+
+def _stars(large: DataFrame, left: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Links (a, b) of all texts of each group with its smallest node of ``left``.
+
+    large: rows (component, node, text, n_bytes).  The one text is dealt to as many salts as its group has blocks.
+    """
+    salts = f"cast(ceil(n_bytes / {BLOCK_BYTES}) AS long)"
+    one = left.groupBy("component").agg(F.min("node").alias("a"))
+    one = large.select("component", F.col("node").alias("a"), F.col("text").alias("first"), "n_bytes").join(one, ["component", "a"]).withColumn("salt", F.explode(F.expr(f"sequence(0L, {salts} - 1)"))).drop("n_bytes")
+    rows = large.withColumn("salt", F.expr(f"pmod(xxhash64(node), {salts})")).join(one, ["component", "salt"]).where("node <> a").select("a", F.col("node").alias("b"), "first", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, first = None, None
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for k, a in enumerate(batch.column(0).to_pylist()):
+                if a != held:
+                    held, first = a, _hash_set(batch.column(2)[k].as_py(), shingle)
+                other = _hash_set(batch.column(3)[k].as_py(), shingle)
+                both = len(np.intersect1d(first, other, assume_unique=True))
+                keep[k] = both >= least * (len(first) + len(other) - both) - 1e-9
+            yield batch.select([0, 1]).filter(pa.array(keep))
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def similar(texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Links that connect the texts of Jaccard similarity ``least`` or more in each group; texts: rows (component, node, text)."""
+    sizes = texts.groupBy("component").agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("n_bytes"))
+    texts = texts.join(sizes, "component")
+    small = _similar_in(texts.where(f"n_bytes <= {BLOCK_BYTES}"), ["component"], shingle, least)
+    large = materialize(texts.where(f"n_bytes > {BLOCK_BYTES}"), "large")
+    left, found = large.select("component", "node"), []
+    for _ in range(STARS):
+        if left.isEmpty():
+            break
+        found.append(materialize(_stars(large, left, shingle, least), "stars"))
+        ones = left.groupBy("component").agg(F.min("node").alias("node")).select("node")
+        left = materialize(left.join(found[-1].select(F.col("b").alias("node")).unionAll(ones).distinct(), "node", "left_anti"), "left")
+    if not found:
+        return small
+    stars = functools.reduce(DataFrame.unionAll, found)
+    placed = large.join(components(stars, "a", "b").withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node")).withColumn("weight", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
+    labels = placed.groupBy("component", "label").agg(F.sum("weight").alias("w"))
+    most = labels.groupBy("component").agg(F.max(F.struct("w", "label")).alias("m")).select("component", F.col("m.label").alias("most"))
+    placed = placed.join(most, "component").select("component", "node", "text", (F.col("label") != F.col("most")).alias("apart"), "weight")
+    across = _similar_in(_crossed(placed, "component", f"{{n}} / {BLOCK_BYTES}"), ["component", "i", "j"], shingle, least)
+    return small.unionAll(stars).unionAll(across)
 
 
 def links(nodes: DataFrame, width: int, cuts: list[tuple[int, int, int]], max_diff: int, bucket_limit: int = 16) -> DataFrame:
@@ -221,7 +299,7 @@ def links(nodes: DataFrame, width: int, cuts: list[tuple[int, int, int]], max_di
     found = pairs.join(left, "a").join(right, "b").where(f"{_differing(width, 'fa', 'fb')} <= {max_diff}").select("a", "b")
     if exact:
         return found.unionAll(_hot_links_exact(hot.select("node").distinct().join(nodes, "node")))
-    return found.unionAll(_hot_links_in_blocks(hot, nodes, width, max_diff))
+    return found.unionAll(_hot_links(hot, nodes, width, max_diff))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, width: int = 1, cut_into: int = 2, max_diff: int = 2, bits: int | None = None, delete: int | None = None, jaccard: float | None = None) -> DataFrame:
@@ -240,13 +318,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lows = [f"lo{j}" for j in range(width)] if delete else []
     cuts = segments(width, cut_into, bits)
     rows = materialize(fingerprints(docs, id_col, text_col, shingle, width, cuts, delete), "fingerprints")
-    nodes = rows.groupBy(*same, *lows).agg(F.min("doc_id").alias("node"))
+    if width > 1:
+        nodes = rows.groupBy("words").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in [*fps, *lows]))
+    else:
+        nodes = rows.groupBy(*same, *lows).agg(F.min("doc_id").alias("node"))
     nodes = materialize(nodes, "nodes")
     known = nodes.where("node IS NOT NULL").select("node", *fps, *lows).repartition(-(-nodes.count() // 8000) or 1)
     linked = components(links(known, width, cuts, max_diff), "a", "b")
     if jaccard is not None:
         texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("binary").alias("text"))
-        linked = components(similar(materialize(texts.join(linked, "node"), "alike"), shingle, jaccard), "a", "b")
+        alike = texts.join(linked, "node").groupBy("node").agg(F.min("component").alias("component"), F.min("text").alias("text"))
+        linked = components(similar(materialize(alike, "alike"), shingle, jaccard), "a", "b")
     release(spark)
     placed = nodes.join(linked, "node", "left").select(*same, F.coalesce("component", "node").alias("component_id"))
     met = rows.join(placed, same) if width == 1 else rows.drop(*fps).join(placed, "words")

@@ -110,12 +110,77 @@ def test_groups_are_checked_by_jaccard_similarity(spark):
 
     texts = [" ".join(words), changed(6), changed(7).replace("zz", "yy")]
     rows = spark.createDataFrame([(7, i, bytearray(t.encode())) for i, t in enumerate(texts)], "component long, node long, text binary")
-    for block in (4 << 20, 1000):
+    for block in (1 << 20, 1000):
         simhash.BLOCK_BYTES = block
-        assert [(r.a, r.b) for r in simhash.similar(rows, 5, 0.8).collect()] == [(0, 1)]
-    simhash.BLOCK_BYTES = 4 << 20
+        assert {(r.a, r.b) for r in simhash.similar(rows, 5, 0.8).collect()} == {(0, 1)}
+    simhash.BLOCK_BYTES = 1 << 20
     docs = spark.createDataFrame([(i, changed(n)) for i, n in enumerate((0, 4, 7))], "doc_id long, text string")
     found = [simhash.near_duplicates(docs.where("doc_id <> 1"), shingle=5, width=12, cut_into=96, bits=8, max_diff=200, jaccard=j).collect() for j in (None, 0.8)]
     assert [sorted({r.component_id for r in x}) for x in found] == [[0], [0, 2]]
     got = simhash.near_duplicates(docs.where("doc_id < 2"), shingle=5, width=12, cut_into=24, bits=28, delete=14, max_diff=148, jaccard=0.8)
     assert {r.component_id for r in got.collect()} == {0}
+
+
+def jaccard(a, b, n=5):
+    x, y = ({tuple(t[i : i + n]) for i in range(max(1, len(t) - n + 1))} for t in (a.split(), b.split()))
+    return len(x & y) / len(x | y)
+
+
+def joined(pairs, nodes):
+    comp = {n: n for n in nodes}
+
+    def find(x):
+        while comp[x] != x:
+            x = comp[x]
+        return x
+
+    for a, b in pairs:
+        lo, hi = sorted((find(a), find(b)))
+        comp[hi] = lo
+    return {n: find(n) for n in nodes}
+
+
+def test_large_groups_lose_no_link(spark):
+    """A drifting chain and a few strangers in one group that takes stars and blocks, against all pairs."""
+    rng = np.random.default_rng(8)
+    words, texts = [f"w{i}" for i in range(120)], []
+    for i in range(70):
+        words[rng.integers(0, 120)] = f"n{i}"
+        texts.append(" ".join(words))
+    texts += [" ".join(f"s{k}-{i}" for i in range(100)) for k in range(5)] + [""]
+    order = rng.permutation(len(texts)).tolist()
+    rows = spark.createDataFrame([(3, n, bytearray(texts[t].encode())) for n, t in enumerate(order)], "component long, node long, text binary")
+    want = joined([(a, b) for a, b in itertools.combinations(range(len(order)), 2) if jaccard(texts[order[a]], texts[order[b]]) >= 0.8], range(len(order)))
+    for block, stars in ((1 << 20, 4), (3000, 4), (3000, 1)):
+        simhash.BLOCK_BYTES, simhash.STARS = block, stars
+        found = [(r.a, r.b) for r in simhash.similar(rows, 5, 0.8).collect()]
+        assert joined(found, range(len(order))) == want and len(set(want.values())) > 5
+    simhash.BLOCK_BYTES, simhash.STARS = 1 << 20, 4
+
+
+def test_recall_of_the_pipelines_search(spark):
+    """At least nine of ten isolated pairs of each band of similarity are linked, and none below 0.8."""
+    rng, bands, texts = np.random.default_rng(4), {0.7: [], 0.8: [], 0.85: [], 0.9: []}, []
+    while any(len(x) < (20 if b == 0.7 else 60) for b, x in bands.items()):
+        n = int(rng.integers(60, 500))
+        words = [f"w{x}" for x in rng.integers(0, 10**6, n)]
+        other, k = list(words), int(rng.integers(1, max(2, n // 8)))
+        if rng.random() < 0.5:
+            at = int(rng.integers(0, n - k))
+            other[at : at + k] = [f"x{x}" for x in rng.integers(0, 10**6, k)]
+        else:
+            for at in rng.integers(0, n, max(1, k // 3)):
+                other[at] = f"x{rng.integers(0, 10**6)}"
+        a, b = " ".join(words), " ".join(other)
+        j = jaccard(a, b)
+        band = max((x for x in bands if x <= j), default=None)
+        if band is not None and j < 1 and not 0.78 < j < 0.8 and len(bands[band]) < 60:
+            bands[band].append(len(texts))
+            texts += [a, b]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    import corpus_pipeline
+
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, **corpus_pipeline.NEAR).collect()}
+    found = {b: sum(got[i] == got[i + 1] for i in at) / len(at) for b, at in bands.items()}
+    assert found[0.7] == 0 and min(v for b, v in found.items() if b >= 0.8) >= 0.9, found
+    assert all(got[i] in (i, i - i % 2) for i in got)
