@@ -15,6 +15,10 @@ from gridjobs.llm.common import load, materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
+#: Near copies: five words, similarity 0.8.  Candidates share a segment of 25 of 768 bits but for one of its 7 weakest, and
+#: differ in at most 148 bits (three deviations over the 116 that similarity 0.8 makes likely); similarity decides.
+NEAR = {"shingle": 5, "width": 12, "cut_into": 36, "bits": 25, "delete": 7, "max_diff": 148, "jaccard": 0.8}
+
 #: Learned models and hashes outside SQL take part in the stages; tests/llm compare each with a brute-force version.
 ORACLE_SQL = None
 
@@ -37,7 +41,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Of its rows without an id one is kept as well.
     """
     docs = keyed(docs)
-    groups = simhash.near_duplicates(docs, id_col="key", shingle=5, width=12, cut_into=24, bits=28, delete=14, max_diff=148, jaccard=0.8)
+    groups = simhash.near_duplicates(docs, id_col="key", **NEAR)
     placed = groups.select(F.col("doc_id").alias("key"), "component_id").distinct().join(docs.select("key", "doc_id").distinct(), "key")
     first = placed.groupBy("component_id", F.col("doc_id").isNull()).agg(F.min(F.struct("doc_id", "key")).alias("first")).select("first.key")
     return docs.join(first, "key", "left_semi").dropDuplicates(["key"]).select(*COLUMNS)
