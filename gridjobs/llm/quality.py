@@ -1,20 +1,28 @@
 """Quality classification by co-training of two views.
 
-The text view sees a text's content: shares of character classes, of repeated words and lines, lengths.  The metadata
-view sees the page's record: source, language and recorded length.  Both are logistic models on one-hot bins.  Starting
-from labelled documents, in each round each view labels the unlabelled documents it is surest of (both classes, above
-``sure``) for the other view's training set.  A quarter of the labelled sample is kept aside throughout; on it each
-view's log-odds are calibrated (Platt scaling), and the combined log-odds are the calibrated ones' sum less the prior.
-
-Learning takes at most ``max_labelled`` labelled and ``max_pool`` unlabelled documents, chosen by hash; every document is
-scored on its whole text.  Null texts count as empty, null metadata is a value of its own, values not seen in learning
-get weight zero.  Without labels of both classes every score is 0.5.  Repeated rows get equal scores; an empty table
-gives no rows.
+The text view sees a text's content: its distinct words, hashed, and counts of its form (shares of character classes,
+of repeated words and lines, lengths) in bins.  The metadata view sees the page's record: source and language, hashed,
+and the recorded length in bins.  Both are logistic models.  Starting from labelled documents, in each round each view
+scores every unlabelled document, and the ones it is surest of (``per_round`` of each class, above ``sure``) go with its
+labels into the other view's training set.  A quarter of the labelled sample is kept aside throughout; on it each view's
+log-odds are calibrated (Platt scaling), and the combined log-odds are the calibrated ones' sum less the prior.
+
+Learning takes at most ``max_labelled`` labelled documents, chosen by hash (the bound of the sample); the unlabelled pool
+is every document without a label.  Features of pool and sample are written once, and the rounds read those.  Each task
+hands on its own surest rows only, so no more than ``per_round`` rows of each class and view reach the driver.
+
+Nulls: a null text counts as empty, null metadata is a value of its own; a null id is scored, and is never labelled.
+Labels other than 0 and 1 are ignored; of several labels of one document the greatest counts.  Ties in sureness go by a
+hash of the row, so the same rows give the same model however they are partitioned.  Without labels of both classes
+every score is 0.5.  Repeated rows get equal scores; an empty table gives no rows.  Clashing column names in ``keep`` are
+kept apart by a prefix inside.  A very long text is split into words by one task; its features are as many as its
+distinct words.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,9 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load
+from .common import drop_table, load, materialize
 
-BINS = 12
+BINS, WORDS, VALUES = 12, 1 << 16, 1 << 12
 _CLASSES = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b".,;:'\"-()?", b"!", b"|", b"#$%&*@+=<>[]{}~^_/\\`", b" ", b"\n"]
 _CLASS = np.zeros((256, len(_CLASSES) + 1))
 for _i, _c in enumerate(_CLASSES):
@@ -32,7 +40,8 @@ for _i, _c in enumerate(_CLASSES):
 _CLASS[128:, len(_CLASSES)] = 1
 
 
-def text_features(text: bytes | None) -> list[float]:
+def text_features(text: bytes | None) -> tuple[list[float], np.ndarray]:
+    """(counts of form, hashed distinct words)"""
     text = text or b""
     n = len(text)
     shares = (np.bincount(np.frombuffer(text, np.uint8), minlength=256) @ _CLASS / n).tolist() if n else [0.0] * (len(_CLASSES) + 1)
@@ -40,7 +49,7 @@ def text_features(text: bytes | None) -> list[float]:
     lines = [x for x in text.split(b"\n") if x]
     k = len(words)
     once = set(words)
-    return [
+    form = [
         *shares,
         math.log1p(k),
         n / max(1, k),
@@ -49,31 +58,49 @@ def text_features(text: bytes | None) -> list[float]:
         len(set(lines)) / max(1, len(lines)),
         math.log1p(n / max(1, len(lines))),
         sum(1 for w in once if len(w) > 20) / max(1, len(once)),
-        sum(1 for a, b in zip(words, words[1:]) if a == b) / max(1, k),
+        sum(map(bytes.__eq__, words, words[1:])) / max(1, k),
     ]
+    return form, np.unique(np.fromiter(map(zlib.crc32, once), np.int64, len(once)) % WORDS).astype(np.int32)
+
+
+FORMS = len(text_features(b"")[0])
+
+
+class Rows:
+    """Sparse rows: features ``idx`` with values ``val``, ``stop`` their ends."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        self.n = len(rows)
+        self.size = np.array([len(i) for i, _ in rows], np.int64)
+        self.idx = np.concatenate([i for i, _ in rows]) if rows else np.zeros(0, np.int64)
+        self.val = np.concatenate([v for _, v in rows]).astype(np.float32) if rows else np.zeros(0, np.float32)
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), self.size)
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, w[self.idx] * self.val, self.n)
 
 
 class View:
-    """A logistic model on one-hot columns; ``fit`` takes column indexes, a row each."""
+    """A logistic model on sparse rows, fitted by AdaGrad; a later fit starts from the earlier weights."""
 
     def __init__(self, size: int) -> None:
-        self.w, self.b, self.slope, self.shift = np.zeros(size), 0.0, 1.0, 0.0
+        self.w, self.b, self.slope, self.shift = np.zeros(size, np.float32), 0.0, 1.0, 0.0
 
-    def odds(self, x: np.ndarray) -> np.ndarray:
-        return self.w[x].sum(1) + self.b
+    def odds(self, x: Rows) -> np.ndarray:
+        return x.dot(self.w) + self.b
 
-    def fit(self, x: np.ndarray, y: np.ndarray, rounds: int = 300, rate: float = 0.3, shrink: float = 1e-4) -> None:
-        w, b, g2, gb2 = np.zeros(len(self.w)), 0.0, np.full(len(self.w), 1e-8), 1e-8
+    def fit(self, x: Rows, y: np.ndarray, rounds: int = 100, rate: float = 0.3, shrink: float = 1e-4) -> None:
+        w, b, g2, gb2 = self.w, self.b, np.full(len(self.w), 1e-8, np.float32), 1e-8
         for _ in range(rounds):
-            g = (1 / (1 + np.exp(-np.clip(w[x].sum(1) + b, -30, 30))) - y) / len(y)
-            gw = np.bincount(x.ravel(), np.repeat(g, x.shape[1]), len(w)) + shrink * w
+            g = ((1 / (1 + np.exp(-np.clip(x.dot(w) + b, -30, 30))) - y) / len(y)).astype(np.float32)
+            gw = np.bincount(x.idx, g[x.row] * x.val, len(w)).astype(np.float32) + np.float32(shrink) * w
             g2 += gw * gw
-            w -= rate * gw / np.sqrt(g2)
-            gb2 += g.sum() ** 2
-            b -= rate * g.sum() / math.sqrt(gb2)
+            w = w - np.float32(rate) * gw / np.sqrt(g2)
+            gb2 += float(g.sum()) ** 2
+            b -= rate * float(g.sum()) / math.sqrt(gb2)
         self.w, self.b = w, b
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
+    def calibrate(self, x: Rows, y: np.ndarray) -> None:
         """Platt scaling by Newton steps, slightly shrunk towards slope 1."""
         z, a, c = self.odds(x), 1.0, 0.0
         for _ in range(30):
@@ -81,99 +108,153 @@ class View:
             d, v = p - y, p * (1 - p)
             grad = np.array([(d * z).sum() + (a - 1), d.sum()])
             hess = np.array([[(v * z * z).sum() + 1, (v * z).sum()], [(v * z).sum(), v.sum() + 1e-6]])
-            step = np.linalg.solve(hess, grad)
+            step = np.clip(np.linalg.solve(hess, grad), -2, 2)
             a, c = a - step[0], c - step[1]
-        self.slope, self.shift = a, c
-
-    def calibrated(self, x: np.ndarray) -> np.ndarray:
-        return self.slope * self.odds(x) + self.shift
+        self.slope, self.shift = max(a, 0.0), c
 
 
 class CoTrained:
-    """Both views with their encodings."""
-
-    def __init__(self, text: np.ndarray, meta: list[tuple], chars: np.ndarray) -> None:
-        self.edges = np.quantile(text, np.linspace(0, 1, BINS + 1)[1:-1], axis=0) if len(text) else np.zeros((BINS - 1, len(text_features(b""))))
-        self.char_edges = np.quantile(chars, np.linspace(0, 1, BINS + 1)[1:-1]) if len(chars) else np.zeros(BINS - 1)
-        self.values = [{v: i for i, v in enumerate(sorted({m[f] for m in meta}, key=lambda v: (v is not None, v))[:2000])} for f in (0, 1)]
-        self.text_view = View(self.edges.shape[1] * BINS)
-        self.meta_view = View(sum(len(v) + 1 for v in self.values) + BINS + 1)
+    """Both views with their encodings: bin edges from the labelled sample, hashed values."""
+
+    def __init__(self, form: np.ndarray, chars: np.ndarray) -> None:
+        cuts = np.linspace(0, 1, BINS + 1)[1:-1]
+        self.edges = np.quantile(form, cuts, axis=0) if len(form) else np.zeros((BINS - 1, FORMS))
+        self.char_edges = np.quantile(chars, cuts) if len(chars) else np.zeros(BINS - 1)
+        self.views = (View(WORDS + FORMS * BINS), View(2 * VALUES + BINS + 1))
         self.prior = 0.0
 
-    def text_columns(self, text: np.ndarray) -> np.ndarray:
-        bins = np.stack([np.searchsorted(self.edges[:, j], text[:, j], "right") for j in range(text.shape[1])], 1) if len(text) else np.zeros((0, self.edges.shape[1]), np.int64)
-        return bins + np.arange(self.edges.shape[1]) * BINS
-
-    def meta_columns(self, meta: list[tuple]) -> np.ndarray:
-        a, b = self.values
-        first, second = len(a) + 1, len(a) + len(b) + 2
-        return np.array([[a.get(s, len(a)), first + b.get(g, len(b)), second + (BINS if n is None else int(np.searchsorted(self.char_edges, n, "right")))] for s, g, n in meta], np.int64).reshape(-1, 3)
-
-    def train(self, text: np.ndarray, meta: list[tuple], y: np.ndarray, rounds: int, per_round: int, sure: float) -> CoTrained:
-        """y: 0, 1 or -1 (unlabelled)."""
-        x = (self.text_columns(text), self.meta_columns(meta))
-        marked = np.flatnonzero(y >= 0)
-        aside, own = marked[::4], np.setdiff1d(marked, marked[::4])
-        pool = np.flatnonzero(y < 0)
-        views = (self.text_view, self.meta_view)
-        rows, targets, taught = [own, own], [y[own].astype(float)] * 2, [set(), set()]
-        for turn in range(rounds + 1):
-            for v in (0, 1):
-                views[v].fit(x[v][rows[v]], targets[v])
-            if turn == rounds or not len(pool):
-                break
-            for v in (0, 1):
-                other = 1 - v
-                odds = views[v].odds(x[v][pool])
-                for side in (1, -1):
-                    order = pool[np.argsort(-side * odds, kind="stable")]
-                    odds_of = dict(zip(pool.tolist(), odds.tolist()))
-                    new = [i for i in order.tolist() if i not in taught[other] and side * odds_of[i] > math.log(sure / (1 - sure))][:per_round]
-                    taught[other].update(new)
-                    rows[other] = np.r_[rows[other], np.array(new, np.int64)]
-                    targets[other] = np.r_[targets[other], np.full(len(new), float(side > 0))]
-        for v in (0, 1):
-            views[v].calibrate(x[v][aside], y[aside])
-        mean = np.clip(y[marked].mean(), 1e-3, 1 - 1e-3)
-        self.prior = math.log(mean / (1 - mean))
-        return self
+    def text_row(self, form: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        bins = (form[None, :] >= self.edges).sum(0) + np.arange(FORMS) * BINS + WORDS
+        return np.concatenate([words, bins]), np.concatenate([np.full(len(words), 4 / math.sqrt(max(1, len(words)))), np.ones(FORMS)])
+
+    def meta_row(self, source: str | None, lang: str | None, chars: float | None) -> tuple[np.ndarray, np.ndarray]:
+        at = [k * VALUES + (zlib.crc32(v.encode()) % (VALUES - 1) + 1 if v is not None else 0) for k, v in enumerate((source, lang))]
+        place = BINS if chars is None or chars != chars else int(np.searchsorted(self.char_edges, chars, "right"))
+        return np.array([*at, 2 * VALUES + place]), np.ones(3)
 
-    def scores(self, text: np.ndarray, meta: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        a, b = self.text_view.calibrated(self.text_columns(text)), self.meta_view.calibrated(self.meta_columns(meta))
+    def rows(self, batch: dict[str, list]) -> tuple[Rows, Rows]:
+        """Sparse rows of both views of columns form, words, source, lang, chars."""
+        text = Rows([self.text_row(np.asarray(f, float), np.asarray(w)) for f, w in zip(batch["form"], batch["words"])])
+        return text, Rows([self.meta_row(*m) for m in zip(batch["source"], batch["lang"], batch["chars"])])
+
+    def scores(self, rows: tuple[Rows, Rows]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        a, b = (v.slope * v.odds(x) + v.shift for v, x in zip(self.views, rows))
         squash = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         return squash(a + b - self.prior), squash(a), squash(b)
 
 
+_FEATURES = "key long, y int, source string, lang string, chars double, form array<double>, words array<int>"
+_NAMES = [x.split()[0] for x in _FEATURES.split(", ")]
+
+
 def _view(docs: DataFrame, id_col: str, text_col: str, keep: list[str] = ()) -> DataFrame:
     own = [F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("n_chars").cast("double").alias("chars")]
     return docs.select(*own, *(F.col(c).alias(f"kept_{c}") for c in keep))
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = 6000, max_pool: int = 6000, rounds: int = 5, per_round: int = 200, sure: float = 0.97) -> CoTrained | None:
-    marks = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label_col).cast("int").alias("y"))
-    keys = docs.select(F.col(id_col).alias("doc_id")).where("doc_id IS NOT NULL").join(marks, "doc_id", "left").fillna(-1, ["y"])
-    counts = {r["y"]: r["n"] for r in keys.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    if not (counts.get(0) and counts.get(1)):
-        return None
-    half = max_labelled / 2
-    few = min(half, counts[0], counts[1])
-    share = {0: min(1.0, (max_labelled - few if counts[0] > counts[1] else few) / counts[0]), 1: min(1.0, (max_labelled - few if counts[1] >= counts[0] else few) / counts[1]), -1: min(1.0, max_pool / counts.get(-1, 1))}
-    draw = F.pmod(F.xxhash64(F.lit("draw"), "doc_id"), F.lit(1_000_003)) / 1_000_003.0
-    chosen = keys.where(draw < F.when(F.col("y") == 0, share[0]).when(F.col("y") == 1, share[1]).otherwise(share[-1]))
-    sample = _view(docs, id_col, text_col).join(chosen, "doc_id").select("doc_id", "y", "source", "lang", "chars", "text")
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    values, at = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(at, at[1:])]
+
+
+def _columns(batch: pa.RecordBatch | pa.Table) -> dict[str, list]:
+    if isinstance(batch, pa.Table):
+        batch = batch.combine_chunks().to_batches()[0] if len(batch) else pa.RecordBatch.from_pylist([], batch.schema)
+    plain = {c: batch.column(c).to_pylist() for c in ("key", "y", "source", "lang", "chars")}
+    return plain | {"form": _lists(batch.column("form")), "words": _lists(batch.column("words"))}
+
+
+def features(rows: DataFrame) -> DataFrame:
+    """Features of rows (key, y, source, lang, chars, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [text_features(t) for t in batch.column(5).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(1, 5)), pa.array(found, pa.list_(pa.float64()))], names=["y", "source", "lang", "chars", "f"])
+            found = [text_features(t.as_py()) for t in batch.column(5)]
+            form, words = pa.array([f for f, _ in found], pa.list_(pa.float64())), pa.array([w for _, w in found], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), form, words], names=_NAMES)
+
+    return rows.select("key", "y", "source", "lang", "chars", "text").mapInArrow(run, _FEATURES)
+
+
+def _surest(pool: DataFrame, model: CoTrained, taught: tuple[set, set], per_round: int, sure: float) -> DataFrame:
+    """Rows (view, side, odds, features): each task's ``per_round`` surest rows of each view and class."""
+    shared, least = pool.sparkSession.sparkContext.broadcast((model, taught)), math.log(sure / (1 - sure))
 
-    got = sample.mapInArrow(run, "y int, source string, lang string, chars double, f array<double>").toArrow().sort_by([("source", "ascending"), ("chars", "ascending")])
-    text = np.array(got.column("f").to_pylist(), float).reshape(len(got), -1)
-    meta = list(zip(*(got.column(c).to_pylist() for c in ("source", "lang", "chars"))))
-    y = got.column("y").to_numpy()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (own, known), best = shared.value, {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                cols = _columns(pa.Table.from_batches([part]))
+                for v, x in enumerate(own.rows(cols)):
+                    odds = own.views[v].odds(x)
+                    for side in (0, 1):
+                        toward = odds if side else -odds
+                        for i in np.flatnonzero(toward > least).tolist():
+                            if cols["key"][i] not in known[1 - v]:
+                                best.setdefault((v, side), []).append((-float(toward[i]), cols["key"][i], part, i))
+                        held = best.get((v, side), ())
+                        if len(held) > per_round:
+                            best[v, side] = sorted(held, key=lambda r: r[:2])[:per_round]
+        for (v, side), held in best.items():
+            n = len(held)
+            table = pa.concat_tables([pa.Table.from_batches([p.slice(i, 1)]) for _, _, p, i in held]).combine_chunks()
+            yield pa.RecordBatch.from_arrays([pa.array([v] * n, pa.int32()), pa.array([side] * n, pa.int32()), pa.array([-h[0] for h in held], pa.float64()), *table.to_batches()[0].columns], names=["view", "side", "odds", *_NAMES])
+
+    return pool.mapInArrow(run, f"view int, side int, odds double, {_FEATURES}")
+
+
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = 6000, rounds: int = 3, per_round: int = 200, sure: float = 0.97) -> CoTrained | None:
+    marks = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label_col).cast("int").alias("y"))
+    keyed = docs.select(F.col(id_col).alias("doc_id")).join(marks, "doc_id")
+    counts = {r["y"]: r["n"] for r in keyed.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if not (counts.get(0) and counts.get(1)):
+        return None
+    few = min(max_labelled / 2, counts[0], counts[1])
+    share = {y: min(1.0, (few if counts[y] <= counts[1 - y] else max_labelled - few) / counts[y]) for y in (0, 1)}
+    draw = F.pmod(F.xxhash64(F.lit("draw"), "doc_id"), F.lit(1_000_003)) / 1_000_003.0
+    rows = _view(docs, id_col, text_col).withColumn("key", F.xxhash64("doc_id", "text"))
+    # Labels meet features, not texts: a row's features are a fraction of its text.
+    found = materialize(features(rows.withColumn("y", F.lit(None).cast("int"))), "features")
+    key_of = rows.select("doc_id", "key").where("doc_id IS NOT NULL").join(marks, "doc_id").select("key", F.col("y").alias("mark"), (draw < F.when(F.col("y") == 1, share[1]).otherwise(share[0])).alias("drawn"))
+    key_of = materialize(key_of.groupBy("key").agg(F.max("mark").alias("mark"), F.max("drawn").alias("drawn")), "marks")
+    chosen = key_of.where("drawn").select("key", "mark")
+    if chosen.count() <= 4 * max_labelled:
+        chosen = F.broadcast(chosen)
+    sample = found.join(chosen, "key").withColumn("y", F.col("mark")).select(*_NAMES).toArrow().sort_by("key")
+    cols = _columns(sample)
+    y = np.array(cols["y"], np.int64)
     if not ((y == 0).any() and (y == 1).any()):
         return None
-    return CoTrained(text, meta, np.array([m[2] for m in meta if m[2] is not None])).train(text, meta, y, rounds, per_round, sure)
+    model = CoTrained(np.array(cols["form"], float).reshape(-1, FORMS), np.array([c for c in cols["chars"] if c is not None and c == c]))
+    aside = np.array([zlib.crc32(b"%d" % k) % 4 == 0 for k in cols["key"]], bool)
+    own = {c: [v for v, a in zip(x, aside) if not a] for c, x in cols.items()}
+    kept = {c: [v for v, a in zip(x, aside) if a] for c, x in cols.items()}
+    sets, taught = [dict(own), dict(own)], (set(), set())
+    pool = found.join(key_of.select("key"), "key", "left_anti")
+    if rounds:
+        pool = materialize(pool, "pool")
+    for turn in range(rounds + 1):
+        for v in (0, 1):
+            model.views[v].fit(model.rows(sets[v])[v], np.array(sets[v]["y"], float), 100 if turn == 0 else 40)
+        if turn == rounds:
+            break
+        surest = materialize(_surest(pool, model, taught, per_round, sure), "surest")
+        for v in (0, 1):
+            for side in (0, 1):
+                new = _columns(surest.where(f"view = {v} AND side = {side}").orderBy(F.desc("odds"), "key").limit(per_round).select(*_NAMES).toArrow())
+                taught[1 - v].update(new["key"])
+                new["y"] = [side] * len(new["key"])
+                sets[1 - v] = {c: sets[1 - v][c] + new[c] for c in sets[1 - v]}
+        drop_table(surest)
+    for t in (found, pool, key_of):
+        drop_table(t)
+    if aside.any():
+        for v, x in enumerate(model.rows(kept)):
+            model.views[v].calibrate(x, np.array(kept["y"], float))
+    mean = np.clip(y.mean(), 1e-3, 1 - 1e-3)
+    model.prior = math.log(mean / (1 - mean))
+    return model
 
 
 def score(docs: DataFrame, model: CoTrained | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = ()) -> DataFrame:
@@ -185,12 +266,14 @@ def score(docs: DataFrame, model: CoTrained | None, id_col: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            meta = list(zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))))
-            if own is None or not len(meta):
-                cols = [np.full(len(meta), 0.5)] * 3
-            else:
-                cols = own.scores(np.array([text_features(t) for t in batch.column(1).to_pylist()]), meta)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in cols), *(batch.column(i) for i in range(5, batch.num_columns))], names=["doc_id", "score", "text_score", "meta_score", *batch.schema.names[5:]])
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                if own is None:
+                    cols = [np.full(part.num_rows, 0.5)] * 3
+                else:
+                    form, words = zip(*(text_features(t.as_py()) for t in part.column(1)))
+                    cols = own.scores(own.rows({"form": form, "words": words, **{c: part.column(i).to_pylist() for c, i in (("source", 2), ("lang", 3), ("chars", 4))}}))
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c) for c in cols), *(part.column(i) for i in range(5, part.num_columns))], names=["doc_id", "score", "text_score", "meta_score", *part.schema.names[5:]])
 
     schema = f"doc_id {kinds['doc_id']}, score double, text_score double, meta_score double" + "".join(f", `kept_{c}` {kinds[f'kept_{c}']}" for c in keep)
     out = rows.mapInArrow(run, schema)

@@ -81,7 +81,44 @@ def test_exact_and_substituted_passages(spark):
 
 def test_short_items_and_blocks(spark):
     items = [(1, "one two three"), (2, ""), (3, None), (4, ITEM)]
-    assert leaks(spark, ["zero one two three four", ITEM], items, block_tokens=3) == [(0, 1, 1, 3), (1, 4, 0, 20)]
+    assert leaks(spark, ["zero one two three four", ITEM], items) == [(0, 1, 1, 3), (1, 4, 0, 20)]
+
+
+def test_all_overlaps_of_an_item_are_reported(spark):
+    two = f"{ITEM} some words between {ITEM}"
+    assert leaks(spark, [two]) == [(0, 0, 0, 20), (0, 0, 23, 20)]
+    w = ITEM.split()
+    split = " ".join([*w, *(f"q{i}" for i in range(30)), *w])  # two passages of one diagonal
+    assert set(leaks(spark, [split], [(0, split)])) == {(0, 0, 0, 70), (0, 0, 0, 20), (0, 0, 50, 20)}
+    hole = " ".join([*w, *(f"r{i}" for i in range(30)), *w])
+    assert {x for x in leaks(spark, [hole], [(0, split)]) if x[2] in (0, 50)} >= {(0, 0, 0, 20), (0, 0, 50, 20)}
+
+
+def test_matches_brute_force_over_segments(spark):
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(40)]
+    items = [" ".join(rng.choice(words, int(rng.integers(1, 40)))) for _ in range(8)] + ["same " * 30]
+    texts = []
+    for _ in range(60):
+        t = rng.choice(words, 60).tolist()
+        src = items[int(rng.integers(len(items)))].split()
+        a = int(rng.integers(0, 40))
+        t[a : a + len(src)] = [x if rng.random() > 0.12 else "zz" for x in src]
+        texts.append(" ".join(t))
+
+    def leaked(doc, item):
+        d, t = doc.split(), item.split()
+        least = min(13, len(t))
+        for shift in range(-len(t), len(d)):
+            same = [int(0 <= i + shift < len(d) and d[i + shift] == x) if 0 <= i + shift < len(d) else None for i, x in enumerate(t)]
+            for a in range(len(t)):
+                for b in range(a + least, len(t) + 1):
+                    if None not in same[a:b] and sum(same[a:b]) * 5 >= 4 * (b - a):
+                        return True
+        return False
+
+    want = {(i, j) for i, d in enumerate(texts) for j, t in enumerate(items) if leaked(d, t)}
+    assert {(d, i) for d, i, *_ in leaks(spark, texts, list(enumerate(items)))} == want and len(want) > 40
 
 
 def test_every_window_with_two_substitutions_is_found(spark):
