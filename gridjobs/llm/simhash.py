@@ -191,12 +191,10 @@ def _as_links(nodes: np.ndarray, found: list[tuple[int, int]]) -> pa.Table:
 
 
 def _hot_links(hot: DataFrame, nodes: DataFrame, width: int, max_diff: int) -> DataFrame:
-    """Links that connect whatever is within ``max_diff`` among the nodes of one key; hot: rows (key, node, c)."""
+    """Links that connect whatever is within ``max_diff`` among the nodes of one key; hot: rows (key, node, low), low the key's smallest node."""
     fps = [f"fp{j}" for j in range(width)]
-    sets = hot.groupBy("key").agg(F.bit_xor(F.xxhash64("node")).alias("mark"), F.first("c").alias("c"), F.min("node").alias("low"))
-    sets = sets.groupBy("c", "mark", "low").agg(F.min("key").alias("key")).select("key", "low")  # equal sets once
-    first = sets.join(nodes.select(F.col("node").alias("low"), F.struct(*fps).alias("f1")), "low")
-    rows = hot.join(first, "key").join(nodes.select("node", F.struct(*fps).alias("f2")), "node")
+    first = nodes.select(F.col("node").alias("low"), F.struct(*fps).alias("f1"))
+    rows = hot.join(first, "low").join(nodes.select("node", F.struct(*fps).alias("f2")), "node")
     rows = materialize(rows.select("key", "node", "low", F.expr(f"{_differing(width, 'f1', 'f2')} > {max_diff}").alias("apart"), "f2"), "stars")
     stars = rows.where("NOT apart AND node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"))
 
@@ -286,9 +284,11 @@ def similar(texts: DataFrame, shingle: int, least: float) -> DataFrame:
 def links(nodes: DataFrame, width: int, cuts: list[tuple[int, int, int]], max_diff: int, bucket_limit: int = 16) -> DataFrame:
     """Verified links (a, b), a < b, between nodes (node long, fp0, ...) of distinct fingerprints or texts."""
     index = variants(nodes, cuts)
-    met = materialize(index.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("a"), F.max("node").alias("b")).where("c > 1"), "met")
-    pairs = met.where("c = 2").select("a", "b").distinct()
-    full = materialize(index.join(met.where("c > 2").select("key", "c"), "key"), "full")
+    met = index.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("low"), F.max("node").alias("high"), F.bit_xor(F.xxhash64("node")).alias("mark"))
+    # Variants shared by the same nodes count once.
+    met = materialize(met.where("c > 1").groupBy("c", "low", "high", "mark").agg(F.min("key").alias("key")), "met")
+    pairs = met.where("c = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
+    full = materialize(index.join(met.where("c > 2").select("key", "c", "low"), "key"), "full")
     some = full.where(f"c <= {bucket_limit}").groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("m"))
     some = some.select("m").distinct().select(F.explode(F.expr("flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> struct(x AS a, y AS b))))")).alias("p")).select("p.a", "p.b")
     hot = full.where(f"c > {bucket_limit}")
