@@ -15,6 +15,7 @@ are packed each.  An empty table gives no rows.
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import os
 import string
@@ -31,7 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import load, materialize
 
-CACHE = 600_000
+#: Words that a task may hold, and those that a worker keeps from task to task.
+CACHE, KEPT = 600_000, 100_000
 _SCHEMA = "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long, part long, open boolean"
 _NAMES = [x.split()[0] for x in _SCHEMA.split(", ")]
 _ARROW = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
@@ -106,6 +108,14 @@ class WordIds:
         probe = [f"{a}{gap}{b}" for a in "a1.'\u00e9" for b in "a1.'\u00e9s" for gap in " \n\t\r\x0b\x0c"]
         return None if any(c in m for p in probe for m in pattern.findall(p) for c in string.whitespace) else pattern
 
+    def trim(self, keep: int = KEPT) -> None:
+        """Keep the words met first: frequent ones are among them."""
+        for held in (self.words, self.matches):
+            if len(held) > keep:
+                first = list(itertools.islice(held.items(), keep))
+                held.clear()
+                held.update(first)
+
     def _plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -133,10 +143,8 @@ class WordIds:
             return
         known = self.words
         for text in texts:
-            if len(known) > CACHE:
-                known.clear()
-            if len(self.matches) > CACHE:
-                self.matches.clear()
+            if len(known) > CACHE or len(self.matches) > CACHE:
+                self.trim()
             yield b"".join([*map(known.__getitem__, (text or b"").split()), tail])
 
 
@@ -207,6 +215,7 @@ def _first_level(docs: DataFrame, path: str, end: int, size: int, windows: int,
                 packer.add(doc, 0, ids, len(ids) // 4)
                 if len(packer.done) > 4096:
                     yield packer.batch()
+        words.trim()
         packer.close()
         yield packer.batch()
 
