@@ -203,6 +203,10 @@ def _seed_rows(items: DataFrame) -> DataFrame:
     return rows.groupBy("seed", "item").agg(F.collect_list("at").alias("item_at"))
 
 
+def _slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
+
+
 def _scan(rows: DataFrame, kinds: list[int], known: np.ndarray, seeded: np.ndarray) -> DataFrame:
     """Rows (row, doc_id, ids, hits) of the documents with a seed that the bit tables let pass."""
     kind = dict(rows.dtypes)["doc_id"]
@@ -213,14 +217,17 @@ def _scan(rows: DataFrame, kinds: list[int], known: np.ndarray, seeded: np.ndarr
         table, seed_table = shared.value
         words = _Known(table)
         row = TaskContext.get().partitionId() << 33
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole, 512)):
             at, found, hits = [], [], []
             for i, text in enumerate(batch.column(1)):
                 if len(words) > CACHE:
                     words.clear()
                 own = tokens(text.as_py())
                 ids = np.fromiter(map(words.__getitem__, own), np.int64, len(own))
-                parts = [seeds(ids, k, ids != 0) for k in kinds]
+                known_at = ids != 0
+                if not known_at.any():
+                    continue
+                parts = [seeds(ids, k, known_at) for k in kinds]
                 h, place = (np.concatenate(x) for x in zip(*parts))
                 here = _has(seed_table, h, SEED_BITS)
                 if here.any():
