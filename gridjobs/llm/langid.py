@@ -5,10 +5,14 @@ character n-grams (1 to 4, with word ends) of the text's words.  A text's bit sc
 their logistic losses, each bit weighted by its accuracy on training data that did not fit it; the codeword with the
 least loss wins.  The loss gap to the runner-up flags ambiguous texts, the softmax of the losses is the score.
 
-Training takes a hash-chosen sample of about ``per_lang`` texts of each language, ``max_texts`` in all (the first
-``head`` words of each suffice to learn from; scoring reads whole texts).  A word's bit scores are kept in a bounded cache per worker.
-
-Null texts and texts without a letter are ``und`` with score 0.  Null languages are not learned.  With one language
+Training takes a hash-chosen sample of about ``per_lang`` whole texts of each language, in all ``max_texts`` or one a
+language, whichever is more; every language value is learned.  Which rows fit and which are kept aside goes by a hash
+too, so the same rows give the same model however they are partitioned.  Scoring reads whole texts.  A word's bit scores
+are kept in a bounded cache per worker.
+
+Letters are what Python's ``str.isalpha`` calls letters.  Null texts and texts without one are ``und`` with score 0.  Null
+languages are not learned.  Equal losses go to the alphabetically first language.  Columns of other names are ignored;
+a very long text is held by one task.  With one language
 known every text with letters gets it; with none, ``und``.  Repeated rows get equal results; an empty table, no rows.
 """
 
@@ -17,6 +21,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,10 +33,12 @@ from .common import load
 
 BUCKETS = 1 << 13
 CACHE = 500_000
-_LETTER = re.compile(r"[^\W\d_]")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+_ASCII = re.compile("[A-Za-z]")
+
+
 def codewords(n: int, bits: int, seed: int = 5) -> np.ndarray:
     """n rows of +-1: the best of many random codes by least distance, without constant or repeated columns."""
     rng, best = np.random.default_rng(seed), None
@@ -83,7 +90,7 @@ class OutputCode:
     def decide(self, text: str | None) -> tuple[str, float, bool]:
         """(language, score, ambiguous)"""
         text = text or ""
-        if not self.langs or not _LETTER.search(text):
+        if not self.langs or not (text.isascii() and _ASCII.search(text) or any(map(str.isalpha, text))):
             return "und", 0.0, False
         words = _WORD.findall(text.lower())
         f = self.text_vector(words) + self.bias
@@ -118,41 +125,43 @@ def _fit_bit(x: np.ndarray, y: np.ndarray, rounds: int = 150, rate: float = 0.5,
     return w, float(b)
 
 
-def learn(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", per_lang: int = 300, max_texts: int = 2400, head: int = 200, bits: int = 15, max_langs: int = 256) -> OutputCode:
+def learn(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", per_lang: int = 300, max_texts: int = 2400, bits: int = 15) -> OutputCode:
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.xxhash64(F.lit("draw"), F.col(id_col), F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
-    known = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()}
+    known = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(known)
     if not langs:
         return OutputCode([], np.zeros((0, 1)), np.zeros((BUCKETS, 1), np.float32), np.zeros(1), np.ones(1))
-    per_lang = min(per_lang, max_texts // len(langs))
-    share = F.create_map(*(F.lit(x) for k in langs for x in (k, min(1.0, per_lang / known[k]))))
-    sample = rows.where(F.pmod("h", F.lit(1_000_003)) / 1_000_003.0 < share[F.col("lang")]).select("lang", "text")
+    bits = max(bits, 4 * (len(langs) - 1).bit_length())
+    per_lang = max(1, min(per_lang, max_texts // len(langs)))
+    shares = docs.sparkSession.createDataFrame([(k, min(1.0, per_lang / n)) for k, n in known.items()], "lang string, share double")
+    sample = rows.join(F.broadcast(shares), "lang").where(F.pmod("h", F.lit(1_000_003)) / 1_000_003.0 < F.col("share")).select("lang", "text", "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, vectors = [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
-                words = _WORD.findall(text.lower())[:head]
+                words = Counter(_WORD.findall(text.lower()))
                 if words:
-                    v = np.zeros(BUCKETS, np.float32)
-                    for w in words:
+                    v, n = np.zeros(BUCKETS), words.total()
+                    for w, times in words.items():
                         own = word_grams(w)
-                        np.add.at(v, own, 1 / len(own) / len(words))
+                        np.add.at(v, own, times / len(own) / n)
                     at.append(i)
-                    vectors.append(v.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(vectors, pa.binary())], names=["lang", "v"])
+                    vectors.append(v.astype(np.float32).tobytes())
+            own = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(2).take(own), pa.array(vectors, pa.binary())], names=["lang", "h", "v"])
 
-    got = sample.mapInArrow(run, "lang string, v binary").toArrow()
+    got = sample.mapInArrow(run, "lang string, h long, v binary").toArrow().sort_by([("h", "ascending"), ("lang", "ascending")])
     label = np.array([langs.index(x) for x in got.column("lang").to_pylist()], np.int64)
     x = np.zeros((len(label), BUCKETS), np.float32)
     for i, v in enumerate(got.column("v")):
         x[i] = np.frombuffer(v.as_buffer(), np.float32)
-    del got
     if len(langs) == 1 or not len(label):
         return OutputCode(langs[:1], np.ones((1, 1)), np.zeros((BUCKETS, 1), np.float32), np.zeros(1), np.ones(1))
     code = codewords(len(langs), bits)
     weights, bias, trust = [], [], []
-    fold = np.arange(len(label)) % 4 == 0
+    fold = got.column("h").to_numpy() // 1_000_003 % 4 == 0
+    del got
     own, aside = x[~fold], x[fold]
     del x
     for j in range(code.shape[1]):

@@ -7,11 +7,13 @@ sentences that explain the label.  A fifth of the sample, kept aside, calibrates
 log-odds).  The same sentence scores, calibrated alike, locate the offending sentences.
 
 A word (letters, digits, underscores; lower case) has four hashed features: itself and its first 4, 5 and 6 characters.
-Training takes at most ``max_docs`` labelled documents (half of them, at most, of each class), chosen by hash.  Scoring
+Training takes at most ``max_docs`` labelled documents (half of them, at most, of each class), chosen by hash; a hash
+also says which are kept aside, so the same rows give the same model however they are partitioned.  Scoring
 covers every sentence of every text; a word's weight is looked up in a bounded cache in each worker.
 
 Nulls and texts without words score 0.  Labels that are null are not learned from.  With no labels of both classes the
-score is 0 throughout.  Repeated documents get equal scores; an empty table gives no rows.
+score is 0 throughout.  Repeated documents get equal scores; an empty table gives no rows.  Of several labels of a
+document the greatest counts.  Columns of other names are ignored; a very long text is held by one task.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load
+from .common import load, materialize
 
 BUCKETS = 1 << 18
 CACHE = 300_000
@@ -142,25 +144,29 @@ def _log_odds(p: float) -> float:
 
 def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_docs: int = 4000) -> NoisyOr:
     """Fit on a bounded sample of ``docs`` that ``labels`` marks."""
+    # The chosen ids are bounded by max_docs: they are broadcast once counted, so texts stay where they are.
     marks = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label_col).cast("int").alias("y"))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     known = marks.join(rows.select("doc_id"), "doc_id")
     share = {r["y"]: min(1.0, max_docs / 2 / r["n"]) for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     draw = F.pmod(F.xxhash64(F.lit("draw"), "doc_id"), F.lit(1_000_003)) / 1_000_003.0
     chosen = known.where(F.expr("false") if len(share) < 2 else draw < F.when(F.col("y") == 1, share.get(1, 0.0)).otherwise(share.get(0, 0.0)))
-    sample = rows.join(chosen, "doc_id").select("y", "text")
+    chosen = materialize(chosen, "chosen")
+    if chosen.count() <= 2 * max_docs:
+        chosen = F.broadcast(chosen)
+    sample = rows.join(chosen, "doc_id").select("y", F.xxhash64("doc_id", "text").alias("h"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bags = [[sorted({f for w in s for f in word_features(w)}) for s in sentences(t)] for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bags, pa.list_(pa.list_(pa.int32())))], names=["y", "bag"])
+            bags = [[sorted({f for w in s for f in word_features(w)}) for s in sentences(t)] for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bags, pa.list_(pa.list_(pa.int32())))], names=["y", "h", "bag"])
 
-    got = sample.mapInArrow(run, "y int, bag array<array<int>>").toArrow()
+    got = sample.mapInArrow(run, "y int, h long, bag array<array<int>>").toArrow().sort_by([("h", "ascending"), ("y", "ascending")])
     y = got.column("y").to_numpy()
     if len(set(y.tolist())) < 2:
         return NoisyOr(np.zeros(BUCKETS, np.float32), -800.0)
     bags = [[s.values.to_numpy() for s in b] if b else [] for b in _bags(got.column("bag"))]
-    aside = np.arange(len(y)) % 5 == 0
+    aside = got.column("h").to_numpy() // 1_000_003 % 5 == 0
     del got
     model = NoisyOr.fit([b for b, x in zip(bags, aside) if not x], y[~aside]).calibrate([b for b, x in zip(bags, aside) if x], y[aside])
     model.shift += math.log(share[0] / share[1])  # from the sample's shares of the classes back to the labels' own

@@ -44,6 +44,24 @@ def test_toxicity_on_documents(spark, odd, empty):
     assert all(r.score == 0 for r in toxicity.score(odd, toxicity.learn(odd, labels.limit(0))).collect())
 
 
+def test_models_do_not_depend_on_partitions(spark):
+    docs, labels = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet")
+    a, b = (toxicity.learn(docs.repartition(n), labels, max_docs=200) for n in (3, 7))
+    assert np.allclose(a.weights, b.weights) and a.bias == b.bias and (a.slope, a.shift) == (b.slope, b.shift)
+    a, b = (langid.learn(docs.repartition(n), per_lang=25) for n in (3, 7))
+    assert a.langs == b.langs and np.allclose(a.weights, b.weights) and np.allclose(a.trust, b.trust)
+
+
+def test_signs_are_no_letters_and_rare_languages_are_learned(spark):
+    rows = [(i, f"{chr(97 + i % 20) * 3} {chr(98 + i % 20) * 4} word", f"l{i % 20:02d}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(docs, per_lang=10)
+    assert len(model.langs) == 20
+    odd = spark.createDataFrame([(0, "½ ² ①"), (1, "12 _ !"), (2, "ⅷ"), (3, "x")], "doc_id long, text string")
+    got = {r.doc_id: r.lang_pred for r in langid.identify(odd, model).collect()}
+    assert got[0] == got[1] == got[2] == "und" and got[3] != "und"
+
+
 def test_codewords_lie_apart():
     for n in (2, 3, 4, 7, 20):
         code = langid.codewords(n, 15)
