@@ -1,21 +1,23 @@
 """Subword-lattice language model: a text's probability summed over all segmentations.
 
 The pieces are those of an existing subword vocabulary file; no tokenizer is trained.  A piece's weight in a class of
-documents (a language; the ``max_classes`` most frequent ones and the rest) is its count over all training words, each
-segmented once by that vocabulary and weighted by the square root of its count (the lattice matters for rare words),
-smoothed by the vocabulary's own scores.  A word's probability is the sum over all
-its segmentations, by a forward recursion in log space; characters that no piece covers are spelled in byte pieces.
+documents (a language; rows without one are a class too) is its count over all training tokens, each word segmented once by
+that vocabulary, smoothed by the vocabulary's own scores.  A word's probability is the sum over all its segmentations,
+by a forward recursion in log space; characters that no piece covers are spelled in byte pieces.  A text's ``score`` is
+the lattice's alone: the sum over classes of the class's share times the product of its tokens' marginals, the class
+being unknown to it.
 
-The model of a token mixes that lattice with the token's relative frequency in the class and in the corpus (fixed
-shares ``MIX``); a text's probability is the sum over classes of the class's share times the product of its tokens, the
-class being unknown to it.  Each component is a distribution over tokens, so the mixture is one.
+``mixed_score`` is another model beside it: a token's probability there is the lattice's mixed with the token's relative
+frequency in the class and in the corpus (fixed shares ``MIX``).  Each component is a distribution over tokens.
 
 Counting covers all training texts: partial counts for each task, then one shuffle by word.  The ``FREQUENT`` most
-frequent words, a fixed number, are sent to the scoring tasks with their probabilities; all other words travel as
+frequent words (fewer with many classes: ``TABLE`` numbers at most) are sent to the scoring tasks with their probabilities; all other words travel as
 (document, word, count) rows and join the full count table, with partial sums for each document.
 
 Null texts are empty: one end token.  Null ids are kept and never held out.  Repeated rows are scored (and, if they are
-training rows, counted) each.  Without training rows the counts are zero and the pieces have their vocabulary's scores.
+training rows, counted) each.  Without training rows, or with an empty table, the counts are zero and the pieces have
+their vocabulary's scores.  Columns of other names are ignored.  A very long text is split into words by one task; a word
+takes memory by its length times the longest piece.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import load, materialize, release
 
-FREQUENT = 1 << 16
+FREQUENT, TABLE = 1 << 16, 1 << 20
 #: Shares of the class's frequencies, the corpus's frequencies and the lattice in a token's probability.
 MIX = (0.8, 0.1, 0.1)
 END = ""  # no word is empty, so this stands for the end token
@@ -109,9 +111,8 @@ class Lattice:
         return alpha[n]
 
 
-def _classes(train: DataFrame, max_classes: int) -> list[str]:
-    rows = train.where("class IS NOT NULL").groupBy("class").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "class").limit(max_classes).collect()
-    return sorted(r["class"] for r in rows)
+def _classes(train: DataFrame) -> list[str]:
+    return sorted(r["class"] for r in train.where("class IS NOT NULL").select("class").distinct().collect())
 
 
 def word_counts(train: DataFrame, classes: list[str]) -> DataFrame:
@@ -152,7 +153,7 @@ def piece_counts(counts: DataFrame, path: str, n: int) -> np.ndarray:
         total = np.zeros((sp.get_piece_size() + 1, n))
         for batch in batches:
             words = batch.column(0).to_pylist()
-            c = np.sqrt(np.stack([batch.column(1 + k).to_numpy() for k in range(n)], 1))
+            c = np.stack([batch.column(1 + k).to_numpy() for k in range(n)], 1).astype(float)
             ids = sp.encode(words)
             each = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
             flat = np.fromiter((i for x in ids for i in x), np.int64, len(each))
@@ -181,7 +182,7 @@ class TokenModel:
         self.floor = math.log10(self.n + self.v + 1)
 
     def log10(self, words: list[str], counts: np.ndarray) -> np.ndarray:
-        """(words, classes): the mixture's log10 probability; counts: (words, classes)."""
+        """(words, 2 * classes): log10 probabilities of the lattice, then of the mixture; counts: (words, classes)."""
         ends = np.array([w == END for w in words], bool)
         lat = np.empty(counts.shape)
         lat[ends] = self.lattice.end
@@ -190,7 +191,8 @@ class TokenModel:
         all_ = (counts.sum(1) / max(self.n, 1))[:, None]
         with np.errstate(divide="ignore"):
             seen = np.log10(MIX[0] * own + MIX[1] * all_)
-        return np.logaddexp(seen * math.log(10), (lat + math.log10(MIX[2])) * math.log(10)) / math.log(10)
+        mixed = np.logaddexp(seen * math.log(10), (lat + math.log10(MIX[2])) * math.log(10)) / math.log(10)
+        return np.concatenate([lat, mixed], 1)
 
     def base(self, counts: np.ndarray) -> np.ndarray:
         return np.log10(counts.sum(1) + 1) - (self.floor if self.n + self.v else 0.0)
@@ -198,14 +200,14 @@ class TokenModel:
 
 def _scan(rows: DataFrame, frequent, n: int) -> DataFrame:
     """A summary row for each document (word null) and a row for each of its words that is not frequent."""
-    probs = [f"p{k}" for k in range(n)]
+    probs = [f"p{k}" for k in range(2 * n)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, table, base, known = frequent.value
         index = {w.encode(): i for i, w in enumerate(words)}
         end = index.get(b"", -1)
         row = TaskContext.get().partitionId() << 40
-        names, kinds = ["row", "doc_id", "held_out", "word", "tf", "n_tokens", "n_known", "base", *probs], [pa.int64(), None, pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), *[pa.float64()] * n]
+        names, kinds = ["row", "doc_id", "held_out", "word", "tf", "n_tokens", "n_known", "base", *probs], [pa.int64(), None, pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), *[pa.float64()] * (2 * n)]
         for batch in batches:
             kinds[1] = batch.column(0).type
             for at in range(0, batch.num_rows, 1000):
@@ -242,20 +244,20 @@ def _priced(words: DataFrame, model, n: int) -> DataFrame:
         for batch in batches:
             c = np.stack([batch.column(1 + k).to_numpy() for k in range(n)], 1).astype(float)
             p = own.log10(batch.column(0).to_pylist(), c)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(c.sum(1) > 0), pa.array(own.base(c)), *(pa.array(np.ascontiguousarray(p[:, k])) for k in range(n))], names=["word", "known", "b", *(f"q{k}" for k in range(n))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(c.sum(1) > 0), pa.array(own.base(c)), *(pa.array(np.ascontiguousarray(p[:, k])) for k in range(2 * n))], names=["word", "known", "b", *(f"q{k}" for k in range(2 * n))])
 
-    return words.mapInArrow(run, "word string, known boolean, b double, " + ", ".join(f"q{k} double" for k in range(n)))
+    return words.mapInArrow(run, "word string, known boolean, b double, " + ", ".join(f"q{k} double" for k in range(2 * n)))
 
 
-def score(docs: DataFrame, held_out, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", class_col: str = "lang", max_classes: int = 8) -> DataFrame:
-    """Rows (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), scores in log10.
+def score(docs: DataFrame, held_out, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", class_col: str = "lang") -> DataFrame:
+    """Rows (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, mixed_score), scores in log10.
 
     ``held_out``: a column expression over ``docs``; rows where it is true are scored but not learned from.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).cast("binary").alias("text"), F.col(class_col).cast("string").alias("class"))
     train = rows.where("NOT held_out")
-    classes = _classes(train, max_classes)
+    classes = _classes(train)
     n = len(classes) + 1
     cs = [f"c{k}" for k in range(n)]
     counts = materialize(word_counts(train, classes), "counts")
@@ -267,7 +269,7 @@ def score(docs: DataFrame, held_out, vocabulary: str, id_col: str = "doc_id", te
     pieces = piece_counts(counts, vocabulary, n)
     parts = (vocabulary, pieces[:-1], ends * pieces[-1] / np.maximum(sizes - ends, 1), sizes, total["v"])
     model = TokenModel(*parts)
-    top = counts.orderBy(F.expr(" + ".join(cs)).desc(), "word").limit(FREQUENT).toArrow()
+    top = counts.orderBy(F.expr(" + ".join(cs)).desc(), "word").limit(max(1, min(FREQUENT, TABLE // n))).toArrow()
     words = top.column("word").to_pylist()
     c = np.stack([top.column(x).to_numpy() for x in cs], 1).astype(float).reshape(len(words), n)
     frequent = spark.sparkContext.broadcast((words, model.log10(words, c), model.base(c), c.sum(1) > 0))
@@ -277,13 +279,16 @@ def score(docs: DataFrame, held_out, vocabulary: str, id_col: str = "doc_id", te
     need = rare.groupBy("word").agg(F.count("*").alias("d")).join(counts, "word", "left").select("word", *(F.coalesce(x, F.lit(0)).alias(x) for x in cs))
     priced = materialize(_priced(need, spark.sparkContext.broadcast(parts), n), "priced")
     release(spark)
-    sums = rare.join(priced, "word").groupBy("row").agg(F.sum(F.when(F.col("known"), F.col("tf")).otherwise(0)).alias("rk"), F.sum(F.col("tf") * F.col("b")).alias("rb"), *(F.sum(F.col("tf") * F.col(f"q{k}")).alias(f"r{k}") for k in range(n)))
+    sums = rare.join(priced, "word").groupBy("row").agg(F.sum(F.when(F.col("known"), F.col("tf")).otherwise(0)).alias("rk"), F.sum(F.col("tf") * F.col("b")).alias("rb"), *(F.sum(F.col("tf") * F.col(f"q{k}")).alias(f"r{k}") for k in range(2 * n)))
     met = found.where("word IS NULL").join(sums, "row", "left")
     docs_of = np.maximum(ends, 0.5) / np.maximum(ends, 0.5).sum()
-    logs = [F.col(f"p{k}") + F.coalesce(f"r{k}", F.lit(0.0)) + F.lit(float(np.log10(docs_of[k]))) for k in range(n)]
-    best = F.greatest(*logs) if n > 1 else logs[0]
-    whole = best + F.log10(sum((F.pow(F.lit(10.0), x - best) for x in logs), F.lit(0.0)))
-    return met.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("rk", F.lit(0))).alias("n_known"), F.lit(int(sizes.sum())).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("rb", F.lit(0.0))).alias("base_score"), whole.alias("score"))
+
+    def whole(first: int):
+        logs = [F.col(f"p{first + k}") + F.coalesce(f"r{first + k}", F.lit(0.0)) + F.lit(float(np.log10(docs_of[k]))) for k in range(n)]
+        best = F.greatest(*logs) if n > 1 else logs[0]
+        return best + F.log10(sum((F.pow(F.lit(10.0), x - best) for x in logs), F.lit(0.0)))
+
+    return met.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("rk", F.lit(0))).alias("n_known"), F.lit(int(sizes.sum())).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("rb", F.lit(0.0))).alias("base_score"), whole(0).alias("score"), whole(n).alias("mixed_score"))
 
 
 def op5_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:

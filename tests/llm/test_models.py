@@ -163,6 +163,21 @@ def test_language_model_counts(spark, documents, odd, empty):
     assert all(r.base_score == 0 and math.isfinite(r.score) for r in none)
 
 
+def test_score_is_the_sum_over_segmentations_of_the_text(spark, monkeypatch):
+    """The whole score from counts, weights and all segmentations of each word, on short texts of two languages."""
+    docs = spark.createDataFrame([(1, "the cat", "en"), (2, "le chat chat", "fr"), (3, "cat chat", None), (4, "", "en")], "doc_id long, text string, lang string")
+    seen = []
+    own = lattice.Lattice.__init__
+    monkeypatch.setattr(lattice.Lattice, "__init__", lambda self, *a: (own(self, *a), seen.append(self))[0])
+    got = {r.doc_id: r for r in lattice.score(docs, F.lit(False), PIECES).collect()}
+    lat, share = seen[0], np.array([2, 1, 1]) / 4
+    for i, text in {1: "the cat", 2: "le chat chat", 3: "cat chat", 4: ""}.items():
+        each = [share[k] * 10 ** (lat.end[k] + sum(slow_lattice(lat, w, k) for w in text.split())) for k in range(3)]
+        assert abs(got[i].score - math.log10(sum(each))) < 1e-9
+        assert got[i].mixed_score < 0
+    assert (10**lat.end < 1).all()
+
+
 def test_rare_words_join_as_the_frequent_ones(spark, documents, monkeypatch):
     rule = held(7, 2)
     want = {r.doc_id: r.score for r in lattice.score(documents, rule, PIECES).collect()}
