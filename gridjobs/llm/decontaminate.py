@@ -141,11 +141,13 @@ def passing(same: np.ndarray, least: int, share: Fraction, penalty: float) -> li
         if hi - lo < least or int(same[lo:hi].sum()) < math.ceil(least * share):
             continue
         part = same[lo:hi]
-        for a, b in (best_overlap(part, penalty), longest_overlap(part, least, share)):
-            if b - a >= least and int(part[a:b].sum()) >= share * (b - a):
-                out.append((lo + a, lo + b))
-                todo += [(lo, lo + a), (lo + b, hi)]
-                break
+        passes = lambda a, b: b - a >= least and int(part[a:b].sum()) >= share * (b - a)
+        longest = longest_overlap(part, least, share)
+        if passes(*longest):  # else no segment does
+            best = best_overlap(part, penalty)
+            a, b = best if passes(*best) else longest
+            out.append((lo + a, lo + b))
+            todo += [(lo, lo + a), (lo + b, hi)]
     return sorted(out)
 
 
