@@ -237,16 +237,16 @@ def _scan(rows: DataFrame, frequent, n: int) -> DataFrame:
 
 
 def _priced(words: DataFrame, model, n: int) -> DataFrame:
-    """(word, counts) to (word, known, base, probabilities by class)."""
+    """(word, counts) to (word, known, base, probabilities by class); the mixture's, which are beside the score, in half the room."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = TokenModel(*model.value)
         for batch in batches:
             c = np.stack([batch.column(1 + k).to_numpy() for k in range(n)], 1).astype(float)
             p = own.log10(batch.column(0).to_pylist(), c)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(c.sum(1) > 0), pa.array(own.base(c)), *(pa.array(np.ascontiguousarray(p[:, k])) for k in range(2 * n))], names=["word", "known", "b", *(f"q{k}" for k in range(2 * n))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(c.sum(1) > 0), pa.array(own.base(c)), *(pa.array(np.ascontiguousarray(p[:, k]), pa.float64() if k < n else pa.float32()) for k in range(2 * n))], names=["word", "known", "b", *(f"q{k}" for k in range(2 * n))])
 
-    return words.mapInArrow(run, "word string, known boolean, b double, " + ", ".join(f"q{k} double" for k in range(2 * n)))
+    return words.mapInArrow(run, "word string, known boolean, b double, " + ", ".join(f"q{k} {'double' if k < n else 'float'}" for k in range(2 * n)))
 
 
 def score(docs: DataFrame, held_out, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", class_col: str = "lang") -> DataFrame:
