@@ -27,6 +27,7 @@ rows.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -60,7 +61,8 @@ def tokens(text: str | None) -> list[str]:
 
 def token_hash(word: str) -> int:
     """A signed 64-bit hash that is never 0: 0 stands for words that the benchmark does not have."""
-    return int.from_bytes(xxhash.xxh64_digest(word.encode("utf-8", "surrogatepass"), 7), "big", signed=True) or 1
+    h = xxhash.xxh64_intdigest(word.encode(), 7)
+    return (h - (1 << 64) if h >> 63 else h) or 1
 
 
 def sure_run(length: int, share: Fraction) -> int:
@@ -169,12 +171,11 @@ class _Known(dict):
     """Token hashes of words, 0 for those that the benchmark does not have."""
 
     def __init__(self, table: np.ndarray) -> None:
-        self.table = table
+        self.flags = np.unpackbits(table.view(np.uint8), bitorder="little").tobytes()
 
     def __missing__(self, word: str) -> int:
         h = token_hash(word)
-        place = (h & (2**64 - 1)) >> (64 - TOKEN_BITS)
-        self[word] = h = h if int(self.table[place >> 6]) >> (place & 63) & 1 else 0
+        h = self[word] = h if self.flags[(h >> 64 - TOKEN_BITS) & (1 << TOKEN_BITS) - 1] else 0
         return h
 
 
@@ -213,35 +214,37 @@ def _scan(rows: DataFrame, kinds: list[int], known: np.ndarray, seeded: np.ndarr
     """Rows (row, doc_id, ids, hits) of the documents with a seed that the bit tables let pass."""
     kind = dict(rows.dtypes)["doc_id"]
     shared = rows.sparkSession.sparkContext.broadcast((known, seeded))
-    hit = pa.struct([("seed", pa.int64()), ("at", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seed_table = shared.value
         words = _Known(table)
         row = TaskContext.get().partitionId() << 33
+        gap = max(int(m[-1]) for k in kinds for m in masks_of(k)) + 1  # no window reaches from one text into the next
         for batch in (part for whole in batches for part in _slices(whole, 512)):
-            at, found, hits = [], [], []
-            for i, text in enumerate(batch.column(1)):
+            own = []
+            for text in batch.column(1):
                 if len(words) > CACHE:
                     words.clear()
-                own = tokens(text.as_py())
-                ids = np.fromiter(map(words.__getitem__, own), np.int64, len(own))
-                known_at = ids != 0
-                if not known_at.any():
-                    continue
-                parts = [seeds(ids, k, known_at) for k in kinds]
-                h, place = (np.concatenate(x) for x in zip(*parts))
-                here = _has(seed_table, h, SEED_BITS)
-                if here.any():
-                    order = np.argsort(h[here], kind="stable")
-                    h, place = h[here][order], place[here][order]
-                    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-                    hits.append([{"seed": int(h[a]), "at": place[a:b]} for a, b in zip(first, [*first[1:], len(h)])])
-                    at.append(i)
-                    found.append(ids)
+                found = tokens(text.as_py())
+                own.append(np.fromiter(map(words.__getitem__, found), np.int64, len(found)))
+            starts = np.cumsum([0, *(len(x) + gap for x in own)])
+            ids = np.zeros(int(starts[-1]), np.int64)
+            for x, a in zip(own, starts):
+                ids[a : a + len(x)] = x
+            h, place = (np.concatenate(x) for x in zip(*(seeds(ids, k, ids != 0) for k in kinds)))
+            here = _has(seed_table, h, SEED_BITS)
+            h, place = h[here], place[here]
+            doc = np.searchsorted(starts, place, "right") - 1
+            order = np.lexsort((place, h, doc))
+            h, doc, place = h[order], doc[order], (place - starts[doc])[order].astype(np.int32)
+            if not len(h):
+                continue
+            first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])])
+            at, sizes = np.unique(doc[first], return_counts=True)
+            places = pa.ListArray.from_arrays(pa.array(np.r_[first, len(h)].astype(np.int32)), pa.array(place))
+            hits = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.StructArray.from_arrays([pa.array(h[first]), places], names=["seed", "at"]))
             n = len(at)
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array(range(row, row + n), pa.int64()), batch.column(0).take(pa.array(at, pa.int64())), pa.array(found, pa.list_(pa.int64())), pa.array(hits, pa.list_(hit))], names=["row", "doc_id", "ids", "hits"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(row, row + n), pa.int64()), batch.column(0).take(pa.array(at)), pa.array([own[i] for i in at.tolist()], pa.list_(pa.int64())), hits], names=["row", "doc_id", "ids", "hits"])
             row += n
 
     return rows.mapInArrow(run, f"row long, doc_id {kind}, ids array<long>, hits array<struct<seed: long, at: array<int>>>")
@@ -252,11 +255,18 @@ def _diagonals(met: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, item, a, b in zip(*(batch.column(c).to_pylist() for c in range(4))):
+            found = []
+            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                if len(a) * len(b) <= 64:
+                    found.append(list({x - y for x in a for y in b}))
+                    continue
                 a, b = np.array(a, np.int64), np.array(b, np.int64)
                 some = [np.unique(a[i : i + 1024, None] - b[None, j : j + 1024]) for i in range(0, len(a), 1024) for j in range(0, len(b), 1024)]
-                shift = np.unique(np.concatenate(some))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(shift), row, np.int64)), pa.array(np.full(len(shift), item, np.int64)), pa.array(shift)], names=["row", "item", "shift"])
+                found.append(np.unique(np.concatenate(some)).tolist())
+            size = [len(x) for x in found]
+            keys = np.stack([np.repeat(batch.column(c).to_numpy(), size) for c in (0, 1)] + [np.fromiter(itertools.chain.from_iterable(found), np.int64, sum(size))], 1)
+            once = np.unique(keys, axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(once[:, c])) for c in range(3)], names=["row", "item", "shift"])
 
     return met.select("row", "item", "doc_at", "item_at").mapInArrow(run, "row long, item long, shift long").distinct()
 
