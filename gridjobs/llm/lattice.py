@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, materialize, release
+from .common import drop_table, load, materialize, release
 
 FREQUENT, TABLE = 1 << 16, 1 << 20
 #: Shares of the class's frequencies, the corpus's frequencies and the lattice in a token's probability.
@@ -278,6 +278,7 @@ def score(docs: DataFrame, held_out, vocabulary: str, id_col: str = "doc_id", te
     rare = found.where("word IS NOT NULL").select("row", "word", "tf")
     need = rare.groupBy("word").agg(F.count("*").alias("d")).join(counts, "word", "left").select("word", *(F.coalesce(x, F.lit(0)).alias(x) for x in cs))
     priced = materialize(_priced(need, spark.sparkContext.broadcast(parts), n), "priced")
+    drop_table(counts)
     release(spark)
     sums = rare.join(priced, "word").groupBy("row").agg(F.sum(F.when(F.col("known"), F.col("tf")).otherwise(0)).alias("rk"), F.sum(F.col("tf") * F.col("b")).alias("rb"), *(F.sum(F.col("tf") * F.col(f"q{k}")).alias(f"r{k}") for k in range(2 * n)))
     met = found.where("word IS NULL").join(sums, "row", "left")
