@@ -29,6 +29,27 @@ def queries() -> dict:
     return {name: _lazy(name, module) for name, module in _OPS.items()}
 
 
+#: Every 400-byte window of a text, as hexadecimal digits, by its MD5; texts are cut into pieces of 256 windows first, as
+#: finding a place in a long string takes time that grows with the place.
+_REPEATS = """
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+pieces AS (SELECT r, base, substr(h, 2 * base + 1, 2 * (256 + 399)) AS s
+    FROM (SELECT r, h, unnest(range(0, greatest(0, length(h) // 2 - 399), 256)) AS base FROM docs)),
+windows AS (SELECT r, base + i AS p, md5_number(substr(s, 2 * i + 1, 800)) AS m
+    FROM (SELECT r, base, s, unnest(range(0, least(256, length(s) // 2 - 399))) AS i FROM pieces)),
+again AS (SELECT m FROM windows GROUP BY m HAVING count(*) > 1),
+hits AS (SELECT r, p, coalesce(p > 400 + lag(p) OVER (PARTITION BY r ORDER BY p), true) AS fresh FROM windows SEMI JOIN again USING (m)),
+spans AS (SELECT r, min(p) AS a, max(p) + 400 AS b
+    FROM (SELECT r, p, sum(fresh::INT) OVER (PARTITION BY r ORDER BY p) AS g FROM hits) GROUP BY r, g),
+ends AS (SELECT r, a, b FROM spans UNION ALL SELECT r, length(h) // 2, length(h) // 2 FROM docs),
+gaps AS (SELECT r, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a, b), 0) AS lo, a AS hi, b FROM ends),
+kept AS (SELECT r, string_agg(substr(h, 2 * lo + 1, 2 * (hi - lo)), '' ORDER BY lo, b) AS k FROM gaps JOIN docs USING (r) GROUP BY r),
+counts AS (SELECT r, count(*) AS n FROM spans GROUP BY r)
+SELECT doc_id, length(h) // 2 AS n_bytes, (length(h) - length(k)) // 2 AS n_removed, coalesce(n, 0) AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM docs JOIN kept USING (r) LEFT JOIN counts USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators that it expresses; the others are tested against brute force in tests/llm."""
-    return {}
+    return {"op10_suffix": _REPEATS}

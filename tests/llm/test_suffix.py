@@ -58,3 +58,20 @@ def test_repeated_rows_are_copies(spark):
     docs = spark.createDataFrame([(1, t), (1, t), (2, "short")], "doc_id long, text string")
     got = suffix.remove_repeats(docs).collect()
     assert sorted((r.doc_id, len(r.kept)) for r in got) == [(1, 0), (1, 0), (2, 5)]
+
+
+def test_query_and_its_sql_agree(spark, documents, tmp_path):
+    import duckdb
+
+    from gridjobs.llm.queries import oracle_sql, queries
+
+    some = documents.where("doc_id < 40").select("doc_id", "text")
+    passage = "".join(chr(97 + i * i % 23) for i in range(400))
+    odd = [(-1, None), (-2, ""), (-3, "é" * 300), (-4, "x" * 900), (-5, passage + passage), (None, "tail " + passage), (-5, "y" * 399)]
+    some.unionByName(spark.createDataFrame(odd, "doc_id long, text string")).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries()["op10_suffix"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(oracle_sql()["op10_suffix"])
+    assert got.columns == [c[0] for c in want.description]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want.fetchall(), key=str)
