@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +46,53 @@ def sentences(text: str | None) -> list[list[str]]:
     return [w for s in _SENTENCE.split((text or "").lower()) if (w := _WORD.findall(s))]
 
 
+class Bags:
+    """Bags of sentences end to end: all features, how many each sentence has, how many sentences each document."""
+
+    def __init__(self, features: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> None:
+        self.features, self.sizes, self.counts = features, sizes, counts
+
+    @classmethod
+    def of(cls, bags: list[list[list[int]]]) -> Bags:
+        lists = [np.asarray(s, np.int32) for b in bags for s in b]
+        flat = np.concatenate(lists) if lists else np.zeros(0, np.int32)
+        return cls(flat, np.array([len(x) for x in lists], np.int64), np.array([len(b) for b in bags], np.int64))
+
+    def blocks(self, most: int = 1 << 20) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """Runs of sentences of ``most`` features, or one sentence: (the run, its features, each one's sentence in the run)."""
+        ends, first = np.cumsum(self.sizes), 0
+        while first < len(ends):
+            start = ends[first] - self.sizes[first]
+            last = max(first + 1, int(np.searchsorted(ends, start + most, "right")))
+            yield slice(first, last), self.features[start : ends[last - 1]], np.repeat(np.arange(last - first, dtype=np.int32), self.sizes[first:last])
+            first = last
+
+    def sums(self, weights: np.ndarray) -> np.ndarray:
+        """Each sentence's sum of its features' weights."""
+        z = np.zeros(len(self.sizes))
+        for run, features, sent in self.blocks():
+            z[run] = np.bincount(sent, weights[features], run.stop - run.start)
+        return z
+
+    def documents_with(self) -> np.ndarray:
+        """How many documents each feature occurs in."""
+        held = np.zeros(BUCKETS, np.int32)
+        sentence_ends = np.concatenate([[0], np.cumsum(self.sizes)])
+        ends = sentence_ends[np.concatenate([[0], np.cumsum(self.counts)])]
+        for a, b in zip(ends, ends[1:]):
+            held[np.unique(self.features[a:b])] += 1
+        return held
+
+    def narrowed(self, place: np.ndarray) -> Bags:
+        """Features renumbered by ``place``; those with a negative number are left out."""
+        parts, sizes = [np.zeros(0, np.int32)], np.zeros_like(self.sizes)
+        for run, features, sent in self.blocks():
+            new = place[features]
+            parts.append(new[new >= 0])
+            sizes[run] = np.bincount(sent[new >= 0], minlength=run.stop - run.start)
+        return Bags(np.concatenate(parts), sizes, self.counts)
+
+
 class NoisyOr:
     """Sentence weights, and the calibration (slope, shift of log-odds) of the scores."""
 
@@ -52,34 +100,30 @@ class NoisyOr:
         self.weights, self.bias, self.slope, self.shift, self.known = weights, bias, slope, shift, {}
 
     @classmethod
-    def fit(cls, bags: list[list[list[int]]], labels: np.ndarray, rounds: int = 120, rate: float = 0.05, shrink: float = 1.0, least: int = 3) -> NoisyOr:
-        """bags: for each document its sentences' feature lists; features of fewer than ``least`` documents are left out.
+    def fit(cls, bags: Bags | list, labels: np.ndarray, rounds: int = 120, rate: float = 0.05, shrink: float = 1.0, least: int = 3) -> NoisyOr:
+        """bags: ``Bags``, or each document's sentences' feature lists; features of fewer than ``least`` documents are left out.
 
         Gradient steps with momentum, each feature's scaled by a bound of its curvature, so that a rare feature does not
-        learn one document by heart.
+        learn one document by heart.  Besides the features, four bytes each, only one block of them is expanded at a time.
         """
-        y = labels.astype(float)
-        doc = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-        lists = [np.asarray(s, np.int32) for b in bags for s in b]
-        flat = np.concatenate(lists) if lists else np.zeros(0, np.int32)
-        sent = np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) for x in lists])
-        held = np.zeros(BUCKETS, np.int32)
-        for b in bags:
-            if b:
-                held[np.unique(np.concatenate([np.asarray(s, np.int32) for s in b]))] += 1
-        used = np.flatnonzero(held >= least)
+        bags = bags if isinstance(bags, Bags) else Bags.of(bags)
+        y, n = labels.astype(float), len(bags.counts)
+        doc = np.repeat(np.arange(n), bags.counts)
+        used = np.flatnonzero(bags.documents_with() >= least)
         place = np.full(BUCKETS, -1, np.int32)
         place[used] = np.arange(len(used))
-        flat = place[flat]
-        sent, flat = sent[flat >= 0], flat[flat >= 0]
+        bags = bags.narrowed(place)
         w, v, bias, vb = np.zeros(len(used)), np.zeros(len(used)), -5.0, 0.0
         for _ in range(rounds):
-            z = np.bincount(sent, w[flat], len(lists)) + bias
+            z = bags.sums(w) + bias
             p = np.clip(1 / (1 + np.exp(-np.clip(z, -30, 30))), 1e-12, 1 - 1e-9)
-            whole = np.clip(-np.expm1(np.bincount(doc, np.log1p(-p), len(bags))), 1e-9, 1.0)
+            whole = np.clip(-np.expm1(np.bincount(doc, np.log1p(-p), n)), 1e-9, 1.0)
             g = p * (1 - y[doc] / whole[doc])
-            step = (np.bincount(flat, g[sent], len(used)) + shrink * w) / (np.bincount(flat, p[sent] + 0.02, len(used)) + shrink)
-            v = 0.8 * v + step
+            slope, curve = shrink * w, np.full(len(used), shrink)
+            for run, features, sent in bags.blocks():
+                slope += np.bincount(features, g[run][sent], len(used))
+                curve += np.bincount(features, p[run][sent] + 0.02, len(used))
+            v = 0.8 * v + slope / curve
             w -= rate * np.clip(v, -3, 3)
             vb = 0.8 * vb + g.sum() / (p.sum() + 1)
             bias -= rate * vb
@@ -87,9 +131,11 @@ class NoisyOr:
         weights[used] = w
         return cls(weights, bias)
 
-    def calibrate(self, bags: list[list[list[int]]], labels: np.ndarray) -> NoisyOr:
+    def calibrate(self, bags: Bags, labels: np.ndarray) -> NoisyOr:
         """Platt scaling of the documents' log-odds on bags that were not fitted."""
-        z = np.array([_log_odds(self._whole([1 / (1 + math.exp(-min(700.0, max(-700.0, self.bias + float(self.weights[np.asarray(s, np.int64)].sum()))))) for s in b])) for b in bags])
+        p = np.minimum(1 / (1 + np.exp(-np.clip(bags.sums(self.weights) + self.bias, -700, 700))), 1 - 1e-12)
+        whole = -np.expm1(np.bincount(np.repeat(np.arange(len(bags.counts)), bags.counts), np.log1p(-p), len(bags.counts)))
+        z = np.array([_log_odds(x) for x in whole])
         a, c = 1.0, 0.0
         for _ in range(25):
             p = 1 / (1 + np.exp(-np.clip(a * z + c, -30, 30)))
@@ -142,7 +188,7 @@ def _log_odds(p: float) -> float:
     return math.log(p / (1 - p))
 
 
-def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_docs: int = 4000) -> NoisyOr:
+def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_docs: int = 8000) -> NoisyOr:
     """Fit on a bounded sample of ``docs`` that ``labels`` marks."""
     # The chosen ids are bounded by max_docs: they are broadcast once counted, so texts stay where they are.
     marks = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label_col).cast("int").alias("y"))
@@ -159,23 +205,24 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bags = [[sorted({f for w in s for f in word_features(w)}) for s in sentences(t)] for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bags, pa.list_(pa.list_(pa.int32())))], names=["y", "h", "bag"])
+            features, sizes = [[f for s in b for f in s] for b in bags], [[len(s) for s in b] for b in bags]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(features, pa.list_(pa.int32())), pa.array(sizes, pa.list_(pa.int32()))], names=["y", "h", "features", "sizes"])
 
-    got = sample.mapInArrow(run, "y int, h long, bag array<array<int>>").toArrow().sort_by([("h", "ascending"), ("y", "ascending")])
+    got = sample.mapInArrow(run, "y int, h long, features array<int>, sizes array<int>").toArrow().sort_by([("h", "ascending"), ("y", "ascending")])
     y = got.column("y").to_numpy()
     if len(set(y.tolist())) < 2:
         return NoisyOr(np.zeros(BUCKETS, np.float32), -800.0)
-    bags = [[s.values.to_numpy() for s in b] if b else [] for b in _bags(got.column("bag"))]
     aside = got.column("h").to_numpy() // 1_000_003 % 5 == 0
+    fitted, kept = _bags(got.filter(pa.array(~aside))), _bags(got.filter(pa.array(aside)))
     del got
-    model = NoisyOr.fit([b for b, x in zip(bags, aside) if not x], y[~aside]).calibrate([b for b, x in zip(bags, aside) if x], y[aside])
+    model = NoisyOr.fit(fitted, y[~aside]).calibrate(kept, y[aside])
     model.shift += math.log(share[0] / share[1])  # from the sample's shares of the classes back to the labels' own
     return model
 
 
-def _bags(column: pa.ChunkedArray) -> Iterator[list]:
-    for chunk in column.chunks:
-        yield from chunk
+def _bags(rows: pa.Table) -> Bags:
+    sizes = rows.column("sizes")
+    return Bags(pc.list_flatten(rows.column("features")).to_numpy(), pc.list_flatten(sizes).to_numpy().astype(np.int64), pc.list_value_length(sizes).to_numpy().astype(np.int64))
 
 
 def score(docs: DataFrame, model: NoisyOr, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
