@@ -26,12 +26,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import load
 
-BUCKETS = 1 << 13
+BUCKETS = 1 << 14
 CACHE = 500_000
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -112,20 +113,28 @@ def _held(token: str, parts: tuple) -> OutputCode:
     return _loaded[token]
 
 
-def _fit_bit(x: np.ndarray, y: np.ndarray, rounds: int = 150, rate: float = 0.5, shrink: float = 1e-5) -> tuple[np.ndarray, float]:
-    """Logistic regression (targets +-1) by AdaGrad; x: (texts, features)."""
-    w, b, g2, gb2 = np.zeros(x.shape[1], np.float32), 0.0, np.full(x.shape[1], 1e-8, np.float32), 1e-8
+def _fit_bits(x: np.ndarray, y: np.ndarray, rounds: int = 150, rate: float = 0.5, shrink: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
+    """One logistic regression (targets +-1) for each column of y, all by AdaGrad; x: (texts, features), y: (texts, bits)."""
+    w, b = np.zeros((x.shape[1], y.shape[1]), np.float32), np.zeros(y.shape[1])
+    g2, gb2 = np.full_like(w, 1e-8), np.full_like(b, 1e-8)
     for _ in range(rounds):
         g = -y / (1 + np.exp(np.clip(y * (x @ w + b), -30, 30))) / len(y)
         gw = x.T @ g.astype(np.float32) + shrink * w
         g2 += gw * gw
         w -= rate * 10 * gw / np.sqrt(g2)
-        gb2 += g.sum() ** 2
-        b -= rate * g.sum() / np.sqrt(gb2)
-    return w, float(b)
+        gb2 += g.sum(0) ** 2
+        b -= rate * g.sum(0) / np.sqrt(gb2)
+    return w, b
 
 
-def learn(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", per_lang: int = 300, max_texts: int = 2400, bits: int = 15) -> OutputCode:
+def _matrix(rows: pa.Table) -> np.ndarray:
+    """The texts' vectors, from (bucket, value) lists."""
+    x, n = np.zeros((len(rows), BUCKETS), np.float32), pc.list_value_length(rows.column("at")).to_numpy()
+    x[np.repeat(np.arange(len(rows)), n), pc.list_flatten(rows.column("at")).to_numpy()] = pc.list_flatten(rows.column("v")).to_numpy()
+    return x
+
+
+def learn(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", per_lang: int = 400, max_texts: int = 4000, bits: int = 15) -> OutputCode:
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.xxhash64(F.lit("draw"), F.col(id_col), F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
     known = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(known)
@@ -138,7 +147,7 @@ def learn(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, vectors = [], []
+            texts, at, values = [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 words = Counter(_WORD.findall(text.lower()))
                 if words:
@@ -146,32 +155,22 @@ def learn(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
                     for w, times in words.items():
                         own = word_grams(w)
                         np.add.at(v, own, times / len(own) / n)
-                    at.append(i)
-                    vectors.append(v.astype(np.float32).tobytes())
-            own = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(2).take(own), pa.array(vectors, pa.binary())], names=["lang", "h", "v"])
+                    texts.append(i)
+                    at.append(np.flatnonzero(v))
+                    values.append(v[at[-1]])
+            own = pa.array(texts, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(2).take(own), pa.array(at, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))], names=["lang", "h", "at", "v"])
 
-    got = sample.mapInArrow(run, "lang string, h long, v binary").toArrow().sort_by([("h", "ascending"), ("lang", "ascending")])
+    got = sample.mapInArrow(run, "lang string, h long, at array<int>, v array<float>").toArrow().sort_by([("h", "ascending"), ("lang", "ascending")])
     label = np.array([langs.index(x) for x in got.column("lang").to_pylist()], np.int64)
-    x = np.zeros((len(label), BUCKETS), np.float32)
-    for i, v in enumerate(got.column("v")):
-        x[i] = np.frombuffer(v.as_buffer(), np.float32)
     if len(langs) == 1 or not len(label):
         return OutputCode(langs[:1], np.ones((1, 1)), np.zeros((BUCKETS, 1), np.float32), np.zeros(1), np.ones(1))
     code = codewords(len(langs), bits)
-    weights, bias, trust = [], [], []
+    y = code[label].astype(np.float32)
     fold = got.column("h").to_numpy() // 1_000_003 % 4 == 0
-    del got
-    own, aside = x[~fold], x[fold]
-    del x
-    for j in range(code.shape[1]):
-        y = code[label, j].astype(np.float32)
-        w, b = _fit_bit(own, y[~fold])
-        right = ((aside @ w + b) * y[fold] > 0).mean() if fold.any() else 1.0
-        trust.append(max(0.05, 2 * right - 1))
-        weights.append(w)
-        bias.append(b)
-    return OutputCode(langs, code, np.stack(weights, 1), np.array(bias), np.array(trust))
+    weights, bias = _fit_bits(_matrix(got.filter(pa.array(~fold))), y[~fold])
+    right = ((_matrix(got.filter(pa.array(fold))) @ weights + bias) * y[fold] > 0).mean(0) if fold.any() else np.ones(len(bias))
+    return OutputCode(langs, code, weights, bias, np.maximum(0.05, 2 * right - 1))
 
 
 def identify(docs: DataFrame, model: OutputCode, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
