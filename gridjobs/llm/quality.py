@@ -8,8 +8,9 @@ labels into the other view's training set.  A quarter of the labelled sample is
 log-odds are calibrated (Platt scaling), and the combined log-odds are the calibrated ones' sum less the prior.
 
 Learning takes at most ``max_labelled`` labelled documents, chosen by hash (the bound of the sample); the unlabelled pool
-is every document without a label.  Features of pool and sample are written once, and the rounds read those.  Each task
-hands on its own surest rows only, so no more than ``per_round`` rows of each class and view reach the driver.
+is every document without a label.  Features of all are written once, and the rounds read those.  Only keys and log-odds
+are shuffled to leave the labelled out; ``per_round`` keys of each class and view, and their features, reach the driver.
+Rows of one id and text share a key and count once among the surest.
 
 Nulls: a null text counts as empty, null metadata is a value of its own; a null id is scored, and is never labelled.
 Labels other than 0 and 1 are ignored; of several labels of one document the greatest counts.  Ties in sureness go by a
@@ -176,32 +177,36 @@ def features(rows: DataFrame) -> DataFrame:
     return rows.select("key", "y", "source", "lang", "chars", "text").mapInArrow(run, _FEATURES)
 
 
-def _surest(pool: DataFrame, model: CoTrained, taught: tuple[set, set], per_round: int, sure: float) -> DataFrame:
-    """Rows (view, side, odds, features): each task's ``per_round`` surest rows of each view and class."""
-    shared, least = pool.sparkSession.sparkContext.broadcast((model, taught)), math.log(sure / (1 - sure))
+def _confident(rows: DataFrame, model: CoTrained, least: float) -> DataFrame:
+    """Rows (key, odds0, odds1) of those of which a view's log-odds are beyond ``least`` either way."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (own, known), best = shared.value, {}
+        own = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                cols = _columns(pa.Table.from_batches([part]))
-                for v, x in enumerate(own.rows(cols)):
-                    odds = own.views[v].odds(x)
-                    for side in (0, 1):
-                        toward = odds if side else -odds
-                        for i in np.flatnonzero(toward > least).tolist():
-                            if cols["key"][i] not in known[1 - v]:
-                                best.setdefault((v, side), []).append((-float(toward[i]), cols["key"][i], part, i))
-                        held = best.get((v, side), ())
-                        if len(held) > per_round:
-                            best[v, side] = sorted(held, key=lambda r: r[:2])[:per_round]
-        for (v, side), held in best.items():
-            n = len(held)
-            table = pa.concat_tables([pa.Table.from_batches([p.slice(i, 1)]) for _, _, p, i in held]).combine_chunks()
-            yield pa.RecordBatch.from_arrays([pa.array([v] * n, pa.int32()), pa.array([side] * n, pa.int32()), pa.array([-h[0] for h in held], pa.float64()), *table.to_batches()[0].columns], names=["view", "side", "odds", *_NAMES])
-
-    return pool.mapInArrow(run, f"view int, side int, odds double, {_FEATURES}")
+                a, b = (view.odds(x) for view, x in zip(own.views, own.rows(_columns(pa.Table.from_batches([part])))))
+                far = np.flatnonzero((np.abs(a) > least) | (np.abs(b) > least))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(far)), pa.array(a[far], pa.float64()), pa.array(b[far], pa.float64())], names=["key", "odds0", "odds1"])
+
+    return rows.mapInArrow(run, "key long, odds0 double, odds1 double")
+
+
+def _surest(found: DataFrame, marked: DataFrame, model: CoTrained, taught: tuple[set, set], per_round: int, sure: float) -> list[tuple[int, int, int]]:
+    """(view, side, key): the ``per_round`` surest unlabelled keys of each view and class that the other view was not taught."""
+    least = math.log(sure / (1 - sure))
+    # Marks meet keys and odds, so features stay where they are.
+    odds = _confident(found, model, least).join(marked.select("key"), "key", "left_anti")
+    odds = odds.groupBy("key").agg(*(f(f"odds{v}").alias(f"{n}{v}") for v in (0, 1) for n, f in (("low", F.min), ("high", F.max))))
+    odds, picked = materialize(odds, "odds"), []
+    for v in (0, 1):
+        new = odds.where(~F.col("key").isin(list(taught[1 - v]))) if taught[1 - v] else odds
+        for side, toward in ((0, -F.col(f"low{v}")), (1, F.col(f"high{v}"))):
+            best = new.select("key", toward.alias("odds")).where(F.col("odds") > least).orderBy(F.desc("odds"), "key").limit(per_round)
+            picked += [(v, side, r["key"]) for r in best.collect()]
+    drop_table(odds)
+    return picked
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = 6000, rounds: int = 3, per_round: int = 200, sure: float = 0.97) -> CoTrained | None:
@@ -230,24 +235,24 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     aside = np.array([zlib.crc32(b"%d" % k) % 4 == 0 for k in cols["key"]], bool)
     own = {c: [v for v, a in zip(x, aside) if not a] for c, x in cols.items()}
     kept = {c: [v for v, a in zip(x, aside) if a] for c, x in cols.items()}
-    sets, taught = [dict(own), dict(own)], (set(), set())
-    pool = found.join(key_of.select("key"), "key", "left_anti")
-    if rounds:
-        pool = materialize(pool, "pool")
+    sets, taught = [{c: list(x) for c, x in own.items()} for _ in (0, 1)], (set(), set())
     for turn in range(rounds + 1):
         for v in (0, 1):
             model.views[v].fit(model.rows(sets[v])[v], np.array(sets[v]["y"], float), 100 if turn == 0 else 40)
         if turn == rounds:
             break
-        surest = materialize(_surest(pool, model, taught, per_round, sure), "surest")
-        for v in (0, 1):
-            for side in (0, 1):
-                new = _columns(surest.where(f"view = {v} AND side = {side}").orderBy(F.desc("odds"), "key").limit(per_round).select(*_NAMES).toArrow())
-                taught[1 - v].update(new["key"])
-                new["y"] = [side] * len(new["key"])
-                sets[1 - v] = {c: sets[1 - v][c] + new[c] for c in sets[1 - v]}
-        drop_table(surest)
-    for t in (found, pool, key_of):
+        picked = _surest(found, key_of, model, taught, per_round, sure)
+        if not picked:
+            continue
+        keys = F.broadcast(docs.sparkSession.createDataFrame(sorted({(k,) for _, _, k in picked}), "key long"))
+        got = found.join(keys, "key").groupBy("key").agg(F.min(F.struct(*_NAMES)).alias("row")).select("row.*").toArrow()
+        cols = _columns(got)
+        place = {k: i for i, k in enumerate(cols["key"])}
+        for v, side, key in picked:
+            taught[1 - v].add(key)
+            for c, values in cols.items():
+                sets[1 - v][c].append(side if c == "y" else values[place[key]])
+    for t in (found, key_of):
         drop_table(t)
     if aside.any():
         for v, x in enumerate(model.rows(kept)):
