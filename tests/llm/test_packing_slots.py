@@ -49,7 +49,7 @@ def test_pack_odd_rows(odd, empty):
 
 
 def sharded(docs, n=8):
-    records = slots.with_slot(docs)
+    records = slots.with_sub(slots.with_slot(docs))
     loads = slots.slot_loads(records)
     return records, loads, slots.place(loads, n)
 
@@ -72,7 +72,7 @@ def test_slots_balance_and_positions(documents):
 def test_growing_only_moves_to_the_new_shard(spark, documents):
     _, loads, slot_map = sharded(documents)
     grown = slots.grow(slot_map, loads, 8)
-    moved = slot_map.join(grown.withColumnRenamed("shard", "new"), "vslot").where("shard <> new").collect()
+    moved = slot_map.join(grown.withColumnRenamed("shard", "new"), slots.SLOT).where("shard <> new").collect()
     assert moved and {r.new for r in moved} == {8}
     path = scratch_path(spark, "map")
     slots.save_map(slot_map, path, 1)
@@ -89,3 +89,26 @@ def test_slots_odd_rows(odd, empty):
     records, loads, slot_map = sharded(empty)
     assert slots.assign(records, loads, slot_map).collect() == []
     assert slot_map.count() == slots.N_SLOTS
+
+
+def test_a_hot_record_is_spread(spark):
+    rows = [(None, "x" * 100)] * 3000 + [(7, f"text {i}") for i in range(2000)] + [(i, f"text {i} " * (i % 9)) for i in range(3000)]
+    records, loads, slot_map = sharded(spark.createDataFrame(rows, "doc_id long, text string"))
+    out = slots.assign(records, loads, slot_map).collect()
+    assert len(out) == len(rows)
+    held, places = defaultdict(int), defaultdict(list)
+    for r in out:
+        held[r.shard] += r.size
+        places[r.shard].append(r.position)
+    assert max(held.values()) - min(held.values()) <= max(r.size for r in out)
+    assert all(sorted(v) == list(range(len(v))) for v in places.values())
+    per = defaultdict(int)
+    for r in out:
+        per[r.vslot, r.sub] += 1
+    assert max(per.values()) < 40 and slot_map.count() <= 2 * slots.N_SLOTS
+
+
+def test_ties_are_placed_by_slot(spark):
+    docs = spark.createDataFrame([(i, "abc") for i in range(20)], "doc_id long, text string")
+    maps = [{(r.vslot, r.sub): r.shard for r in sharded(docs.repartition(n))[2].collect()} for n in (1, 5)]
+    assert maps[0] == maps[1]
