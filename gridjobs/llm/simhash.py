@@ -17,8 +17,9 @@ of their sets of shingle hashes.  A group of up to ``BLOCK_BYTES`` of text is co
 texts are compared with one text after another that is still unlinked (``STARS`` times), and then every text outside the
 largest set of linked texts meets all others, in blocks.  So no link between two texts of a group is lost.
 
-Equal fingerprints (wide ones: equal word sequences) count as one node throughout.  Empty table: empty result.  A null
-id: the row is fingerprinted and takes its component from the other ids of its fingerprint (null if there are none).
+Equal fingerprints (wide ones: equal word sequences) count as one node throughout.  Empty table: empty result.  A row with
+a null id is fingerprinted and linked like any other, so it also links those on its two sides; component_id is null only
+where a whole component has no id.  For wide fingerprints a word sequence without any id links nothing.
 Repeated rows share a component.  Columns of other names in the input are ignored, whatever their names.  A very long
 text is hashed in blocks; its words and hashes are held by one task.
 """
@@ -321,7 +322,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if width > 1:
         nodes = rows.groupBy("words").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in [*fps, *lows]))
     else:
-        nodes = rows.groupBy(*same, *lows).agg(F.min("doc_id").alias("node"))
+        nodes = rows.groupBy(*same, *lows).agg(F.min("doc_id").alias("least")).withColumn("node", F.col("fp0"))
     nodes = materialize(nodes, "nodes")
     known = nodes.where("node IS NOT NULL").select("node", *fps, *lows).repartition(-(-nodes.count() // 8000) or 1)
     linked = components(links(known, width, cuts, max_diff), "a", "b")
@@ -330,7 +331,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         alike = texts.join(linked, "node").groupBy("node").agg(F.min("component").alias("component"), F.min("text").alias("text"))
         linked = components(similar(materialize(alike, "alike"), shingle, jaccard), "a", "b")
     release(spark)
-    placed = nodes.join(linked, "node", "left").select(*same, F.coalesce("component", "node").alias("component_id"))
+    placed = nodes.join(linked, "node", "left").withColumn("component_id", F.coalesce("component", "node"))
+    if width == 1:  # a component goes by its smallest fingerprint; its name is its smallest id
+        ids = placed.groupBy("component_id").agg(F.min("least").alias("id"))
+        placed = placed.join(ids, "component_id").withColumn("component_id", F.col("id"))
+    placed = placed.select(*same, "component_id")
     met = rows.join(placed, same) if width == 1 else rows.drop(*fps).join(placed, "words")
     return met.select("doc_id", F.lower(F.concat(*(F.lpad(F.hex(c), 16, "0") for c in fps))).alias("fingerprint"), "component_id")
 

@@ -184,3 +184,23 @@ def test_recall_of_the_pipelines_search(spark):
     found = {b: sum(got[i] == got[i + 1] for i in at) / len(at) for b, at in bands.items()}
     assert found[0.7] == 0 and min(v for b, v in found.items() if b >= 0.8) >= 0.9, found
     assert all(got[i] in (i, i - i % 2) for i in got)
+
+
+def test_rows_without_an_id_link_both_sides(spark):
+    import xxhash
+
+    def bits(text):
+        return simhash.fingerprint(text.encode().lower().split(), 3)[0]
+
+    first = "w0 w1 w2"
+    h = xxhash.xxh64_intdigest(first.encode(), 42)
+    assert int(bits(first)) == h
+    rows = [(1, h), (None, h ^ 3), (2, h ^ 15), (None, h ^ (255 << 20))]
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    made = spark.createDataFrame([(i, signed(f)) for i, f in rows], "doc_id long, fp0 long")
+    original, simhash.fingerprints = simhash.fingerprints, lambda *a, **k: made.selectExpr("doc_id", "cast(null AS binary) AS words", "fp0")
+    try:
+        got = simhash.near_duplicates(made, id_col="doc_id", text_col="fp0", shingle=3).collect()
+    finally:
+        simhash.fingerprints = original
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (0, 1), (1, 1), (2, 1)]
