@@ -189,18 +189,19 @@ def _log_odds(p: float) -> float:
 
 
 def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_docs: int = 8000) -> NoisyOr:
-    """Fit on a bounded sample of ``docs`` that ``labels`` marks."""
-    # The chosen ids are bounded by max_docs: they are broadcast once counted, so texts stay where they are.
+    """Fit on a sample of ``docs`` that ``labels`` marks: about ``max_docs`` different (id, text), never over twice as many.
+
+    Repeated rows count once, before the draw.
+    """
+    # The chosen keys are bounded by max_docs: they are broadcast, so texts stay where they are.
     marks = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label_col).cast("int").alias("y"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    known = marks.join(rows.select("doc_id"), "doc_id")
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"))
+    known = marks.join(rows.select("doc_id", "h").distinct(), "doc_id").groupBy("h").agg(F.max("y").alias("y"))
     share = {r["y"]: min(1.0, max_docs / 2 / r["n"]) for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    draw = F.pmod(F.xxhash64(F.lit("draw"), "doc_id"), F.lit(1_000_003)) / 1_000_003.0
+    draw = F.pmod(F.xxhash64(F.lit("draw"), "h"), F.lit(1_000_003)) / 1_000_003.0
     chosen = known.where(F.expr("false") if len(share) < 2 else draw < F.when(F.col("y") == 1, share.get(1, 0.0)).otherwise(share.get(0, 0.0)))
-    chosen = materialize(chosen, "chosen")
-    if chosen.count() <= 2 * max_docs:
-        chosen = F.broadcast(chosen)
-    sample = rows.join(chosen, "doc_id").select("y", F.xxhash64("doc_id", "text").alias("h"), "text")
+    chosen = materialize(chosen.orderBy(draw, "h").limit(2 * max_docs), "chosen")
+    sample = rows.join(F.broadcast(chosen), "h").select("y", "h", "text").dropDuplicates(["h"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
