@@ -136,14 +136,14 @@ def _matrix(rows: pa.Table) -> np.ndarray:
 
 def learn(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", per_lang: int = 400, max_texts: int = 4000, bits: int = 15) -> OutputCode:
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.xxhash64(F.lit("draw"), F.col(id_col), F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
-    known = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    known = {r["lang"]: r["n"] for r in rows.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(known)
     if not langs:
         return OutputCode([], np.zeros((0, 1)), np.zeros((BUCKETS, 1), np.float32), np.zeros(1), np.ones(1))
     bits = max(bits, 4 * (len(langs) - 1).bit_length())
     per_lang = max(1, min(per_lang, max_texts // len(langs)))
     shares = docs.sparkSession.createDataFrame([(k, min(1.0, per_lang / n)) for k, n in known.items()], "lang string, share double")
-    sample = rows.join(F.broadcast(shares), "lang").where(F.pmod("h", F.lit(1_000_003)) / 1_000_003.0 < F.col("share")).select("lang", "text", "h")
+    sample = rows.join(F.broadcast(shares), "lang").where(F.pmod("h", F.lit(1_000_003)) / 1_000_003.0 < F.col("share")).select("lang", "text", "h").dropDuplicates(["lang", "h"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
