@@ -211,22 +211,18 @@ def _surest(found: DataFrame, marked: DataFrame, model: CoTrained, taught: tuple
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = 6000, rounds: int = 3, per_round: int = 200, sure: float = 0.97) -> CoTrained | None:
     marks = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label_col).cast("int").alias("y"))
-    keyed = docs.select(F.col(id_col).alias("doc_id")).join(marks, "doc_id")
-    counts = {r["y"]: r["n"] for r in keyed.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    rows = _view(docs, id_col, text_col).withColumn("key", F.xxhash64("doc_id", "text"))
+    key_of = materialize(rows.where("doc_id IS NOT NULL").select("doc_id", "key").distinct().join(marks, "doc_id").groupBy("key").agg(F.max("y").alias("mark")), "marks")
+    counts = {r["mark"]: r["n"] for r in key_of.groupBy("mark").agg(F.count("*").alias("n")).collect()}
     if not (counts.get(0) and counts.get(1)):
         return None
     few = min(max_labelled / 2, counts[0], counts[1])
     share = {y: min(1.0, (few if counts[y] <= counts[1 - y] else max_labelled - few) / counts[y]) for y in (0, 1)}
-    draw = F.pmod(F.xxhash64(F.lit("draw"), "doc_id"), F.lit(1_000_003)) / 1_000_003.0
-    rows = _view(docs, id_col, text_col).withColumn("key", F.xxhash64("doc_id", "text"))
+    draw = F.pmod(F.xxhash64(F.lit("draw"), "key"), F.lit(1_000_003)) / 1_000_003.0
     # Labels meet features, not texts: a row's features are a fraction of its text.
     found = materialize(features(rows.withColumn("y", F.lit(None).cast("int"))), "features")
-    key_of = rows.select("doc_id", "key").where("doc_id IS NOT NULL").join(marks, "doc_id").select("key", F.col("y").alias("mark"), (draw < F.when(F.col("y") == 1, share[1]).otherwise(share[0])).alias("drawn"))
-    key_of = materialize(key_of.groupBy("key").agg(F.max("mark").alias("mark"), F.max("drawn").alias("drawn")), "marks")
-    chosen = key_of.where("drawn").select("key", "mark")
-    if chosen.count() <= 4 * max_labelled:
-        chosen = F.broadcast(chosen)
-    sample = found.join(chosen, "key").withColumn("y", F.col("mark")).select(*_NAMES).toArrow().sort_by("key")
+    chosen = key_of.where(draw < F.when(F.col("mark") == 1, share[1]).otherwise(share[0])).orderBy(draw, "key").limit(2 * max_labelled)
+    sample = found.join(F.broadcast(chosen), "key").withColumn("y", F.col("mark")).select(*_NAMES).dropDuplicates(["key"]).toArrow().sort_by("key")
     cols = _columns(sample)
     y = np.array(cols["y"], np.int64)
     if not ((y == 0).any() and (y == 1).any()):
