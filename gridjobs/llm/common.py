@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -15,10 +16,13 @@ _own_root: dict[str, str] = {}
 def scratch_path(spark: SparkSession, what: str) -> str:
     """A new path below the shared folder that the session names in spark.checkpoint.dir.
 
-    Where that setting is absent (tests on one machine) a temporary folder is made once per session.
+    Where that setting is absent a temporary folder is made once per session if all runs on one machine; on a cluster its
+    absence is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _own_root:
             _own_root[app] = tempfile.mkdtemp(prefix="gridjobs-")
