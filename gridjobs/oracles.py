@@ -319,6 +319,14 @@ def oracle_sql() -> dict[str, str]:
         "stream_current_load": sql(f"SELECT {t('ts_utc')}, round(sum(load_mw), 7) AS total_mw, count(*) AS ba_count FROM (SELECT user_id, date_trunc('hour', ts) AS ts_utc, arg_max(value, (ts, event_id)) AS load_mw FROM events GROUP BY 1, 2) WHERE load_mw > 0 AND load_mw < 200000 AND ts_utc < TIMESTAMP '2024-01-20' GROUP BY ts_utc HAVING count(*) >= 5"),
         "stream_rolling_24h": sql(f"SELECT {t('w', 'w_start')}, {t('w + INTERVAL 24 HOUR', 'w_end')}, round(sum(load_mw), 7) AS total_mw, count(*) AS n FROM (SELECT load_mw, ts_utc - to_hours(CAST(k AS INT)) AS w FROM L CROSS JOIN (SELECT unnest(range(24)) AS k)) WHERE w + INTERVAL 24 HOUR <= TIMESTAMP '2024-01-25' GROUP BY w"),
         "stream_gap_sessions": sql(f"SELECT ba, {t('a', 's_start')}, {t('e', 's_end')}, n FROM (SELECT ba, min(ts_utc) AS a, max(ts_utc) + INTERVAL 3 HOUR AS e, count(*) AS n FROM (SELECT ba, ts_utc, sum(b) OVER (PARTITION BY ba ORDER BY ts_utc) AS g FROM (SELECT ba, ts_utc, CASE WHEN ts_utc <= lag(ts_utc) OVER (PARTITION BY ba ORDER BY ts_utc) + INTERVAL 3 HOUR THEN 0 ELSE 1 END AS b FROM S)) GROUP BY ba, g) WHERE e < TIMESTAMP '2024-01-24'"),
+        "stream_late_counts": f"""
+WITH e AS (SELECT date_trunc('hour', ts) AS h FROM events),
+p AS (SELECT 0 AS batch, h FROM e WHERE h < TIMESTAMP '2024-01-10' UNION ALL SELECT 1, h FROM e WHERE h >= TIMESTAMP '2024-01-10' AND h < TIMESTAMP '2024-01-20'
+    UNION ALL SELECT 2, h FROM e WHERE h >= TIMESTAMP '2024-01-20' UNION ALL SELECT 3, h FROM e WHERE h < TIMESTAMP '2024-01-03' OR h >= TIMESTAMP '2024-01-29'),
+m AS (SELECT batch, max(h) AS latest, count(*) AS n_rows FROM p GROUP BY batch),
+w AS (SELECT a.batch, max(b.latest) - INTERVAL 72 HOUR AS mark FROM m a LEFT JOIN m b ON b.batch < a.batch - 1 GROUP BY a.batch)
+SELECT CAST(m.batch AS BIGINT) AS batch, any_value(n_rows) AS n_rows, count(*) FILTER (WHERE p.h <= mark) AS late_rows, {t('any_value(latest)', 'latest')}
+FROM p JOIN m USING (batch) JOIN w USING (batch) GROUP BY m.batch""",
         "stream_late_rows": sql(f"SELECT {t('w', 'w_start')}, round(sum(load_mw), 4) AS total_mw FROM (SELECT load_mw, ts_utc - to_hours(CAST(k AS INT)) AS w FROM L CROSS JOIN (SELECT unnest(range(24)) AS k)) WHERE w + INTERVAL 24 HOUR <= TIMESTAMP '2024-01-25' GROUP BY w"),
     }
     return out

@@ -16,6 +16,7 @@ from .plans import audit, jobs
 from .session import scratch_path, stored
 from .sources import payloads, sinks, store, text
 from .streaming import jobs as streams
+from .streaming import progress
 
 K = 3.0  # the cleaning rule's width on the test tables
 LOAD = "ba string, ts_utc timestamp, load_mw double"
@@ -896,15 +897,14 @@ def stream_ingest_append(spark, d):
 
 @query
 def stream_dedupe_revisions(spark, d):
-    path, check = scratch_path(spark, "latest"), scratch_path(spark, "checkpoint")
-    streams.upsert_latest(_stream(spark, d, A.revisions(spark, d), REVISED), path, scratch_path(spark, "merge"), REVISED, check, ["tie"])
-    return store.scan(spark, path, REVISED).select("ba", t(), "load_mw", "tie")
+    path, check = scratch_path(spark, "changes"), scratch_path(spark, "checkpoint")
+    return streams.latest(_stream(spark, d, A.revisions(spark, d), REVISED), path, check, ["tie"]).select("ba", t(), "load_mw", "tie")
 
 
 @query
 def stream_current_load(spark, d):
-    path, scratch, check = (scratch_path(spark, x) for x in ("current", "merge", "checkpoint"))
-    out = streams.current_load(_stream(spark, d, A.user_revisions(spark, d), REVISED, 5), path, scratch, REVISED, check, 5, ["tie"])
+    path, check = scratch_path(spark, "changes"), scratch_path(spark, "checkpoint")
+    out = streams.current_load(_stream(spark, d, A.user_revisions(spark, d), REVISED, 5), path, check, 5, ["tie"])
     return out.where("ts_utc < timestamp'2024-01-20'").select(t(), r("total_mw"), "ba_count")
 
 
@@ -935,6 +935,19 @@ def stream_late_rows(spark, d):
     return out.where("w_end <= timestamp'2024-01-25'").select(t("w_start"), F.round("total_mw", 4).alias("total_mw"))
 
 
+@query
+def stream_late_counts(spark, d):
+    """Rows a batch took in and dropped as late: the last file brings back two days long past beside one that is on time."""
+    path, log = scratch_path(spark, "stream"), scratch_path(spark, "batches")
+    rows = A.revisions(spark, d).select(*(c for c, _ in schemas.columns(REVISED)))
+    parts = ("ts_utc < timestamp'2024-01-10'", "ts_utc >= timestamp'2024-01-10' AND ts_utc < timestamp'2024-01-20'", "ts_utc >= timestamp'2024-01-20'", "ts_utc < timestamp'2024-01-03' OR ts_utc >= timestamp'2024-01-29'")
+    for part in parts:
+        rows.where(part).coalesce(1).write.mode("append").parquet(path)
+    stream = progress.observed(streams.source(spark, path, REVISED, 1))
+    progress.run_logged(spark, lambda: streams.log_changes(stream, scratch_path(spark, "changes"), scratch_path(spark, "checkpoint"), ["tie"]), log)
+    return progress.read_log(spark, log).select("batch", "n_rows", "late_rows", t("latest"))
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 

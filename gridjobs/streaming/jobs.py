@@ -1,4 +1,4 @@
-"""Structured Streaming jobs: landing, revision upserts, current demand, rolling views, feed gaps.
+"""Structured Streaming jobs: landing, latest revisions, current demand, rolling views, feed gaps.
 
 Event times are timestamps (streams reject timestamps without zone); rows more than 72 hours late are dropped by the
 watermark, as the hourly job re-fetches no further back.
@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.live import sane
-from ..schemas import columns
 from ..sources import store
+from . import state
 
 LATE = "72 hours"
 
@@ -32,30 +32,36 @@ def land(stream: DataFrame, path: str, checkpoint: str) -> None:
     rows.writeStream.format("parquet").partitionBy("year", "month").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
 
 
-def upsert_latest(stream: DataFrame, path: str, scratch: str, schema: str, checkpoint: str, ties: list[str] = ()) -> None:
-    """Collapse revisions to the latest across micro-batches.
+def log_changes(stream: DataFrame, path: str, checkpoint: str, ties: list[str] = (), late: str = LATE) -> DataFrame:
+    """Append the changes that a stream's revisions make to a table by year and month, and give the table.
 
-    Each batch merges with the stored rows of the months that it touches into a scratch folder, from which those months
-    are overwritten; a replayed batch writes the same rows again, as the latest wins.
+    A revision that is not newer than the kept one changes nothing; nothing written is written again, whatever is revised.
+    A restart goes on from the checkpoint, with the state as it was committed.
     """
+    spark = stream.sparkSession
+    setting, provider = state.PROVIDER
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, provider)
+    try:
+        log = state.changes(stream, late, ties=ties)
+        land(log, path, checkpoint)
+    finally:
+        spark.conf.set(setting, before) if before else spark.conf.unset(setting)
+    return store.scan(spark, path, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in log.schema))
 
-    def merge(batch: DataFrame, epoch: int) -> None:
-        spark, own = batch.sparkSession, f"{scratch}/{epoch}"
-        store.upsert(spark, batch.select(*[c for c, _ in columns(schema)]), path, own, schema, ties=list(ties))
-        merged = store.scan(spark, own, schema).drop("year", "month")
-        store.with_months(merged, "ts_utc").repartition("year", "month").write.partitionBy("year", "month").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
-    stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def latest(stream: DataFrame, path: str, checkpoint: str, ties: list[str] = ()) -> DataFrame:
+    """The latest revision of each (ba, ts_utc)."""
+    return state.collapse(log_changes(stream, path, checkpoint, ties).drop("year", "month"))
 
 
-def current_load(stream: DataFrame, path: str, scratch: str, schema: str, checkpoint: str, min_bas: int, ties: list[str] = ()) -> DataFrame:
-    """(ts_utc, total_mw, ba_count) by hour: revisions are upserted across micro-batches, then summed.
+def current_load(stream: DataFrame, path: str, checkpoint: str, min_bas: int, ties: list[str] = ()) -> DataFrame:
+    """(ts_utc, total_mw, ba_count) by hour, from the log of changes: what was taken back counts negatively.
 
     The latest revision of a (ts, ba) wins before the range filter, so an invalid one hides its BA-hour, as in the batch job.
     """
-    upsert_latest(stream, path, scratch, schema, checkpoint, ties)
-    rows = store.scan(stream.sparkSession, path, schema).where(sane())
-    hours = rows.groupBy("ts_utc").agg(F.sum("load_mw").alias("total_mw"), F.count("*").alias("ba_count"))
+    rows = log_changes(stream, path, checkpoint, ties).where(sane())
+    hours = rows.groupBy("ts_utc").agg(F.sum(F.col("load_mw") * F.col("op")).alias("total_mw"), F.sum("op").alias("ba_count"))
     return hours.where(F.col("ba_count") >= min_bas)
 
 

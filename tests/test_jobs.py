@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,9 +92,34 @@ def test_late_revisions_win_in_the_stream(spark):
     one = "SELECT 'A' AS ba, timestamp'2024-01-01' AS ts_utc, {}D AS load_mw, timestamp'2024-01-0{}' AS as_of, 1L AS tie"
     for v, day in ((1.0, 2), (3.0, 4), (2.0, 3)):
         spark.sql(one.format(v, day)).coalesce(1).write.mode("append").parquet(path)
-    to = scratch_path(spark, "out")
-    streams.upsert_latest(streams.source(spark, path, kind, 1), to, scratch_path(spark, "merge"), kind, scratch_path(spark, "check"), ["tie"])
-    assert [r.load_mw for r in store.scan(spark, to, kind).collect()] == [3.0]
+    to, check = scratch_path(spark, "out"), scratch_path(spark, "check")
+
+    def run():
+        return [r.load_mw for r in streams.latest(streams.source(spark, path, kind, 1), to, check, ["tie"]).collect()]
+
+    assert run() == [3.0]
+    files = {f for f in os.listdir(to) if f.startswith("year")}, [r.op for r in store.scan(spark, to, "op int").collect()]
+    assert sorted(files[1]) == [-1, 1, 1]  # 1.0 came, went for 3.0; 2.0 is older and changes nothing
+    assert run() == [3.0] and store.scan(spark, to, "op int").count() == 3  # a restart changes nothing
+    spark.sql(one.format(9.0, 5)).coalesce(1).write.mode("append").parquet(path)
+    assert run() == [9.0]  # and goes on with the state it had
+    assert sorted(r.op for r in store.scan(spark, to, "op int").collect()) == [-1, -1, 1, 1, 1]
+
+
+def test_rows_behind_the_watermark_are_dropped_and_counted(spark):
+    from gridjobs.session import scratch_path
+    from gridjobs.streaming import progress
+
+    kind = "ba string, ts_utc timestamp, load_mw double, as_of timestamp, tie long"
+    path, log = scratch_path(spark, "in"), scratch_path(spark, "log")
+    one = "SELECT 'A' AS ba, timestamp'2024-01-{:02} 00:00:00' AS ts_utc, {}D AS load_mw, timestamp'2024-02-01' AS as_of, {}L AS tie"
+    for k, days in enumerate(((1, 2), (10,), (20,), (1, 7, 19))):
+        spark.sql(" UNION ALL ".join(one.format(day, 10 * k + day, k) for day in days)).coalesce(1).write.mode("append").parquet(path)
+    out = []
+    progress.run_logged(spark, lambda: out.extend(streams.latest(progress.observed(streams.source(spark, path, kind, 1)), scratch_path(spark, "to"), scratch_path(spark, "check"), ["tie"]).collect()), log)
+    assert {r.ts_utc.day: r.load_mw for r in out} == {1: 1.0, 2: 2.0, 10: 20.0, 20: 40.0, 19: 49.0}
+    got = sorted((r.batch, r.n_rows, r.late_rows) for r in progress.read_log(spark, log).collect())
+    assert got == [(0, 2, 0), (1, 1, 0), (2, 1, 0), (3, 3, 2)]
 
 
 def test_streamed_demand_takes_revisions_like_the_batch_job(spark):
@@ -106,7 +133,7 @@ def test_streamed_demand_takes_revisions_like_the_batch_job(spark):
     for part in (rows, later):
         frames.append(spark.createDataFrame(part, "ba string, ts_utc string, load_mw double, as_of string, tie long").selectExpr("ba", "cast(ts_utc as timestamp) ts_utc", "load_mw", "cast(as_of as timestamp) as_of", "tie"))
         frames[-1].coalesce(1).write.mode("append").parquet(path)
-    streamed = streams.current_load(streams.source(spark, path, kind, 1), *(scratch_path(spark, x) for x in ("to", "merge")), kind, scratch_path(spark, "check"), 2, ["tie"])
+    streamed = streams.current_load(streams.source(spark, path, kind, 1), scratch_path(spark, "to"), scratch_path(spark, "check"), 2, ["tie"])
     batch = live.current_load(frames[0].unionAll(frames[1]), 10, 2, ["tie"])
     got = {(str(r.ts_utc), r.total_mw, r.ba_count) for r in streamed.collect()}
     assert got == {(str(r.ts_utc), r.total_mw, r.ba_count) for r in batch.collect()}
