@@ -2,28 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def quantile_at_level(rows: DataFrame, value: str, level: Column, key: str = "ba", out: str = "quantile") -> DataFrame:
-    """Rows (key, out): linearly interpolated quantile at a level that may depend on the group's size ``n``.
-
-    Values are ranked within their group and the two neighbours of the level are picked by conditional maxima.
-    """
-    w = Window.partitionBy(key)
-    ranked = rows.where(F.col(value).isNotNull() & ~F.isnan(value)).withColumn("n", F.count("*").over(w)).withColumn("_r", F.row_number().over(w.orderBy(value)) - 1)
-    at = (F.col("n") - 1) * level
-    low, high = F.floor(at), F.ceil(at)
-    picked = ranked.groupBy(key).agg(F.max(F.when(F.col("_r") == low, F.col(value))).alias("a"), F.max(F.when(F.col("_r") == high, F.col(value))).alias("b"), F.max(at - low).alias("f"))
-    return picked.select(key, (F.col("a") + (F.col("b") - F.col("a")) * F.col("f")).alias(out))
+from ..session import stored
+from .selection import exact_quantile
 
 
 def conformal_delta(scored: DataFrame, coverage: float = 0.8, key: str = "ba") -> DataFrame:
     """Rows (ba, delta_mw): quantile of max(q_lo - y, y - q_hi) at min(ceil((n + 1) * coverage) / n, 1)."""
     scores = scored.where("y IS NOT NULL").withColumn("s", F.greatest(F.col("q_lo") - F.col("y"), F.col("y") - F.col("q_hi")))
     level = F.least(F.ceil((F.col("n") + 1) * F.lit(coverage) - F.lit(1e-9)) / F.col("n"), F.lit(1.0))
-    return quantile_at_level(scores, "s", level, key, "delta_mw")
+    return exact_quantile(stored(scores.select(key, "s"), "scores"), "s", level, key, "delta_mw")
 
 
 def apply_delta(points: DataFrame, deltas: DataFrame, key: str = "ba", clamp: bool = True) -> DataFrame:

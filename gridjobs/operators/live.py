@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .series import dedupe_latest
 
 SANE_MAX_MW = 200_000.0
@@ -17,12 +20,30 @@ def sane(value: str = "load_mw", most: float = SANE_MAX_MW) -> Column:
 def current_load(rows: DataFrame, last: int, min_bas: int = 35, ties: list[str] = (), most: float = SANE_MAX_MW) -> DataFrame:
     """Rows (ts_utc, total_mw, ba_count) ascending: the last hours that enough BAs cover.
 
-    Revisions collapse before the range filter, so an invalid latest revision hides its BA-hour.  After the
-    repartition by hour both the deduplication and the sum use one exchange, and rows are counted instead of distinct BAs.
+    Only the newest hours are read: as many as are asked for and 12 more, and four times as many again while too few of
+    them are covered.  A store's year and month prune its partitions.  Revisions collapse before the range filter, so an
+    invalid latest revision hides its BA-hour.  After the repartition by hour both the deduplication and the sum use one
+    exchange, and rows are counted instead of distinct BAs.
     """
-    latest = dedupe_latest(rows.repartition("ts_utc"), ["ts_utc", "ba"], "as_of", ties)
-    hours = latest.where(sane(most=most)).groupBy("ts_utc").agg(F.sum("load_mw").alias("total_mw"), F.count("*").alias("ba_count"))
-    return hours.where(F.col("ba_count") >= min_bas).orderBy(F.desc("ts_utc")).limit(last).orderBy("ts_utc")
+    oldest, newest = rows.agg(F.min("ts_utc"), F.max("ts_utc")).first()
+    span = last + 12
+    while True:
+        start = newest - timedelta(hours=span) if newest and newest - oldest > timedelta(hours=span) else oldest
+        near = rows.where(F.col("ts_utc") >= F.lit(start)) if start else rows
+        if start and {"year", "month"} <= set(rows.columns):
+            near = near.where(in_months(F.lit(start), F.lit(newest)))
+        latest = dedupe_latest(near.repartition("ts_utc"), ["ts_utc", "ba"], "as_of", ties)
+        hours = latest.where(sane(most=most)).groupBy("ts_utc").agg(F.sum("load_mw").alias("total_mw"), F.count("*").alias("ba_count"))
+        hours = stored(hours.where(F.col("ba_count") >= min_bas), "hours")
+        if start == oldest or hours.count() >= last:
+            return hours.orderBy(F.desc("ts_utc")).limit(last).orderBy("ts_utc")
+        span *= 4
+
+
+def in_months(start: Column, end: Column) -> Column:
+    """A predicate on year and month for partition pruning; put it before any window."""
+    ym = F.col("year") * 12 + F.col("month")
+    return ym.between(F.year(start) * 12 + F.month(start), F.year(end) * 12 + F.month(end))
 
 
 def require_rows(df: DataFrame, what: str) -> DataFrame:

@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 
 def pinball(y: Column, q: Column, tau: float) -> Column:
     return F.when(y >= q, tau * (y - q)).otherwise((1 - tau) * (q - y))
@@ -59,9 +61,16 @@ def macro(per_series: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def holdout_flags(codes: DataFrame, fraction: float = 0.2, key: str = "ba") -> DataFrame:
-    """Rows (ba, holdout): every k-th of the sorted codes, k = max(round(1 / fraction), 2).  One row a series."""
+    """Rows (ba, holdout): every k-th of the sorted codes, k = max(round(1 / fraction), 2).  One row a series.
+
+    Codes are sorted by range and numbered within each part, after the rows of earlier parts, of which there are few.
+    """
     k = max(round(1 / fraction), 2)
-    return codes.select(key).distinct().withColumn("holdout", F.pmod(F.row_number().over(Window.orderBy(key)) - 1, F.lit(k)) == 0)
+    parts = stored(codes.select(key).distinct().repartitionByRange(key).withColumn("_p", F.spark_partition_id()), "codes")
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.groupBy("_p").agg(F.count("*").alias("_n")).select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    place = F.row_number().over(Window.partitionBy("_p").orderBy(key)) - 1 + F.col("_first")
+    return parts.join(starts, "_p").select(key, (F.pmod(place, F.lit(k)) == 0).alias("holdout"))
 
 
 def holdout_gap(per_series: DataFrame, metric: str = "mase", fraction: float = 0.2, key: str = "ba") -> DataFrame:

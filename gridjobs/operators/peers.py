@@ -2,21 +2,61 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import peer_pairs
+MOMENTS = ["n", "sy", "sx", "syy", "sxx", "sxy"]
 
 
-def peer_correlation(filled: DataFrame, train_end: str, value: str = "load_mw") -> DataFrame:
+def pair_moments(rows: DataFrame, hours: int = 672, side: int = 256) -> DataFrame:
+    """Rows (ba, peer, n, sy, sx, syy, sxx, sxy) to be added up: sums over the common times of each two series.
+
+    Blocks of ``hours`` hours and about ``side`` by ``side`` series become two matrices (series by time) and their masks,
+    whose products are the moments.  What leaves a block has a row for two series, not one for each of their hours.
+    ``rows``: ba, ts_utc, x, one a series and time.
+    """
+    groups = -(-rows.select("ba").distinct().count() // side) or 1
+    dealt = rows.where("x IS NOT NULL AND NOT isnan(x) AND ts_utc IS NOT NULL").select("ba", "x", F.expr("unix_micros(ts_utc)").alias("at"), F.expr(f"floor(unix_seconds(ts_utc) / {3600 * hours})").alias("block"), F.expr(f"pmod(xxhash64(ba), {groups})").alias("g"))
+    dealt = dealt.withColumn("h", F.explode(F.expr(f"sequence(0L, {groups - 1}L)"))).withColumn("i", F.least("g", "h")).withColumn("j", F.greatest("g", "h"))
+
+    def run(key: tuple, some: pa.Table) -> pa.Table:
+        i, j = key[1].as_py(), key[2].as_py()
+        time = np.unique(some.column("at").to_numpy(), return_inverse=True)[1]
+        g, codes, x = some.column("g").to_numpy(), np.array(some.column("ba").to_pylist(), object), some.column("x").to_numpy()
+        made = []
+        for side_ in (i, j):
+            own = g == side_
+            names, at = np.unique(codes[own], return_inverse=True)
+            values, there = np.zeros((len(names), time.max() + 1)), np.zeros((len(names), time.max() + 1))
+            values[at, time[own]], there[at, time[own]] = x[own], 1.0
+            made.append((names, values, there))
+        (a, y, has_y), (b, z, has_z) = made
+        sums = {"n": has_y @ has_z.T, "sy": y @ has_z.T, "sx": has_y @ z.T, "syy": (y * y) @ has_z.T, "sxx": has_y @ (z * z).T, "sxy": y @ z.T}
+        r, c = np.nonzero((sums["n"] > 0) & (a[:, None] != b[None, :]))
+        out = pa.table({"ba": pa.array(a[r], pa.string()), "peer": pa.array(b[c], pa.string()), **{m: pa.array(sums[m][r, c]) for m in MOMENTS}})
+        if i == j:
+            return out
+        turned = out.select(["peer", "ba", "n", "sx", "sy", "sxx", "syy", "sxy"]).rename_columns(["ba", "peer", *MOMENTS])
+        return pa.concat_tables([out, turned])
+
+    return dealt.select("block", "i", "j", "g", "ba", "at", "x").groupBy("block", "i", "j").applyInArrow(run, "ba string, peer string, " + ", ".join(f"{m} double" for m in MOMENTS))
+
+
+def peer_correlation(filled: DataFrame, train_end: str, value: str = "load_mw", hours: int = 672, side: int = 256) -> DataFrame:
     """Rows (ba, peer, r) on the training span; pairs without variance or with a non-finite r are absent.
 
-    One partial aggregation of moments; where all series share one grid, filling each series once before the self-join is
-    the same as filling each pair.
+    Where all series share one grid, filling each series once is the same as filling each pair.  Values count from their
+    series' least one, so that sums of squares keep their digits and a constant series has none.
     """
-    pairs = peer_pairs(filled.where(F.col("ts_utc") < F.lit(train_end).cast("timestamp")), value)
-    m = pairs.groupBy("ba", "peer").agg(F.covar_pop("y", "x").alias("c"), (F.stddev_pop("y") * F.stddev_pop("x")).alias("s"))
-    return m.withColumn("r", F.try_divide("c", "s")).where("r IS NOT NULL AND NOT isnan(r)").select("ba", "peer", "r")
+    train = filled.where(F.col("ts_utc") < F.lit(train_end).cast("timestamp"))
+    least = train.groupBy("ba").agg(F.min(value).alias("_least"))
+    rows = train.join(least, "ba").select("ba", "ts_utc", (F.col(value) - F.col("_least")).cast("double").alias("x"))
+    m = pair_moments(rows, hours, side).groupBy("ba", "peer").agg(*(F.sum(c).alias(c) for c in MOMENTS))
+    cov, vy, vx = F.expr("sxy - sy * sx / n"), F.expr("syy - sy * sy / n"), F.expr("sxx - sx * sx / n")
+    r = F.when((vy > 0) & (vx > 0), cov / F.sqrt(vy * vx))
+    return m.withColumn("r", r).where("r IS NOT NULL AND NOT isnan(r)").select("ba", "peer", "r")
 
 
 def top_peers(correlations: DataFrame, k: int = 8) -> DataFrame:

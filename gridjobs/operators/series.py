@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+from .selection import exact_quantile
+
 MAD_SCALE = 1.4826
 CEILING_MW = 500_000.0
 
@@ -29,14 +32,20 @@ def dedupe_latest(rows: DataFrame, keys: list[str] = ("ba", "ts_utc"), as_of: st
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def mad_stats(rows: DataFrame, value: str = "load_mw", key: str = "ba", approximate: bool = False) -> DataFrame:
+def mad_stats(rows: DataFrame, value: str = "load_mw", key: str = "ba", most: int = 1_000_000) -> DataFrame:
     """Rows (ba, med, mad).  The statistics have a row a series and are joined back, so series never gather in a window.
 
-    ``approximate`` takes approximate medians, for keys of tens of millions of rows.
+    A median's aggregation holds a series' values; beyond ``most`` rows in the largest series both medians come from
+    selection by narrowing instead, which holds none and gives the same values.
     """
-    middle = (lambda c: F.percentile_approx(c, 0.5, 10000)) if approximate else F.median
-    med = rows.groupBy(key).agg(middle(no_nan(value)).alias("med"))
-    return rows.join(med, key).groupBy(key).agg(F.first("med").alias("med"), middle(F.abs(no_nan(value) - F.col("med"))).alias("mad"))
+    largest = rows.groupBy(key).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest > most:
+        rows = rows.select(key, no_nan(value).alias("_x"))
+        med = stored(exact_quantile(rows, "_x", F.lit(0.5), key, "med"), "med")
+        mad = exact_quantile(rows.join(med, key).withColumn("_x", F.abs(F.col("_x") - F.col("med"))), "_x", F.lit(0.5), key, "mad")
+        return rows.select(key).distinct().join(med, key, "left").join(mad, key, "left")
+    med = rows.groupBy(key).agg(F.median(no_nan(value)).alias("med"))
+    return rows.join(med, key).groupBy(key).agg(F.first("med").alias("med"), F.median(F.abs(no_nan(value) - F.col("med"))).alias("mad"))
 
 
 def robust_clean(rows: DataFrame, value: str = "load_mw", key: str = "ba", k: float = 20.0, ceiling: float = CEILING_MW) -> DataFrame:
@@ -125,11 +134,18 @@ def context_rows(indexed: DataFrame, origins: DataFrame, context: int, value: st
 
 
 def training_pairs(indexed: DataFrame, meta: DataFrame, context: int, horizon: int, stride: int, value: str = "load_mw", key: str = "ba") -> DataFrame:
-    """Rows (ba, idx, context array, target array) over the training rows, every ``stride`` positions."""
+    """Rows (ba, idx, context array, target array) over the training rows, every ``stride`` positions.
+
+    Windows start at multiples of the stride, so they are made of whole chunks of that many rows: each chunk goes to the
+    windows that contain it, and only windows that are kept are ever built.  Those with a null value are left out.
+    """
     train = indexed.join(meta.select(key, "train_end"), key).where("idx < train_end")
-    w = Window.partitionBy(key).orderBy("idx")
-    pairs = train.select(key, "idx", F.collect_list(value).over(w.rowsBetween(-context, -1)).alias("context"), F.collect_list(value).over(w.rowsBetween(0, horizon - 1)).alias("target"))
-    return pairs.where((F.size("context") == context) & (F.size("target") == horizon) & (F.pmod(F.col("idx") - context, F.lit(stride)) == 0))
+    chunks = train.groupBy(key, F.expr(f"idx div {stride}").alias("_c")).agg(F.sort_array(F.collect_list(F.struct("idx", F.col(value).alias("v")))).alias("part"))
+    n = -(-(context + horizon) // stride)
+    parts = chunks.withColumn("_w", F.explode(F.expr(f"sequence(greatest(0L, _c - {n - 1}), _c)")))
+    whole = parts.groupBy(key, "_w").agg(F.expr("transform(flatten(array_sort(collect_list(part))), x -> x.v)").alias("all"))
+    pairs = whole.select(key, (F.col("_w") * stride + context).cast("int").alias("idx"), F.slice("all", 1, context).alias("context"), F.slice("all", context + 1, horizon).alias("target"))
+    return pairs.where((F.size("target") == horizon) & ~F.exists("context", F.isnull) & ~F.exists("target", F.isnull))
 
 
 def forecast_seasonal_naive(indexed: DataFrame, origins: DataFrame, horizon: int, season: int = 24, value: str = "load_mw", key: str = "ba") -> DataFrame:

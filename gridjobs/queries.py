@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from . import adapters as A
 from . import oracles, registry, schemas
 from .functions import calendar
-from .operators import conformal, joins, live, metrics, peers, series
+from .operators import blocks, conformal, joins, live, metrics, peers, series
 from .plans import audit, jobs
 from .session import scratch_path, stored
 from .sources import payloads, sinks, store, text
@@ -76,7 +76,7 @@ def landed(spark: SparkSession, rows: DataFrame, what: str, text_: bool = True)
 def src_parquet_scan(spark, d):
     path = scratch_path(spark, "load")
     store.append(A.load_hourly(spark, d), path)
-    return store.scan(spark, path, LOAD).where(store.in_months(F.lit("2024-01-01").cast("timestamp"), F.lit("2024-01-20").cast("timestamp"))).select("ba", t(), "load_mw", "year", "month")
+    return store.scan(spark, path, LOAD).where(live.in_months(F.lit("2024-01-01").cast("timestamp"), F.lit("2024-01-20").cast("timestamp"))).select("ba", t(), "load_mw", "year", "month")
 
 
 @query
@@ -310,7 +310,8 @@ def size_tier(spark, d):
 
 @query
 def unit_convert(spark, d):
-    f = A.observations(spark, d).join(A.load_hourly(spark, d), "ba").groupBy("ba").agg(F.avg("f").alias("f"), F.max("load_mw").alias("m"))
+    f = A.observations(spark, d).groupBy("ba").agg(F.avg("f").alias("f"))
+    f = f.join(A.load_hourly(spark, d).groupBy("ba").agg(F.max("load_mw").alias("m")), "ba")
     return f.select("ba", F.round(live.to_celsius(F.col("f")), 7).alias("temp_c"), F.round(live.to_gw(F.col("m")), 7).alias("peak_gw"))
 
 
@@ -324,7 +325,7 @@ def sane_range_filter(spark, d):
 def local_hour(spark, d):
     n = A.nations(spark, d).select(F.col("code").alias("ba"), "utc_offset")
     hours = A.load_hourly(spark, d).select("ts_utc").distinct()
-    return hours.join(n).groupBy("ba", series.local_hour("ts_utc", F.col("utc_offset")).alias("local_hour")).agg(F.count("*").alias("n"))
+    return hours.join(F.broadcast(n)).groupBy("ba", series.local_hour("ts_utc", F.col("utc_offset")).alias("local_hour")).agg(F.count("*").alias("n"))
 
 
 @query
@@ -641,12 +642,12 @@ def win_block_fill(spark, d):
 
 @query
 def win_seasonal_lag(spark, d):
-    return series.seasonal_lags(filled(spark, d)).select("ba", "idx", "load_mw", "lag24", "lag48", "lag168")
+    return blocks.seasonal_lags(filled(spark, d), block=256).select("ba", "idx", "load_mw", "lag24", "lag48", "lag168")
 
 
 @query
 def win_row_index(spark, d):
-    return series.row_index(A.load_by_user(spark, d)).select("ba", t(), "idx")
+    return blocks.row_index(A.load_by_user(spark, d)).select("ba", t(), "idx")
 
 
 @query
@@ -723,8 +724,8 @@ def win_temp_for_baseline(spark, d):
 
 @query
 def win_flatline_runs(spark, d):
-    rows = series.row_index(A.load_by_user(spark, d).withColumn("load_mw", F.floor(F.col("load_mw") / 100).cast("double")))
-    return series.flatline_runs(rows).withColumn("flat", F.col("longest") >= 8)
+    rows = blocks.row_index(A.load_by_user(spark, d).withColumn("load_mw", F.floor(F.col("load_mw") / 100).cast("double")))
+    return blocks.flatline_runs(rows, block=64).withColumn("flat", F.col("longest") >= 8)
 
 
 @query
