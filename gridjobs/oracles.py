@@ -124,10 +124,37 @@ def _future(at: str, column: str, name: str, h: int = 24, o: str = "O0", i: str
     return f"SELECT q.ba, q.origin, q.step, {r('v.' + column, name)}{extra} FROM (SELECT o.ba, o.origin, s.step, o.origin + s.step AS idx, (SELECT max(idx) + 1 FROM {i} z WHERE z.ba = o.ba) AS n FROM {o} o CROSS JOIN (SELECT unnest(range({h})) AS step) s) q JOIN {i} v ON v.ba = q.ba AND v.idx = {at}"
 
 
+def _delta_of(source: str) -> str:
+    ranked = f"SELECT ba, max(CASE WHEN k = floor(a) THEN s END) AS lo, max(CASE WHEN k = ceil(a) THEN s END) AS hi, max(a - floor(a)) AS f FROM (SELECT ba, s, row_number() OVER (PARTITION BY ba ORDER BY s) - 1 AS k, (n - 1) * least(ceil((n + 1) * 0.8 - 1e-9) / n, 1.0) AS a FROM (SELECT ba, greatest(q_lo - y, y - q_hi) AS s, count(*) OVER (PARTITION BY ba) AS n FROM {source})) GROUP BY 1"
+    return f"SELECT ba, lo + (hi - lo) * f AS d FROM ({ranked})"
+
+
 def _delta(rounded: bool) -> str:
-    ranked = "SELECT ba, max(CASE WHEN k = floor(a) THEN s END) AS lo, max(CASE WHEN k = ceil(a) THEN s END) AS hi, max(a - floor(a)) AS f FROM (SELECT ba, s, row_number() OVER (PARTITION BY ba ORDER BY s) - 1 AS k, (n - 1) * least(ceil((n + 1) * 0.8 - 1e-9) / n, 1.0) AS a FROM (SELECT ba, greatest(q_lo - y, y - q_hi) AS s, count(*) OVER (PARTITION BY ba) AS n FROM SV)) GROUP BY 1"
-    v = "lo + (hi - lo) * f"
-    return f"SELECT * FROM (SELECT ba, round({v}, 2) AS delta_mw FROM ({ranked})) WHERE delta_mw <> 0" if rounded else f"SELECT ba, round({v}, 7) AS delta_mw FROM ({ranked})"
+    if rounded:
+        return f"SELECT * FROM (SELECT ba, round(d, 2) AS delta_mw FROM ({_delta_of('SV')})) WHERE delta_mw <> 0"
+    return f"SELECT ba, round(d, 7) AS delta_mw FROM ({_delta_of('SV')})"
+
+
+def _regression_sql() -> str:
+    """Sums of products and Gauss-Jordan elimination on a table (ba, h, i, j, v) of each group's system."""
+    steps = {"A0": "SELECT x.ba, x.h, x.i, x.j, s / (a.sd * b.sd) + CASE WHEN x.i = x.j THEN 1 ELSE 0 END AS v FROM XX x JOIN SD a ON a.ba = x.ba AND a.h = x.h AND a.i = x.i JOIN SD b ON b.ba = x.ba AND b.h = x.h AND b.i = x.j WHERE x.i < 12 AND x.j < 12 UNION ALL SELECT x.ba, x.h, x.i, 12, s / sd FROM XX x JOIN SD a ON a.ba = x.ba AND a.h = x.h AND a.i = x.i WHERE x.j = 12 AND x.i < 12"}
+    for k in range(1, 12):
+        a = f"A{k - 1}"
+        steps[f"A{k}"] = f"SELECT x.ba, x.h, x.i, x.j, CASE WHEN x.i = {k} THEN x.v / p.v ELSE x.v - q.v * r.v / p.v END AS v FROM {a} x JOIN {a} p ON p.ba = x.ba AND p.h = x.h AND p.i = {k} AND p.j = {k} JOIN {a} q ON q.ba = x.ba AND q.h = x.h AND q.i = x.i AND q.j = {k} JOIN {a} r ON r.ba = x.ba AND r.h = x.h AND r.i = {k} AND r.j = x.j"
+    xs = ", ".join(f"x{i}" for i in range(1, 12))
+    return sql(
+        "SELECT ba, idx, round(y, 7) AS y, round(CASE WHEN w IS NULL THEN x1 ELSE m + w END, 4) AS mean FROM (SELECT TE.ba, TE.idx, any_value(TE.y) AS y, any_value(TE.x1) AS x1, any_value(YM.m) AS m, sum(v * (x - MO.m) / sd) AS w FROM TE JOIN TL ON TL.ba = TE.ba AND TL.idx = TE.idx LEFT JOIN A11 ON A11.ba = TE.ba AND A11.h = TE.h AND A11.i = TL.i AND A11.j = 12 LEFT JOIN MO ON MO.ba = TE.ba AND MO.h = TE.h AND MO.i = TL.i LEFT JOIN MO YM ON YM.ba = TE.ba AND YM.h = TE.h AND YM.i = 12 LEFT JOIN SD ON SD.ba = TE.ba AND SD.h = TE.h AND SD.i = TL.i GROUP BY TE.ba, TE.idx)",
+        FE="SELECT TI.ba, TI.idx, hour(TI.ts_utc) AS h, load_mw AS y, lag(load_mw, 24, 0.0) OVER w AS x1, lag(load_mw, 48, 0.0) OVER w AS x2, lag(load_mw, 168, 0.0) OVER w AS x3, temp_c AS x4, hour_sin AS x5, hour_cos AS x6, dow_sin AS x7, dow_cos AS x8, is_weekend::DOUBLE AS x9, is_holiday::DOUBLE AS x10, month(TI.ts_utc)::DOUBLE AS x11, (SELECT count(*) FROM L z WHERE z.ba = TI.ba AND z.ts_utc < TIMESTAMP '2024-01-26') AS e FROM TI JOIN CAL ON CAL.ba = TI.ba AND CAL.ts_utc = TI.ts_utc WINDOW w AS (PARTITION BY TI.ba ORDER BY TI.idx)",
+        TR="SELECT * FROM FE WHERE idx < e AND idx >= 168",
+        TE="SELECT FE.* REPLACE (o.temp_c AS x4) FROM FE JOIN TI o ON o.ba = FE.ba AND o.idx = e + (FE.idx - e) // 24 * 24 - 1 WHERE FE.idx >= e",
+        XL=f"SELECT ba, h, idx, unnest(range(1, 13)) AS i, unnest([{xs}, y]) AS x FROM TR",
+        TL=f"SELECT ba, h, idx, unnest(range(1, 12)) AS i, unnest([{xs}]) AS x FROM TE",
+        MO="SELECT ba, h, i, count(*) AS n, avg(x) AS m, min(x) = max(x) AS flat FROM XL GROUP BY 1, 2, 3 HAVING count(*) >= 12",
+        CE="SELECT XL.ba, XL.h, idx, XL.i, CASE WHEN flat THEN 0 ELSE x - m END AS c FROM XL JOIN MO ON MO.ba = XL.ba AND MO.h = XL.h AND MO.i = XL.i",
+        XX="SELECT a.ba, a.h, a.i, b.i AS j, sum(a.c * b.c) AS s FROM CE a JOIN CE b ON a.ba = b.ba AND a.h = b.h AND a.idx = b.idx GROUP BY 1, 2, 3, 4",
+        SD="SELECT x.ba, x.h, x.i, CASE WHEN s > 0 THEN sqrt(s / n) ELSE 1 END AS sd FROM XX x JOIN MO ON MO.ba = x.ba AND MO.h = x.h AND MO.i = x.i WHERE x.i = x.j",
+        **steps,
+    )
 
 
 def _policies() -> str:
@@ -147,8 +174,8 @@ def _ratio(own: str, base: str) -> str:
     return f"SELECT a.ba, {r('a.mae', 'own')}, {r('b.mae', 'baseline')}, {r('b.mae / a.mae', 'ratio')}, {r('100 * (1 - a.mae / b.mae)', 'improvement_pct')} FROM ({metric.format(own)}) a JOIN ({metric.format(base)}) b USING (ba)"
 
 
-def _bootstrap_sql(replicates: int, seed: int) -> str:
-    whole = sql("SELECT x.ba, origin, avg(abs(y - mean)) / any_value(denom) AS err FROM SC x JOIN DE USING (ba) GROUP BY 1, 2")
+def _bootstrap_sql(replicates: int, seed: int, whole: str | None = None) -> str:
+    whole = whole or sql("SELECT x.ba, origin, avg(abs(y - mean)) / any_value(denom) AS err FROM SC x JOIN DE USING (ba) GROUP BY 1, 2")
     limits, total = [], 0.0
     for k in range(8):
         total += math.exp(-1) / math.factorial(k)
@@ -169,6 +196,7 @@ def oracle_sql() -> dict[str, str]:
         "sink_compact_snapshot": sql("SELECT ba, CAST(2024 AS INT) AS year, CAST(1 AS INT) AS month, 2 * count(*) AS n, count(DISTINCT ts_utc) AS hours FROM L GROUP BY 1"),
         "ingest_manifest_record": sql("SELECT 'eia-930' AS source, strftime(ts_utc, '%Y-%m-%d') AS key, '2024-02-01 00:00:00' AS fetched_at, count(*) AS n_rows FROM L GROUP BY 2"),
         "ingest_skip_known_keys": sql("SELECT 'eia-930' AS source, strftime(ts_utc, '%Y-%m-%d') AS key, count(*) AS n_rows FROM L WHERE day(ts_utc) % 3 <> 0 GROUP BY 2"),
+        "ingest_write_through": sql(f"SELECT 'eia-930' AS source, strftime(ts_utc, '%Y-%m-%d') AS key, CASE WHEN day(any_value(ts_utc)) <= 10 THEN '2024-02-01' WHEN day(any_value(ts_utc)) <= 20 THEN '2024-02-03' ELSE '2024-02-04' END || ' 00:00:00' AS fetched_at, count(*) AS n_rows, count(*) AS n, {_sum('load_mw')} AS total FROM L GROUP BY 2"),
         "ingest_content_hash": sql("SELECT strftime(ts_utc, '%Y-%m-%d') AS key, count(*) AS n_rows, TRUE AS same, CAST(64 AS INT) AS digits FROM L GROUP BY 1"),
         "src_eia_json_pages": sql(f"SELECT ba, {t()}, load_mw FROM GL"),
         "src_genmix_json_pages": sql(f"SELECT ba, {t()}, fuel, {_sum('gen_mw')} AS gen_mw FROM G GROUP BY ba, ts_utc, fuel"),
@@ -182,7 +210,7 @@ def oracle_sql() -> dict[str, str]:
         "src_station_daily_json": f"SELECT {t('CAST(o_orderdate AS TIMESTAMP)', 'ts_utc')}, CAST(o_custkey AS VARCHAR) AS station, o_orderstatus AS datatype, o_totalprice AS value, 'ghcnd' AS source FROM orders",
         "src_grib_idx_text": "SELECT l_orderkey AS file, CAST(l_linenumber AS INT) AS record_no, byte_start, strftime(l_shipdate, '%Y%m%d%H') AS ref_time, CASE WHEN l_returnflag = 'A' THEN 'TMP' ELSE 'UGRD' END AS variable, '2 m above ground' AS level, '1 hour fcst' AS forecast, lead(byte_start) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, byte_start, l_shipdate, CASE WHEN l_returnflag = 'A' THEN 'TMP' ELSE 'UGRD' END) - 1 AS byte_end FROM (SELECT *, CAST(l_linenumber AS BIGINT) * 524288 + CAST(trunc(l_quantity) AS BIGINT) AS byte_start FROM lineitem WHERE l_linestatus = 'F')",
         "src_union_ragged": "SELECT CAST(c_custkey AS DOUBLE) AS key, c_name AS name, c_acctbal AS bal, NULL AS size FROM customer UNION ALL SELECT s_suppkey, s_name, NULL, NULL FROM supplier UNION ALL SELECT p_partkey + 0.5, NULL, NULL, p_size FROM part",
-        "sink_forecast_docs": sql(f"SELECT ba, 'seasonal-naive' AS model, CAST(step AS INT) AS step, strftime(ts_utc, '%Y-%m-%dT%H:%M:%SZ') AS ts_utc, {r('median', 'median_mw')} FROM ({_POINTS})"),
+        "sink_forecast_docs": sql(f"SELECT ba, CASE ba WHEN 'view' THEN 'second' ELSE 'seasonal-naive' END AS model, CAST(step AS INT) AS step, strftime(ts_utc, '%Y-%m-%dT%H:%M:%SZ') AS ts_utc, {r('median', 'median_mw')} FROM ({_POINTS})"),
         "sink_forecast_csv": sql(f"SELECT ba, strftime(ts_utc, '%Y-%m-%dT%H:%M:%SZ') AS ts_utc, format('{{:.2f}}', round(median, 1)) AS median, format('{{:.2f}}', floor(lo)) AS lo, format('{{:.2f}}', floor(hi)) AS hi, '' AS temp_c FROM ({_POINTS})"),
         "text_redact_secrets": "SELECT page_id, regexp_replace(url, '[?#].*', '') || '?api_key=REDACTED&b=1&TOKEN=REDACTED' AS url, 'GET password=REDACTED \"x\" apikey=REDACTED&c=2' AS line FROM pages",
         "schema_enforce": f"SELECT {t('h', 'ts_utc')}, event_type AS ba, value AS load_mw, 'events' AS source, {t('ts', 'as_of')} FROM (SELECT *, date_trunc('hour', ts) AS h FROM events)",
@@ -298,9 +326,17 @@ def oracle_sql() -> dict[str, str]:
             NB="SELECT ba, ts_utc, coalesce(last_value(x1 IGNORE NULLS) OVER w, 0.0) AS nbr1, coalesce(last_value(x2 IGNORE NULLS) OVER w, 0.0) AS nbr2 FROM (SELECT I.ba, I.ts_utc, max(p.y) FILTER (k = 1) AS x1, max(p.y) FILTER (k = 2) AS x2 FROM I LEFT JOIN K2 ON K2.ba = I.ba LEFT JOIN I p ON p.ba = K2.peer AND p.ts_utc = I.ts_utc GROUP BY 1, 2) WINDOW w AS (PARTITION BY ba ORDER BY ts_utc ROWS UNBOUNDED PRECEDING)",
         ),
         "job_backtest": sql(
-            f"SELECT ba, {r('mae')}, {r('rmse')}, {r('mase')}, n_points, n_windows FROM P20 UNION ALL SELECT 'MACRO', round(avg(mae), 7), round(avg(rmse), 7), round(avg(mase), 7), CAST(sum(n_points) AS BIGINT), CAST(sum(n_windows) AS BIGINT) FROM P20",
+            f"SELECT ba, CAST(NULL AS INT) AS step, {r('mae')}, {r('rmse')}, {r('mase')}, n_points, n_windows, CAST(NULL AS DOUBLE) AS ci_lo, CAST(NULL AS DOUBLE) AS ci_hi, round(coalesce(d, 0), 7) AS delta_mw, {r('coverage_raw')}, {r('coverage')} FROM P20 LEFT JOIN D20 USING (ba) JOIN V20 USING (ba)"
+            " UNION ALL SELECT 'MACRO', NULL, round(avg(mae), 7), round(avg(rmse), 7), round(avg(mase), 7), CAST(sum(n_points) AS BIGINT), CAST(sum(n_windows) AS BIGINT), any_value(lo), any_value(hi), round(avg(coalesce(d, 0)), 7), round(avg(coverage_raw), 7), round(avg(coverage), 7) FROM P20 LEFT JOIN D20 USING (ba) JOIN V20 USING (ba) CROSS JOIN CI20"
+            " UNION ALL SELECT 'MACRO', CAST(step AS INT), NULL, NULL, round(avg(e / denom), 7), NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM (SELECT ba, step, avg(abs(y - mean)) AS e FROM SC20 GROUP BY 1, 2) JOIN DE20 USING (ba) GROUP BY step",
             P20="SELECT ba, avg(abs(y - mean)) AS mae, sqrt(avg((y - mean) ** 2)) AS rmse, avg(abs(y - mean)) / any_value(denom) AS mase, count(*) AS n_points, count(DISTINCT origin) AS n_windows FROM SC20 JOIN DE20 USING (ba) GROUP BY 1",
+            SV20=_naive("I20", "OV"),
+            D20=f"SELECT ba, d FROM ({_delta_of('(SELECT *, mean * 0.9 AS q_lo, mean * 1.1 AS q_hi FROM SV20)')})",
+            V20="SELECT SC20.ba, avg(CASE WHEN y BETWEEN mean * 0.9 AND mean * 1.1 THEN 1.0::DOUBLE ELSE 0.0 END) AS coverage_raw, avg(CASE WHEN y BETWEEN mean * 0.9 - coalesce(d, 0) AND mean * 1.1 + coalesce(d, 0) THEN 1.0::DOUBLE ELSE 0.0 END) AS coverage FROM SC20 LEFT JOIN D20 USING (ba) GROUP BY 1",
+            E20="SELECT x.ba, origin, avg(abs(y - mean)) / any_value(denom) AS err FROM SC20 x JOIN DE20 USING (ba) GROUP BY 1, 2",
+            CI20=_bootstrap_sql(200, 0, "SELECT * FROM E20"),
         ),
+        "job_hourly_regression": _regression_sql(),
         "job_ensemble": sql("SELECT ba, round(avg(abs(y - m)), 10) AS mae, round(sqrt(avg((y - m) ** 2)), 10) AS rmse, round(avg(abs(y - m)) / any_value(denom), 10) AS mase, count(*) AS n_points, count(DISTINCT origin) AS n_windows FROM (SELECT ba, origin, step, any_value(y) AS y, avg(mean) AS m FROM (SELECT ba, origin, step, y, mean FROM SC UNION ALL SELECT ba, origin, step, y, mean FROM PE) GROUP BY 1, 2, 3) JOIN DE USING (ba) GROUP BY 1"),
         "job_causal_audit": sql(
             "SELECT ba, origin, covariate, problem FROM AO CROSS JOIN (VALUES ('load_mw', 'leak'), ('hour_sin', 'missing')) v(covariate, problem)",

@@ -50,10 +50,27 @@ def naive_backtest(indexed: DataFrame, meta: DataFrame, denom: DataFrame, horizo
     return scored, metrics.point_metrics(scored, denom)
 
 
-def with_macro(per: DataFrame) -> DataFrame:
-    """The per-series table and a row MACRO of unweighted means; counts are added up."""
-    total = per.agg(F.lit("MACRO").alias("ba"), F.avg("mae").alias("mae"), F.avg("rmse").alias("rmse"), F.avg("mase").alias("mase"), F.sum("n_points").alias("n_points"), F.sum("n_windows").alias("n_windows"))
-    return per.unionByName(total.where("n_points IS NOT NULL"))
+def backtest(indexed: DataFrame, meta: DataFrame, denom: DataFrame, horizon: int = 24, step: int = 24, season: int = 24, width: float = 0.1, coverage: float = 0.8, replicates: int = 200, seed: int = 0) -> DataFrame:
+    """The whole report of the seasonal-naive forecast with a band: rows by series, MACRO, and MACRO by step ahead.
+
+    Columns ba, step, mae, rmse, mase, n_points, n_windows, ci_lo, ci_hi, delta_mw, coverage_raw, coverage.  The interval
+    (ci) is the bootstrap's over pooled windows; each series' band is widened by the delta that the split before the
+    scored one gives (none: 0), without a clamp; a step's mase is the mean over series.
+    """
+    scored, per = naive_backtest(indexed, meta, denom, horizon, step, season)
+    scored = stored(with_band(scored, width), "scored")
+    before, _ = naive_backtest(indexed, meta, denom, horizon, step, season, "train_end", "val_end")
+    deltas = conformal.conformal_delta(with_band(before, width), coverage)
+    widened = conformal.apply_delta(scored, deltas, clamp=False)
+    inside = metrics.coverage(scored).withColumnRenamed("coverage", "coverage_raw").join(metrics.coverage(widened), "ba")
+    series_rows = stored(per.join(deltas, "ba", "left").join(inside, "ba", "left").fillna(0.0, ["delta_mw"]), "series")
+    means = ["mae", "rmse", "mase", "delta_mw", "coverage_raw", "coverage"]
+    total = series_rows.agg(*(F.avg(c).alias(c) for c in means), *(F.sum(c).alias(c) for c in ("n_points", "n_windows"))).where("n_points IS NOT NULL")
+    pooled = metrics.bootstrap_ci(metrics.window_errors(scored, denom), replicates, seed).select(F.col("lo").alias("ci_lo"), F.col("hi").alias("ci_hi"))
+    macro = total.join(F.broadcast(pooled)).withColumn("ba", F.lit("MACRO"))
+    steps = metrics.step_mase(scored, denom).withColumn("ba", F.lit("MACRO"))
+    rows = series_rows.unionByName(macro, allowMissingColumns=True).unionByName(steps, allowMissingColumns=True)
+    return rows.select("ba", F.col("step").cast("int").alias("step"), "mae", "rmse", "mase", "n_points", "n_windows", "ci_lo", "ci_hi", "delta_mw", "coverage_raw", "coverage")
 
 
 def with_band(scored: DataFrame, width: float = 0.1) -> DataFrame:
@@ -123,37 +140,3 @@ def persistence_model(context: np.ndarray, horizon: int) -> tuple[np.ndarray, np
 
 
 MODELS: dict[str, Model] = {"persistence": persistence_model, "seasonal_naive_24": seasonal_naive_model(24), "seasonal_naive_168": seasonal_naive_model(168)}
-
-FEATURES = ["lag24", "lag48", "lag168", "temp_c", "hour_sin", "hour_cos", "dow_sin", "dow_cos", "is_weekend", "is_holiday", "month"]
-
-
-def hourly_regression(features: DataFrame, ridge: float = 1.0, min_rows: int = 100) -> DataFrame:
-    """Ridge regression for each (ba, hour of day) on standardised features; rows (ba, idx, y, mean) of the test rows.
-
-    ``features``: ba, idx, hour, is_train, y, lag24 and FEATURES.  Hours with fewer than ``min_rows`` training rows
-    fall back to lag24.  A group is one hour of one series.
-    """
-
-    def fit(g: pd.DataFrame) -> pd.DataFrame:
-        train, test = g[g["is_train"]], g[~g["is_train"]]
-        if len(train) < min_rows:
-            mean = test["lag24"].to_numpy()
-        else:
-            x, y = train[FEATURES].to_numpy(float), train["y"].to_numpy(float)
-            mu, sd = x.mean(0), np.where(x.std(0) > 0, x.std(0), 1.0)
-            z = (x - mu) / sd
-            w = np.linalg.solve(z.T @ z + ridge * np.eye(z.shape[1]), z.T @ (y - y.mean()))
-            mean = (test[FEATURES].to_numpy(float) - mu) / sd @ w + y.mean()
-        return pd.DataFrame({"ba": test["ba"], "idx": test["idx"], "y": test["y"], "mean": mean})
-
-    return features.groupBy("ba", "hour").applyInPandas(fit, "ba string, idx bigint, y double, mean double")
-
-
-def regression_features(indexed: DataFrame, meta: DataFrame, holidays: DataFrame, horizon: int = 24) -> DataFrame:
-    """Features of ``hourly_regression``: test rows see the temperature of the row before their day's origin."""
-    lagged = series.seasonal_lags(calendar_features(indexed, holidays)).join(meta.select("ba", "train_end", "val_end"), "ba")
-    origin = F.col("val_end") + F.floor((F.col("idx") - F.col("val_end")) / horizon) * horizon
-    test = lagged.where("idx >= val_end").withColumn("_at", (origin - 1).cast("bigint")).drop("temp_c").join(indexed.select("ba", F.col("idx").cast("bigint").alias("_at"), "temp_c"), ["ba", "_at"])
-    train = lagged.where("idx < train_end AND idx >= 168")
-    cols = ["ba", F.col("idx").cast("bigint").alias("idx"), F.hour("ts_utc").alias("hour"), F.col("load_mw").alias("y"), *(c for c in FEATURES if c != "month"), F.month("ts_utc").alias("month")]
-    return train.select(*cols, F.lit(True).alias("is_train")).unionByName(test.select(*cols, F.lit(False).alias("is_train")))

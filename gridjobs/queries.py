@@ -12,9 +12,9 @@ from . import adapters as A
 from . import oracles, registry, schemas
 from .functions import calendar
 from .operators import blocks, conformal, joins, live, metrics, peers, series
-from .plans import audit, jobs
+from .plans import audit, jobs, regression
 from .session import scratch_path, stored
-from .sources import payloads, sinks, store, text
+from .sources import payloads, published, sinks, store, text
 from .streaming import jobs as streams
 from .streaming import progress
 
@@ -117,6 +117,25 @@ def ingest_skip_known_keys(spark, d):
     return store.skip_known(batches, batches.where("day(to_date(key)) % 3 = 0")).select("source", "key", "n_rows")
 
 
+@query
+def ingest_write_through(spark, d):
+    """Three overlapping fetches, the second of them broken off after its data: each key is stored and recorded once."""
+    root = scratch_path(spark, "through")
+    rows = A.load_hourly(spark, d).withColumn("source", F.lit("eia-930")).withColumn("key", F.date_format("ts_utc", "yyyy-MM-dd"))
+
+    def stop(step: str) -> None:
+        raise InterruptedError(step)
+
+    published.write_through(rows.where("day(ts_utc) <= 10"), root, "2024-02-01 00:00:00")
+    try:
+        published.write_through(rows.where("day(ts_utc) <= 20"), root, "2024-02-02 00:00:00", after=stop)
+    except InterruptedError:
+        published.write_through(rows.where("day(ts_utc) BETWEEN 5 AND 20"), root, "2024-02-03 00:00:00")
+    published.write_through(rows, root, "2024-02-04 00:00:00")
+    stored_ = published.scan(spark, root, LOAD + ", source string, key string").groupBy("source", "key").agg(F.count("*").alias("n"), A.exact_sum("load_mw").alias("total"))
+    return published.manifest(spark, root).join(stored_, ["source", "key"]).select("source", "key", t("fetched_at"), "n_rows", "n", "total")
+
+
 @query
 def ingest_content_hash(spark, d):
     a = _batches(spark, d)
@@ -257,10 +276,12 @@ def _points(spark, d):
 
 @query
 def sink_forecast_docs(spark, d):
-    path = scratch_path(spark, "docs")
-    sinks.write_docs(sinks.forecast_docs(_points(spark, d), "seasonal-naive", "2024-01-30T00:00:00Z"), path)
-    sinks.write_docs(sinks.forecast_docs(_points(spark, d).limit(0), "none", ""), path)
-    docs = spark.read.json(path)
+    root = scratch_path(spark, "docs")
+    first = sinks.forecast_docs(_points(spark, d), "seasonal-naive", "2024-01-30T00:00:00Z")
+    published.publish_docs(first, root)
+    published.publish_docs(sinks.forecast_docs(_points(spark, d).where("ba = 'view'"), "second", "2024-01-30T01:00:00Z"), root)
+    published.publish_docs(first.limit(0), root)
+    docs = published.read_docs(spark, root, first.schema)
     return docs.select("ba", "model", F.explode("points").alias("p")).select("ba", "model", F.col("p.step").cast("int").alias("step"), F.col("p.ts_utc").alias("ts_utc"), F.round("p.median_mw", 7).alias("median_mw"))
 
 
@@ -802,8 +823,7 @@ def job_feature_table(spark, d):
 @query
 def job_backtest(spark, d):
     indexed, meta, denom = prepared(spark, d, 20.0)
-    _, per = jobs.naive_backtest(indexed, meta, denom)
-    return jobs.with_macro(per).select("ba", r("mae"), r("rmse"), r("mase"), "n_points", "n_windows")
+    return jobs.backtest(indexed, meta, denom).select("ba", "step", r("mae"), r("rmse"), r("mase"), "n_points", "n_windows", *(r(c) for c in ("ci_lo", "ci_hi", "delta_mw", "coverage_raw", "coverage")))
 
 
 @query
@@ -817,8 +837,8 @@ def job_ensemble(spark, d):
 @query
 def job_hourly_regression(spark, d):
     rows = temperatures(spark, d)
-    features = jobs.regression_features(rows, series.split_bounds(rows, "2024-01-26", "2024-01-26", "2024-01-31"), calendar.holiday_table(spark))
-    return jobs.hourly_regression(features, min_rows=12).select("ba", "idx", r("y"), F.round("mean", 4).alias("mean"))
+    features = regression.regression_features(rows, series.split_bounds(rows, "2024-01-26", "2024-01-26", "2024-01-31"), calendar.holiday_table(spark))
+    return regression.hourly_regression(features, min_rows=12).select("ba", "idx", r("y"), F.round("mean", 4).alias("mean"))
 
 
 def _builder(leak: bool):

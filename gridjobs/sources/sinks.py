@@ -16,14 +16,6 @@ def forecast_docs(points: DataFrame, model: str, as_of: str) -> DataFrame:
     return docs.select("ba", F.lit(model).alias("model"), F.lit(as_of).alias("as_of_utc"), F.size("points").alias("horizon"), F.lit("MW").alias("units"), "points")
 
 
-def write_docs(docs: DataFrame, path: str) -> bool:
-    """Replace the published documents; none are written, and the old ones stay, when there is nothing to publish."""
-    if docs.isEmpty():
-        return False
-    docs.write.mode("overwrite").json(path)
-    return True
-
-
 def forecast_csv(points: DataFrame) -> DataFrame:
     """CSV cells with two decimals, blank where null."""
     blank = lambda c: F.when(F.col(c).isNull(), F.lit("")).otherwise(F.format_string("%.2f", c)).alias(c)

@@ -1,5 +1,6 @@
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,7 +8,7 @@ import __spark_entry__ as entry
 from gridjobs import adapters as A
 from gridjobs import queries as Q
 from gridjobs.operators import joins, series
-from gridjobs.plans import audit, jobs
+from gridjobs.plans import audit, jobs, regression
 from gridjobs.streaming import jobs as streams
 
 SF = "/root/testdata/sf0.001"
@@ -21,7 +22,7 @@ def test_entry(spark):
 def test_every_query_has_sql_or_is_known():
     from gridjobs import queries
 
-    assert set(queries.queries()) - set(queries.oracle_sql()) == {"job_hourly_regression"}
+    assert set(queries.queries()) - set(queries.oracle_sql()) == set()
     assert set(queries.oracle_sql()) <= set(queries.queries())
 
 
@@ -58,12 +59,27 @@ def test_audit_flags_a_leak_and_passes_the_causal_builder(spark):
 
 def test_hourly_regression_beats_nothing_and_falls_back(spark):
     rows = spark.sql("SELECT 'A' AS ba, id AS idx, cast(pmod(id, 24) AS int) AS hour, id < 3000 AS is_train, 2.0D * sin(id / 50.0) + pmod(id, 24) AS y, 2.0D * sin((id - 24) / 50.0) + pmod(id, 24) AS lag24, 0.0D AS lag48, 0.0D AS lag168, sin(id / 50.0) AS temp_c, 0.0D AS hour_sin, 0.0D AS hour_cos, 0.0D AS dow_sin, 0.0D AS dow_cos, 0 AS is_weekend, 0 AS is_holiday, 1 AS month FROM range(3500)")
-    out = jobs.hourly_regression(rows)
+    out = regression.hourly_regression(rows)
     assert out.agg(F.avg(F.abs(F.col("y") - F.col("mean")))).first()[0] < 0.1
-    few = jobs.hourly_regression(rows.where("idx < 240 OR idx >= 3000")).join(rows.select("idx", "lag24"), "idx")
+    few = regression.hourly_regression(rows.where("idx < 240 OR idx >= 3000")).join(rows.select("idx", "lag24"), "idx")
     assert few.where("mean <> lag24").count() == 0
 
 
+def test_hourly_regression_equals_a_solver(spark):
+    rng = np.random.default_rng(4)
+    rows = [("A", i, i % 2, i < 400, float(rng.normal() * 100 + 1000), *(float(x) for x in rng.normal(size=8) * 50 + 900), i % 7 // 5, 0, 1 + i % 3) for i in range(460)]
+    df = spark.createDataFrame(rows, "ba string, idx long, hour int, is_train boolean, y double, " + ", ".join(f"{c} double" for c in regression.FEATURES[:8]) + ", is_weekend int, is_holiday int, month int")
+    got = {r.idx: r.mean for r in regression.hourly_regression(df).collect()}
+    for hour in (0, 1):
+        own = np.array([r[4:] for r in rows if r[2] == hour and r[3]], float)
+        x, y = own[:, 1:], own[:, 0]
+        mu, sd = x.mean(0), np.where(x.std(0) > 1e-12, x.std(0), 1.0)
+        w = np.linalg.solve(((x - mu) / sd).T @ ((x - mu) / sd) + np.eye(11), ((x - mu) / sd).T @ (y - y.mean()))
+        for r in rows:
+            if r[2] == hour and not r[3]:
+                assert got[r[1]] == pytest.approx((np.array(r[5:], float) - mu) / sd @ w + y.mean(), rel=1e-10)
+
+
 def test_models_agree_with_joins(spark):
     idx, meta = prepared(spark)
     origins = series.rolling_origins(meta, context=48)

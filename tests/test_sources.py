@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridjobs import registry, schemas
 from gridjobs.session import scratch_path
-from gridjobs.sources import payloads, sinks, store, text
+from gridjobs.sources import payloads, published, sinks, store, text
 
 LOAD = "ts_utc timestamp, ba string, load_mw double"
 
@@ -188,9 +188,55 @@ def test_redact_text(spark):
     assert masked("") == "" and masked("plain text & 'quotes'") == "plain text & 'quotes'" and masked(None) is None
 
 
-def test_docs_are_not_replaced_by_nothing(spark):
-    path = scratch_path(spark, "docs")
-    points = spark.sql("SELECT 'PJM' AS ba, step, timestamp'2024-01-01' + make_interval(0,0,0,0,step) AS ts_utc, 1.0D AS lo, 2.0D AS median, 3.0D AS hi FROM range(3) t(step)")
-    assert sinks.write_docs(sinks.forecast_docs(points, "m", "t"), path)
-    assert not sinks.write_docs(sinks.forecast_docs(points.limit(0), "m", "t"), path)
-    assert spark.read.json(path).first().horizon == 3
+class Crash(Exception):
+    pass
+
+
+def crash_after(step):
+    def after(done):
+        if done == step:
+            raise Crash(step)
+
+    return after
+
+
+@pytest.mark.parametrize("step", ["data", "manifest"])
+def test_write_through_survives_a_crash(spark, step):
+    root = scratch_path(spark, "through")
+    rows = spark.sql("SELECT 'PJM' AS ba, timestamp'2024-01-30' + make_interval(0,0,0,0,id) AS ts_utc, cast(id AS double) AS load_mw, 'eia' AS source, cast(id div 10 AS string) AS key FROM range(100)")
+    kind = "ba string, ts_utc timestamp, load_mw double, source string, key string"
+    published.write_through(rows.where("key < '3'"), root, "2024-02-01")
+    with pytest.raises(Crash):
+        published.write_through(rows, root, "2024-02-02", after=crash_after(step))
+    seen = published.scan(spark, root, kind)
+    assert seen.count() == 30 and published.manifest(spark, root).count() == 3  # nothing of the broken batch
+    published.write_through(rows.where("key < '5'"), root, "2024-02-03")
+    published.write_through(rows, root, "2024-02-04")
+    assert published.write_through(rows, root, "2024-02-05") is None
+    got = published.scan(spark, root, kind)
+    assert sorted(r.load_mw for r in got.collect()) == [float(i) for i in range(100)]
+    assert {(r.year, r.month) for r in got.collect()} == {(2024, 1), (2024, 2)}
+    kept = published.manifest(spark, root).collect()
+    assert sorted(r.key for r in kept) == [str(i) for i in range(10)] and {r.n_rows for r in kept} == {10}
+    finished = {"data": {"2024-02-03", "2024-02-04"}, "manifest": {"2024-02-02"}}[step]  # a batch that was whole is finished
+    assert {str(r.fetched_at)[:10] for r in kept} == {"2024-02-01"} | finished
+
+
+def test_published_documents_change_at_once(spark):
+    root = scratch_path(spark, "docs")
+    points = spark.sql("SELECT ba, step, timestamp'2024-01-01' + make_interval(0,0,0,0,step) AS ts_utc, 1.0D AS lo, 2.0D AS median, 3.0D AS hi FROM range(3) t(step) CROSS JOIN (VALUES ('PJM'), ('A B')) v(ba)")
+    docs = [sinks.forecast_docs(points, m, m) for m in ("1", "2", "3")]
+    models = lambda: {r.ba: r.model for r in published.read_docs(spark, root, docs[0].schema).collect()}
+    assert published.publish_docs(docs[0].limit(0), root) is None and not published.committed(spark, root)
+    published.publish_docs(docs[0], root)
+    for step in ("by_ba", "combined"):
+        with pytest.raises(Crash):
+            published.publish_docs(docs[1], root, after=crash_after(step))
+        assert models() == {"PJM": "1", "A B": "1"}
+    published.publish_docs(docs[2].where("ba = 'PJM'"), root)  # the whole second version is finished first
+    assert models() == {"PJM": "3", "A B": "2"}
+    assert published.publish_docs(docs[0].limit(0), root) is None and models() == {"PJM": "3", "A B": "2"}
+    whole = json.loads(published.read_combined(spark, root).first()[0])
+    assert [(f["ba"], f["model"], f["horizon"]) for f in whole["forecasts"]] == [("A B", "2", 3), ("PJM", "3", 3)]
+    assert published.read_docs(spark, root, docs[0].schema, "PJM").count() == 1
+    assert len(published.committed(spark, root)) == 2
