@@ -26,18 +26,21 @@ def gen_pivot(load: DataFrame, gen: DataFrame, fuels: tuple[str, ...] = ("WND",
     return out.select(*load.columns, *(F.when(F.col(f"has_{f}"), F.col(f)).otherwise(0.0).alias(f) for f in fuels))
 
 
-def forecast_alignment(indexed: DataFrame, archived: DataFrame) -> DataFrame:
+def forecast_alignment(indexed: DataFrame, archived: DataFrame, extras: dict[str, str] | None = None) -> DataFrame:
     """Add temp_fcst, temp_anal, fcst_start and fcst_lead_hours to a filled series with temp_c.
 
     Archived rows match by exact timestamp.  Before the first match the observed temperature stands in; later gaps
-    carry the last forecast.  fcst_start is the first matched position, fcst_lead_hours the least lead.
+    carry the last forecast.  fcst_start is the first matched position, fcst_lead_hours the least lead.  ``extras`` maps
+    further channels to add (irradiance, wind) to the archive's columns: gaps carry the last value, those before the
+    first value take that one, as nothing observed stands in for them.
     """
-    side = archived.select("ba", "ts_utc", F.col("temp_c_fcst").alias("_f"), F.col("temp_c_anal").alias("_a"), F.col("lead_hours").alias("_lead"))
+    extras = extras or {}
+    side = archived.select("ba", "ts_utc", F.col("temp_c_fcst").alias("_f"), F.col("temp_c_anal").alias("_a"), F.col("lead_hours").alias("_lead"), *(F.col(c).alias(f"_x_{name}") for name, c in extras.items()))
     w, whole = Window.partitionBy("ba").orderBy("idx"), Window.partitionBy("ba")
     met = indexed.join(side, ["ba", "ts_utc"], "left")
     past = w.rowsBetween(Window.unboundedPreceding, 0)
     out = met.withColumn("fcst_start", F.min(F.when(F.col("_f").isNotNull(), F.col("idx"))).over(whole)).withColumn("fcst_lead_hours", F.min("_lead").over(whole))
-    return out.withColumn("temp_fcst", F.coalesce(F.last("_f", True).over(past), "temp_c")).withColumn("temp_anal", F.last("_a", True).over(past)).drop("_f", "_a", "_lead")
+    return out.withColumn("temp_fcst", F.coalesce(F.last("_f", True).over(past), "temp_c")).withColumn("temp_anal", F.last("_a", True).over(past)).drop("_f", "_a", "_lead").withColumns({name: F.coalesce(F.last(f"_x_{name}", True).over(past), F.first(f"_x_{name}", True).over(w.rowsBetween(0, Window.unboundedFollowing))) for name in extras}).drop(*(f"_x_{name}" for name in extras))
 
 
 def analysis_past(aligned: DataFrame, mode: str) -> DataFrame:
@@ -130,3 +133,25 @@ def future_covariate(indexed: DataFrame, origins: DataFrame, horizon: int, polic
         raise ValueError(f"unknown policy {policy}")
     asked = spread.withColumn("_at", at.cast("bigint")).select("ba", "origin", "step", "_at")
     return asked.join(indexed.select("ba", F.col("idx").cast("bigint").alias("_at"), F.col(column).alias(value)), ["ba", "_at"]).drop("_at")
+
+
+def future_channels(aligned: DataFrame, origins: DataFrame, horizon: int, channels: dict[str, str]) -> DataFrame:
+    """Rows (ba, origin, step, *channels): archived forecasts over the horizon, each output named with its column."""
+    absent = sorted(c for c in channels.values() if c not in aligned.columns)
+    if absent:
+        raise ValueError(f"no forecast channel {', '.join(absent)}")
+    side = aligned.select("ba", F.col("idx").cast("bigint").alias("_at"), *(F.col(c).alias(name) for name, c in channels.items()))
+    asked = steps(origins, horizon).withColumn("_at", F.col("idx").cast("bigint")).select("ba", "origin", "step", "_at")
+    return asked.join(side, ["ba", "_at"]).drop("_at")
+
+
+def baseline_temperature(indexed: DataFrame, origins: DataFrame, horizon: int, policy: str, source: str = "temp_fcst") -> DataFrame:
+    """Rows (ba, origin, step, temp_c): what a classical baseline sees of temperature over the horizon.
+
+    oracle, lag24 and forecast (where the channel is there) follow their policy.  All else is persistence: a baseline is
+    trained with a temperature and must be given some, so a past-only one stays at its last value.
+    """
+    if policy == "forecast" and source not in indexed.columns:
+        policy = "persistence"
+    known = policy if policy in ("oracle", "lag24", "forecast") else "persistence"
+    return future_covariate(indexed, origins, horizon, known, "temp_c", source)

@@ -174,6 +174,11 @@ def _ratio(own: str, base: str) -> str:
     return f"SELECT a.ba, {r('a.mae', 'own')}, {r('b.mae', 'baseline')}, {r('b.mae / a.mae', 'ratio')}, {r('100 * (1 - a.mae / b.mae)', 'improvement_pct')} FROM ({metric.format(own)}) a JOIN ({metric.format(base)}) b USING (ba)"
 
 
+def _masked(c: str) -> str:
+    """Secret values of a text, by one pattern."""
+    return f"""regexp_replace({c}, '((api_key|apikey|token|subscription-key|access_token|password)=)[^\\s\\x0B&"'']+', '\\1REDACTED', 'gi')"""
+
+
 def _bootstrap_sql(replicates: int, seed: int, whole: str | None = None) -> str:
     whole = whole or sql("SELECT x.ba, origin, avg(abs(y - mean)) / any_value(denom) AS err FROM SC x JOIN DE USING (ba) GROUP BY 1, 2")
     limits, total = [], 0.0
@@ -191,7 +196,7 @@ _POINTS = f"SELECT x.ba, step, I.ts_utc, q_lo AS lo, q_mid AS median, q_hi AS hi
 def oracle_sql() -> dict[str, str]:
     day = "CAST(ts_utc AS DATE)"
     out = {
-        "src_parquet_scan": sql(f"SELECT ba, {t()}, load_mw, CAST(year(ts_utc) AS INT) AS year, CAST(month(ts_utc) AS INT) AS month FROM L"),
+        "src_parquet_scan": sql(f"SELECT ba, {t()}, load_mw, CAST(year(ts_utc) AS INT) AS year, CAST(month(ts_utc) AS INT) AS month FROM D WHERE ts_utc >= TIMESTAMP '1996-11-01' AND ts_utc < TIMESTAMP '1997-03-01'"),
         "sink_partitioned_append": sql(f"SELECT CAST(year(ts_utc) AS INT) AS year, CAST(month(ts_utc) AS INT) AS month, count(*) * (CASE WHEN year(ts_utc) >= 2001 THEN 2 ELSE 1 END) AS n, {_sum('load_mw')} * (CASE WHEN year(ts_utc) >= 2001 THEN 2 ELSE 1 END) AS total FROM D GROUP BY year(ts_utc), month(ts_utc)"),
         "sink_compact_snapshot": sql("SELECT ba, CAST(2024 AS INT) AS year, CAST(1 AS INT) AS month, 2 * count(*) AS n, count(DISTINCT ts_utc) AS hours FROM L GROUP BY 1"),
         "ingest_manifest_record": sql("SELECT 'eia-930' AS source, strftime(ts_utc, '%Y-%m-%d') AS key, '2024-02-01 00:00:00' AS fetched_at, count(*) AS n_rows FROM L GROUP BY 2"),
@@ -212,7 +217,7 @@ def oracle_sql() -> dict[str, str]:
         "src_union_ragged": "SELECT CAST(c_custkey AS DOUBLE) AS key, c_name AS name, c_acctbal AS bal, NULL AS size FROM customer UNION ALL SELECT s_suppkey, s_name, NULL, NULL FROM supplier UNION ALL SELECT p_partkey + 0.5, NULL, NULL, p_size FROM part",
         "sink_forecast_docs": sql(f"SELECT ba, CASE ba WHEN 'view' THEN 'second' ELSE 'seasonal-naive' END AS model, CAST(step AS INT) AS step, strftime(ts_utc, '%Y-%m-%dT%H:%M:%SZ') AS ts_utc, {r('median', 'median_mw')} FROM ({_POINTS})"),
         "sink_forecast_csv": sql(f"SELECT ba, strftime(ts_utc, '%Y-%m-%dT%H:%M:%SZ') AS ts_utc, format('{{:.2f}}', round(median, 1)) AS median, format('{{:.2f}}', floor(lo)) AS lo, format('{{:.2f}}', floor(hi)) AS hi, '' AS temp_c FROM ({_POINTS})"),
-        "text_redact_secrets": "SELECT page_id, regexp_replace(url, '[?#].*', '') || '?api_key=REDACTED&b=1&TOKEN=REDACTED' AS url, 'GET password=REDACTED \"x\" apikey=REDACTED&c=2' AS line FROM pages",
+        "text_redact_secrets": f"SELECT 'page' AS kind, page_id AS id, regexp_replace(url, '[?#].*', '') || '?api_key=REDACTED&b=1&TOKEN=REDACTED' AS url, 'GET password=REDACTED \"x\" apikey=REDACTED&c=2' AS line, md5({_masked('html')}) AS body_md5, length({_masked('html')}) AS body_length FROM pages UNION ALL SELECT 'document', doc_id, NULL, NULL, md5({_masked('text')}), length({_masked('text')}) FROM documents",
         "schema_enforce": f"SELECT {t('h', 'ts_utc')}, event_type AS ba, value AS load_mw, 'events' AS source, {t('ts', 'as_of')} FROM (SELECT *, date_trunc('hour', ts) AS h FROM events)",
         "registry_lookup": sql(f"SELECT c.code AS ba, name, interconnect, CAST(utc_offset AS INT) AS utc_offset, CAST(peak_mw AS INT) AS peak_mw, count(*) AS n, {_sum('load_mw')} AS total FROM (SELECT ['PJM', 'CISO', 'ERCO', 'SEPA', 'NONE'][CAST(ba AS BIGINT) % 5 + 1] AS code, load_mw FROM S) c LEFT JOIN (VALUES ('PJM', 'PJM Interconnection', 'Eastern', -5, 165500), ('CISO', 'California ISO', 'Western', -8, 52000), ('ERCO', 'ERCOT', 'Texas', -6, 85500), ('SEPA', 'Southeastern Power Administration', 'Eastern', -5, NULL)) v(code, name, interconnect, utc_offset, peak_mw) ON v.code = c.code GROUP BY 1, 2, 3, 4, 5"),
         "registry_filter": sql("SELECT code, interconnect, peak_mw FROM N WHERE peak_mw > 0 AND interconnect = 'ASIA'"),
@@ -228,7 +233,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "covariate_policy": sql(_policies()),
         "nwp_spread": sql(f"SELECT ba, {t('h', 'ts_utc')}, CASE WHEN (a IS NOT NULL)::INT + (b IS NOT NULL)::INT + (c IS NOT NULL)::INT >= 2 THEN greatest(a, b, c) - least(a, b, c) END AS spread FROM (SELECT ba, date_trunc('hour', ts) AS h, max(f) FILTER (user_id % 3 = 0) AS a, max(f) FILTER (user_id % 3 = 1) AS b, max(f) FILTER (user_id % 3 = 2) AS c FROM OB GROUP BY 1, 2)"),
-        "forecast_freshness": sql("SELECT ba, round(age, 7) AS age_h, CASE WHEN age > 25 THEN 'stale' WHEN n < 20 THEN 'short' ELSE 'ok' END AS status, CAST(CASE WHEN age > 25 OR n < 20 THEN -1 ELSE 20 END AS INT) AS n_points FROM (SELECT ba, epoch(TIMESTAMP '2024-01-31' - max(ts_utc)) / 3600 AS age, least(count(*), 30) AS n FROM S GROUP BY 1)"),
+        "forecast_freshness": sql("SELECT ba, round(age, 7) AS age_h, CASE WHEN age > 25 THEN 'stale' WHEN n < 20 THEN 'short' ELSE 'ok' END AS status, CAST(CASE WHEN age > 25 OR n < 20 THEN -1 ELSE 20 END AS INT) AS n_points FROM (SELECT ba, epoch(TIMESTAMP '2024-01-31' - max(ts_utc)) / 3600 AS age, count(*) AS n FROM S GROUP BY 1)"),
         "temp_kind": sql("SELECT CAST(user_id AS VARCHAR) AS ba, CASE WHEN user_id % 4 = 1 THEN 'absent' WHEN user_id % 4 = 0 OR max(f) - min(f) < 1 THEN 'constant' ELSE 'varying' END AS kind FROM OB GROUP BY user_id"),
         "date_windows": sql(
             f"SELECT ba, 'days' AS kind, {t('s', 'w_start')}, {t('least(s + INTERVAL 28 DAY, e)', 'w_end')} FROM (SELECT ba, e, unnest(generate_series(a, e - INTERVAL 1 SECOND, INTERVAL 28 DAY)) AS s FROM (SELECT ba, min(ts_utc) AS a, max(ts_utc) AS e FROM D GROUP BY 1)) UNION ALL SELECT ba, 'years', {t('greatest(y, a)', 'w_start')}, {t('least(y + INTERVAL 1 YEAR, e)', 'w_end')} FROM (SELECT ba, a, e, unnest(generate_series(CAST(date_trunc('year', a) AS TIMESTAMP), e - INTERVAL 1 SECOND, INTERVAL 1 YEAR)) AS y FROM (SELECT ba, min(ts_utc) AS a, max(ts_utc) AS e FROM D GROUP BY 1))"
@@ -295,10 +300,14 @@ def oracle_sql() -> dict[str, str]:
         ),
         "win_future_persistence": sql(_future("greatest(0, q.origin - 1)", "temp_c", "temp_c").replace("q.step,", "CAST(q.step AS INT) AS step,")),
         "win_future_lag24": sql(_future("greatest(0, least(q.n - 1, q.origin - 24 + q.step % 24))", "temp_c", "temp_c", 30, "O30").replace("q.step,", "CAST(q.step AS INT) AS step,", 1), O30=_origins(h=30)),
-        "win_future_forecast": sql(_future("q.idx", "temp_fcst", "temp_c").replace("q.step,", "CAST(q.step AS INT) AS step,")),
+        "win_future_forecast": sql(
+            f"SELECT o.ba, o.origin, CAST(s.step AS INT) AS step, {r('a.temp_fcst', 'temp_c')}, {r('x.rad', 'rad_fcst')}, {r('x.wind', 'wind_fcst')} FROM O0 o CROSS JOIN (SELECT unnest(range(24)) AS step) s JOIN AL a ON a.ba = o.ba AND a.idx = o.origin + s.step JOIN XF x ON x.ba = o.ba AND x.idx = o.origin + s.step",
+            XA="SELECT TI.ba, TI.idx, TI.ts_utc, 3 * (AR.temp_c_fcst - 0.5) + 100 AS rad, CASE WHEN hour(TI.ts_utc) % 5 <> 0 THEN (AR.temp_c_fcst - 0.5) / 2 + 4 END AS wind FROM TI LEFT JOIN AR ON TI.ba = AR.ba AND TI.ts_utc = AR.ts_utc",
+            XF="SELECT ba, idx, coalesce(last_value(rad IGNORE NULLS) OVER p, first_value(rad IGNORE NULLS) OVER f) AS rad, coalesce(last_value(wind IGNORE NULLS) OVER p, first_value(wind IGNORE NULLS) OVER f) AS wind FROM XA WINDOW p AS (PARTITION BY ba ORDER BY idx ROWS UNBOUNDED PRECEDING), f AS (PARTITION BY ba ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)",
+        ),
         "win_future_oracle": sql(_future("q.idx", "temp_c", "temp_c").replace("q.step,", "CAST(q.step AS INT) AS step,")),
         "win_lead_guard": sql("SELECT ba, CAST(min(fcst_lead_hours) AS INT) AS fcst_lead_hours, CAST(min(fcst_lead_hours) AS INT) AS longest_horizon FROM AL GROUP BY 1"),
-        "win_temp_for_baseline": sql(_future("greatest(0, q.origin - 1)", "temp_c", "temp_c", extra=", 'none' AS policy").replace("q.step,", "CAST(q.step AS INT) AS step,") + " UNION ALL " + _future("greatest(0, least(q.n - 1, q.origin - 24 + q.step % 24))", "temp_c", "temp_c", extra=", 'lag24' AS policy").replace("q.step,", "CAST(q.step AS INT) AS step,", 1)),
+        "win_temp_for_baseline": sql(" UNION ALL ".join(_future(at, c, "temp_c", extra=f", '{p}' AS policy").replace("q.step,", "CAST(q.step AS INT) AS step,", 1) for p, at, c in (("past_only", "greatest(0, q.origin - 1)", "temp_c"), ("persistence", "greatest(0, q.origin - 1)", "temp_c"), ("lag24", "greatest(0, least(q.n - 1, q.origin - 24 + q.step % 24))", "temp_c"), ("forecast", "q.idx", "temp_fcst"), ("oracle", "q.idx", "temp_c")))),
         "win_flatline_runs": sql("SELECT ba, max(n) AS longest, max(n) >= 8 AS flat FROM (SELECT ba, g, count(*) AS n FROM (SELECT ba, k - row_number() OVER (PARTITION BY ba, v ORDER BY k) AS g, v FROM (SELECT ba, floor(load_mw / 100) AS v, row_number() OVER (PARTITION BY ba ORDER BY ts_utc) AS k FROM S)) GROUP BY ba, v, g) GROUP BY 1"),
         "win_peak_week": sql(
             "SELECT CAST(w AS INT) AS week, peak FROM (SELECT w, max(v) FILTER (ba = '1-URGENT') AS peak FROM Z WHERE w * 24 < (SELECT max(rel) + 1 FROM R2 WHERE ba = '1-URGENT') - 168 GROUP BY w HAVING count(*) = 168 * (SELECT count(DISTINCT ba) FROM D) AND min(v) FILTER (ba = '5-LOW') >= 0) ORDER BY peak DESC, w LIMIT 1",
@@ -316,7 +325,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "sort_ba_grid": sql("SELECT code, peak_mw FROM N"),
         "set_common_timestamps": sql(f"SELECT {t('q.ts_utc')} FROM (SELECT ts_utc FROM L WHERE ba = 'click' INTERSECT SELECT ts_utc FROM L WHERE ba = 'error') q"),
-        "set_missing_columns": sql("SELECT ba FROM S GROUP BY 1 HAVING max(ts_utc) < TIMESTAMP '2024-01-29'"),
+        "set_missing_columns": sql(f"SELECT x.ba, {t('x.ts_utc')}, f.fuel FROM (SELECT DISTINCT ba, ts_utc FROM G) x CROSS JOIN (VALUES ('WND'), ('SUN'), ('OTH')) f(fuel) ANTI JOIN G ON G.ba = x.ba AND G.ts_utc = x.ts_utc AND G.fuel = f.fuel"),
         "set_union_sources": sql(f"SELECT ba, {t()}, load_mw FROM L"),
         "job_feature_table": sql(
             "SELECT x.ba, CAST(x.idx AS INT) AS idx, x.y AS load_mw, round(CASE WHEN x.idx >= fcst_start THEN coalesce(temp_anal, AL.temp_c) ELSE AL.temp_c END, 7) AS temp_c, round(coalesce(wnd, 0), 7) AS wnd, round(coalesce(sun, 0), 7) AS sun, round(temp_fcst, 7) AS temp_fcst, CAST(isodow(x.ts_utc) >= 6 AS INT) AS is_weekend, CAST(CAST(x.ts_utc AS DATE) IN (SELECT day FROM HOL) AS INT) AS is_holiday, nbr1, nbr2 FROM I x JOIN AL ON AL.ba = x.ba AND AL.idx = x.idx LEFT JOIN GF ON GF.ba = x.ba AND GF.idx = x.idx JOIN NB ON NB.ba = x.ba AND NB.ts_utc = x.ts_utc",

@@ -5,6 +5,8 @@ Times are returned as text and derived doubles rounded to seven decimals, so tha
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,8 +77,9 @@ def landed(spark: SparkSession, rows: DataFrame, what: str, text_: bool = True)
 @query
 def src_parquet_scan(spark, d):
     path = scratch_path(spark, "load")
-    store.append(A.load_hourly(spark, d), path)
-    return store.scan(spark, path, LOAD).where(live.in_months(F.lit("2024-01-01").cast("timestamp"), F.lit("2024-01-20").cast("timestamp"))).select("ba", t(), "load_mw", "year", "month")
+    store.append(A.daily_orders(spark, d), path)
+    few = store.scan(spark, path, LOAD).where(live.in_months(F.lit("1996-11-01").cast("timestamp"), F.lit("1997-02-01").cast("timestamp")))
+    return few.select("ba", t(), "load_mw", "year", "month")
 
 
 @query
@@ -298,7 +301,9 @@ def text_redact_secrets(spark, d):
     docs = A.table(spark, d, "pages")
     url = F.concat(F.regexp_replace("url", r"[?#].*", ""), F.lit("?api_key=k"), "page_id", F.lit("&b=1&TOKEN=t"), "page_id")
     line = F.concat(F.lit("GET "), F.lit("password=p"), "page_id", F.lit(' "x" apikey=z&c=2'))
-    return docs.select("page_id", text.redact_url(url).alias("url"), text.redact_text(line).alias("line"))
+    made = docs.select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), text.redact_url(url).alias("url"), text.redact_text(line).alias("line"), text.redact_text(F.col("html")).alias("body"))
+    texts = A.table(spark, d, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("line"), text.redact_text(F.col("text")).alias("body"))
+    return made.unionByName(texts).select("kind", "id", "url", "line", F.md5("body").alias("body_md5"), F.length("body").cast("long").alias("body_length"))
 
 
 # --- projections and scalar functions ------------------------------------------------------------------------------
@@ -378,7 +383,7 @@ def nwp_spread(spark, d):
 
 @query
 def forecast_freshness(spark, d):
-    rows = A.load_by_user(spark, d).groupBy("ba").agg(F.max("ts_utc").alias("as_of_utc"), F.slice(F.sort_array(F.collect_list("load_mw")), 1, 30).alias("points"))
+    rows = A.load_by_user(spark, d).groupBy("ba").agg(F.max("ts_utc").alias("as_of_utc"), F.sort_array(F.collect_list(F.struct("ts_utc", "load_mw"))).alias("points"))
     out = live.freshness(rows, "2024-01-31 00:00:00", 20)
     return out.select("ba", r("age_h"), "status", F.coalesce(F.size("points"), F.lit(-1)).alias("n_points"))
 
@@ -722,7 +727,10 @@ def win_future_lag24(spark, d):
 
 @query
 def win_future_forecast(spark, d):
-    return _future(spark, d, "forecast", source="temp_fcst")
+    rows = joins.forecast_alignment(temperatures(spark, d), A.archived(spark, d), {"rad_fcst": "rad_wm2_fcst", "wind_fcst": "wind100_fcst"})
+    origins = series.rolling_origins(series.split_bounds(rows, *A.SPLITS))
+    out = joins.future_channels(rows, origins, 24, {"temp_c": "temp_fcst", "rad_fcst": "rad_fcst", "wind_fcst": "wind_fcst"})
+    return out.select("ba", "origin", "step", r("temp_c"), r("rad_fcst"), r("wind_fcst"))
 
 
 @query
@@ -739,8 +747,10 @@ def win_lead_guard(spark, d):
 
 @query
 def win_temp_for_baseline(spark, d):
-    a = _future(spark, d, "persistence").withColumn("policy", F.lit("none"))
-    return a.unionByName(_future(spark, d, "lag24").withColumn("policy", F.lit("lag24")))
+    rows = stored(aligned(spark, d), "aligned")
+    origins = stored(series.rolling_origins(series.split_bounds(rows, *A.SPLITS)), "origins")
+    out = [joins.baseline_temperature(rows, origins, 24, p).withColumn("policy", F.lit(p)) for p in ("past_only", "persistence", "lag24", "forecast", "oracle")]
+    return functools.reduce(DataFrame.unionByName, out).select("ba", "origin", "step", r("temp_c"), "policy")
 
 
 @query
@@ -799,9 +809,9 @@ def set_common_timestamps(spark, d):
 
 @query
 def set_missing_columns(spark, d):
-    want = A.load_by_user(spark, d).select("ba").distinct()
-    have = A.load_by_user(spark, d).where("ts_utc >= timestamp'2024-01-29'").select("ba").distinct()
-    return want.exceptAll(have)
+    made = A.generation(spark, d).select("ba", "ts_utc", "fuel").distinct()
+    declared = made.select("ba", "ts_utc").distinct().select("*", F.explode(F.array(*map(F.lit, ("WND", "SUN", "OTH")))).alias("fuel"))
+    return declared.exceptAll(made).select("ba", t(), "fuel")
 
 
 @query
