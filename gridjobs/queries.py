@@ -16,7 +16,7 @@ from .functions import calendar
 from .operators import blocks, conformal, joins, live, metrics, peers, series
 from .plans import audit, jobs, regression
 from .session import scratch_path, stored
-from .sources import payloads, published, sinks, store, text
+from .sources import archives, payloads, published, sinks, store, text
 from .streaming import jobs as streams
 from .streaming import progress
 
@@ -193,26 +193,20 @@ def src_asos_csv(spark, d):
 
 @query
 def src_zip_csv(spark, d):
-    import io
-    import zipfile
-
+    """An archive for each series and day is written, and all are read back."""
     import pandas as pd
 
+    root = scratch_path(spark, "archives")
+
     def pack(batches):
         for b in batches:
-            out = []
-            for ba, body in zip(b["ba"], b["body"]):
-                f = io.BytesIO()
-                with zipfile.ZipFile(f, "w") as z:
-                    z.writestr("a.csv", "ts,node,lmp\n" + body)
-                    z.writestr("readme.txt", "not data")
-                    z.writestr("blank.csv", " ")
-                out.append(f.getvalue())
-            yield pd.DataFrame({"path": b["ba"], "content": out})
-
-    days = A.load_hourly(spark, d).groupBy(F.concat_ws("/", "ba", F.to_date("ts_utc")).alias("ba")).agg(F.concat_ws("\n", F.sort_array(F.collect_list(F.concat_ws(",", F.date_format("ts_utc", "yyyy-MM-dd HH:mm:ss"), "ba", F.format_string("%.2f", "load_mw"))))).alias("body"))
-    files = days.mapInPandas(pack, "path string, content binary")
-    rows = payloads.unzip_csv(files).select("path", F.from_json("row", "ts string, node string, lmp string").alias("x"))
+            for name, body in zip(b["name"], b["body"]):
+                archives.write_archive(f"{root}/{name}.zip", {"a.csv": "ts,node,lmp\n" + body, "readme.txt": "not data", "blank.csv": " "})
+            yield pd.DataFrame({"name": b["name"]})
+
+    days = A.load_hourly(spark, d).groupBy(F.concat_ws("/", "ba", F.to_date("ts_utc")).alias("name")).agg(F.concat_ws("\n", F.sort_array(F.collect_list(F.concat_ws(",", F.date_format("ts_utc", "yyyy-MM-dd HH:mm:ss"), "ba", F.format_string("%.2f", "load_mw"))))).alias("body"))
+    days.mapInPandas(pack, "name string").write.format("noop").mode("overwrite").save()
+    rows = archives.read_zip_csv(spark, root, 5).select(F.regexp_replace("path", r"^.*/([^/]+/[^/]+)[.]zip$", "$1").alias("path"), F.from_json("row", "ts string, node string, lmp string").alias("x"))
     return rows.select("path", F.col("x.ts").alias("ts"), F.col("x.lmp").cast("double").alias("lmp"))
 
 

@@ -1,22 +1,16 @@
-"""Raw payloads to rows: JSON pages, parallel arrays, CSV, zip, HTML and GRIB indexes.
+"""Raw payloads to rows: JSON pages, parallel arrays, CSV, HTML and GRIB indexes.
 
-Each reader takes a frame of raw text (column ``value``, one payload or line a row, as ``spark.read.text`` gives) or of
-files (``path``, ``content``, as ``binaryFile`` gives), so that many payloads are parsed in parallel.
+Each reader takes a frame of raw text (column ``value``, one payload or line a row, as ``spark.read.text`` gives), so that
+many payloads are parsed in parallel.  Zip archives have a data source of their own, in ``archives``.
 """
 
 from __future__ import annotations
 
-import io
-import json
-import zipfile
-from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ZIP_MEMBERS, ZIP_BYTES = 64, 256 << 20
 
 
 def eia_load(pages: DataFrame) -> DataFrame:
@@ -72,35 +66,6 @@ def hourly_mean(rows: DataFrame, ts: str, value: str, keys: list[str]) -> DataFr
     return rows.groupBy(*keys, F.date_trunc("hour", F.col(ts)).alias("ts_utc")).agg(F.avg(value).alias(value))
 
 
-def unzip_csv(files: DataFrame) -> DataFrame:
-    """Files (path, content) to rows (path, member, row json): the CSV members' lines as JSON objects.
-
-    Other members and blank ones are skipped; too many members, too large ones and names that leave the archive are errors.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    infos = z.infolist()
-                    if len(infos) > ZIP_MEMBERS or sum(i.file_size for i in infos) > ZIP_BYTES:
-                        raise ValueError(f"{path}: too many or too large members")
-                    for i in infos:
-                        parts = i.filename.replace("\\", "/").split("/")
-                        if i.filename.startswith("/") or ".." in parts:
-                            raise ValueError(f"{path}: unsafe member name {i.filename}")
-                        if not i.filename.lower().endswith(".csv"):
-                            continue
-                        body = z.read(i)
-                        if not body.strip():
-                            continue
-                        for part in pd.read_csv(io.BytesIO(body), dtype=str, chunksize=20_000, keep_default_na=False):
-                            if len(part):
-                                yield pd.DataFrame({"path": path, "member": i.filename, "row": [json.dumps(r) for r in part.to_dict("records")]})
-
-    return files.select("path", "content").mapInPandas(run, "path string, member string, row string")
-
-
 def doc_catalog(pages: DataFrame, csv_only: bool = True, since: str | None = None, limit: int | None = None) -> DataFrame:
     """A catalog's documents, newest first: (doc_id, friendly_name, constructed_name, extension, publish_date, ...)."""
     doc = "DocID: string, FriendlyName: string, ConstructedName: string, Extension: string, PublishDate: string, ReportName: string, ReportTypeID: string, ContentSize: string"

@@ -1,13 +1,12 @@
-import io
 import json
-import zipfile
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from gridjobs import registry, schemas
 from gridjobs.session import scratch_path
-from gridjobs.sources import payloads, published, sinks, store, text
+from gridjobs.sources import archives, payloads, published, sinks, store, text
 
 LOAD = "ts_utc timestamp, ba string, load_mw double"
 
@@ -103,26 +102,31 @@ def test_asos_nulls_and_means(spark):
     assert {str(r.ts_utc)[11:13]: r.temp_c for r in payloads.asos_hourly(lines).collect()} == {"00": 5.0, "01": None, "02": None}
 
 
-def zipped(members):
-    f = io.BytesIO()
-    with zipfile.ZipFile(f, "w") as z:
-        for name, body in members.items():
-            z.writestr(name, body)
-    return f.getvalue()
+def test_zip_members(spark, tmp_path):
+    def rows(members, chunk=1):
+        archives.write_archive(f"{tmp_path}/{len(os.listdir(tmp_path))}/in/p.zip", members)
+        return archives.read_zip_csv(spark, f"file:{tmp_path}/{len(os.listdir(tmp_path)) - 1}", chunk)
 
-
-def test_zip_members(spark):
-    def rows(content):
-        return payloads.unzip_csv(spark.createDataFrame([("p", bytearray(content))], "path string, content binary")).collect()
-
-    got = rows(zipped({"prices.CSV": "when,hub,usd\n1999-12-31,west,7\n1999-12-31,east,", "notes.md": "no table", "empty.csv": "\n\n", "bare.csv": "when,hub,usd"}))
-    assert [(r.member, json.loads(r.row)) for r in got] == [("prices.CSV", {"when": "1999-12-31", "hub": hub, "usd": usd}) for hub, usd in (("west", "7"), ("east", ""))]
+    got = rows({"prices.CSV": "when,hub,usd\n1999-12-31,west,7\n1999-12-31,east,", "notes.md": "no table", "empty.csv": "\n\n", "bare.csv": "when,hub,usd", "deep/more.csv": 'a\n"x\ny"'})
+    assert got.rdd.getNumPartitions() == 4  # a partition a CSV member
+    assert [(r.member, json.loads(r.row)) for r in got.collect()] == [("prices.CSV", {"when": "1999-12-31", "hub": hub, "usd": usd}) for hub, usd in (("west", "7"), ("east", ""))] + [("deep/more.csv", {"a": "x\ny"})]
+    assert all(r.path.startswith(f"file:{tmp_path}") and r.path.endswith("/in/p.zip") for r in got.collect())
     catalog = spark.sql("SELECT 'p' AS doc_id, timestamp'2000-01-01' AS publish_date UNION ALL SELECT 'q', timestamp'2000-01-02'")
-    frame = spark.createDataFrame(got, "path string, member string, row string")
+    frame = got.where("member = 'prices.CSV'").withColumn("path", F.lit("p"))
     assert {(r.doc_id, str(r.publish_date)) for r in payloads.report_rows(frame, catalog).collect()} == {("p", "2000-01-01 00:00:00")}
     for bad in ({"../a.csv": "x"}, {"/a.csv": "x"}, {f"{i}.csv": "a\n1" for i in range(65)}):
         with pytest.raises(Exception, match="unsafe|too many"):
-            rows(zipped(bad))
+            rows(bad).collect()
+    os.mkdir(tmp_path / "none")
+    assert archives.read_zip_csv(spark, f"{tmp_path}/none").collect() == []
+
+
+def test_a_member_is_read_by_chunks(tmp_path):
+    archives.write_archive(f"{tmp_path}/x.zip", {"a.csv": "n\n" + "\n".join(map(str, range(1000)))})
+    reader = archives.ZipCsvReader(str(tmp_path), 64)
+    (part,) = reader.partitions()
+    batches = list(reader.read(part))
+    assert max(b.num_rows for b in batches) == 64 and sum(b.num_rows for b in batches) == 1000
 
 
 def test_catalog(spark):
