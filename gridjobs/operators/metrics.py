@@ -7,7 +7,10 @@ the mean.  Macro figures are unweighted means of per-series figures, never poole
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -123,6 +126,45 @@ def bootstrap_ci(errors: DataFrame, replicates: int = 2000, seed: int = 0, level
     return _interval(means.where("mean IS NOT NULL"), level)
 
 
+def exact_draws(errors: DataFrame, replicates: int = 2000, seed: int = 0, block: int = 4096, most_blocks: int = 10_000) -> DataFrame:
+    """Rows (b, draws, mean): for each replicate exactly n draws with replacement from the n pooled windows.
+
+    Windows are dealt to blocks by hash.  A replicate's n draws are parted over the blocks by a multinomial (binomial
+    steps, one block after another) and then, in each block's task, over its windows.  The sizes of at most
+    ``most_blocks`` blocks are all that the driver sees; a block's task holds its windows and a count a replicate.
+    """
+    rows = errors.where("err IS NOT NULL").select("ba", F.col("origin").cast("bigint").alias("origin"), F.col("err").cast("double").alias("err"))
+    n = rows.count()
+    blocks = max(1, min(most_blocks, -(-n // block)))
+    rows = stored(rows.withColumn("block", F.pmod(F.xxhash64("ba", "origin"), F.lit(blocks))), "windows")
+    sizes = np.zeros(blocks, np.int64)
+    for r in rows.groupBy("block").count().collect():
+        sizes[r["block"]] = r["count"]
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in batch.column(0).to_pylist():
+                m = np.random.default_rng([seed, b]).multinomial(n, sizes / max(n, 1))
+                some = np.flatnonzero(m)
+                yield pa.RecordBatch.from_pydict({"b": np.full(len(some), b), "block": some, "m": m[some]})
+
+    def draw(key: tuple, windows: pa.Table, parts: pa.Table) -> pa.Table:
+        err = windows.sort_by([("ba", "ascending"), ("origin", "ascending")]).column("err").to_numpy()
+        bs, ms = parts.column("b").to_numpy(), parts.column("m").to_numpy()
+        sums = [err[np.random.default_rng([seed, b, key[0].as_py()]).integers(0, len(err), m)].sum() for b, m in zip(bs.tolist(), ms.tolist())]
+        return pa.table({"b": pa.array(bs, pa.int64()), "draws": pa.array(ms, pa.int64()), "total": pa.array(sums, pa.float64())})
+
+    spark = errors.sparkSession
+    parts = spark.range(replicates if n else 0).mapInArrow(part, "b long, block long, m long")
+    drawn = rows.groupBy("block").cogroup(parts.groupBy("block")).applyInArrow(draw, "b long, draws long, total double")
+    return drawn.groupBy("b").agg(F.sum("draws").alias("draws"), (F.sum("total") / F.sum("draws")).alias("mean"))
+
+
+def bootstrap_ci_exact(errors: DataFrame, replicates: int = 2000, seed: int = 0, level: float = 0.95) -> DataFrame:
+    """(lo, hi, replicates): percentile interval of the mean, each replicate of exactly as many draws as windows."""
+    return _interval(exact_draws(errors, replicates, seed), level)
+
+
 def _interval(means: DataFrame, level: float) -> DataFrame:
     return means.agg(F.percentile("mean", (1 - level) / 2).alias("lo"), F.percentile("mean", (1 + level) / 2).alias("hi"), F.count("*").alias("replicates"))
 

@@ -597,6 +597,12 @@ def agg_bootstrap_ci_seeded(spark, d):
     return metrics.bootstrap_ci(metrics.window_errors(rows, denom), 500, 11).select(r("lo"), r("hi"), "replicates")
 
 
+@query
+def agg_bootstrap_ci_exact(spark, d):
+    rows, denom, _, _ = scored(spark, d)
+    return metrics.bootstrap_ci_exact(metrics.window_errors(rows, denom), 500, 3).select(r("lo"), r("hi"), "replicates")
+
+
 @query
 def agg_conformal_delta(spark, d):
     indexed, meta, denom = prepared(spark, d)

@@ -99,3 +99,17 @@ def test_current_load_reads_back_until_enough_hours_are_covered(spark):
     got = [r.total_mw for r in live.current_load(df, 3, 2).collect()]
     assert got == [2 * (100.0 + h) for h in (557, 558, 559)]
     assert live.current_load(df, 1000, 2).count() == 509 and live.current_load(df.limit(0), 5, 1).collect() == []
+
+
+def test_exact_bootstrap_draws_n_of_n(spark):
+    rng = np.random.default_rng(9)
+    err = rng.gamma(2.0, size=3000)
+    rows = spark.createDataFrame([("A" if i % 2 else "B", i, float(x)) for i, x in enumerate(err)] + [("A", 9999, None)], "ba string, origin int, err double")
+    drawn = metrics.exact_draws(rows, 400, 5, block=256)
+    got = [(r.b, r.draws, r.mean) for r in drawn.collect()]
+    assert sorted(b for b, _, _ in got) == list(range(400)) and {n for _, n, _ in got} == {3000}
+    assert sorted(got) == sorted((r.b, r.draws, r.mean) for r in metrics.exact_draws(rows.repartition(5), 400, 5, block=256).collect())
+    whole = np.quantile([err[rng.integers(0, 3000, 3000)].mean() for _ in range(4000)], [0.025, 0.975])
+    ci = metrics.bootstrap_ci_exact(rows, 2000, 1).first()
+    assert (ci.lo, ci.hi, ci.replicates) == (pytest.approx(whole[0], rel=0.01), pytest.approx(whole[1], rel=0.01), 2000)
+    assert metrics.bootstrap_ci_exact(rows.limit(0), 10).first().replicates == 0
