@@ -1,9 +1,11 @@
 """Subword-lattice language model: a text's probability summed over all segmentations.
 
 The pieces are those of an existing subword vocabulary file; no tokenizer is trained.  A piece's weight in a class of
-documents (a language; rows without one are a class too) is its count over all training tokens, each word segmented once by
-that vocabulary, smoothed by the vocabulary's own scores.  A word's probability is the sum over all its segmentations,
-by a forward recursion in log space; characters that no piece covers are spelled in byte pieces.  A text's ``score`` is
+documents (a language; the rarest beyond ``MOST_CLASSES`` and rows without one share a class) is its expected count over all
+training tokens, smoothed by the vocabulary's own scores.  Expectations go over all segmentations of a word, by forward and
+backward recursions (the E-step of EM): a few rounds over the most frequent words, from the vocabulary's scores, give the
+weights under which one pass over all words counts.  A word's probability is the sum over all its segmentations, by
+a forward recursion in log space; characters that no piece covers are spelled in byte pieces.  A text's ``score`` is
 the lattice's alone: the sum over classes of the class's share times the product of its tokens' marginals, the class
 being unknown to it.
 
@@ -35,6 +37,8 @@ from pyspark.sql import functions as F
 from .common import drop_table, load, materialize, release
 
 FREQUENT, TABLE = 1 << 16, 1 << 20
+#: Classes with weights of their own; rounds of EM, over so many of the most frequent words, before the pass over all.
+MOST_CLASSES, ROUNDS, START_WORDS = 64, 3, 1 << 16
 #: Shares of the class's frequencies, the corpus's frequencies and the lattice in a token's probability.
 MIX = (0.8, 0.1, 0.1)
 END = ""  # no word is empty, so this stands for the end token
@@ -69,26 +73,64 @@ class Lattice:
             for m in range(1, len(p)):
                 self.index.setdefault(p[:m], 0)
         self.bytes = {int(pieces[i][3:5], 16): i + 1 for i in np.flatnonzero(byte)}
-        self.longest = max(map(len, self.index))
+        self.longest, self.pieces, self.spelled = max(map(len, self.index)), len(pieces), {}
 
     def _spelled(self, char: str) -> int:
         row = self.rows[[self.bytes[b] for b in char.encode()]].sum(0)
         self.rows = np.concatenate([self.rows, row[None]])
         self.index[char] = len(self.rows) - 1
+        self.spelled[len(self.rows) - 1] = char
         return len(self.rows) - 1
 
-    def log10(self, words: list[str]) -> np.ndarray:
-        out, by_length = np.empty((len(words), self.rows.shape[1])), {}
+    @staticmethod
+    def _groups(words: list[str]) -> Iterator[tuple[int, list[int]]]:
+        """(characters with the word mark, places) of words of one length, not too many at once."""
+        by_length: dict[int, list[int]] = {}
         for i, w in enumerate(words):
             by_length.setdefault(len(w) + 1, []).append(i)
         for n, own in by_length.items():
             per = max(1, 1 << 15 >> max(0, n.bit_length() - 1))
             for at in range(0, len(own), per):
-                some = own[at : at + per]
-                out[some] = self._forward([words[i] for i in some], n)
+                yield n, own[at : at + per]
+
+    def log10(self, words: list[str]) -> np.ndarray:
+        out = np.empty((len(words), self.rows.shape[1]))
+        for n, some in self._groups(words):
+            ids = self._edges([words[i] for i in some], n)
+            out[some] = self._forward(ids)[n]
         return out / math.log(10)
 
-    def _forward(self, words: list[str], n: int) -> np.ndarray:
+    def expected(self, words: list[str], counts: np.ndarray) -> np.ndarray:
+        """(pieces, classes): expected counts of the pieces in ``words``, each as often as ``counts`` (words, classes) says.
+
+        Segmentations are weighted by the first class of this lattice.
+        """
+        total = np.zeros((len(self.rows), counts.shape[1]))
+        for n, some in self._groups(words):
+            ids = self._edges([words[i] for i in some], n)
+            weight, alpha = self.rows[:, 0], self._forward(ids, 1)[:, :, 0]
+            used, beta = ids.any(2), np.full((n + 1, len(some)), -np.inf)
+            beta[n] = 0
+            at, share = [], []
+            for s in range(n - 1, -1, -1):
+                for m in range(min(len(ids), n - s)):
+                    if used[m, s]:
+                        through = weight[ids[m, s]] + beta[s + m + 1]
+                        beta[s] = np.logaddexp(beta[s], through)
+                        at.append(ids[m, s])
+                        share.append(np.exp(alpha[s] + through - alpha[n]))
+            at, share, own = np.concatenate(at), np.stack(share), counts[some]
+            if len(self.rows) > len(total):
+                total = np.concatenate([total, np.zeros((len(self.rows) - len(total), total.shape[1]))])
+            for k in range(total.shape[1]):
+                total[:, k] += np.bincount(at, (share * own[:, k]).ravel(), len(total))
+        for row, char in self.spelled.items():
+            for b in char.encode():
+                total[self.bytes[b]] += total[row]
+        return total[1 : self.pieces + 1]
+
+    def _edges(self, words: list[str], n: int) -> np.ndarray:
+        """Rows of the pieces by [length - 1, start, word], 0 where there is none."""
         longest, get = min(self.longest, n), self.index.get
         ids = np.zeros((longest, n, len(words)), np.int32)  # [length - 1, start, word]
         for k, w in enumerate(words):
@@ -101,18 +143,36 @@ class Lattice:
                     if j is None:
                         break
                     ids[m - 1, i, k] = j
-        used = ids.any(2)
-        alpha = np.full((n + 1, len(words), self.rows.shape[1]), -np.inf)
+        return ids
+
+    def _forward(self, ids: np.ndarray, classes: int | None = None) -> np.ndarray:
+        """Log-probabilities of all segmentations of the first e characters, by [e, word, class]."""
+        longest, n, words = ids.shape
+        used, rows = ids.any(2), self.rows[:, :classes]
+        alpha = np.full((n + 1, words, rows.shape[1]), -np.inf)
         alpha[0] = 0
         for e in range(1, n + 1):
             for m in range(1, min(longest, e) + 1):
                 if used[m - 1, e - m]:
-                    alpha[e] = np.logaddexp(alpha[e], alpha[e - m] + self.rows[ids[m - 1, e - m]])
-        return alpha[n]
+                    alpha[e] = np.logaddexp(alpha[e], alpha[e - m] + rows[ids[m - 1, e - m]])
+        return alpha
+
+
+def fit_frequent(path: str, words: list[str], counts: np.ndarray, ends: float, rounds: int = ROUNDS) -> np.ndarray:
+    """(pieces, 1): weights by ``rounds`` of EM over these words, from the vocabulary's scores; the end token is left out."""
+    own = [i for i, w in enumerate(words) if w != END]
+    words, counts = [words[i] for i in own], counts[own].reshape(-1, 1).astype(float)
+    lattice = Lattice(path, np.zeros((1, 1)), np.zeros(1))
+    pieces = np.zeros((lattice.pieces, 1))
+    for _ in range(rounds if words else 0):
+        pieces = lattice.expected(words, counts)
+        lattice = Lattice(path, pieces, np.array([float(ends)]))
+    return pieces
 
 
 def _classes(train: DataFrame) -> list[str]:
-    return sorted(r["class"] for r in train.where("class IS NOT NULL").select("class").distinct().collect())
+    found = train.where("class IS NOT NULL").groupBy("class").count().orderBy(F.desc("count"), "class").limit(MOST_CLASSES)
+    return sorted(r["class"] for r in found.collect())
 
 
 def word_counts(train: DataFrame, classes: list[str]) -> DataFrame:
@@ -143,22 +203,19 @@ def word_counts(train: DataFrame, classes: list[str]) -> DataFrame:
     return found.groupBy("word").agg(*(F.sum(F.when(F.col("k") == k, F.col("n")).otherwise(0)).alias(f"c{k}") for k in range(last + 1)))
 
 
-def piece_counts(counts: DataFrame, path: str, n: int) -> np.ndarray:
-    """Weights by piece and class, in the last row the words' own; not more rows than the vocabulary has reach the driver."""
+def piece_counts(counts: DataFrame, path: str, n: int, start: np.ndarray, ends: float) -> np.ndarray:
+    """Expected counts by piece and class under the weights ``start``, over all words; in the last row the words' own.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from sentencepiece import SentencePieceProcessor
+    Not more rows than the vocabulary has reach the driver.
+    """
+    shared = counts.sparkSession.sparkContext.broadcast(start)
 
-        sp = SentencePieceProcessor(model_file=path)
-        total = np.zeros((sp.get_piece_size() + 1, n))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice = Lattice(path, shared.value, np.array([ends]))
+        total = np.zeros((lattice.pieces + 1, n))
         for batch in batches:
-            words = batch.column(0).to_pylist()
             c = np.stack([batch.column(1 + k).to_numpy() for k in range(n)], 1).astype(float)
-            ids = sp.encode(words)
-            each = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
-            flat = np.fromiter((i for x in ids for i in x), np.int64, len(each))
-            for k in range(n):
-                total[:, k] += np.bincount(flat, c[each, k], len(total))
+            total[:-1] += lattice.expected(batch.column(0).to_pylist(), c)
             total[-1] += c.sum(0)
         some = np.flatnonzero(total.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(total[some, k]) for k in range(n))], names=["piece", *(f"c{k}" for k in range(n))])
@@ -266,12 +323,14 @@ def score(docs: DataFrame, held_out, vocabulary: str, id_col: str = "doc_id", te
     sizes = np.array([total[c] for c in cs], float)
     ends = counts.where(F.col("word") == END).select(*cs).first()
     ends = np.array([*ends], float) if ends else np.zeros(n)
-    pieces = piece_counts(counts, vocabulary, n)
-    parts = (vocabulary, pieces[:-1], ends * pieces[-1] / np.maximum(sizes - ends, 1), sizes, total["v"])
-    model = TokenModel(*parts)
-    top = counts.orderBy(F.expr(" + ".join(cs)).desc(), "word").limit(max(1, min(FREQUENT, TABLE // n))).toArrow()
+    top = counts.orderBy(F.expr(" + ".join(cs)).desc(), "word").limit(START_WORDS).toArrow()
     words = top.column("word").to_pylist()
     c = np.stack([top.column(x).to_numpy() for x in cs], 1).astype(float).reshape(len(words), n)
+    pieces = piece_counts(counts, vocabulary, n, fit_frequent(vocabulary, words, c.sum(1), ends.sum()), float(ends.sum()))
+    parts = (vocabulary, pieces[:-1], ends, sizes, total["v"])
+    model = TokenModel(*parts)
+    held = max(1, min(FREQUENT, TABLE // n))
+    words, c = words[:held], c[:held]
     frequent = spark.sparkContext.broadcast((words, model.log10(words, c), model.base(c), c.sum(1) > 0))
 
     found = materialize(_scan(rows.select("doc_id", "held_out", "text"), frequent, n), "scan")

@@ -143,6 +143,45 @@ def test_forward_recursion_sums_all_segmentations():
     assert np.isfinite(lat.log10(["x" * 5000, "𝒳𝒴"])).all()
 
 
+def test_expected_counts_weigh_all_segmentations():
+    rng = np.random.default_rng(3)
+    lat = lattice.Lattice(PIECES, rng.random((32000, 1)) * 5, np.array([10.0]))
+    words, counts = ["a", "nation", "thenthe", "☃a", "nation"], np.array([[1.0, 0.0], [2.0, 5.0], [0.5, 1.0], [3.0, 1.0], [1.0, 1.0]])
+    got, want = lat.expected(words, counts), np.zeros((32000, 2))
+    for w, c in zip(words, counts):
+        u, ways = "▁" + w, []
+        for cuts in itertools.chain.from_iterable(itertools.combinations(range(1, len(u)), n) for n in range(len(u))):
+            rows = [lat.index.get(u[a:b]) for a, b in zip((0, *cuts), (*cuts, len(u)))]
+            if all(rows):
+                ways.append((math.exp(sum(lat.rows[j][0] for j in rows)), rows))
+        whole = sum(p for p, _ in ways)
+        for p, rows in ways:
+            for j in rows:
+                for i in [lat.bytes[b] for b in lat.spelled[j].encode()] if j in lat.spelled else [j]:
+                    want[i - 1] += p / whole * c
+    assert np.allclose(got, want, rtol=1e-9, atol=1e-12)
+    assert lattice.fit_frequent(PIECES, ["", "the", "then"], np.array([5.0, 9.0, 1.0]), 5.0).sum() > 10
+
+
+def test_rounds_of_em_raise_the_likelihood():
+    rng = np.random.default_rng(1)
+    parts = ["tion", "er", "th", "on", "ing", "a", "re"]
+    words = sorted({"".join(rng.choice(parts, rng.integers(1, 5))) for _ in range(400)})
+    counts = rng.integers(1, 50, len(words)).astype(float)
+    scores = []
+    for rounds in (0, 1, 3, 6):
+        pieces = lattice.fit_frequent(PIECES, words, counts, 100.0, rounds)
+        scores.append(float(lattice.Lattice(PIECES, pieces, np.array([100.0])).log10(words)[:, 0] @ counts))
+    assert scores == sorted(scores) and scores[-1] > 0.8 * scores[0]
+
+
+def test_classes_beyond_the_most_frequent_share_one(spark, monkeypatch):
+    monkeypatch.setattr(lattice, "MOST_CLASSES", 2)
+    docs = spark.createDataFrame([(i, f"w{i % 7} x", "ab"[i % 2] if i < 40 else f"rare{i}") for i in range(60)], "doc_id long, text string, lang string")
+    got = lattice.score(docs, F.lit(False), PIECES).collect()
+    assert len(got) == 60 and all(math.isfinite(r.score) for r in got)
+
+
 def test_language_model_counts(spark, documents, odd, empty):
     rule = held(7, 2)
     rows = lattice.score(documents, rule, PIECES).collect()
@@ -170,7 +209,7 @@ def test_score_is_the_sum_over_segmentations_of_the_text(spark, monkeypatch):
     own = lattice.Lattice.__init__
     monkeypatch.setattr(lattice.Lattice, "__init__", lambda self, *a: (own(self, *a), seen.append(self))[0])
     got = {r.doc_id: r for r in lattice.score(docs, F.lit(False), PIECES).collect()}
-    lat, share = seen[0], np.array([2, 1, 1]) / 4
+    lat, share = seen[-1], np.array([2, 1, 1]) / 4
     for i, text in {1: "the cat", 2: "le chat chat", 3: "cat chat", 4: ""}.items():
         each = [share[k] * 10 ** (lat.end[k] + sum(slow_lattice(lat, w, k) for w in text.split())) for k in range(3)]
         assert abs(got[i].score - math.log10(sum(each))) < 1e-9
