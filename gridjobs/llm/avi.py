@@ -8,7 +8,8 @@ the end of the payload are empty (DC difference 0, end of block).  All of it is
 file stays below 4 GB (texts of up to about 3 GB).
 
 The reader walks the RIFF index, parses each frame's markers, takes out stuffed bytes, reads the coefficients back and
-inverts the DCT to get samples.  Frames with other tables than these are refused with an error that names the marker.
+inverts the DCT to get samples.  Frames of this writer, whose codes all have one length, are decoded many at once; any
+other baseline frame (``file_clips``) goes through ``jpeg.decode``, symbol by symbol.
 
 Shots: the difference of neighbouring frames is half the L1 distance of their 16-bin luma histograms; a cut is where it
 exceeds both a floor and the mean plus ``k`` standard deviations of the up to eight differences before it in the shot.
@@ -30,11 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import jpeg
 from .common import load
 
 FRAME_BLOCKS, RESTART, WIDTH, HEIGHT, FRAME_MS = 16, 4, 32, 32, 40
-# Fixed values of the JPEG standard: the zigzag order of an 8x8 block.
-ZIGZAG = np.array([0, 1, 8, 16, 9, 2, 3, 10, 17, 24, 32, 25, 18, 11, 4, 5, 12, 19, 26, 33, 40, 48, 41, 34, 27, 20, 13, 6, 7, 14, 21, 28, 35, 42, 49, 56, 57, 50, 43, 36, 29, 22, 15, 23, 30, 37, 44, 51, 58, 59, 52, 45, 38, 31, 39, 46, 53, 60, 61, 54, 47, 55, 62, 63])
 # By the number of full blocks in a restart interval: the bits of its empty blocks (1010 each), padded with ones.
 _EMPTY = [b"\xaa\xaa", b"\xaa\xaf", b"\xaa", b"\xaf", b""]
 
@@ -53,15 +53,7 @@ def _table(kind: int) -> bytes:
 _HEAD = b"\xff\xd8" + _marker(0xDB, bytes([0, *[1] * 64])) + _marker(0xC0, struct.pack(">BHHBBBB", 8, HEIGHT, WIDTH, 1, 1, 0x11, 0)) + _marker(0xC4, _table(0x00) + _table(0x10)) + _marker(0xDD, struct.pack(">H", RESTART)) + _marker(0xDA, bytes([1, 1, 0x00, 0, 63, 0]))
 
 
-def _inverse_dct() -> np.ndarray:
-    """Matrix from 64 coefficients in zigzag order to 64 samples in row order."""
-    x = np.arange(8)
-    one = np.cos((2 * x[:, None] + 1) * x[None, :] * np.pi / 16) * np.where(x == 0, np.sqrt(0.125), 0.5)
-    full = np.einsum("yu,xv->uvyx", one, one).reshape(64, 64)
-    return full[ZIGZAG].astype(np.float32)
-
-
-_IDCT = _inverse_dct()
+_IDCT = jpeg.inverse_dct().astype(np.float32)
 
 
 def encode_frames(payload: bytes) -> list[bytes]:
@@ -167,7 +159,11 @@ def shots(samples: np.ndarray, k: float = 3.0, floor: float = 0.25) -> list[tupl
     """(first frame, frame after the last) of each shot."""
     n = len(samples)
     bins = np.bincount((np.arange(n)[:, None] * 16 + (samples.reshape(n, -1) >> 4)).ravel(), minlength=16 * n).reshape(n, 16)
-    diff = np.abs(np.diff(bins, axis=0)).sum(1) / (2 * samples[0].size)
+    return cuts(np.abs(np.diff(bins, axis=0)).sum(1) / (2 * samples[0].size), k, floor)
+
+
+def cuts(diff: np.ndarray, k: float = 3.0, floor: float = 0.25) -> list[tuple[int, int]]:
+    """(first frame, frame after the last) of each shot, from the differences of neighbouring frames."""
     starts, before = [0], []
     for i, d in enumerate(diff.tolist()):
         mean = sum(before) / len(before) if before else 0.0
@@ -177,7 +173,7 @@ def shots(samples: np.ndarray, k: float = 3.0, floor: float = 0.25) -> list[tupl
             before = []
         else:
             before = [*before[-7:], d]
-    return list(zip(starts, [*starts[1:], n]))
+    return list(zip(starts, [*starts[1:], len(diff) + 1]))
 
 
 def media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_media: bool = True) -> DataFrame:
@@ -214,6 +210,31 @@ def clips(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.posexplode("clips").alias("clip", "c")).select("doc_id", "clip", (F.col("c.first") * FRAME_MS).alias("start_ms"), ((F.col("c.last") + 1) * FRAME_MS).alias("end_ms"), F.col("c.mean").alias("mean_luma"))
 
 
+def file_clips(files: DataFrame, id_col: str = "path", media_col: str = "content") -> DataFrame:
+    """A row for each clip of motion-JPEG AVI files (id, clip, start_ms, end_ms, mean_luma); ``files``: id, binary.
+
+    A null or empty value has no clips; a file that is not AVI, or a frame that is not baseline JPEG, is an error.  Frames
+    are decoded one at a time; of each only its histogram stays.
+    """
+    kind = dict(files.dtypes)[id_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, rows = batch.column(0), []
+            for i, data in enumerate(batch.column(1)):
+                micro, frames = parse_avi(data.as_py()) if data.as_py() else (0, [])
+                shares, means = np.zeros((len(frames), 16)), np.zeros(len(frames))
+                for j, frame in enumerate(frames):
+                    light = jpeg.decode(frame)[0]
+                    shares[j], means[j] = np.bincount((light >> 4).ravel(), minlength=16) / light.size, light.mean()
+                found = cuts(np.abs(np.diff(shares, axis=0)).sum(1) / 2) if frames else []
+                rows += [(i, k, a * micro / 1000, b * micro / 1000, float(means[a:b].mean())) for k, (a, b) in enumerate(found)]
+            at, *cols = zip(*rows) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.float64(), pa.float64(), pa.float64())))], names=["id", "clip", "start_ms", "end_ms", "mean_luma"])
+
+    return files.select(F.col(id_col).alias("id"), F.col(media_col).alias("media")).mapInArrow(run, f"id {kind}, clip int, start_ms double, end_ms double, mean_luma double")
+
+
 def op6_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = media(load(spark, sf_dir, "documents"), keep_media=False)
     times = F.expr(f"array_join(transform(clips, c -> concat(c.first * {FRAME_MS}, '-', (c.last + 1) * {FRAME_MS}, ':', c.mean)), ' ')")

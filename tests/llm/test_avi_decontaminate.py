@@ -6,7 +6,7 @@ import os
 import numpy as np
 import pytest
 
-from gridjobs.llm import avi, decontaminate
+from gridjobs.llm import avi, decontaminate, jpeg
 
 
 @pytest.mark.parametrize("n", [64, 128, 1024, 1088, 64 * 700])
@@ -25,7 +25,7 @@ def test_samples_follow_the_inverse_transform():
     _, samples = avi.decode_frames(avi.encode_frames(payload))
     c = np.zeros((8, 8))
     for k, v in enumerate(payload):
-        c[divmod(int(avi.ZIGZAG[k]), 8)] = v - 255 if v < 128 else v
+        c[divmod(int(jpeg.ZIGZAG[k]), 8)] = v - 255 if v < 128 else v
     want = np.zeros((8, 8))
     for y in range(8):
         for x in range(8):
