@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SPLITS = ("2024-01-21", "2024-01-26", "2024-01-31")
@@ -48,6 +48,14 @@ def weather(spark: SparkSession, d: str) -> DataFrame:
     return observations(spark, d).groupBy("ba", F.date_trunc("hour", "ts").alias("ts_utc")).agg(((F.avg("f") - 32) * 5 / 9).alias("temp_c"))
 
 
+def point_weather(spark: SparkSession, d: str, places: DataFrame) -> DataFrame:
+    """Hourly weather by place (lat, lon): users report from the ``places`` in turn."""
+    numbered = places.select("lat", "lon").distinct().select("lat", "lon", (F.row_number().over(Window.orderBy("lat", "lon")) - 1).alias("k"))
+    n = numbered.count()
+    seen = observations(spark, d).withColumn("k", F.pmod("user_id", F.lit(n))).join(F.broadcast(numbered), "k")
+    return seen.groupBy("lat", "lon", F.date_trunc("hour", "ts").alias("ts_utc")).agg(F.avg("f").alias("temp_c"), F.max(F.when(F.col("f") > 20, F.col("f"))).alias("wind"))
+
+
 def generation(spark: SparkSession, d: str) -> DataFrame:
     fuel = F.when(F.col("event_type") == "click", "WND").when(F.col("event_type") == "view", "SUN").otherwise("OTH")
     return events(spark, d).select(F.concat(F.lit("U"), F.pmod("user_id", F.lit(5))).alias("ba"), F.date_trunc("hour", "ts").alias("ts_utc"), fuel.alias("fuel"), F.col("value").alias("gen_mw"))

@@ -90,9 +90,13 @@ def nwp_spread(members: list[str]) -> Column:
     return F.when(known >= 2, F.greatest(*members) - F.least(*members))
 
 
-def centre_mean(rows: DataFrame, channels: list[str], key: str = "ba") -> DataFrame:
-    """Mean of the weather channels over a BA's load centres for each hour; nulls are ignored."""
-    return rows.groupBy(key, "ts_utc").agg(*(F.avg(c).alias(c) for c in channels))
+def centre_mean(points: DataFrame, centres: DataFrame, channels: list[str]) -> DataFrame:
+    """Rows (ba, ts_utc, *channels): mean of the weather over a BA's load centres for each hour; nulls are ignored.
+
+    ``points``: lat, lon, ts_utc, channels, one a place and hour; ``centres``: ba, lat, lon, as large as the registry.  A
+    place that several BAs share counts for each of them.
+    """
+    return points.join(F.broadcast(centres), ["lat", "lon"]).groupBy("ba", "ts_utc").agg(*(F.avg(c).alias(c) for c in channels))
 
 
 def to_celsius(f: Column) -> Column:

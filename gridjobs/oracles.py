@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 import re
 
+from . import registry
+
 
 # Covariate modes, written down apart from the library's own list.
 MODES = ("persistence", "lag24", "forecast", "forecast_full", "analysis_only", "none", "oracle", "oracle_om")
@@ -174,6 +176,12 @@ def _ratio(own: str, base: str) -> str:
     return f"SELECT a.ba, {r('a.mae', 'own')}, {r('b.mae', 'baseline')}, {r('b.mae / a.mae', 'ratio')}, {r('100 * (1 - a.mae / b.mae)', 'improvement_pct')} FROM ({metric.format(own)}) a JOIN ({metric.format(base)}) b USING (ba)"
 
 
+def _centres() -> str:
+    """Load centres, or the BA's own place, as SQL values."""
+    listed = [(row[0], lat, lon) for row in registry.ROWS for lat, lon in registry.LOAD_CENTRES.get(row[0], [(row[8], row[7])])]
+    return "SELECT * FROM (VALUES " + ", ".join(f"('{ba}', {lat!r}::DOUBLE, {lon!r}::DOUBLE)" for ba, lat, lon in listed) + ") v(ba, lat, lon)"
+
+
 def _masked(c: str) -> str:
     """Secret values of a text, by one pattern."""
     return f"""regexp_replace({c}, '((api_key|apikey|token|subscription-key|access_token|password)=)[^\\s\\x0B&"'']+', '\\1REDACTED', 'gi')"""
@@ -256,7 +264,12 @@ def oracle_sql() -> dict[str, str]:
         "join_window_range": sql("SELECT o.ba, o.origin, count(*) FILTER (I.idx >= origin) AS n_after, round(sum(y) FILTER (I.idx >= origin), 4) AS sum_after, count(*) FILTER (I.idx < origin) AS n_before, round(sum(y) FILTER (I.idx < origin), 4) AS sum_before FROM (SELECT * FROM O0 WHERE origin >= 48) o JOIN I ON I.ba = o.ba AND I.idx BETWEEN origin - 48 AND origin + 23 GROUP BY 1, 2"),
         "semi_holdout": sql("SELECT ba, n, CASE WHEN k % 5 = 0 THEN 'holdout' ELSE 'tuned' END AS part FROM (SELECT ba, count(*) AS n, row_number() OVER (ORDER BY ba) - 1 AS k FROM S GROUP BY 1)"),
         "agg_current_load": sql(f"SELECT * FROM (SELECT {t()}, round(sum(load_mw), 7) AS total_mw, count(*) AS ba_count FROM (SELECT CAST(user_id AS VARCHAR) AS ba, date_trunc('hour', ts) AS ts_utc, arg_max(value, (ts, event_id)) AS load_mw FROM events GROUP BY 1, 2) WHERE load_mw > 0 AND load_mw < 400 GROUP BY ts_utc HAVING count(*) >= 10 ORDER BY 1 DESC LIMIT 200)"),
-        "agg_centre_mean": sql(f"SELECT ba, {t('h', 'ts_utc')}, round(avg(a), 7) AS temp_c, round(avg(b), 7) AS wind FROM (SELECT ba, user_id, date_trunc('hour', ts) AS h, avg(f) AS a, max(f) FILTER (f > 20) AS b FROM OB GROUP BY 1, 2, 3) GROUP BY ba, h"),
+        "agg_centre_mean": sql(
+            f"SELECT ba, {t('h', 'ts_utc')}, round(avg(a), 7) AS temp_c, round(avg(b), 7) AS wind FROM PW JOIN CE USING (lat, lon) GROUP BY ba, h",
+            CE=_centres(),
+            PK="SELECT lat, lon, row_number() OVER (ORDER BY lat, lon) - 1 AS k FROM (SELECT DISTINCT lat, lon FROM CE)",
+            PW="SELECT lat, lon, date_trunc('hour', ts) AS h, avg(f) AS a, max(f) FILTER (f > 20) AS b FROM OB JOIN PK ON k = user_id % (SELECT count(*) FROM PK) GROUP BY 1, 2, 3",
+        ),
         "agg_hourly_mean": f"SELECT event_type, {t('h', 'ts_utc')}, round(avg(value), 7) AS value FROM (SELECT event_type, date_trunc('hour', ts) AS h, value FROM events) GROUP BY event_type, h",
         "agg_data_end": sql(f"SELECT {t('max(ts_utc)', 'data_end')} FROM L"),
         "agg_split_bounds": sql(_bounds("S")),

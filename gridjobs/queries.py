@@ -486,8 +486,8 @@ def agg_current_load(spark, d):
 
 @query
 def agg_centre_mean(spark, d):
-    w = A.observations(spark, d).groupBy("ba", "user_id", F.date_trunc("hour", "ts").alias("ts_utc")).agg(F.avg("f").alias("temp_c"), F.max(F.when(F.col("f") > 20, F.col("f"))).alias("wind"))
-    return live.centre_mean(w, ["temp_c", "wind"]).select("ba", t(), r("temp_c"), r("wind"))
+    centres = registry.load_centres(spark, registry.registry(spark))
+    return live.centre_mean(A.point_weather(spark, d, centres), centres, ["temp_c", "wind"]).select("ba", t(), r("temp_c"), r("wind"))
 
 
 @query
