@@ -195,7 +195,7 @@ def _bootstrap_sql(replicates: int, seed: int, whole: str | None = None) -> str:
         limits.append(total)
     weight = " + ".join(f"CAST(u >= {x!r}::DOUBLE AS INT)" for x in limits)
     drawn = f"SELECT b, err, CAST('0x' || substr(md5('{seed}/' || b || '/' || ba || '/' || CAST(origin AS BIGINT)), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM ({whole}) CROSS JOIN (SELECT unnest(range({replicates})) AS b)"
-    return f"SELECT round(quantile_cont(m, 0.025), 7) AS lo, round(quantile_cont(m, 0.975), 7) AS hi, count(*) AS replicates FROM (SELECT b, sum(w * err) / sum(w) AS m FROM (SELECT b, err, {weight} AS w FROM ({drawn})) GROUP BY 1)"
+    return f"SELECT round(quantile_cont(m, 0.025), 7) AS lo, round(quantile_cont(m, 0.975), 7) AS hi, count(*) AS replicates FROM (SELECT b, sum(w * err) / sum(w) AS m FROM (SELECT b, err, {weight} AS w FROM ({drawn})) GROUP BY 1 HAVING sum(w) > 0)"
 
 
 _POINTS = f"SELECT x.ba, step, I.ts_utc, q_lo AS lo, q_mid AS median, q_hi AS hi FROM SC x JOIN (SELECT ba, max(origin) AS origin FROM SC GROUP BY 1) m ON m.ba = x.ba AND m.origin = x.origin JOIN I ON I.ba = x.ba AND I.idx = x.idx"

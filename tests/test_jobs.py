@@ -15,7 +15,12 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_entry(spark):
-    rows = {r.ba: r for r in entry.entry(spark).collect()}
+    report = entry.entry(spark).collect()
+    rows = {r.ba: r for r in report if r.step is None}
+    steps = {r.step: r.mase for r in report if r.step is not None}
+    assert set(steps) == set(range(24)) and all(r.ba == "MACRO" for r in report if r.step is not None)
+    assert rows["MACRO"].ci_lo < rows["MACRO"].ci_hi and rows["view"].ci_lo is None
+    assert all(r.coverage >= r.coverage_raw for r in rows.values() if r.delta_mw >= 0)
     assert rows["MACRO"].mase == pytest.approx(0.7806, abs=1e-4) and set(rows) == {"click", "error", "signup", "view", "MACRO"}
 
 
@@ -26,12 +31,12 @@ def test_every_query_has_sql_or_is_known():
     assert set(queries.oracle_sql()) <= set(queries.queries())
 
 
-@pytest.mark.parametrize("name", ["win_robust_clean", "agg_point_metrics", "join_gen_pivot", "agg_conformal_delta", "job_feature_table", "stream_rolling_24h", "src_zip_csv"])
+@pytest.mark.parametrize("name", ["win_robust_clean", "agg_point_metrics", "job_backtest", "job_hourly_regression", "stream_late_counts", "ingest_write_through", "text_redact_secrets", "join_gen_pivot", "agg_conformal_delta", "job_feature_table", "stream_rolling_24h", "src_zip_csv"])
 def test_matches_sql(spark, name):
     import duckdb
 
     c = duckdb.connect()
-    for t in ("events", "orders", "lineitem", "nation", "region", "customer", "supplier", "part", "pages", "embeddings"):
+    for t in ("events", "orders", "lineitem", "nation", "region", "customer", "supplier", "part", "pages", "embeddings", "documents"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = entry.queries()[name](spark, SF)
     cols = sorted(df.columns)
