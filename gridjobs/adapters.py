@@ -69,7 +69,7 @@ def grouped_load(spark: SparkSession, d: str) -> DataFrame:
 def archived(spark: SparkSession, d: str) -> DataFrame:
     """Archived forecasts of temp_c: from 11 January on, without hours whose number is divisible by 7; lead 24 or 30 h."""
     w = weather(spark, d).where("ts_utc >= timestamp'2024-01-11' AND pmod(hour(ts_utc), 7) <> 0")
-    return w.select("ba", "ts_utc", (F.col("temp_c") + 0.5).alias("temp_c_fcst"), (F.col("temp_c") - 0.25).alias("temp_c_anal"), (F.col("temp_c") * 3 + 100).alias("rad_wm2_fcst"), F.when(F.pmod(F.hour("ts_utc"), F.lit(5)) != 0, F.col("temp_c") / 2 + 4).alias("wind100_fcst"), F.when(F.pmod(F.hour("ts_utc"), F.lit(2)) == 0, 24).otherwise(30).alias("lead_hours"))
+    return w.select("ba", "ts_utc", (F.col("temp_c") + 0.5).alias("temp_c_fcst"), (F.col("temp_c") - 0.25).alias("temp_c_anal"), (F.col("temp_c") * 3 + 100).alias("rad_wm2_fcst"), F.when(F.pmod(F.hour("ts_utc"), F.lit(5)) != 0, F.col("temp_c") / 2 + 4).alias("wind100_fcst"), F.when(F.pmod(F.hour("ts_utc"), F.lit(3)) != 1, F.abs("temp_c") / 10).alias("temp_spread_c"), F.when(F.pmod(F.hour("ts_utc"), F.lit(2)) == 0, 24).otherwise(30).alias("lead_hours"))
 
 
 def operator_forecast(spark: SparkSession, d: str) -> DataFrame:

@@ -93,6 +93,8 @@ _CTES |= {
     "T0": "SELECT L.ba, L.ts_utc, load_mw, temp_c FROM L LEFT JOIN W ON L.ba = W.ba AND L.ts_utc = W.ts_utc",
     "TI": f"SELECT ba, ts_utc, row_number() OVER (PARTITION BY ba ORDER BY ts_utc) - 1 AS idx, load_mw, {_filled('temp_c')} AS temp_c FROM T0",
     "AL": "SELECT TI.*, coalesce(last_value(temp_c_fcst IGNORE NULLS) OVER w, temp_c) AS temp_fcst, last_value(temp_c_anal IGNORE NULLS) OVER w AS temp_anal, min(CASE WHEN temp_c_fcst IS NOT NULL THEN idx END) OVER (PARTITION BY TI.ba) AS fcst_start, min(lead_hours) OVER (PARTITION BY TI.ba) AS fcst_lead_hours FROM TI LEFT JOIN AR ON TI.ba = AR.ba AND TI.ts_utc = AR.ts_utc WINDOW w AS (PARTITION BY TI.ba ORDER BY idx ROWS UNBOUNDED PRECEDING)",
+    "XA": "SELECT TI.ba, TI.idx, TI.ts_utc, 3 * (AR.temp_c_fcst - 0.5) + 100 AS rad, CASE WHEN hour(TI.ts_utc) % 5 <> 0 THEN (AR.temp_c_fcst - 0.5) / 2 + 4 END AS wind, CASE WHEN hour(TI.ts_utc) % 3 <> 1 THEN abs(AR.temp_c_fcst - 0.5) / 10 END AS spread FROM TI LEFT JOIN AR ON TI.ba = AR.ba AND TI.ts_utc = AR.ts_utc",
+    "XF": "SELECT ba, idx, " + ", ".join(f"coalesce(last_value({c} IGNORE NULLS) OVER p, first_value({c} IGNORE NULLS) OVER f) AS {c}" for c in ("rad", "wind", "spread")) + " FROM XA WINDOW p AS (PARTITION BY ba ORDER BY idx ROWS UNBOUNDED PRECEDING), f AS (PARTITION BY ba ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)",
     "O0": _origins(),
     "DN": "SELECT ba, avg(abs(d)) AS denom FROM (SELECT ba, load_mw - lag(load_mw, 24) OVER (PARTITION BY ba ORDER BY ts_utc) AS d FROM L WHERE ts_utc < TIMESTAMP '2024-01-21') GROUP BY 1",
     "CAL": "SELECT ba, ts_utc, sin(hour(ts_utc) * (2 * pi() / 24)) AS hour_sin, cos(hour(ts_utc) * (2 * pi() / 24)) AS hour_cos, sin((isodow(ts_utc) - 1) * (2 * pi() / 7)) AS dow_sin, cos((isodow(ts_utc) - 1) * (2 * pi() / 7)) AS dow_cos, CAST(isodow(ts_utc) >= 6 AS INT) AS is_weekend, CAST(CAST(ts_utc AS DATE) IN (SELECT day FROM HOL) AS INT) AS is_holiday FROM L",
@@ -315,8 +317,6 @@ def oracle_sql() -> dict[str, str]:
         "win_future_lag24": sql(_future("greatest(0, least(q.n - 1, q.origin - 24 + q.step % 24))", "temp_c", "temp_c", 30, "O30").replace("q.step,", "CAST(q.step AS INT) AS step,", 1), O30=_origins(h=30)),
         "win_future_forecast": sql(
             f"SELECT o.ba, o.origin, CAST(s.step AS INT) AS step, {r('a.temp_fcst', 'temp_c')}, {r('x.rad', 'rad_fcst')}, {r('x.wind', 'wind_fcst')} FROM O0 o CROSS JOIN (SELECT unnest(range(24)) AS step) s JOIN AL a ON a.ba = o.ba AND a.idx = o.origin + s.step JOIN XF x ON x.ba = o.ba AND x.idx = o.origin + s.step",
-            XA="SELECT TI.ba, TI.idx, TI.ts_utc, 3 * (AR.temp_c_fcst - 0.5) + 100 AS rad, CASE WHEN hour(TI.ts_utc) % 5 <> 0 THEN (AR.temp_c_fcst - 0.5) / 2 + 4 END AS wind FROM TI LEFT JOIN AR ON TI.ba = AR.ba AND TI.ts_utc = AR.ts_utc",
-            XF="SELECT ba, idx, coalesce(last_value(rad IGNORE NULLS) OVER p, first_value(rad IGNORE NULLS) OVER f) AS rad, coalesce(last_value(wind IGNORE NULLS) OVER p, first_value(wind IGNORE NULLS) OVER f) AS wind FROM XA WINDOW p AS (PARTITION BY ba ORDER BY idx ROWS UNBOUNDED PRECEDING), f AS (PARTITION BY ba ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)",
         ),
         "win_future_oracle": sql(_future("q.idx", "temp_c", "temp_c").replace("q.step,", "CAST(q.step AS INT) AS step,")),
         "win_lead_guard": sql("SELECT ba, CAST(min(fcst_lead_hours) AS INT) AS fcst_lead_hours, CAST(min(fcst_lead_hours) AS INT) AS longest_horizon FROM AL GROUP BY 1"),
@@ -341,7 +341,7 @@ def oracle_sql() -> dict[str, str]:
         "set_missing_columns": sql(f"SELECT x.ba, {t('x.ts_utc')}, f.fuel FROM (SELECT DISTINCT ba, ts_utc FROM G) x CROSS JOIN (VALUES ('WND'), ('SUN'), ('OTH')) f(fuel) ANTI JOIN G ON G.ba = x.ba AND G.ts_utc = x.ts_utc AND G.fuel = f.fuel"),
         "set_union_sources": sql(f"SELECT ba, {t()}, load_mw FROM L"),
         "job_feature_table": sql(
-            "SELECT x.ba, CAST(x.idx AS INT) AS idx, x.y AS load_mw, round(CASE WHEN x.idx >= fcst_start THEN coalesce(temp_anal, AL.temp_c) ELSE AL.temp_c END, 7) AS temp_c, round(coalesce(wnd, 0), 7) AS wnd, round(coalesce(sun, 0), 7) AS sun, round(temp_fcst, 7) AS temp_fcst, CAST(isodow(x.ts_utc) >= 6 AS INT) AS is_weekend, CAST(CAST(x.ts_utc AS DATE) IN (SELECT day FROM HOL) AS INT) AS is_holiday, nbr1, nbr2 FROM I x JOIN AL ON AL.ba = x.ba AND AL.idx = x.idx LEFT JOIN GF ON GF.ba = x.ba AND GF.idx = x.idx JOIN NB ON NB.ba = x.ba AND NB.ts_utc = x.ts_utc",
+            "SELECT x.ba, CAST(x.idx AS INT) AS idx, x.y AS load_mw, round(CASE WHEN x.idx >= fcst_start THEN coalesce(temp_anal, AL.temp_c) ELSE AL.temp_c END, 7) AS temp_c, round(coalesce(wnd, 0), 7) AS wnd, round(coalesce(sun, 0), 7) AS sun, round(temp_fcst, 7) AS temp_fcst, round(XF.rad, 7) AS rad_fcst, round(XF.wind, 7) AS wind_fcst, round(XF.spread, 7) AS spread_fcst, CAST(isodow(x.ts_utc) >= 6 AS INT) AS is_weekend, CAST(CAST(x.ts_utc AS DATE) IN (SELECT day FROM HOL) AS INT) AS is_holiday, nbr1, nbr2 FROM I x JOIN AL ON AL.ba = x.ba AND AL.idx = x.idx JOIN XF ON XF.ba = x.ba AND XF.idx = x.idx LEFT JOIN GF ON GF.ba = x.ba AND GF.idx = x.idx JOIN NB ON NB.ba = x.ba AND NB.ts_utc = x.ts_utc",
             GW="SELECT I.ba, I.ts_utc, idx, CASE WHEN I.ba = 'click' THEN (SELECT avg(value) FROM events e WHERE e.event_type = 'click' AND date_trunc('hour', e.ts) = I.ts_utc) END AS w, CASE WHEN I.ba = 'view' THEN (SELECT avg(value) FROM events e WHERE e.event_type = 'view' AND date_trunc('hour', e.ts) = I.ts_utc) END AS s FROM I",
             GF=f"SELECT ba, idx, {_filled('w')} AS wnd, {_filled('s')} AS sun FROM GW",
             K2="SELECT ba, peer, k FROM (SELECT *, row_number() OVER (PARTITION BY ba ORDER BY abs(r) DESC, peer DESC) AS k FROM PC) WHERE k <= 2",

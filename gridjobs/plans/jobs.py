@@ -25,9 +25,10 @@ def prepare(load: DataFrame, splits: tuple[str, str, str], k: float = 20.0) -> t
     return indexed, meta, series.mase_denominator(indexed, meta)
 
 
-def feature_table(load: DataFrame, weather: DataFrame, gen: DataFrame, archived: DataFrame, holidays: DataFrame, splits: tuple[str, str, str], mode: str = "forecast", k: float = 20.0, n_peers: int = 2) -> DataFrame:
+def feature_table(load: DataFrame, weather: DataFrame, gen: DataFrame, archived: DataFrame, holidays: DataFrame, splits: tuple[str, str, str], mode: str = "forecast", k: float = 20.0, n_peers: int = 2, extras: dict[str, str] | None = None) -> DataFrame:
     """Load, weather, generation, archived forecasts, calendar and peers for all series in one frame.
 
+    ``extras`` maps further forecast channels (irradiance, wind, spread of the models) to the archive's columns.
     Dedupe comes first, as a revision can be the outlier; cleaning precedes filling; lags count rows after that.
     """
     latest = stored(series.dedupe_latest(load), "latest")
@@ -37,7 +38,7 @@ def feature_table(load: DataFrame, weather: DataFrame, gen: DataFrame, archived:
     for c in ("load_mw", "temp_c", "WND", "SUN"):
         filled = series.fill(filled, c)
     indexed = stored(series.row_index(filled), "features")
-    aligned = joins.analysis_past(joins.forecast_alignment(indexed, archived), mode)
+    aligned = joins.analysis_past(joins.forecast_alignment(indexed, archived, extras), mode)
     dated = calendar_features(aligned, holidays)
     best = peers.top_peers(peers.peer_correlation(indexed.select("ba", "ts_utc", "load_mw"), splits[0]), n_peers)
     return peers.peer_channels(dated, best, n_peers)

@@ -826,8 +826,8 @@ def set_union_sources(spark, d):
 
 @query
 def job_feature_table(spark, d):
-    out = jobs.feature_table(A.load_hourly(spark, d), A.weather(spark, d), A.generation(spark, d).withColumn("ba", F.when(F.col("fuel") == "WND", "click").otherwise("view")), A.archived(spark, d), calendar.holiday_table(spark), A.SPLITS, k=K)
-    return out.select("ba", "idx", "load_mw", r("temp_c"), r("WND", "wnd"), r("SUN", "sun"), r("temp_fcst"), "is_weekend", "is_holiday", "nbr1", "nbr2")
+    out = jobs.feature_table(A.load_hourly(spark, d), A.weather(spark, d), A.generation(spark, d).withColumn("ba", F.when(F.col("fuel") == "WND", "click").otherwise("view")), A.archived(spark, d), calendar.holiday_table(spark), A.SPLITS, k=K, extras={"rad_fcst": "rad_wm2_fcst", "wind_fcst": "wind100_fcst", "spread_fcst": "temp_spread_c"})
+    return out.select("ba", "idx", "load_mw", r("temp_c"), r("WND", "wnd"), r("SUN", "sun"), r("temp_fcst"), r("rad_fcst"), r("wind_fcst"), r("spread_fcst"), "is_weekend", "is_holiday", "nbr1", "nbr2")
 
 
 @query
