@@ -914,7 +914,7 @@ def _stream(spark, d, rows: DataFrame, schema: str, days: int = 10) -> DataFrame
     path = scratch_path(spark, "stream")
     rows = rows.select(*(c for c, _ in schemas.columns(schema)))
     for first in range(1, 32, days):
-        rows.where(F.dayofmonth("ts_utc").between(first, first + days - 1)).coalesce(1).write.mode("append").parquet(path)
+        rows.where(F.dayofmonth("ts_utc").between(first, first + days - 1)).repartition(1).write.mode("append").parquet(path)
     return streams.source(spark, path, schema, 1)
 
 

@@ -159,3 +159,30 @@ def test_streamed_demand_takes_revisions_like_the_batch_job(spark):
     got = {(str(r.ts_utc), r.total_mw, r.ba_count) for r in streamed.collect()}
     assert got == {(str(r.ts_utc), r.total_mw, r.ba_count) for r in batch.collect()}
     assert ("2024-01-31 00:00:00", 900.0, 3) in got and ("2024-01-31 01:00:00", 202.0, 2) in got
+
+
+def test_stream_state_has_a_value_for_a_slice_of_an_hour_and_keeps_nulls_and_large_numbers(spark):
+    from gridjobs.session import scratch_path
+    from gridjobs.streaming import state
+
+    kind = "ba string, ts_utc timestamp, load_mw double, as_of timestamp, tie long"
+    path, to = scratch_path(spark, "in"), scratch_path(spark, "out")
+    big = (1 << 53) + 1
+    first = f"SELECT cast(id AS string) AS ba, timestamp'2024-01-01 05:00:00' AS ts_utc, CASE WHEN id % 2 = 0 THEN id + 0.5D END AS load_mw, CASE WHEN id > 0 THEN timestamp'2024-01-02' END AS as_of, CASE WHEN id % 3 > 0 THEN {big}L + id END AS tie FROM range(500)"
+    again = f"SELECT cast(id AS string) AS ba, timestamp'2024-01-01 05:00:00' AS ts_utc, double('NaN') AS load_mw, CASE WHEN id % 2 = 0 THEN timestamp'2024-01-02' END AS as_of, {big}L + 7 AS tie FROM range(10)"
+    for part in (first, again):
+        spark.sql(part).coalesce(1).write.mode("append").parquet(path)
+    check = scratch_path(spark, "check")
+    setting, provider = state.PROVIDER
+    spark.conf.set(setting, provider)
+    try:
+        q = state.changes(streams.source(spark, path, kind, 1), "72 hours", ties=["tie"]).writeStream.format("parquet").option("path", to).option("checkpointLocation", check).trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.unset(setting)
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress) <= 2 * state.SLICES  # a value and a timer each, not 500
+    got = {int(r.ba): (r.load_mw, r.tie) for r in state.collapse(spark.read.parquet(to)).collect()}
+    assert len(got) == 500 and got[11] == (None, big + 11) and got[12] == (12.5, None)
+    # of 0 to 9: with an as_of the larger tie wins, without one (1, 3, ...) the held revision stays
+    assert [i for i in range(10) if got[i][0] is not None and got[i][0] != got[i][0]] == [0, 2, 4, 6]
+    assert got[8] == (8.5, big + 8) and got[1] == (None, big + 1)
