@@ -244,3 +244,17 @@ def test_published_documents_change_at_once(spark):
     assert [(f["ba"], f["model"], f["horizon"]) for f in whole["forecasts"]] == [("A B", "2", 3), ("PJM", "3", 3)]
     assert published.read_docs(spark, root, docs[0].schema, "PJM").count() == 1
     assert len(published.committed(spark, root)) == 2
+
+
+def test_redact_text_equals_one_pattern_and_cuts_no_text_into_pieces(spark):
+    import random
+    import re
+
+    rng = random.Random(7)
+    parts = ["api_key", "APIKEY", "token", "access_token", "Subscription-Key", "password", "secret", "=", "=", "=", "&", " ", "\t", "\v", " ", '"', "'", "x", "é", "ſ", "\U0001f600"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(12))) for _ in range(2000)]
+    df = spark.createDataFrame([(x,) for x in [*texts, None]], "t string")
+    out = df.select("t", text.redact_text(F.col("t")).alias("got"))
+    want = lambda x: re.sub(r"""(?ai)((?:api_key|apikey|token|subscription-key|access_token|password)=)[^\s&"']+""", r"\1REDACTED", x)
+    assert all(r.got == (None if r.t is None else want(r.t)) for r in out.collect())
+    assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()  # no array of a long text's pieces
