@@ -8,7 +8,8 @@ Search: the fingerprint is cut into segments so few that one of them differs by
 differing bits).  Every segment is indexed with each of its bits deleted in turn; fingerprints that meet under one
 variant are compared in full.  A variant shared by two fingerprints gives its pair from the minimum and maximum of a
 partial aggregation; up to ``bucket_limit`` members are compared pairwise; fuller ones take another exact way whose
-rows grow with the members only: for a distance of up to 2, two fingerprints are within it exactly if flipping at most
+rows grow with the members only (wide fingerprints: what the stars of a few segments link first is one group; variants that
+only one group shares are left out, and members of one group are not compared again): for a distance of up to 2, two fingerprints are within it exactly if flipping at most
 one bit in each makes them equal, so the members that share a flipped value are linked to its smallest member.  For
 larger distances every member of a fuller variant is compared with its smallest; only members that this does not link
 meet all others, in blocks of ``BLOCK_NODES``.
@@ -43,6 +44,8 @@ SEED = 42
 BLOCK_NODES, BLOCK_BYTES = 1024, 1 << 20
 #: Texts of a large group that all others are compared with, one after another, before blocks are.
 STARS = 4
+#: Segments of wide fingerprints whose fuller variants link their members first, before all segments are searched.
+FIRST = 4
 #: Odd multipliers that derive further 64-bit words from a shingle's hash, for wide fingerprints.
 _STEP = 0x9E3779B97F4A7C15
 
@@ -142,7 +145,21 @@ def variants(nodes: DataFrame, cuts: list[tuple[int, int, int]]) -> DataFrame:
     low = "lo0" in nodes.columns
     chosen = [f"filter(sequence(0L, {bits - 1}L), b -> shiftrightunsigned(lo{w}, int(b) + {first}) & 1L = 1L)" if low else f"sequence(0L, {bits - 1}L)" for w, first, bits in cuts]
     parts = [f"transform({chosen[s]}, b -> (shiftrightunsigned(fp{w}, {first}) & {(1 << bits) - 1}L & ~shiftleft(1L, int(b))) | shiftleft(b, 32) | {s << 40}L)" for s, (w, first, bits) in enumerate(cuts)]
-    return nodes.select("node", F.explode(F.expr(f"flatten(array({', '.join(parts)}))")).alias("key"))
+    return nodes.select("node", *(["comp"] if "comp" in nodes.columns else []), F.explode(F.expr(f"flatten(array({', '.join(parts)}))")).alias("key"))
+
+
+def _first_links(nodes: DataFrame, width: int, cuts: list[tuple[int, int, int]], max_diff: int) -> DataFrame:
+    """Verified links of the members of each fuller variant of ``FIRST`` segments with its smallest node."""
+    index = variants(nodes, cuts[:: max(1, len(cuts) // FIRST)])
+    low = index.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("a")).where("c > 2").select("key", "a")
+    pairs = index.join(low, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    return _within(pairs, nodes, width, max_diff)
+
+
+def _within(pairs: DataFrame, nodes: DataFrame, width: int, max_diff: int) -> DataFrame:
+    fps = [f"fp{j}" for j in range(width)]
+    left, right = (nodes.select(F.col("node").alias(x), F.struct(*fps).alias(f"f{x}")) for x in "ab")
+    return pairs.join(left, "a").join(right, "b").where(f"{_differing(width, 'fa', 'fb')} <= {max_diff}").select("a", "b")
 
 
 def _differing(width: int, a: str = "a", b: str = "b") -> str:
@@ -192,12 +209,15 @@ def _as_links(nodes: np.ndarray, found: list[tuple[int, int]]) -> pa.Table:
 
 
 def _hot_links(hot: DataFrame, nodes: DataFrame, width: int, max_diff: int) -> DataFrame:
-    """Links that connect whatever is within ``max_diff`` among the nodes of one key; hot: rows (key, node, low), low the key's smallest node."""
+    """Links that connect whatever is within ``max_diff`` among the nodes of one key; hot: rows (key, node, comp, low), low the
+    key's smallest node.  Nodes of equal comp are linked already.
+    """
     fps = [f"fp{j}" for j in range(width)]
-    first = nodes.select(F.col("node").alias("low"), F.struct(*fps).alias("f1"))
+    first = nodes.select(F.col("node").alias("low"), F.col("comp").alias("low_comp"), F.struct(*fps).alias("f1"))
     rows = hot.join(first, "low").join(nodes.select("node", F.struct(*fps).alias("f2")), "node")
-    rows = materialize(rows.select("key", "node", "low", F.expr(f"{_differing(width, 'f1', 'f2')} > {max_diff}").alias("apart"), "f2"), "stars")
-    stars = rows.where("NOT apart AND node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"))
+    rows = rows.select("key", "node", "low", F.expr("comp = low_comp").alias("linked"), F.expr(f"{_differing(width, 'f1', 'f2')} > {max_diff}").alias("far"), "f2")
+    rows = materialize(rows.withColumn("apart", F.expr("far AND NOT linked")), "stars")
+    stars = rows.where("NOT far AND NOT linked").select(F.col("low").alias("a"), F.col("node").alias("b"))
 
     def run(group: pa.Table) -> pa.Table:
         fp = np.column_stack([group.column(c).to_numpy() for c in fps]).view(np.uint64)
@@ -284,23 +304,27 @@ def similar(texts: DataFrame, shingle: int, least: float) -> DataFrame:
 
 def links(nodes: DataFrame, width: int, cuts: list[tuple[int, int, int]], max_diff: int, bucket_limit: int = 16) -> DataFrame:
     """Verified links (a, b), a < b, between nodes (node long, fp0, ...) of distinct fingerprints or texts."""
+    exact = width == 1 and max_diff <= 2
+    stars = None
+    if not exact:  # what stars of a few segments link need not be compared again
+        stars = materialize(_first_links(nodes, width, cuts, max_diff), "first")
+        nodes = nodes.join(components(stars, "a", "b").withColumnRenamed("component", "comp"), "node", "left")
+        nodes = materialize(nodes.withColumn("comp", F.coalesce("comp", "node")), "placed")
+        nodes = nodes.repartition(-(-nodes.count() // 8000) or 1)
     index = variants(nodes, cuts)
-    met = index.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("low"), F.max("node").alias("high"), F.bit_xor(F.xxhash64("node")).alias("mark"))
-    # Variants shared by the same nodes count once.
-    met = materialize(met.where("c > 1").groupBy("c", "low", "high", "mark").agg(F.min("key").alias("key")), "met")
+    met = index.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("low"), F.max("node").alias("high"), *([] if exact else [F.min("comp").alias("one"), F.max("comp").alias("other")]), F.bit_xor(F.xxhash64("node")).alias("mark"))
+    # Variants shared by the same nodes count once; those of one linked group are left out.
+    met = met.where("c > 1" if exact else "c > 1 AND one <> other")
+    met = materialize(met.groupBy("c", "low", "high", "mark").agg(F.min("key").alias("key")), "met")
     pairs = met.where("c = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
     full = materialize(index.join(met.where("c > 2").select("key", "c", "low"), "key"), "full")
-    some = full.where(f"c <= {bucket_limit}").groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("m"))
-    some = some.select("m").distinct().select(F.explode(F.expr("flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> struct(x AS a, y AS b))))")).alias("p")).select("p.a", "p.b")
+    some = full.where(f"c <= {bucket_limit}").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("node", F.col("node" if exact else "comp").alias("comp")))).alias("m"))
+    some = some.select("m").distinct().select(F.explode(F.expr("flatten(transform(m, (x, i) -> transform(filter(slice(m, i + 2, size(m)), y -> y.comp <> x.comp), y -> struct(x.node AS a, y.node AS b))))")).alias("p")).select("p.a", "p.b")
     hot = full.where(f"c > {bucket_limit}")
-    exact = width == 1 and max_diff <= 2
-    pairs = pairs.unionAll(some).distinct()
-    fps = [f"fp{j}" for j in range(width)]
-    left, right = (nodes.select(F.col("node").alias(x), F.struct(*fps).alias(f"f{x}")) for x in "ab")
-    found = pairs.join(left, "a").join(right, "b").where(f"{_differing(width, 'fa', 'fb')} <= {max_diff}").select("a", "b")
+    found = _within(pairs.unionAll(some).distinct(), nodes, width, max_diff)
     if exact:
         return found.unionAll(_hot_links_exact(hot.select("node").distinct().join(nodes, "node")))
-    return found.unionAll(_hot_links(hot, nodes, width, max_diff))
+    return stars.unionAll(found).unionAll(_hot_links(hot, nodes, width, max_diff))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, width: int = 1, cut_into: int = 2, max_diff: int = 2, bits: int | None = None, delete: int | None = None, jaccard: float | None = None) -> DataFrame:

@@ -204,3 +204,18 @@ def test_rows_without_an_id_link_both_sides(spark):
     finally:
         simhash.fingerprints = original
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (0, 1), (1, 1), (2, 1)]
+
+
+def test_links_of_a_large_group_grow_with_its_members(spark):
+    """Near copies that all meet each other: the links are a few stars, not the pairs, and connect the same."""
+    rng = np.random.default_rng(11)
+    base, n = rng.integers(0, 2**63, 12, dtype=np.uint64), 240
+    fps = np.tile(base, (n, 1))
+    for i in range(1, n):
+        for bit in rng.choice(768, 40, replace=False):
+            fps[i, bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    fps = np.vstack([fps, rng.integers(0, 2**63, (5, 12), dtype=np.uint64)])
+    nodes = spark.createDataFrame([(i, *map(int, x.view(np.int64))) for i, x in enumerate(fps)], "node long, " + ", ".join(f"fp{j} long" for j in range(12)))
+    got = [(r.a, r.b) for r in simhash.links(nodes, 12, simhash.segments(12, 36, 25), 148).collect()]
+    assert joined(got, range(n + 5)) == {i: 0 if i < n else i for i in range(n + 5)}
+    assert len(set(got)) < 5 * n
