@@ -9,7 +9,8 @@ differing bits).  Every segment is indexed with each of its bits deleted in turn
 variant are compared in full.  A variant shared by two fingerprints gives its pair from the minimum and maximum of a
 partial aggregation; up to ``bucket_limit`` members are compared pairwise; fuller ones take another exact way whose
 rows grow with the members only (wide fingerprints: what the stars of a few segments link first is one group; variants that
-only one group shares are left out, and members of one group are not compared again): for a distance of up to 2, two fingerprints are within it exactly if flipping at most
+only one group shares are left out, and members of one group are not compared again; a few segments are
+indexed at a time, so that the index never lies on disk as a whole): for a distance of up to 2, two fingerprints are within it exactly if flipping at most
 one bit in each makes them equal, so the members that share a flipped value are linked to its smallest member.  For
 larger distances every member of a fuller variant is compared with its smallest; only members that this does not link
 meet all others, in blocks of ``BLOCK_NODES``.
@@ -46,6 +47,8 @@ BLOCK_NODES, BLOCK_BYTES = 1024, 1 << 20
 STARS = 4
 #: Segments of wide fingerprints whose fuller variants link their members first, before all segments are searched.
 FIRST = 4
+#: Segments of wide fingerprints that are indexed at a time.
+PASS = 6
 #: Odd multipliers that derive further 64-bit words from a shingle's hash, for wide fingerprints.
 _STEP = 0x9E3779B97F4A7C15
 
@@ -140,11 +143,11 @@ def segments(width: int, count: int, bits: int | None = None) -> list[tuple[int,
     return [(w, (64 - bits) * i // max(1, per - 1), bits) for w in range(width) for i in range(per)]
 
 
-def variants(nodes: DataFrame, cuts: list[tuple[int, int, int]]) -> DataFrame:
-    """Rows (key, node): every segment with each of its bits deleted in turn."""
+def variants(nodes: DataFrame, cuts: list[tuple[int, int, int]], part: range | None = None) -> DataFrame:
+    """Rows (key, node): every segment, or those numbered in ``part``, with each of its bits deleted in turn."""
     low = "lo0" in nodes.columns
     chosen = [f"filter(sequence(0L, {bits - 1}L), b -> shiftrightunsigned(lo{w}, int(b) + {first}) & 1L = 1L)" if low else f"sequence(0L, {bits - 1}L)" for w, first, bits in cuts]
-    parts = [f"transform({chosen[s]}, b -> (shiftrightunsigned(fp{w}, {first}) & {(1 << bits) - 1}L & ~shiftleft(1L, int(b))) | shiftleft(b, 32) | {s << 40}L)" for s, (w, first, bits) in enumerate(cuts)]
+    parts = [f"transform({chosen[s]}, b -> (shiftrightunsigned(fp{w}, {first}) & {(1 << bits) - 1}L & ~shiftleft(1L, int(b))) | shiftleft(b, 32) | {s << 40}L)" for s, (w, first, bits) in enumerate(cuts) if part is None or s in part]
     return nodes.select("node", *(["comp"] if "comp" in nodes.columns else []), F.explode(F.expr(f"flatten(array({', '.join(parts)}))")).alias("key"))
 
 
@@ -304,20 +307,39 @@ def similar(texts: DataFrame, shingle: int, least: float) -> DataFrame:
 
 def links(nodes: DataFrame, width: int, cuts: list[tuple[int, int, int]], max_diff: int, bucket_limit: int = 16) -> DataFrame:
     """Verified links (a, b), a < b, between nodes (node long, fp0, ...) of distinct fingerprints or texts."""
+    spark = nodes.sparkSession
     exact = width == 1 and max_diff <= 2
-    stars = None
+    stars, parts = None, [range(len(cuts))]
     if not exact:  # what stars of a few segments link need not be compared again
+        count = nodes.count()
         stars = materialize(_first_links(nodes, width, cuts, max_diff), "first")
         nodes = nodes.join(components(stars, "a", "b").withColumnRenamed("component", "comp"), "node", "left")
-        nodes = materialize(nodes.withColumn("comp", F.coalesce("comp", "node")), "placed")
-        nodes = nodes.repartition(-(-nodes.count() // 8000) or 1)
-    index = variants(nodes, cuts)
-    met = index.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("low"), F.max("node").alias("high"), *([] if exact else [F.min("comp").alias("one"), F.max("comp").alias("other")]), F.bit_xor(F.xxhash64("node")).alias("mark"))
+        nodes = materialize(nodes.withColumn("comp", F.coalesce("comp", "node")).repartition(-(-count // 8000) or 1), "placed")
+        parts = [range(s, min(s + PASS, len(cuts))) for s in range(0, len(cuts), PASS)]
+        release(spark)
     # Variants shared by the same nodes count once; those of one linked group are left out.
-    met = met.where("c > 1" if exact else "c > 1 AND one <> other")
-    met = materialize(met.groupBy("c", "low", "high", "mark").agg(F.min("key").alias("key")), "met")
+    alike = ["c", "low", "high", "mark"]
+    met = []
+    for part in parts:
+        shared = variants(nodes, cuts, part).groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("low"), F.max("node").alias("high"), *([] if exact else [F.min("comp").alias("one"), F.max("comp").alias("other")]), F.bit_xor(F.xxhash64("node")).alias("mark"))
+        shared = shared.where("c > 1" if exact else "c > 1 AND one <> other")
+        met.append(materialize(shared.groupBy(*alike).agg(F.min("key").alias("key")), "met"))
+        if not exact:
+            del shared
+            release(spark)
+    if len(parts) > 1:
+        met = [materialize(functools.reduce(DataFrame.unionAll, met).groupBy(*alike).agg(F.min("key").alias("key")), "met")]
+    met = met[0]
     pairs = met.where("c = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
-    full = materialize(index.join(met.where("c > 2").select("key", "c", "low"), "key"), "full")
+    full = []
+    for part in parts:
+        asked = met.where(f"c > 2 AND shiftright(key, 40) BETWEEN {part[0]} AND {part[-1]}").select("key", "c", "low")
+        if not exact:  # written, so that a few keys are broadcast and the index is not dealt again
+            asked = materialize(asked, "asked")
+        full.append(materialize(variants(nodes, cuts, part).join(asked, "key"), "full"))
+        if not exact:
+            release(spark)
+    full = functools.reduce(DataFrame.unionAll, full)
     some = full.where(f"c <= {bucket_limit}").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("node", F.col("node" if exact else "comp").alias("comp")))).alias("m"))
     some = some.select("m").distinct().select(F.explode(F.expr("flatten(transform(m, (x, i) -> transform(filter(slice(m, i + 2, size(m)), y -> y.comp <> x.comp), y -> struct(x.node AS a, y.node AS b))))")).alias("p")).select("p.a", "p.b")
     hot = full.where(f"c > {bucket_limit}")
@@ -351,6 +373,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = nodes.where("node IS NOT NULL").select("node", *fps, *lows).repartition(-(-nodes.count() // 8000) or 1)
     linked = components(links(known, width, cuts, max_diff), "a", "b")
     if jaccard is not None:
+        release(spark)
         texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("binary").alias("text"))
         alike = texts.join(linked, "node").groupBy("node").agg(F.min("component").alias("component"), F.min("text").alias("text"))
         linked = components(similar(materialize(alike, "alike"), shingle, jaccard), "a", "b")

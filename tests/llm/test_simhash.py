@@ -219,3 +219,29 @@ def test_links_of_a_large_group_grow_with_its_members(spark):
     got = [(r.a, r.b) for r in simhash.links(nodes, 12, simhash.segments(12, 36, 25), 148).collect()]
     assert joined(got, range(n + 5)) == {i: 0 if i < n else i for i in range(n + 5)}
     assert len(set(got)) < 5 * n
+
+
+def test_wide_index_is_made_a_few_segments_at_a_time(spark):
+    """No step makes the variants of all segments at once; links across any segment are found all the same."""
+    rng = np.random.default_rng(12)
+    cuts = simhash.segments(12, 36, 25)
+    fps, want = [], {}
+    for s, (w, first, bits) in enumerate(cuts):  # a pair for each segment, equal in that segment alone
+        a = rng.integers(0, 2**63, 12, dtype=np.uint64)
+        b = a.copy()
+        for v, f, n in cuts:
+            if (v, f) != (w, first):
+                for bit in rng.choice(n, 3, replace=False):
+                    if v != w or not first <= f + bit < first + bits:
+                        b[v] ^= np.uint64(1) << np.uint64(f + bit)
+        fps += [a, b]
+        want |= {2 * s: 2 * s, 2 * s + 1: 2 * s}
+    nodes = spark.createDataFrame([(i, *map(int, x.view(np.int64))) for i, x in enumerate(fps)], "node long, " + ", ".join(f"fp{j} long" for j in range(12)))
+    asked, original = [], simhash.variants
+    simhash.variants = lambda n, c, part=None: asked.append(len(c) if part is None else len(part)) or original(n, c, part)
+    try:
+        got = [(r.a, r.b) for r in simhash.links(nodes, 12, cuts, 148).collect()]
+    finally:
+        simhash.variants = original
+    assert joined(got, range(len(fps))) == want
+    assert max(asked) <= simhash.PASS < len(cuts)
